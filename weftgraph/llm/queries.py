@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, langid, quality, secrets, sharding, tokenfile
+from weftgraph.llm import bpe, langid, pii, quality, secrets, sharding, tokenfile
 from weftgraph.session import table
 
 
@@ -25,6 +25,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs.where(~langid.held_out(docs.doc_id))))
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
+    "op6_pii": op6_pii,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
