@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, decontaminate, langid, pii, quality, secrets, sharding, tokenfile
+from weftgraph.llm import bpe, decontaminate, jaccard, langid, pii, quality, secrets, sharding, tokenfile
 from weftgraph.session import table
 
 
@@ -33,6 +33,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs.where(~langid.held_out(docs.doc_id))))
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
     "op6_pii": op6_pii,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
