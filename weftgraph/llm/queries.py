@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, decontaminate, jaccard, langid, pii, quality, secrets, sharding, tokenfile
+from weftgraph.llm import bpe, decontaminate, jaccard, langid, lmscore, pii, quality, secrets, sharding, tokenfile
 from weftgraph.session import table
 
 
@@ -37,6 +37,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs.where(~langid.held_out(docs.doc_id))))
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_pii": op6_pii,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
