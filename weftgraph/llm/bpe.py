@@ -228,7 +228,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int): what a trainer reads."""
+    """doc_id, n_tokens, ids, and whether they decode to the text's bytes: what a trainer reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
@@ -236,9 +236,12 @@ def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             at = 0
             for texts in by_size(batch.column("text")):
                 ids = own.encode(texts)
+                intact = [own.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+                doc_ids = batch.column("doc_id").slice(at, len(texts)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
+                    [doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
+                    names=["doc_id", "n_tokens", "ids", "intact"],
                 )
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, intact boolean")
