@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from weftgraph.plans.oracle import ORACLE
+from weftgraph.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
