@@ -8,7 +8,7 @@ pseudonyms in every document and different values of a kind never meet. Kinds:
   date   a day that exists, year first or day and month first: permuted among DAYS days from 1700-01-01, layout kept
   phone  a number with + and country code, or of three, three and four digits: its last digits are permuted, layout kept
   ssn    three, two and four digits in the valid ranges: permuted among the valid ones
-  card   13 to 19 digits, single blanks or dashes between, that pass the Luhn test: all but the check digit are permuted, and
+  card   13 to 19 digits, in one run or in the usual groups, that pass the Luhn test: all but the check digit are permuted, and
          the check digit is computed anew
 A found value that fails its kind's validation stays as it is.
 
@@ -39,12 +39,12 @@ PATTERNS = {
     "iban": _NOT_BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NOT_AFTER,
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
     "date": _NOT_BEFORE + r"(?:\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})" + _NOT_AFTER,
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})" + _NOT_AFTER,
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}(?:[ \-]?\(?\d{1,4}\)?){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}]|\.\d)",
     "ssn": _NOT_BEFORE + r"\d{3}-\d{2}-\d{4}" + _NOT_AFTER,
-    "card": _NOT_BEFORE + r"\d(?:[ \-]?\d){12,18}" + _NOT_AFTER,
+    "card": _NOT_BEFORE + r"(?:\d{13,19}|\d{4}([ \-])\d{4}\4\d{4}\4\d{4}(?:\4\d{1,3})?|\d{4}([ \-])\d{6}\5\d{5})" + _NOT_AFTER,
 }
 KINDS = tuple(PATTERNS)
-#: The back references of dates count groups from the left of the whole.
+#: The back references of dates and cards count groups from the left of the whole.
 ANY = "|".join(PATTERNS.values())
 
 
