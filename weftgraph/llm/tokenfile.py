@@ -18,6 +18,7 @@ the other; an empty table gives no files and no rows; columns besides doc_id and
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +39,11 @@ from weftgraph.session import shared_folder, written
 FRAME_IDS = 1 << 16
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
+#: Characters of text taken at once, one text at least.
+TEXT_CHARS = 1 << 15
+#: Fixed value: how the vocabulary marks a token that ends a word.
+WORD_END = "</w>"
 #: Fixed values of the zstandard and seekable formats.
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
@@ -131,24 +136,78 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A word with ASCII marks behind it: the tokenizer always cuts between the two. An apostrophe may belong to either side.
+_WITH_MARKS = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class WordEncoder:
-    """Ids by words between blanks, which the tokenizer drops and never merges across; keeps the ids of up to CACHE_WORDS words."""
+    """Ids by words between blanks, which the tokenizer drops and never merges across; keeps the ids of up to CACHE_WORDS words.
+
+    An unknown word is looked up in parts: without the marks behind it, and in lower case, as the tokenizer takes it, where
+    that is one letter for one letter (below U+0180). Parts of letters alone are encoded many at once, and their ids cut where
+    a token ends a word.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        parts_of, parts, known = {}, set(), self.known
+        for word in new:
+            plain = word.lower() if max(word, default="") < "\u0180" and "\u0130" not in word else word
+            found = _WITH_MARKS.fullmatch(plain)
+            parts_of[word] = own = found.groups() if found else (plain,)
+            parts.update(own)
+        wanted = [p for p in parts if p not in known]
+        letters = [p for p in wanted if p.isalpha()]
+        for k in range(0, len(letters), 4096):
+            part = letters[k : k + 4096]
+            ids = self._encoded(" ".join(part))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(part):  # one of them is cut within: each on its own, below
+                continue
+            raw = ids.tobytes()
+            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist())), strict=True))
+        for p in wanted:
+            if p not in known:
+                known[p] = self._encoded(p).tobytes()
+        for word, own in parts_of.items():
+            known[word] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(set(words).difference(self.known))
+        if new:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+                new = set().union(*split)
+            self._learn(list(new))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker, with its cache."""
+    return WordEncoder(path)
+
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+def _by_size(texts: pa.Array) -> Iterator[list[str]]:
+    part, held = [], 0
+    for text in texts:
+        part.append(text.as_py() or "")
+        held += len(part[-1])
+        if held >= TEXT_CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -159,17 +218,20 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer, totals = TaskContext.get(), None, [0, 0]
-        encoder, tail = WordEncoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, tail = _encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.ids.zst"
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if writer is None:
-                    fs, at = pafs.FileSystem.from_uri(path)
-                    fs.create_dir(os.path.dirname(at), recursive=True)
-                    writer = Writer(fs.open_output_stream(at, compression=None))
-                ids = np.frombuffer(encoder.encode(text.as_py() or "") + tail, "<u4")
-                writer.add(doc_id, ids)
-                totals = [totals[0] + 1, totals[1] + len(ids)]
+            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            for texts in _by_size(batch.column("text")):
+                for doc_id, raw in zip(doc_ids[at : at + len(texts)], encoder.encode(texts), strict=True):
+                    if writer is None:
+                        fs, place = pafs.FileSystem.from_uri(path)
+                        fs.create_dir(os.path.dirname(place), recursive=True)
+                        writer = Writer(fs.open_output_stream(place, compression=None))
+                    ids = np.frombuffer(raw + tail, "<u4")
+                    writer.add(doc_id, ids)
+                    totals = [totals[0] + 1, totals[1] + len(ids)]
+                at += len(texts)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path], "n_docs": pa.array([totals[0]], pa.int64()), "n_ids": pa.array([totals[1]], pa.int64())})
