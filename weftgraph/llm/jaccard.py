@@ -6,8 +6,8 @@ Jaccard similarity is LEAST or more.
 
 A run of the recursion splits the sets on sampled tokens that they share: at each node of the path tree a set of t tokens
 follows those whose hash lies in the node's own window of a share SPREAD / t of all hashes, so similar sets tend to follow the
-same ones (Christiani and Pagh 2017). Only sets that meet in a bucket of more than SMALL go one level deeper, DEPTH at most;
-what is then still together, near copies in the main, is cut in blocks of about BLOCK sets, and every pair of blocks is
+same ones (Christiani and Pagh 2017). Only sets that meet in a bucket of more than SMALL go one level deeper, DEPTH at most
+and while that separates them; what is then still together, near copies in the main, is cut in blocks of about BLOCK sets, and every pair of blocks is
 compared in a task of its own. RUNS repeats give the target recall RECALL for a pair right at LEAST whose path always goes to
 full depth (others have more).
 
@@ -44,6 +44,8 @@ SPREAD = 2.0
 DEPTH = 3
 SMALL = 64
 BLOCK = 256
+#: A bucket with this share of its parent's sets or more is one that splitting doesn't reduce: near copies, compared in blocks.
+STUCK = 0.75
 SKETCH = 64
 SKETCH_LEAST = 38
 CACHE_WORDS = 500_000
@@ -160,23 +162,25 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
-    """pairs (set_id, key), distinct, of keys that two or more sets have, with their number n."""
+    """pairs (set_id, key, parent_n), distinct, of keys that two or more sets have, with their number n."""
+    pairs = written(pairs, "pairs")
     many = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return written(pairs.join(many, "key").select("key", "set_id", "n"), "shared")
+    return written(pairs.join(many, "key").select("key", "set_id", "n", "parent_n"), "shared")
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n): the buckets in which sets are compared."""
-    shared = _shared(sets.select("set_id", F.explode("key1").alias("key")).distinct())
-    leaves = shared.where(F.col("n") <= SMALL)
+    """(key, set_id, n): the buckets in which sets are compared. A bucket is split on while it is large and splitting helps."""
+    shared = _shared(sets.select("set_id", F.explode("key1").alias("key"), F.lit(None).cast("long").alias("parent_n")).distinct())
+    large = (F.col("n") > SMALL) & F.coalesce(F.col("n") < STUCK * F.col("parent_n"), F.lit(True))
+    leaves = shared.where(~large)
     for level in range(2, DEPTH + 1):
-        hot = shared.where(F.col("n") > SMALL).select("set_id", F.col("key").alias("parent"))
+        hot = shared.where(large).select("set_id", F.col("key").alias("parent"), F.col("n").alias("parent_n"))
         steps = F.explode(F.arrays_zip(F.col(f"key{level}").alias("key"), F.col(f"up{level}").alias("up")))
         wanted = sets.join(hot.select("set_id").distinct(), "set_id", "left_semi")
         steps = wanted.select("set_id", f"key{level - 1}", steps.alias("s")).select("set_id", F.col(f"key{level - 1}")[F.col("s.up")].alias("parent"), F.col("s.key").alias("key"))
-        shared = _shared(steps.distinct().join(hot, ["set_id", "parent"], "left_semi").select("set_id", "key"))
-        leaves = leaves.union(shared.where(F.col("n") <= SMALL) if level < DEPTH else shared)
-    return leaves
+        shared = _shared(steps.distinct().join(hot, ["set_id", "parent"]).select("set_id", "key", "parent_n"))
+        leaves = leaves.union(shared.where(~large) if level < DEPTH else shared)
+    return leaves.select("key", "set_id", "n")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
