@@ -275,6 +275,23 @@ def test_lm_scores(spark, edge, none):
     assert lmscore.cross_entropy_difference(edge, labels).count() == len(EDGE) and lmscore.cross_entropy_difference(none, labels).count() == 0
 
 
+def test_lm_models_have_rare_words_and_all_trusted_documents(spark, monkeypatch):
+    """With every word and bigram below the shares that are held in tasks, the scores are those with all of them held."""
+    rows = [(k, " ".join(f"w{k * j % 17} x{j % 5}" for j in range(30))) for k in range(40)] + [(7, "w1 only here"), (None, "w1 no id"), (50, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    scores = lambda: sorted(map(tuple, lmscore.cross_entropy_difference(frame, labels).collect()), key=str)
+    held = scores()
+    assert len(held) == len(rows)
+    for words, pairs in ((1.0, 1.0), (0.02, 0.02), (1e-6, 0.02), (0.02, 1e-6)):
+        monkeypatch.setattr(lmscore, "SHARE_WORD", words)
+        monkeypatch.setattr(lmscore, "SHARE_PAIR", pairs)
+        for a, b in zip(held, scores(), strict=True):
+            assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=3e-6), (words, pairs, a, b)
+    many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(many).count() == 50_000
+
+
 def test_language_id(spark, edge, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out(docs.doc_id)))

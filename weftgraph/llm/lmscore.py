@@ -4,11 +4,12 @@ The target model is fitted on trusted documents, the background model on all of
 of bigrams and one smoothing. A document's score is its loss for each token under the target model less that under the
 background model, in nats: the lower, the more it is like the target.
 
-Words are lower case, between blanks. The vocabulary has every word with a share SHARE_WORD or more of all tokens, the inventory
-every bigram of it with a share SHARE_PAIR or more; other words count as one unknown word. So what is collected and broadcast
-has at most 1 / SHARE_WORD words and 1 / SHARE_PAIR bigrams whatever the corpus, while all its counts, over all documents, are
-summed in Spark, in each task before the shuffle. Trusted documents are those with label quality 1 and not toxic, about TRUSTED
-of them at most (by a hash of doc_id), as their ids are broadcast.
+Words are lower case, between blanks. Vocabulary and inventory have every word and every bigram of all documents, whatever their
+count, and every document with label quality 1 that isn't toxic is trusted. Words with a share SHARE_WORD or more of all tokens
+have a number, and bigrams of them with a share SHARE_PAIR or more are priced within the task that reads the document: 1 /
+SHARE_WORD words and 1 / SHARE_PAIR bigrams at most, whatever the corpus, are collected and broadcast for that. All other bigrams
+are priced in a table that documents' counted bigrams are joined to, none of whose keys has more than those shares of all rows;
+so the split sets where a bigram is looked up, not whether. There a word without a number goes by 62 bits of its BLAKE2 digest.
 
 P(w | v) = PAIR_WEIGHT * count(v w) / count(v) + (1 - PAIR_WEIGHT) * P(w), P(w) with SMOOTHING added to each count; P(w) alone
 where v was never seen. A document's first word follows a start mark.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.quality import TRUSTED, trusted_ids
+from weftgraph.llm.quality import trusted_ids
 from weftgraph.session import written
 
 SHARE_WORD = 1e-6
@@ -38,14 +39,15 @@ PAIR_WEIGHT = 0.6
 SMOOTHING = 0.1
 #: Distinct words, or tokens, whose counts a task holds before it passes them on.
 WORDS_HELD, TOKENS_HELD = 400_000, 2_000_000
+#: From here on numbers are digests of words.
+DIGEST = 1 << 62
 
 
 class Model(NamedTuple):
-    ids: dict[str, int]  # from 2; 0 is the start mark, 1 the unknown word
-    keys: np.ndarray  # first id * width + second id, ascending
-    pairs: np.ndarray  # log P of those, target and background
-    words: np.ndarray  # log P of each id alone, target and background
-    rest: np.ndarray  # what is added to that after each first id
+    ids: dict[str, int]  # of common words, from 2; 0 is the start mark, 1 the unknown word
+    keys: np.ndarray  # first id * width + second id of common bigrams, ascending
+    prices: np.ndarray  # log P of those, target and background
+    rest: DataFrame  # v, w, target, background: log P of all other bigrams
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -66,100 +68,204 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.fromiter(map(ids.get, words, repeat(1)), dtype=np.int64, count=len(words))
+class Numbers(dict):
+    """The numbers of words: ids of the common ones, digests of the others. What is held is bounded."""
 
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = ids
 
-def _pair_counts(docs: DataFrame, ids, width: int) -> DataFrame:
-    """key, n, target: counts of bigrams in all documents and in the marked ones."""
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        number = self.ids.get(word)
+        if number is None:
+            number = int.from_bytes(blake2b(word.encode(), digest_size=8).digest()) >> 2 | DIGEST
+        self[word] = number
+        return number
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.lower().split() if text else []
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which equal ones are neighbours, and where in it each group starts.
+
+    Rows are ordered by a hash: should two different ones share it, a group may be cut in two, never joined with another.
+    """
+    mixed = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for column in columns:
+        own = column[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _before(own: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], own[:-1]])
+
+
+def _pair_counts(docs: DataFrame, ids) -> DataFrame:
+    """v, w, n, target: counts of bigrams in all documents and in the marked ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
+        numbers = Numbers(ids.value)
+        firsts: list[np.ndarray] = []
+        seconds: list[np.ndarray] = []
         marks: list[np.ndarray] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            flat, mark = np.concatenate([*keys, np.zeros(0, dtype=np.int64)]), np.concatenate([*marks, np.zeros(0, dtype=np.int8)])
-            found, place, n = np.unique(flat, return_inverse=True, return_counts=True)
-            target = np.bincount(place, weights=mark, minlength=len(found)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64()), pa.array(target)], names=["key", "n", "target"])
+            v, w, mark = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]) for x in (firsts, seconds, marks))
+            order, start = _grouped(v, w)
+            n = np.diff(np.append(start, len(order)))
+            target = np.add.reduceat(mark[order], start) if len(start) else np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[order[start]], w[order[start]], n.astype(np.int64), target)], names=["v", "w", "n", "target"])
 
         for batch in batches:
             for text, mark in zip(batch.column("text"), batch.column("mark").to_pylist(), strict=True):
-                own = _ids(text.as_py(), ids.value)
+                own = numbers.of(text.as_py())
                 if len(own):
-                    keys.append(np.concatenate([[0], own[:-1]]) * width + own)
-                    marks.append(np.full(len(own), mark, dtype=np.int8))
+                    firsts.append(_before(own))
+                    seconds.append(own)
+                    marks.append(np.full(len(own), mark, dtype=np.int64))
                     held += len(own)
                 if held > TOKENS_HELD:
                     yield out()
-                    keys, marks, held = [], [], 0
+                    firsts, seconds, marks, held = [], [], [], 0
         yield out()
 
-    return docs.mapInArrow(count, "key long, n long, target long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    return docs.mapInArrow(count, "v long, w long, n long, target long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+
+
+def _log_p(pair: np.ndarray, first: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """log P of bigrams from their counts, those of their first words and the probabilities of their second words alone."""
+    return np.log(PAIR_WEIGHT * pair / np.maximum(first, 1) + np.where(first > 0, 1 - PAIR_WEIGHT, 1.0) * single)
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> Model:
-    """Both models from docs (doc_id, text); trusted has the ids of the target's documents, a bounded number."""
+    """Both models from docs (doc_id, text); trusted has the ids of the target's documents, each once."""
     spark = docs.sparkSession
     counts = written(_word_counts(docs), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     kept = sorted(r.word for r in counts.where(F.col("n") >= SHARE_WORD * total).select("word").collect())
     ids = {w: k + 2 for k, w in enumerate(kept)}
     width = len(ids) + 2
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("mark"))), "doc_id", "left")
-    pairs = written(_pair_counts(marked.select("text", F.coalesce("mark", F.lit(0)).alias("mark")), spark.sparkContext.broadcast(ids), width), "pairs")
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("mark")), "doc_id", "left")
+    pairs = written(_pair_counts(marked.select("text", F.coalesce("mark", F.lit(0)).alias("mark")), spark.sparkContext.broadcast(ids)), "pairs")
+    sums = (F.sum("target").alias("t"), F.sum("n").alias("n"))
+    totals = np.array(pairs.agg(*(F.coalesce(x, F.lit(0)) for x in sums)).first(), dtype=float) + SMOOTHING * (distinct + 1)
 
-    def by_id(place) -> np.ndarray:
+    def by_id(place: str) -> np.ndarray:
         out = np.zeros((width, 2))
-        for r in pairs.groupBy(place.alias("id")).agg(F.sum("target").alias("t"), F.sum("n").alias("n")).collect():
-            out[r.id] = r.t, r.n
+        found = pairs.where(F.col(place) < width).groupBy(place).agg(*sums).toPandas()
+        out[found[place].to_numpy(dtype=np.int64)] = found[["t", "n"]].to_numpy(dtype=float)
         return out
 
-    words, firsts = by_id(F.col("key") % width), by_id(F.floor(F.col("key") / F.lit(width)))
-    found = pairs.where(F.col("n") >= SHARE_PAIR * total).toPandas().sort_values("key")
+    words, firsts = by_id("w"), by_id("v")
+    numbered = (F.col("v") < width) & (F.col("w") < width)
+    common = numbered & (F.col("n") >= SHARE_PAIR * total)
+    found = pairs.where(common).select((F.col("v") * width + F.col("w")).alias("key"), "target", "n").toPandas().sort_values("key")
     keys = found["key"].to_numpy(dtype=np.int64)
-    single = (words + SMOOTHING) / (words.sum(axis=0) + SMOOTHING * (width - 1))
-    seen = firsts > 0
-    rest = np.where(seen, 1 - PAIR_WEIGHT, 1.0)
     first, second = keys // width, keys % width
-    together = found[["target", "n"]].to_numpy(dtype=float) / np.maximum(firsts[first], 1)
-    return Model(ids, keys, np.log(PAIR_WEIGHT * together + rest[first] * single[second]), np.log(single), np.log(rest))
+    prices = _log_p(found[["target", "n"]].to_numpy(dtype=float), firsts[first], (words[second] + SMOOTHING) / totals)
 
+    held = spark.sparkContext.broadcast((words, firsts, totals))
 
-SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, firsts, totals = held.value
 
+        def counted(batch: pa.RecordBatch, table: np.ndarray, place: str) -> np.ndarray:
+            """The counts of the words at place: the joined ones, or those of common words."""
+            at = batch.column(place).to_numpy()
+            joined = np.stack([batch.column(f"{place}_{x}").fill_null(0).to_numpy() for x in ("t", "n")], axis=1).astype(float)
+            own = at < len(table)
+            joined[own] = table[at[own]]
+            return joined
 
-def losses(text: str | None, model: Model) -> tuple[int, float, float]:
-    """Tokens, and loss for each under target and background."""
-    own = _ids(text, model.ids)
-    if not len(own):
-        return 0, 0.0, 0.0
-    before = np.concatenate([[0], own[:-1]])
-    key = before * len(model.words) + own
-    log = model.words[own] + model.rest[before]
-    if len(model.keys):
-        at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-        hit = model.keys[at] == key
-        log[hit] = model.pairs[at[hit]]
-    target, background = -log.mean(axis=0)
-    return len(own), float(target), float(background)
+        for batch in batches:
+            pair = np.stack([batch.column("target").to_numpy(), batch.column("n").to_numpy()], axis=1)
+            log = _log_p(pair, counted(batch, firsts, "v"), (counted(batch, words, "w") + SMOOTHING) / totals)
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("w"), pa.array(log[:, 0].copy()), pa.array(log[:, 1].copy())], names=["v", "w", "target", "background"])
+
+    none = [F.lit(None).cast("long").alias(f"{place}_{x}") for place in "vw" for x in "tn"]
+    others = pairs.where(~numbered)
+    for place in "vw":
+        # a common word has no row there: a random key of its own keeps its bigrams from meeting in one task
+        key = F.when(F.col(place) >= DIGEST, F.col(place)).otherwise(-F.abs(F.xxhash64("v", "w") % DIGEST) - 1)
+        counted = pairs.where(F.col(place) >= DIGEST).groupBy(F.col(place).alias("key")).agg(F.sum("target").alias(f"{place}_t"), F.sum("n").alias(f"{place}_n"))
+        others = others.withColumn("key", key).join(counted, "key", "left").drop("key")
+    rest = pairs.where(numbered & ~common).select("*", *none).unionByName(others)
+    rest = rest.mapInArrow(priced, "v long, w long, target double, background double")
+    return Model(ids, keys, prices, rest)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row for each row of docs (doc_id, text). A narrow map: no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """One row for each row of docs (doc_id, text).
+
+    A task adds up a document's common bigrams in one row, and passes its other ones on, each with its count, to be joined to
+    their prices.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model[:3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, prices = held.value
+        numbers, width = Numbers(ids), len(ids) + 2
         for batch in batches:
-            rows = [losses(t.as_py(), held.value) for t in batch.column("text")]
-            target, background = [round(t, 6) for _, t, _ in rows], [round(b, 6) for _, _, b in rows]
-            columns = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64()), pa.array([round(t - b, 6) for _, t, b in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    return score(docs, fit(docs, trusted_ids(labels, trusted)))
+            rows, doc_ids = batch.column("row").to_numpy(), batch.column("doc_id")
+            texts = batch.column("text")
+            at = 0
+            while at < len(rows):
+                lines: list[np.ndarray] = []
+                size, start = 0, at
+                while at < len(rows) and size < TOKENS_HELD // 2:
+                    lines.append(numbers.of(texts[at].as_py()))
+                    size += len(lines[-1])
+                    at += 1
+                many = np.array([len(x) for x in lines], dtype=np.int64)
+                w, v = np.concatenate(lines), np.concatenate([_before(x)[: len(x)] for x in lines])
+                doc = np.repeat(np.arange(len(lines)), many)
+                log, hit = np.zeros((len(w), 2)), np.zeros(len(w), dtype=bool)
+                if len(keys):
+                    own = np.flatnonzero((v < width) & (w < width))
+                    key = v[own] * width + w[own]
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    same = keys[place] == key
+                    hit[own[same]] = True
+                    log[own[same]] = prices[place[same]]
+                whole = [np.bincount(doc, weights=log[:, k], minlength=len(lines)).astype(float) for k in (0, 1)]
+                doc, v, w = doc[~hit], v[~hit], w[~hit]
+                order, first = _grouped(doc, v, w)
+                n, head = np.diff(np.append(first, len(order))), order[first]
+                marks = rows[start:at]
+                columns = [
+                    pa.concat_arrays([pa.array(marks), pa.array(marks[doc[head]])]),
+                    pa.concat_arrays([pa.array(np.full(len(marks), -1)), pa.array(v[head])]),
+                    pa.concat_arrays([pa.array(marks), pa.array(w[head])]),
+                    pa.concat_arrays([pa.array(many), pa.array(n.astype(np.int64))]),
+                    pa.concat_arrays([doc_ids[start:at], pa.nulls(len(head), pa.int64())]),
+                    *(pa.concat_arrays([pa.array(x), pa.nulls(len(head), pa.float64())]) for x in whole),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "v", "w", "n", "doc_id", "t", "b"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered.mapInArrow(run, "row long, v long, w long, n long, doc_id long, t double, b double")
+    whole = F.col("v") == -1
+    added = lambda own, price: F.sum(F.when(whole, F.col(own)).otherwise(F.col("n") * F.col(price)))
+    summed = rows.join(model.rest, ["v", "w"], "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max(F.when(whole, F.col("n"))).alias("n_tokens"), added("t", "target").alias("t"), added("b", "background").alias("b")
+    )
+    loss = lambda x: F.when(F.col("n_tokens") > 0, -F.col(x) / F.col("n_tokens")).otherwise(F.lit(0.0))
+    return summed.select(
+        "doc_id", "n_tokens", F.round(loss("t"), 6).alias("target_loss"), F.round(loss("b"), 6).alias("background_loss"), F.round(loss("t") - loss("b"), 6).alias("score")
+    )
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return score(docs, fit(docs, trusted_ids(labels)))

@@ -4,9 +4,8 @@ Every word and word pair of a text falls in one of BUCKETS hash buckets. The buc
 over all documents give two smoothed multinomials; a text's score is the mean over its n-grams of the log of their ratio.
 A text is kept if the base rules pass and the score is at or above a fixed threshold: no random draw.
 
-What is collected is one weight for each bucket, a fixed number. Trusted documents are those with label quality 1 and not
-toxic; at most about TRUSTED of them, taken by a hash of doc_id, since their ids are broadcast. The raw counts cover all
-documents.
+What is collected is one weight for each bucket, a fixed number. Trusted documents are all those with label quality 1 and not
+toxic, marked by a join. The raw counts cover all documents.
 
 Defined results: a null or blank text has no words, scores 0.0 and fails the base rules; without trusted documents all
 weights are 0; repeated rows are each scored (and counted); columns besides doc_id and text are ignored.
@@ -20,8 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 16384
-#: About so many trusted documents fit the target multinomial.
-TRUSTED = 20_000
 #: Pseudo-count of each bucket.
 SMOOTHING = 1.0
 #: Mean log ratio that a kept document reaches, in nats for each n-gram.
@@ -42,20 +39,15 @@ def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(single, pair)
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """Ids of trusted documents: all of them, or by hash an even share whose expected number is bound."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    n = good.count()
-    if n > bound:
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(bound / n * (1 << 30))))
-    return good
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents, each once."""
+    return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """Log ratio of the trusted to the raw multinomial for each bucket. Counts are summed in each task before the shuffle."""
-    marked = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("mark"))), "doc_id", "left"
-    )
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("mark")), "doc_id", "left")
+    marked = marked.select(words_of(F.col("text")).alias("words"), "mark")
     counts = (
         marked.select(F.explode(buckets_of(F.col("words"), buckets)).alias("bucket"), F.coalesce("mark", F.lit(0)).alias("mark"))
         .groupBy("bucket")
