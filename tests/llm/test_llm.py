@@ -120,6 +120,28 @@ def test_decontamination(spark, edge, none):
     assert decontaminate.contaminated(planted, bench.limit(0)).count() == 0 and decontaminate.decontaminated(none, bench).count() == 0
 
 
+def edited(rng, words, edits):
+    """words after so many random replacements, insertions and deletions."""
+    own = list(words)
+    for _ in range(edits):
+        k, p = rng.integers(3), rng.integers(len(own))
+        own[p : p + (k != 1)] = [] if k == 2 else [f"w{rng.integers(400)}"]
+    return own
+
+
+def test_decontamination_at_the_ends_of_texts(spark):
+    """What is found doesn't depend on the texts beside: an item that is a whole text, begins or closes one, among other texts."""
+    rng = np.random.default_rng(5)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    index, other, alone, texts = decontaminate.Index(items), " ".join(f"w{k}" for k in range(60)), set(), []
+    for n in range(240):
+        words = decontaminate.words_of(items[rng.integers(len(items))][1])
+        own = " ".join(edited(rng, words, decontaminate.edits_allowed(len(words))))
+        texts += [(own, f"{other} {own}", f"{own} {other}")[n % 3], other]
+        alone |= {(2 * n, item, distance) for _, item, distance in index.matches([texts[-2]])}
+    assert len(alone) >= 0.9 * 240 and set(index.matches(texts)) == alone
+
+
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_differencing_is_balanced(shards):
     sizes = np.random.default_rng(shards).integers(1, 1000, size=400).tolist()

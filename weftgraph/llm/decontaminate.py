@@ -137,7 +137,7 @@ class Index:
         return SizeClass([(min(n) - k, max(n) + k) for k, n in sorted(spans.items())], walks)
 
     def candidates(self, flat: np.ndarray) -> set[tuple[int, int, int]]:
-        """(first word, end, item) of stretches of flat that may hold item. flat has a pad before and after every text."""
+        """(first word, end, item) of stretches of one text of flat that may hold item. flat has a pad before and after every text."""
         found: set[tuple[int, int, int]] = set()
         for backwards in (0, 1):
             line = np.ascontiguousarray(flat[::-1]) if backwards else flat
@@ -158,10 +158,12 @@ class Index:
                         rows = np.arange(len(starts))
                         for j, may in zip(sample, passes, strict=True):
                             rows = rows[may[seen[j][rows]]]
-                        for at, key in zip(starts[rows].tolist(), zip(*(seen[j][rows].tolist() for j in sample), strict=True), strict=True):
+                        own = starts[rows]
+                        begins = pads[np.searchsorted(pads, own) - 1] + 1
+                        for at, begin, key in zip(own.tolist(), begins.tolist(), zip(*(seen[j][rows].tolist() for j in sample), strict=True), strict=True):
                             for item in by_key.get(key, ()):
                                 n, k = len(self.items[item]), self.allowed[item]
-                                first, end = max(0, at - k), min(int(ends[at]), at + n + 2 * k)
+                                first, end = max(begin, at - k), min(int(ends[at]), at + n + 2 * k)
                                 found.add((len(line) - end, len(line) - first, item) if backwards else (first, end, item))
         return found
 
@@ -183,7 +185,7 @@ class Index:
                 else:
                     upto.append([first, end])
             for first, end in upto:
-                words = parts[max(first, starts[number]) : end]
+                words = parts[first:end]
                 # a run that near holds all but as many of the item's words
                 if sum(map(self.sets[item].__contains__, words)) >= len(self.items[item]) - self.allowed[item]:
                     best = min(best, run_distance(self.items[item], words))
