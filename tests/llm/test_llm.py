@@ -142,6 +142,21 @@ def test_decontamination_at_the_ends_of_texts(spark):
     assert len(alone) >= 0.9 * 240 and set(index.matches(texts)) == alone
 
 
+@pytest.mark.parametrize("many", [200, 10_400])
+def test_decontamination_recall_by_length(many):
+    """At the largest distance, also of long items and with more than 10,000 of them."""
+    rng = np.random.default_rng(7)
+    lengths = rng.permutation(np.resize([10, 20, 50, 63, 100, 150], many)).tolist()
+    items = [(k, " ".join(f"v{w}" for w in rng.integers(20_000, size=n))) for k, n in enumerate(lengths)]
+    index, found = decontaminate.Index(items), defaultdict(list)
+    for k in range(120):
+        words = items[k][1].split()
+        text = [f"w{j}" for j in range(30)] + edited(rng, words, decontaminate.edits_allowed(len(words))) + [f"w{j}" for j in range(30, 60)]
+        found[len(words)].append(k in {index.ids[m] for _, m, _ in index.matches([" ".join(text)])})
+    assert all(sum(x) >= len(x) - 2 for x in found.values()) and sum(map(sum, found.values())) >= 0.975 * 120, {n: sum(x) / len(x) for n, x in found.items()}
+    assert all(len(c.walks) >= 8 for c in index.classes)
+
+
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_differencing_is_balanced(shards):
     sizes = np.random.default_rng(shards).integers(1, 1000, size=400).tolist()

@@ -7,8 +7,9 @@ The embedding walks along a sequence: step j copies the word it stands on and th
 sequences at a small edit distance mostly fall back into step, so their embeddings agree at most steps (Chakraborty, Goldenberg
 and Koucky 2016). Here a walk starts at every word of a text, so each item-sized window has its embedding, and at the first
 word of every item. Of each embedding, TABLES samples of a few steps are hash keys; windows that share a key with an item of
-their size class are candidates, which Myers' bit vectors then verify exactly. EMBEDDINGS walks, every second of them from the
-end backwards, give a recall of 0.95 or more for items at the largest distance (measured in tests); it is near 1 below that.
+their size class are candidates, which Myers' bit vectors then verify exactly. Every second walk goes from the end backwards.
+Each size class has as many walks as find RECALL of TRIALS of its items at the largest distance, by the tables' own keys, and
+EMBEDDINGS at least; so it is also met where a large slice has longer keys. Recall is near 1 below that distance.
 
 Windows that cannot match are left out first without loss: a run within k edits of n words holds n - k of the item's words, so
 n - k of n + k words must be in the benchmark's vocabulary.
@@ -35,8 +36,11 @@ from pyspark.sql import functions as F
 
 EDITS = 0.2
 LEAST_WORDS = 8
-EMBEDDINGS = 6
+EMBEDDINGS = 8
 TABLES = 6
+RECALL, TRIALS = 0.995, 1000
+#: Walks of long items end here: two sequences are the more out of step the longer they are. RECALL holds for them too.
+MOST_STEPS = 96
 SLICE_BYTES = 8 << 20
 #: Words of text taken at once.
 WORDS_AT_ONCE = 1 << 19
@@ -89,6 +93,15 @@ def walk(line: np.ndarray, starts: np.ndarray, odd: np.ndarray, add: np.ndarray,
     return out
 
 
+def edited(rng: np.random.Generator, words: list[int], edits: int) -> list[int]:
+    """words after so many replacements, insertions and deletions of random places, by a word that no item has."""
+    own = list(words)
+    for kind, place in zip(rng.integers(3, size=edits).tolist(), rng.random(edits).tolist(), strict=True):
+        p = int(place * len(own))
+        own[p : p + (kind != 1)] = [] if kind == 2 else [UNKNOWN]
+    return own
+
+
 class SizeClass(NamedTuple):
     spans: list[tuple[int, int]]  # a stretch of so many words (second) that may hold an item has so many known ones (first)
     walks: list[tuple]  # odd, add, and samples: (steps, words that may stand at each, key -> items); odd walks are reversed
@@ -111,8 +124,12 @@ class Index:
         self.classes = [self._size_class(low, members, rng, bits) for low, members in sorted(by_class.items())]
 
     def _size_class(self, low: int, members: list[int], rng: np.random.Generator, bits: int) -> SizeClass:
-        steps, walks = low + low // 2, []
-        for e in range(EMBEDDINGS):
+        steps, walks = min(low + low // 2, MOST_STEPS), []
+        trials = rng.integers(len(members), size=TRIALS)
+        lines, near, whose = self._trials([members[t] for t in trials], steps, rng)
+        hit = np.zeros(TRIALS, dtype=bool)
+        while len(walks) < EMBEDDINGS or hit.mean() < RECALL:
+            e = len(walks)
             odd = rng.integers(0, 1 << 31, size=steps, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
             add = rng.integers(0, 1 << 31, size=steps, dtype=np.uint32)
             samples = [np.sort(rng.choice(steps, size=bits, replace=False)).tolist() for _ in range(TABLES)]
@@ -120,9 +137,10 @@ class Index:
             line = np.array([w for x in own for w in (*x, PAD)], dtype=np.uint32)
             starts = np.cumsum([0] + [len(x) + 1 for x in own[:-1]])
             seen = walk(line, starts, odd, add, {j for s in samples for j in s})
-            tables = []
+            tables, tried = [], walk(lines[e % 2], near[e % 2], odd, add, set(seen))
             for sample in samples:
                 passes, by_key = [], {}
+                hit[whose[e % 2][np.all([tried[j] == seen[j][trials[whose[e % 2]]] for j in sample], axis=0)]] = True
                 for j in sample:
                     may = np.zeros(len(self.vocabulary) + 2, dtype=bool)
                     may[seen[j]] = True
@@ -136,6 +154,20 @@ class Index:
             spans.setdefault(self.allowed[k], []).append(len(self.items[k]))
         return SizeClass([(min(n) - k, max(n) + k) for k, n in sorted(spans.items())], walks)
 
+    def _trials(self, chosen: list[int], steps: int, rng: np.random.Generator) -> tuple:
+        """Chosen items at the largest distance, among words that no item has: by direction, a line of them, the places near their starts, and whose these are."""
+        lines, near, whose = ([PAD], [PAD]), ([], []), ([], [])
+        for t, item in enumerate(chosen):
+            k = self.allowed[item]
+            own = edited(rng, self.items[item], k)
+            for line, places, of, words in zip(lines, near, whose, (own, own[::-1]), strict=True):
+                before = min(k, steps)
+                start = len(line) + before
+                places.extend(range(start - before, start + min(before, len(words) - 1) + 1))
+                of.extend([t] * (len(places) - len(of)))
+                line.extend([UNKNOWN] * before + words[: 3 * steps] + [UNKNOWN] * steps + [PAD])
+        return [np.array(x, dtype=np.uint32) for x in lines], [np.array(x) for x in near], [np.array(x) for x in whose]
+
     def candidates(self, flat: np.ndarray) -> set[tuple[int, int, int]]:
         """(first word, end, item) of stretches of one text of flat that may hold item. flat has a pad before and after every text."""
         found: set[tuple[int, int, int]] = set()
