@@ -123,6 +123,15 @@ def test_walk_goes_back_to_the_start(spark):
     assert math.isclose(paths.walk_scores(walked, edges).first().score, 0.66)
 
 
+def test_walks_go_back_to_where_a_long_sequence_begins(spark):
+    """From the 31st of 34 nodes in a chain; an edge without weight isn't gone back over."""
+    edges = [("a", k, "a", k + 1, 0.0 if k == 2 else 0.9, 0, "Sequential", "") for k in range(34)]
+    nodes = spark.createDataFrame([("a", k, f"content of node {k}") for k in range(35)], "part string, node_id long, content string")
+    act = spark.createDataFrame([(1, "a", 31, 1.0)], "query_id long, part string, node_id long, act double")
+    found = paths.walks(act, spark.createDataFrame(edges, EDGE), nodes).orderBy("path", "step").collect()
+    assert [r.node_id for r in found if r.path == 0] == list(range(3, 11))
+
+
 def test_running_text(spark):
     rows = [("f", n, f"HEAD LINE\nBody text of page {w} stands here\n{n}\n1. Intro ........ 5\nFOOT LINE") for n, w in ((1, "one"), (2, "two"), (3, "three"))]
     text = running_text(spark.createDataFrame(rows, "path string, page_no int, page_text string")).first().content
