@@ -231,6 +231,24 @@ def test_pseudonyms(spark, edge, none):
     assert pii.pseudonymise(none).count() == 0
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    """(text, the value that goes, what follows and stays)"""
+    cases = [
+        ("+33 1 23 45 67 89", "", "phone"), ("+33 1 23 45 67 89", " 1999-12-31", "phone"), ("+49.30.123456", "", "phone"), ("+49 30 1234567", " x", "phone"), ("+4930123456", ".", "phone"),
+        ("+33 1 23 45 67 89", " 4111 1111 1111 1111", "phone"), ("+33 1 23 45 67 89", " 123-45-6789", "phone"), ("+49 30 123456", " 9.8.7.65", "phone"),
+        ("4111 1111 1111 1111", " 123", "card"), ("4111-1111-1111-1111", "-12", "card"), ("4111 1111 1111 1111", " 123-45-6789", "card"), ("4111 1111 1111 1111", " 7 x", "card"),
+        ("BE68 5390 0754 7034", " EUR", "iban"), ("BE68539007547034", " 4111 1111 1111 1111", "iban"), ("GB82 WEST 1234 5698 7654 32", " EUR", "iban"),
+    ]
+    rows = pii.pseudonymise(spark.createDataFrame([(k, f"to {a}{b}") for k, (a, b, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for (value, after, kind), r in zip(cases, rows, strict=True):
+        new, rest = r.text[3 : 3 + len(value)], r.text[3 + len(value) :]
+        assert r[f"n_{kind}"] >= 1 and new != value and re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", new)) == re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", value)), (value, r)
+        assert sum(a != b for a, b in zip(new, value, strict=True)) >= 4 and new[-4:] != value[-4:], (value, r)
+        assert (rest == after) == (not re.search(r"\d{4}|(\d+\.){3}", after)), (after, r)
+        assert "4111" not in after or luhn_holds(re.sub(r"\D", "", rest))
+        assert kind != "card" or luhn_holds(re.sub(r"\D", "", new))
+
+
 def brute_links(frame):
     shingler, sets = jaccard.Shingler(), {}
     for r in frame.collect():

@@ -9,7 +9,7 @@ pseudonyms in every document and different values of a kind never meet. Kinds:
   phone  a number with + and country code, or of three, three and four digits: its last digits are permuted, layout kept
   ssn    three, two and four digits in the valid ranges: permuted among the valid ones
   card   13 to 19 digits, in one run or in the usual groups, that pass the Luhn test: all but the check digit are permuted, and
-         the check digit is computed anew
+         the check digit is computed anew; of four groups of four with a number behind that don't pass, the four groups alone
 A found value that fails its kind's validation stays as it is.
 
 One round adds to one half of the value a SHA-256 digest of key, kind, round number and the other half, character by
@@ -33,15 +33,31 @@ SSN_PARTS = (898, 989_901)
 
 _NOT_BEFORE, _NOT_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Characters of bank account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(n: int, countries: str) -> str:
+    tail = f"(?: ?[A-Z0-9]{{{(n - 4) % 4}}})" if n % 4 else ""
+    return f"(?:{countries.replace(' ', '|')})" + r"\d{2}(?: ?[A-Z0-9]{4}){" + str((n - 4) // 4) + "}" + tail + _NOT_AFTER
+
+
+_IBANS = "|".join(_of_length(n, countries) for n, countries in IBAN_LENGTHS.items())
+#: What a phone number doesn't go on into: a blank and a card, date, ssn or ip.
+_NEXT = r"(?! (?:\d{13}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{4}[-/.]\d{1,2}[-/.]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{3}-\d{2}-\d{4}|\d{1,3}(?:\.\d{1,3}){3}))"
 #: By kind, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "iban": _NOT_BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NOT_AFTER,
+    "iban": _NOT_BEFORE + "(?:" + _IBANS + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NOT_AFTER + ")",
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
     "date": _NOT_BEFORE + r"(?:\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})" + _NOT_AFTER,
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}(?:[ \-]?\(?\d{1,4}\)?){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}]|\.\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+\d(?:" + _NEXT + r"[ .\-]?\(?\d\)?){6,14}(?!-\d)|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}]|\.\d)",
     "ssn": _NOT_BEFORE + r"\d{3}-\d{2}-\d{4}" + _NOT_AFTER,
-    "card": _NOT_BEFORE + r"(?:\d{13,19}|\d{4}([ \-])\d{4}\4\d{4}\4\d{4}(?:\4\d{1,3})?|\d{4}([ \-])\d{6}\5\d{5})" + _NOT_AFTER,
+    "card": _NOT_BEFORE + r"(?:\d{13,19}|\d{4}([ \-])\d{4}\4\d{4}\4\d{4}(?:\4\d{1,3}(?![\-./]?\d))?|\d{4}([ \-])\d{6}\5\d{5})" + _NOT_AFTER,
 }
 KINDS = tuple(PATTERNS)
 #: The back references of dates and cards count groups from the left of the whole.
@@ -167,10 +183,14 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _card(key: str, m: Column) -> Column:
-    digits = _digits(m)
-    body, check = F.substr(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1)).cast("int")
-    new = permuted_text(key, "card", body)
-    return F.when(check == luhn(body), _into(m, F.concat(new, luhn(new).cast("string")), "0-9"))
+    def whole(m: Column) -> Column:
+        digits = _digits(m)
+        body, check = F.substr(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1)).cast("int")
+        new = permuted_text(key, "card", body)
+        return F.when(check == luhn(body), _into(m, F.concat(new, luhn(new).cast("string")), "0-9"))
+
+    grouped = m.rlike(r"^\d{4}([ \-])(\d{4}\1){3}\d{1,3}$")
+    return F.coalesce(whole(m), F.when(grouped, F.concat(whole(F.substr(m, F.lit(1), F.lit(19))), F.substr(m, F.lit(20)))))
 
 
 _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
