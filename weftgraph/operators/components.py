@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.skew import joined_by_share
 from weftgraph.session import written
 
 
@@ -16,9 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of edges (a, b); component is the least node of its component.
 
     Each round hangs a node's larger neighbours, then all its smaller ones, below the least (Kiveris et al. 2014): long
-    chains shrink in O(log n) rounds, and no round makes more edges than it got. A round's edges are written to the shared
-    folder, so its plan doesn't grow and a lost executor costs only the running round. Edges with a null end are ignored;
-    loops and repeated edges make no difference.
+    chains shrink in O(log n) rounds, and no round makes more edges than it got. A star's centre is a hot key: its least
+    neighbour is broadcast and its edges stay spread. A round's edges are written to the shared folder, so its plan doesn't
+    grow and a lost executor costs only the running round. Edges with a null end are ignored; loops and repeated edges make no
+    difference; no edges give no rows.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     loops = edges.where("a = b").select("a", "b")
@@ -27,10 +29,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_by_share(both.where("b > a"), least, "a", "n", 2 * state[0])
+        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined_by_share(large, least, "a", "n", state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         before, state = state, _state(edges)
         if state == before:
