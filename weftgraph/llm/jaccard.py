@@ -31,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.skew import joined_by_share
 from weftgraph.session import written
 
 SHINGLE = 5
@@ -125,6 +126,7 @@ def chosen_paths(tokens: np.ndarray, runs: int, spread: float = SPREAD, depth: i
 
 
 SETS = "doc_id long, row long, set_id binary, size int, sketch binary, key1 array<long>, key2 array<long>, up2 array<int>, key3 array<long>, up3 array<int>"
+BODY = ("size", "sketch", "key1", "key2", "up2", "key3", "up3")
 
 
 def _lists(parts: list[np.ndarray], dtype, kind: pa.DataType) -> pa.Array:
@@ -133,7 +135,9 @@ def _lists(parts: list[np.ndarray], dtype, kind: pa.DataType) -> pa.Array:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    """docs (doc_id, text) with a hash, row, that with the id names a row."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return named.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def _sets(docs: DataFrame, runs: int) -> DataFrame:
@@ -157,28 +161,29 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
                     names=["doc_id", "row", "set_id", "size", "sketch", "key1", "key2", "up2", "key3", "up3"],
                 )
 
-    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return written(rows.mapInArrow(run, SETS), "sets")
+    return written(_rows(docs).mapInArrow(run, SETS), "sets")
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
-    """pairs (set_id, key, parent_n), distinct, of keys that two or more sets have, with their number n."""
+    """pairs (set_id, key, parent_n) of keys that two or more sets have, with their number n."""
     pairs = written(pairs, "pairs")
-    many = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return written(pairs.join(many, "key").select("key", "set_id", "n", "parent_n"), "shared")
+    many = written(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "many")
+    total = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return written(joined_by_share(pairs, many, "key", "n", total).select("key", "set_id", "n", "parent_n"), "shared")
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n): the buckets in which sets are compared. A bucket is split on while it is large and splitting helps."""
-    shared = _shared(sets.select("set_id", F.explode("key1").alias("key"), F.lit(None).cast("long").alias("parent_n")).distinct())
+    """(key, set_id, n): the buckets in which sets (each once) are compared. A bucket is split on while it is large and splitting helps."""
+    shared = _shared(sets.select("set_id", F.explode(F.array_distinct("key1")).alias("key"), F.lit(None).cast("long").alias("parent_n")))
     large = (F.col("n") > SMALL) & F.coalesce(F.col("n") < STUCK * F.col("parent_n"), F.lit(True))
     leaves = shared.where(~large)
     for level in range(2, DEPTH + 1):
-        hot = shared.where(large).select("set_id", F.col("key").alias("parent"), F.col("n").alias("parent_n"))
-        steps = F.explode(F.arrays_zip(F.col(f"key{level}").alias("key"), F.col(f"up{level}").alias("up")))
-        wanted = sets.join(hot.select("set_id").distinct(), "set_id", "left_semi")
-        steps = wanted.select("set_id", f"key{level - 1}", steps.alias("s")).select("set_id", F.col(f"key{level - 1}")[F.col("s.up")].alias("parent"), F.col("s.key").alias("key"))
-        shared = _shared(steps.distinct().join(hot, ["set_id", "parent"]).select("set_id", "key", "parent_n"))
+        # a set's large buckets are few: its steps from others go before any row is made of them
+        hot = shared.where(large).groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("hot"))
+        step = F.zip_with(f"key{level}", f"up{level}", lambda key, up: F.struct(key.alias("key"), F.try_element_at("hot", F.element_at(f"key{level - 1}", up + 1)).alias("parent_n")))  # noqa: B023
+        steps = F.array_distinct(F.filter(step, lambda s: s["parent_n"].isNotNull()))
+        found = sets.select("set_id", f"key{level - 1}", f"key{level}", f"up{level}").join(hot, "set_id").select("set_id", F.explode(steps).alias("s"))
+        shared = _shared(found.select("set_id", F.col("s.key").alias("key"), F.col("s.parent_n").alias("parent_n")))
         leaves = leaves.union(shared.where(~large) if level < DEPTH else shared)
     return leaves.select("key", "set_id", "n")
 
@@ -281,20 +286,22 @@ CHOSEN = "key long, i int, j int, side int, set_id binary, size int, keys array<
 LINKS = "set_id binary, other binary, n_sets long, n_docs long"
 
 
-def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(documents, sets). documents: doc_id, row and set_id for each row of docs. sets: for each set_id its class (the least set_id
+def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame, int]:
+    """(documents, sets, number of documents). documents: doc_id, row and set_id for each row of docs. sets: for each set_id its class (the least set_id
     linked to it, over any number of links), doc_id and row of its first document, copies, and the number of links, n_sets and n_docs."""
-    sets = _sets(docs, runs_needed(recall=recall))
+    rows = _sets(docs, runs_needed(recall=recall))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    names = written(sets.groupBy("set_id").agg(first, F.count("*").alias("copies")), "names")
+    bodies = rows.groupBy("set_id").agg(first, F.count("*").alias("copies"), F.first(F.struct(*BODY)).alias("body"))
+    sets = written(bodies.select("set_id", "first", "copies", "body.*"), "distinct-sets")
+    many = sets.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     leaves = written(_buckets(sets.where("size > 0")), "buckets")
     members = leaves.groupBy("set_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    marks = sets.join(members, "set_id").select("set_id", "size", "sketch", "keys").dropDuplicates(["set_id"])
-    rows = leaves.join(marks, "set_id")
+    marks = sets.select("set_id", "size", "sketch").join(members, "set_id")
+    parts = leaves.join(marks, "set_id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("side", "with")).withColumn("j", F.greatest("side", "with"))
+    parts = parts.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = parts.withColumn("i", F.least("side", "with")).withColumn("j", F.greatest("side", "with"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("set_id", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
@@ -306,8 +313,9 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    chosen = written(_grouped(rows, ["sketch"]).mapInArrow(choose, CHOSEN), "chosen")
-    wanted = chosen.select("set_id").distinct().join(names, "set_id").select("set_id", "copies", F.col("first.row").alias("row"))
+    chosen = written(_grouped(parts, ["sketch"]).mapInArrow(choose, CHOSEN), "chosen")
+    named = sets.select("set_id", "copies", F.col("first.row").alias("row"), F.coalesce("first.doc_id", F.lit(-1)).alias("id"))
+    wanted = written(chosen.select("set_id").distinct().join(named, "set_id"), "wanted")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -317,7 +325,7 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
                 tokens = [shingler.tokens(t.as_py()).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("copies"), pa.array(tokens, pa.binary())], names=["set_id", "copies", "tokens"])
 
-    texts = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).join(wanted, "row")
+    texts = joined_by_share(_rows(docs).withColumn("id", F.coalesce("doc_id", F.lit(-1))), wanted, ["row", "id"], "copies", many)
     tokens = texts.select("set_id", "copies", "text").dropDuplicates(["set_id"]).mapInArrow(tokenise, "set_id binary, copies long, tokens binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,24 +337,20 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     links = written(_grouped(chosen.join(tokens, "set_id"), ["copies", "tokens"]).mapInArrow(link, LINKS), "links")
     classes = connected_components(links.where("other is not null"), "set_id", "other").select(F.col("node").alias("set_id"), F.col("component").alias("class"))
     numbers = links.groupBy("set_id").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
-    found = names.join(numbers, "set_id", "left").join(classes, "set_id", "left").select(
+    found = sets.select("set_id", "first", "copies").join(numbers, "set_id", "left").join(classes, "set_id", "left").select(
         "set_id", F.coalesce("class", "set_id").alias("class"), "first", "copies",
         F.coalesce("n_sets", F.lit(0).cast("long")).alias("n_sets"), F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"),
     )
-    return sets.select("doc_id", "row", "set_id"), written(found, "classes")
-
-
-def _with_class(sets: DataFrame) -> DataFrame:
-    """sets with the first document of their class."""
-    heads = sets.groupBy("class").agg(F.min("first").alias("head"))
-    return sets.join(heads, "class")
+    return rows.select("doc_id", "row", "set_id"), written(found, "classes"), many
 
 
 def similar_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links (other documents at or above LEAST) for each row of docs."""
-    documents, sets = join_sets(docs, recall)
-    verdict = _with_class(sets).select("set_id", F.col("head.doc_id").alias("class_id"), (F.col("n_docs") + F.col("copies") - 1).alias("n_links"))
-    return documents.join(verdict, "set_id").select("doc_id", "class_id", "n_links")
+    documents, sets, many = join_sets(docs, recall)
+    heads = written(sets.groupBy("class").agg(F.min("first.doc_id").alias("class_id"), F.count("*").alias("n")), "heads")
+    verdict = joined_by_share(sets, heads, "class", "n", many)
+    verdict = written(verdict.select("set_id", "class_id", "copies", (F.col("n_docs") + F.col("copies") - 1).alias("n_links")), "verdict")
+    return joined_by_share(documents, verdict, "set_id", "copies", many).select("doc_id", "class_id", "n_links")
 
 
 def _free_names(docs: DataFrame, *names: str) -> list[str]:
@@ -361,9 +365,10 @@ def _free_names(docs: DataFrame, *names: str) -> list[str]:
 
 def first_of_each_class(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """The rows of docs, with all their columns, but for each class only that of its least doc_id (and of equal rows only one)."""
-    row, place = _free_names(docs, "row", "place")
-    _, sets = join_sets(docs, recall)
-    kept = sets.groupBy("class").agg(F.min("first").alias("head")).select(F.col("head.row").alias(row)).distinct()
-    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, row)
-    marked = marked.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(F.col(place) == 1)
-    return marked.select(*[f"`{c}`" for c in docs.columns])
+    row, own, copies = _free_names(docs, "row", "own", "copies")
+    _, sets, many = join_sets(docs, recall)
+    kept = written(sets.groupBy("class").agg(F.min(F.struct("first", "copies")).alias("head")).select(
+        F.col("head.first.row").alias(row), F.coalesce("head.first.doc_id", F.lit(-1)).alias(own), F.col("head.copies").alias(copies)
+    ), "kept")
+    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    return joined_by_share(marked, kept, [row, own], copies, many).dropDuplicates([row, own]).select(*[f"`{c}`" for c in docs.columns])
