@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import datetime
 import hashlib
 import math
 import random
@@ -206,6 +207,9 @@ def test_token_files(spark, docs, edge, none, tmp_path):
     assert tokenfile.encode_to_files(none, path).count() == 0
 
 
+KEY = "a key of the tests"
+
+
 def luhn_holds(number):
     digits = [int(c) for c in reversed(number)]
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
@@ -214,11 +218,11 @@ def luhn_holds(number):
 def test_pseudonyms(spark, edge, none):
     cards = [c for c in (f"4{k:014d}{d}" for k in range(0, 4000, 37) for d in range(10)) if luhn_holds(c)]
     rows = [(k, f"a {c} b") for k, c in enumerate(cards)]
-    out = [r.text.split()[1] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.text.split()[1] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
     assert all(map(luhn_holds, out)) and len(set(out)) == len(cards) and not set(out) & set(cards)
     text = "joe.34@mail7.example.com, joe.34@mail7.example.com +1 (017) 555-7713 97.51.17.173 123-45-6789 1999-12-31 31.12.1999 4111 1111 1111 1111 GB82 WEST 1234 5698 7654 32"
     kept = "v2.0.0 999.1.1.1 000-12-3456 2020-02-30 4111111111111112 12345"
-    got = pii.pseudonymise(spark.createDataFrame([(1, text), (2, text + " again"), (3, kept)], "doc_id long, text string")).orderBy("doc_id").collect()
+    got = pii.pseudonymise(spark.createDataFrame([(1, text), (2, text + " again"), (3, kept)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     assert got[1].text == got[0].text + " again" and got[2].text == kept
     words = got[0].text.split()
     assert words[0].rstrip(",") == words[1] and re.fullmatch(r"[a-z]{3}\.\d\d@mail7\.example\.com", words[1]) and "joe" not in got[0].text
@@ -226,9 +230,9 @@ def test_pseudonyms(spark, edge, none):
     assert [got[0][f"n_{k}"] for k in pii.KINDS] == [2, 1, 1, 2, 1, 1, 1]
     year, month, day = words[7].split("-")
     assert words[8] == f"{day}.{month}.{year}"
-    same = pii.pseudonymise(edge, counts=False)
+    same = pii.pseudonymise(edge, KEY, counts=False)
     assert same.columns == edge.columns and sorted(map(str, same.collect())) == sorted(map(str, edge.collect()))
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, KEY).count() == 0
 
 
 def test_pseudonyms_beside_other_numbers(spark):
@@ -239,7 +243,7 @@ def test_pseudonyms_beside_other_numbers(spark):
         ("4111 1111 1111 1111", " 123", "card"), ("4111-1111-1111-1111", "-12", "card"), ("4111 1111 1111 1111", " 123-45-6789", "card"), ("4111 1111 1111 1111", " 7 x", "card"),
         ("BE68 5390 0754 7034", " EUR", "iban"), ("BE68539007547034", " 4111 1111 1111 1111", "iban"), ("GB82 WEST 1234 5698 7654 32", " EUR", "iban"),
     ]
-    rows = pii.pseudonymise(spark.createDataFrame([(k, f"to {a}{b}") for k, (a, b, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonymise(spark.createDataFrame([(k, f"to {a}{b}") for k, (a, b, _) in enumerate(cases)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     for (value, after, kind), r in zip(cases, rows, strict=True):
         new, rest = r.text[3 : 3 + len(value)], r.text[3 + len(value) :]
         assert r[f"n_{kind}"] >= 1 and new != value and re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", new)) == re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", value)), (value, r)
@@ -249,6 +253,77 @@ def test_pseudonyms_beside_other_numbers(spark):
         assert kind != "card" or luhn_holds(re.sub(r"\D", "", new))
 
 
+def plain_number(key, tag, *parts):
+    return int(hashlib.sha256("|".join((key, tag, *map(str, parts))).encode()).hexdigest()[:12], 16)
+
+
+def plain_pair(key, tag, x, y, sizes):
+    for k in range(1, pii.ROUNDS + 1):
+        size = sizes[0] if k % 2 else sizes[1]
+        x, y = y, (x + plain_number(key, tag, k, y)) % size
+    return x, y
+
+
+def plain_text(key, tag, text):
+    x, y = text[: len(text) // 2], text[len(text) // 2 :]
+    for k in range(1, pii.ROUNDS + 1):
+        other, new = hashlib.sha256(y.encode()).hexdigest(), ""
+        for at, c in enumerate(x):
+            first, size = (48, 10) if c in "0123456789" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (0, 0)
+            new += chr((ord(c) - first + plain_number(key, tag, k, at, other)) % size + first) if size else c
+        x, y = y, new
+    return x + y
+
+
+def plain_day(key, day, fits):
+    day -= datetime.date(1700, 1, 1).toordinal()
+    while True:
+        low = day % pii.DAYS
+        x, y = plain_pair(key, "date", low // pii.DAY_PARTS[1], low % pii.DAY_PARTS[1], pii.DAY_PARTS)
+        day = day - low + x * pii.DAY_PARTS[1] + y
+        if fits(datetime.date.fromordinal(day + datetime.date(1700, 1, 1).toordinal())):
+            return datetime.date.fromordinal(day + datetime.date(1700, 1, 1).toordinal())
+
+
+def test_pseudonyms_against_a_plain_feistel(spark):
+    """The permutation by hashlib, on each kind's own parts."""
+    x, y = plain_pair(KEY, "ip", 97 * 256 + 51, 17 * 256 + 173, (65536, 65536))
+    a, b = plain_pair(KEY, "ssn", 122, 44 * 9999 + 6788, pii.SSN_PARTS)
+    body = plain_text(KEY, "card", "411111111111111")
+    check = next(d for d in range(10) if luhn_holds(f"{body}{d}"))
+    day = plain_day(KEY, datetime.date(1999, 12, 31).toordinal(), lambda d: True)
+    short = plain_day(KEY, datetime.date(2000, 2, 1).toordinal(), lambda d: d.month < 10 and d.day < 10)
+    late = plain_day(KEY, datetime.date(2000, 2, 28).toordinal(), lambda d: d.day > 12)
+    want = {
+        "Joe.34-x@mail7.example.com": plain_text(KEY, "email", "Joe.34-x") + "@mail7.example.com",
+        "97.51.17.173": f"{x // 256}.{x % 256}.{y // 256}.{y % 256}",
+        "123-45-6789": f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}",
+        "4111 1111 1111 1111": re.sub(r"(.{4})(?=.)", r"\1 ", f"{body}{check}"),
+        "1999-12-31": day.isoformat(), "31.12.1999": day.strftime("%d.%m.%Y"), "2/1/2000": f"{short.month}/{short.day}/{short.year}", "28/02/2000": late.strftime("%d/%m/%Y"),
+        "+1 (017) 555-7713": re.sub("#", "{}", "+1 (###) ###-####").format(*plain_text(KEY, "phone", "0175557713")),
+    }
+    frame = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(frame, KEY).orderBy("doc_id").collect()]
+    assert dict(zip(want, got, strict=True)) == want
+
+
+def test_pseudonyms_of_dates_keep_layout_and_never_meet(spark):
+    layouts = ("{y}-{m:02d}-{d:02d}", "{d:02d}/{m:02d}/{y}", "{m:02d}/{d:02d}/{y}", "{d}.{m}.{y}", "{m}/{d}/{y}", "{y}/{m}/{d}", "{m:02d}-{d:02d}-{y}")
+    texts = sorted({f.format(y=y, m=m, d=d) for f in layouts for y in (1650, 1999, 2100, 9999) for m in (1, 9, 10, 12) for d in (1, 9, 10, 12, 13, 28)})
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(frame, KEY).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and sum(a == b for a, b in zip(texts, got, strict=True)) <= 2
+    assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(texts, got, strict=True))
+
+
+def test_pseudonyms_in_long_texts(spark):
+    """The worst shape for each pattern, half a megabyte each."""
+    worst = ["a@" + "b." * 250_000 + "com", "1" * 500_000, "+1" * 250_000, "1-" * 250_000, "AB12 " * 100_000, "4111 " * 100_000, "a.b@" * 125_000, "1.2." * 125_000, "(1) " * 125_000, "x" * 2000 + "@y.org"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(worst)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert [len(r.text) for r in rows] == [len(w) for w in worst]
+    assert [r.doc_id for r in rows if r.text != worst[r.doc_id]] == [0, 9] and [r.n_email for r in rows] == [1, *[0] * 8, 1]
+
+
 def brute_links(frame):
     shingler, sets = jaccard.Shingler(), {}
     for r in frame.collect():

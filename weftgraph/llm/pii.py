@@ -5,7 +5,8 @@ pseudonyms in every document and different values of a kind never meet. Kinds:
   email  the local part: each letter stays a letter of its case and each digit a digit; the domain stays
   iban   check digits hold (mod 97): the account part is permuted, the check digits are computed anew
   ip     four numbers of at most 255: permuted among all such addresses
-  date   a day that exists, year first or day and month first: permuted among DAYS days from 1700-01-01, layout kept
+  date   a day that exists, year first or last: permuted among the days of its 400 years (from 1700, 2100, ...) that can be written
+         in its layout, which is kept. Month first with slashes and day first otherwise, the other order where only that can be
   phone  a number with + and country code, or of three, three and four digits: its last digits are permuted, layout kept
   ssn    three, two and four digits in the valid ranges: permuted among the valid ones
   card   13 to 19 digits, in one run or in the usual groups, that pass the Luhn test: all but the check digit are permuted, and
@@ -14,21 +15,26 @@ A found value that fails its kind's validation stays as it is.
 
 One round adds to one half of the value a SHA-256 digest of key, kind, round number and the other half, character by
 character modulo the size of the character's class, and swaps the halves: whatever the digest, that can be undone, so a
-round is a permutation of the format. The key is a parameter; a deployment passes its own secret.
+round is a permutation of the format. A value that falls outside its layout is permuted again until it doesn't, which keeps
+different values apart. The key is a parameter without default; a deployment passes its own secret.
 
-Defined results: a null text stays null, an empty one empty, with no values; repeated rows and all other columns are kept as
-they are. Work is within a row: no shuffle, and a long text costs in proportion to its length.
+Defined results: a null text stays null, an empty one empty, with no values; repeated rows and all other columns, whatever their
+names, are kept as they are; equal values in equal layouts get equal pseudonyms, also in one text; an empty table gives no rows.
+Work is within a row: no shuffle. No pattern repeats a group without a bound, so a long text costs in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "weftgraph pseudonyms"
 ROUNDS = 8
-DAYS = 146_000
-DAY_PARTS = (400, 365)
+#: Days in 400 years, and two factors of it.
+DAYS, DAY_PARTS = 146_097, (189, 773)
+#: Permutations after which a date in its layout is found but for a chance of 1e-21.
+WALK = 200
 SSN_PARTS = (898, 989_901)
 
 _NOT_BEFORE, _NOT_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -51,7 +57,7 @@ _IBANS = "|".join(_of_length(n, countries) for n, countries in IBAN_LENGTHS.item
 _NEXT = r"(?! (?:\d{13}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{4}[-/.]\d{1,2}[-/.]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{3}-\d{2}-\d{4}|\d{1,3}(?:\.\d{1,3}){3}))"
 #: By kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}",
     "iban": _NOT_BEFORE + "(?:" + _IBANS + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NOT_AFTER + ")",
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
     "date": _NOT_BEFORE + r"(?:\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})" + _NOT_AFTER,
@@ -70,6 +76,11 @@ def _number(key: str, tag: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def permuted_pair(key: str, tag: str, left: Column, right: Column, sizes: tuple[int, int]) -> tuple[Column, Column]:
     """A permutation of the pairs (left below sizes[0], right below sizes[1])."""
 
@@ -95,7 +106,8 @@ def permuted_text(key: str, tag: str, text: Column) -> Column:
         return F.array_join(F.transform(F.split(part, ""), one), "")
 
     def half(acc: Column, k: Column) -> Column:
-        return F.struct(acc["y"].alias("x"), shifted(acc["x"], k, acc["y"]).alias("y"))
+        new = _bound(F.sha2(acc["y"], 256), lambda other: shifted(acc["x"], k, other))
+        return F.struct(acc["y"].alias("x"), new.alias("y"))
 
     middle = (F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), middle).alias("x"), F.substr(text, middle + 1).alias("y"))
@@ -130,7 +142,8 @@ def _mod97(text: Column) -> Column:
 
 
 def _email(key: str, m: Column) -> Column:
-    return F.concat(permuted_text(key, "email", F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
+    new = F.concat(permuted_text(key, "email", F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.when(~m.contains(".."), new)
 
 
 def _iban(key: str, m: Column) -> Column:
@@ -150,19 +163,45 @@ def _ip(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
-    parts = F.split(m, "[-/.]")
-    mark = F.regexp_extract(m, "[-/.]", 0)
-    first = F.length(parts[0]) == 4
-    swap = ~first & (mark == "/") & (parts[0].cast("int") <= 12)  # month first
-    year, month = F.when(first, parts[0]).otherwise(parts[2]), F.when(swap, parts[0]).otherwise(parts[1])
-    day = F.when(first, parts[2]).when(swap, parts[1]).otherwise(parts[0])
-    read = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd"))
-    number = F.datediff(read, F.lit("1700-01-01").cast("date"))
-    x, y = permuted_pair(key, "date", (number / DAY_PARTS[1]).cast("long"), number % DAY_PARTS[1], DAY_PARTS)
-    new = F.date_add(F.lit("1700-01-01").cast("date"), (x * DAY_PARTS[1] + y).cast("int"))
-    wide = lambda shape: F.date_format(new, shape)
-    text = F.when(first, F.concat_ws("-", wide("yyyy"), wide("MM"), wide("dd"))).when(swap, F.concat_ws("-", wide("MM"), wide("dd"), wide("yyyy"))).otherwise(F.concat_ws("-", wide("dd"), wide("MM"), wide("yyyy")))
-    return F.when((number >= 0) & (number < DAYS), F.replace(text, F.lit("-"), mark))
+    start = F.lit("1700-01-01").cast("date")
+
+    def read(parts: Column) -> Column:
+        """mark, the places of year, month and day in parts, the widths of the last two, whether only days over 12 keep the order, the day's number."""
+        mark = F.regexp_extract(m, "[-/.]", 0)
+        year_first = F.length(parts[0]) == 4
+        over = lambda k: parts[k].cast("int") > 12
+        late = ~year_first & F.when(mark == "/", over(0)).otherwise(over(1))
+        month_first = year_first | ((mark == "/") != late)
+        first = F.when(year_first, 1).otherwise(0)
+        year, month, day = F.when(year_first, 0).otherwise(2), first + F.when(month_first, 0).otherwise(1), first + F.when(month_first, 1).otherwise(0)
+        text = F.concat_ws("-", parts[year], F.lpad(parts[month], 2, "0"), F.lpad(parts[day], 2, "0"))
+        return F.struct(
+            mark.alias("mark"), year.alias("year"), month.alias("month"), day.alias("day"), F.length(parts[month]).alias("months"), F.length(parts[day]).alias("days"),
+            late.alias("late"), F.datediff(text.try_cast("date"), start).alias("n"),
+        )
+
+    def permuted(n: Column) -> Column:
+        x, y = permuted_pair(key, "date", (F.pmod(n, F.lit(DAYS)) / DAY_PARTS[1]).cast("int"), F.pmod(n, F.lit(DAYS)) % DAY_PARTS[1], DAY_PARTS)
+        return (n - F.pmod(n, F.lit(DAYS)) + x * DAY_PARTS[1] + y).cast("int")
+
+    def writable(own: Column, like: Column) -> Column:
+        fits = ((like["months"] == 2) | (F.month(own) < 10)) & ((like["days"] == 2) | (F.day(own) < 10))
+        return fits & (~like["late"] | (F.day(own) > 12)) & F.year(own).between(1, 9999)
+
+    def walked(like: Column) -> Column:
+        step = lambda n, _: F.when(writable(F.date_add(start, n), like), n).otherwise(permuted(n))
+        # nothing falls outside a padded layout, but for the first and last years
+        any_day = (like["months"] == 2) & (like["days"] == 2) & ~like["late"] & like["n"].between(-4 * DAYS, 20 * DAYS - 1)
+        return F.date_add(start, F.aggregate(F.sequence(F.lit(1), F.when(any_day, 1).otherwise(WALK)), permuted(like["n"]), step))
+
+    def printed(new: Column, like: Column) -> Column:
+        pad = lambda value, width: F.lpad(value.cast("string"), width, F.lit("0"))
+        texts = F.array(pad(F.year(new), F.lit(4)), pad(F.month(new), like["months"]), pad(F.day(new), like["days"]))
+        # which of year, month and day stands first, second and third
+        order = [F.when(like["year"] == 0, a).when(like["month"] == 0, b).otherwise(c) for a, b, c in ((0, 1, 2), (1, 2, 1), (2, 0, 0))]
+        return _bound(texts, lambda t: F.concat(t[order[0]], like["mark"], t[order[1]], like["mark"], t[order[2]]))
+
+    return _bound(read(F.split(m, "[-/.]")), lambda like: F.when(like["n"].isNotNull(), _bound(walked(like), lambda new: printed(new, like))))
 
 
 def _phone(key: str, m: Column) -> Column:
@@ -202,7 +241,7 @@ def kind_of(m: Column) -> Column:
     return out.when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), F.lit("phone")).when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.lit("ssn")).otherwise(F.lit("card"))
 
 
-def pseudonym(kind: Column, m: Column, key: str = KEY) -> Column:
+def pseudonym(kind: Column, m: Column, key: str) -> Column:
     """The pseudonym of value m of that kind; null if it isn't valid."""
     out = None
     for name, maker in _MAKERS.items():
@@ -210,7 +249,7 @@ def pseudonym(kind: Column, m: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, counts: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
     """docs with pseudonyms in column text; with counts, also n_<kind> for every kind. All other columns stay."""
     held = "values"
     while held.lower() in {c.lower() for c in docs.columns}:

@@ -9,6 +9,11 @@ from weftgraph.llm import bpe, decontaminate, jaccard, langid, lmscore, pii, qua
 from weftgraph.session import table
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The deployment's secret, from spark.weftgraph.pseudonymKey; a public one where that is unset, as in tests."""
+    return spark.conf.get("spark.weftgraph.pseudonymKey", "public test key")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
