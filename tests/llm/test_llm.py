@@ -184,20 +184,25 @@ def test_sharding(docs, edge, none):
 def test_token_files(spark, docs, edge, none, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = tokenfile._tokenizer(path)
-    for n, frame in enumerate((docs, edge.where("doc_id is not null"))):
+    odd = [(k, t, "en", "s", 1) for k, t in enumerate(["a <|endoftext|> b", "x<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>Hello<|endoftext|>", "<|STARTOFTEXT|> <|x", "A<|b|>C don't<|"])]
+    odd += [(None, "<|endoftext|>", "en", "s", 1), (None, None, "en", "s", 1), (None, "one more", "en", "s", 1), (2, "Again", "en", "s", 1)]
+    for n, frame in enumerate((docs, edge, spark.createDataFrame(odd, DOCS))):
         folder = f"file://{tmp_path}/{n}"
         manifest = tokenfile.write_ids(frame, folder, path)
-        got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read_ids(manifest).collect())
+        got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read_ids(manifest).collect()), key=lambda r: r[1])
         start, want = 0, []
-        for r in sorted(frame.collect(), key=lambda r: r.doc_id):
+        hashed = frame.withColumn("h", F.xxhash64("text")).collect()
+        for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
             ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
             want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
             start += len(ids)
         assert got == want
-        fs, at = pafs.FileSystem.from_uri(manifest.first().path)
+        fs, at = pafs.FileSystem.from_uri(manifest.orderBy(F.col("part").desc()).first().path)
         reader = tokenfile.Reader(fs.open_input_file(at))
         some = int(reader.doc_ids[-1])
-        assert reader.document(some)[-1] == 2
+        assert reader.named[-1] and reader.document(some)[-1] == 2
+        with pytest.raises(KeyError):
+            reader.document(some + 1)
     raw = bytearray(open(at, "rb").read())
     raw[12] ^= 1
     import pyarrow as pa

@@ -2,7 +2,8 @@
 
 Layout of a file, readable by any zstandard decoder (which skips the last two parts):
   frames     ids of whole documents, little-endian unsigned 32-bit, about FRAME_IDS for each frame
-  index      skippable frame; zstandard-compressed columns doc_id (int64), frame, first id in it, number of ids (uint32)
+  index      skippable frame; zstandard-compressed columns doc_id (int64), frame, first id in it, number of ids (uint32), and
+             whether the document has an id (uint8)
   seek table skippable frame in the public seekable format: for each frame its compressed size, its size and the low 32 bits
              of the xxHash64 of its content; then the number of frames, a descriptor byte and the magic number
 A reader takes the tail, finds a document's frame in the index, and decompresses that frame only.
@@ -11,8 +12,9 @@ Writing: documents are range-partitioned and sorted by doc_id; each task writes
 that holds its attempt, and returns a manifest row, so files of lost or repeated attempts are never read. First ids of the
 files are sums over the manifest. Memory in a task: one frame, one document and a bounded cache.
 
-Defined results: a null text counts as empty; an empty text gives the end id alone; repeated doc_ids are written one after
-the other; an empty table gives no files and no rows; columns besides doc_id and text are ignored.
+Defined results: a null text counts as empty; an empty text gives the end id alone; documents without an id come first; those
+of one id come one after the other, by the hash of their texts; a very long text is one document in one frame, held whole by
+its task; an empty table gives no files and no rows; columns besides doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ CACHE_WORDS = 1_200_000
 TEXT_CHARS = 1 << 15
 #: Fixed value: how the vocabulary marks a token that ends a word.
 WORD_END = "</w>"
+#: Fixed value: how the vocabulary's added tokens begin.
+ADDED = "<|"
 #: Fixed values of the zstandard and seekable formats.
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
@@ -57,8 +61,8 @@ class Writer:
         self.pending: list[bytes] = []
         self.waiting, self.frames, self.index = 0, [], []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.index.append((doc_id, len(self.frames), self.waiting, len(ids)))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.index.append((doc_id or 0, len(self.frames), self.waiting, len(ids), doc_id is not None))
         self.pending.append(ids.astype("<u4").tobytes())
         self.waiting += len(ids)
         if self.waiting >= self.frame_ids:
@@ -74,8 +78,8 @@ class Writer:
 
     def close(self) -> None:
         self._flush()
-        at = np.array(self.index, dtype="<i8").reshape(-1, 4)
-        columns = at[:, 0].tobytes() + at[:, 1:].T.astype("<u4").tobytes()
+        at = np.array(self.index, dtype="<i8").reshape(-1, 5)
+        columns = at[:, 0].tobytes() + at[:, 1:4].T.astype("<u4").tobytes() + at[:, 4].astype("u1").tobytes()
         packed = self.packer.compress(columns)
         self.stream.write(struct.pack("<II", SKIP_INDEX, len(packed)) + packed)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
@@ -98,8 +102,8 @@ class Reader:
         end = int(self.starts[-1])
         _, size = struct.unpack("<II", self._at(end, 8))
         raw = zstandard.ZstdDecompressor().decompress(self._at(end + 8, size))
-        docs = len(raw) // 20
-        self.doc_ids = np.frombuffer(raw, "<i8", docs)
+        docs = len(raw) // 21
+        self.doc_ids, self.named = np.frombuffer(raw, "<i8", docs), np.frombuffer(raw, "u1", docs, 20 * docs).astype(bool)
         self.frame_of, self.first, self.count = np.frombuffer(raw, "<u4", 3 * docs, 8 * docs).reshape(3, docs).astype(np.int64)
 
     def _at(self, start: int, size: int) -> bytes:
@@ -112,17 +116,19 @@ class Reader:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(raw, "<u4")
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """All documents in order, each frame decompressed once."""
         held, ids = -1, None
-        for doc_id, k, first, n in zip(self.doc_ids.tolist(), self.frame_of.tolist(), self.first.tolist(), self.count.tolist(), strict=True):
+        columns = (self.doc_ids, self.named, self.frame_of, self.first, self.count)
+        for doc_id, named, k, first, n in zip(*(x.tolist() for x in columns), strict=True):
             if k != held:
                 held, ids = k, self.frame(k)
-            yield doc_id, ids[first : first + n]
+            yield doc_id if named else None, ids[first : first + n]
 
     def document(self, doc_id: int) -> np.ndarray:
         """The first document of that id, from its frame alone."""
-        at = int(np.searchsorted(self.doc_ids, doc_id))
+        unnamed = int(np.count_nonzero(~self.named))
+        at = unnamed + int(np.searchsorted(self.doc_ids[unnamed:], doc_id))
         if at == len(self.doc_ids) or self.doc_ids[at] != doc_id:
             raise KeyError(doc_id)
         return self.frame(int(self.frame_of[at]))[self.first[at] : self.first[at] + self.count[at]]
@@ -144,7 +150,8 @@ class WordEncoder:
     """Ids by words between blanks, which the tokenizer drops and never merges across; keeps the ids of up to CACHE_WORDS words.
 
     An unknown word is looked up in parts: without the marks behind it, and in lower case, as the tokenizer takes it, where
-    that is one letter for one letter (below U+0180). Parts of letters alone are encoded many at once, and their ids cut where
+    that is one letter for one letter (below U+0180); not where an added token may stand, which is matched in its own case.
+    Parts of letters alone are encoded many at once, and their ids cut where
     a token ends a word.
     """
 
@@ -159,7 +166,7 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         parts_of, parts, known = {}, set(), self.known
         for word in new:
-            plain = word.lower() if max(word, default="") < "\u0180" and "\u0130" not in word else word
+            plain = word.lower() if max(word, default="") < "\u0180" and "\u0130" not in word and ADDED not in word else word
             found = _WITH_MARKS.fullmatch(plain)
             parts_of[word] = own = found.groups() if found else (plain,)
             parts.update(own)
@@ -236,7 +243,9 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_I
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path], "n_docs": pa.array([totals[0]], pa.int64()), "n_ids": pa.array([totals[1]], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # a hash of the text spreads the documents of one id, or of none, over tasks
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    ordered = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     return written(ordered.mapInArrow(run, MANIFEST), "ids-manifest")
 
 
