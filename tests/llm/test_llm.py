@@ -147,7 +147,7 @@ def test_decontamination_at_the_ends_of_texts(spark):
 def test_decontamination_recall_by_length(many):
     """At the largest distance, also of long items and with more than 10,000 of them."""
     rng = np.random.default_rng(7)
-    lengths = rng.permutation(np.resize([10, 20, 50, 63, 100, 150], many)).tolist()
+    lengths = rng.permutation(np.resize([10, 20, 50, 63, 100, 150, 255, 511], many)).tolist()
     items = [(k, " ".join(f"v{w}" for w in rng.integers(20_000, size=n))) for k, n in enumerate(lengths)]
     index, found = decontaminate.Index(items), defaultdict(list)
     for k in range(120):
@@ -158,6 +158,38 @@ def test_decontamination_recall_by_length(many):
     assert all(len(c.walks) >= 8 for c in index.classes)
 
 
+def plain_contaminated(docs, items, least_words):
+    """By definition, each text with each item."""
+    split = [(i, decontaminate.words_of(t)) for i, t in items]
+    out = Counter()
+    for doc_id, text in docs:
+        words = decontaminate.words_of(text)
+        for i, item in split:
+            if len(item) >= least_words and (d := decontaminate.run_distance(item, words)) <= decontaminate.edits_allowed(len(item)):
+                out[doc_id, i, d] += 1
+    return out
+
+
+def test_decontamination_of_short_items_and_scripts_without_blanks(spark):
+    """Short items are found exactly, whatever their edits; characters are the words of Chinese, Japanese and Thai."""
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))) for k in range(60)] + [(90, "東京は日本の首都です。人口が多い"), (91, "กรุงเทพมหานคร"), (92, "中文")]
+    texts = [(k, " ".join(rng.choice("abcdx") for _ in range(rng.randint(0, 12)))) for k in range(150)] + [(200, "昔、東京は日本の首都でした。人口が多い"), (201, "x กรุงเทพมหานคร y"), (202, "我学中文"), (203, None)]
+    for least in (1, decontaminate.LEAST_WORDS):
+        index = decontaminate.Index(items, least_words=least)
+        got = Counter((texts[n][0], index.ids[m], d) for n, m, d in index.matches([t for _, t in texts]))
+        assert got == plain_contaminated(texts, items, least) and any(d for _, _, d in got)
+    assert got[200, 90, 2] and got[201, 91, 0] and not got[202, 92, 0]
+
+
+def test_decontamination_query_against_brute_force(spark):
+    """Each document of the smallest tables with each item, by definition."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = plain_contaminated(docs, items, decontaminate.LEAST_WORDS)
+    assert Counter((r.doc_id, r.item_id, r.distance) for r in queries.op3_decontamination(spark, SF).collect()) == want and len(want) > 0
+
+
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_differencing_is_balanced(shards):
     sizes = np.random.default_rng(shards).integers(1, 1000, size=400).tolist()

@@ -1,7 +1,8 @@
 """Benchmark decontamination under edit distance, by CGK embedding and bit-sampling LSH.
 
-Texts and benchmark items are sequences of words (lower case, runs of letters, digits and underscores). An item of n words
-contaminates a text if some run of the text's words is within EDITS * n word insertions, deletions and replacements of it.
+Texts and benchmark items are sequences of words: lower case, runs of letters, digits and underscores, but single characters of
+scripts that are written without blanks (Chinese, Japanese, Thai, Lao, Burmese, Khmer). An item of n words contaminates a text if
+some run of the text's words is within EDITS * n word insertions, deletions and replacements of it.
 
 The embedding walks along a sequence: step j copies the word it stands on and then moves on by a random bit of (j, word). Two
 sequences at a small edit distance mostly fall back into step, so their embeddings agree at most steps (Chakraborty, Goldenberg
@@ -9,7 +10,9 @@ and Koucky 2016). Here a walk starts at every word of a text, so each item-sized
 word of every item. Of each embedding, TABLES samples of a few steps are hash keys; windows that share a key with an item of
 their size class are candidates, which Myers' bit vectors then verify exactly. Every second walk goes from the end backwards.
 Each size class has as many walks as find RECALL of TRIALS of its items at the largest distance, by the tables' own keys, and
-EMBEDDINGS at least; so it is also met where a large slice has longer keys. Recall is near 1 below that distance.
+EMBEDDINGS at least; so it is also met where a large slice has longer keys. Recall is near 1 below that distance. Items of
+fewer than WALKED words have too few steps to sample: a run within their one edit at most holds one half of theirs, or all of it,
+unchanged, and is looked up by that, which misses none.
 
 Windows that cannot match are left out first without loss: a run within k edits of n words holds n - k of the item's words, so
 n - k of n + k words must be in the benchmark's vocabulary.
@@ -17,8 +20,10 @@ n - k of n + k words must be in the benchmark's vocabulary.
 The benchmark is handled in slices of about SLICE_BYTES of text, each broadcast and held against all texts. A narrow map over
 the texts for each slice: no shuffle, nothing of the texts reaches the driver.
 
-Defined results: null and empty texts match nothing; items of fewer than LEAST_WORDS words are phrases, not passages, and
-contaminate nothing; null or repeated ids are reported as they are; columns besides the named ones are ignored.
+Defined results: null and empty texts match nothing; items of fewer than least_words words are phrases, not passages, and
+contaminate nothing; null or repeated ids are reported as they are, repeated rows each; where runs tie, the distance is the same;
+a very long text is walked in one piece, some 50 bytes a word; an empty table gives no rows, an empty benchmark none either;
+columns besides the named ones, whatever their names, are ignored, or kept by the filter.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDITS = 0.2
-LEAST_WORDS = 8
+#: Words that an item needs to count as a passage, and to be found by walks.
+LEAST_WORDS, WALKED = 4, 8
 EMBEDDINGS = 8
 TABLES = 6
 RECALL, TRIALS = 0.995, 1000
@@ -45,10 +51,21 @@ SLICE_BYTES = 8 << 20
 #: Words of text taken at once.
 WORDS_AT_ONCE = 1 << 19
 _WORD = re.compile(r"\w+")
+_UNSEGMENTED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD_OR_CHARACTER = re.compile(rf"[{_UNSEGMENTED}]|[^\W{_UNSEGMENTED}]+")
+
+
+def _western(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_WORD if _western(text) else _WORD_OR_CHARACTER).findall(text.lower())
 
 
 def edits_allowed(n: int, edits: float = EDITS) -> int:
@@ -110,8 +127,8 @@ class SizeClass(NamedTuple):
 class Index:
     """What one slice of the benchmark is looked up by."""
 
-    def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, seed: int = 1):
-        kept = [(i, w) for i, text in items if len(w := words_of(text)) >= LEAST_WORDS]
+    def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, seed: int = 1, least_words: int = LEAST_WORDS):
+        kept = [(i, w) for i, text in items if len(w := words_of(text)) >= max(1, least_words)]
         self.ids = [i for i, _ in kept]
         self.vocabulary = {w: k + 2 for k, w in enumerate(sorted({w for _, words in kept for w in words}))}
         self.items = [[self.vocabulary[w] for w in words] for _, words in kept]
@@ -120,7 +137,9 @@ class Index:
         rng, bits = np.random.default_rng(seed), 4 if len(kept) <= 10_000 else 5
         by_class: dict[int, list[int]] = {}
         for k, x in enumerate(self.items):
-            by_class.setdefault(1 << len(x).bit_length() - 1, []).append(k)
+            if len(x) >= WALKED:
+                by_class.setdefault(1 << len(x).bit_length() - 1, []).append(k)
+        self.pieces = self._pieces()
         self.classes = [self._size_class(low, members, rng, bits) for low, members in sorted(by_class.items())]
 
     def _size_class(self, low: int, members: list[int], rng: np.random.Generator, bits: int) -> SizeClass:
@@ -154,6 +173,36 @@ class Index:
             spans.setdefault(self.allowed[k], []).append(len(self.items[k]))
         return SizeClass([(min(n) - k, max(n) + k) for k, n in sorted(spans.items())], walks)
 
+    def _pieces(self) -> list[tuple[list[np.ndarray], dict[tuple, list[tuple[int, int]]]]]:
+        """Of short items, by length of piece: words that may stand at each place, and piece -> (item, its place in it)."""
+        found: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
+        for k, x in enumerate(self.items):
+            if len(x) < WALKED:
+                parts = self.allowed[k] + 1
+                cuts = [len(x) * p // parts for p in range(parts + 1)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    found.setdefault(b - a, {}).setdefault(tuple(x[a:b]), []).append((k, a))
+        out = []
+        for n, pieces in sorted(found.items()):
+            may = np.zeros((n, len(self.vocabulary) + 2), dtype=bool)
+            for piece in pieces:
+                may[np.arange(n), piece] = True
+            out.append((list(may), pieces))
+        return out
+
+    def _short(self, flat: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first word, end, item) of stretches that may hold a short item."""
+        pads = np.flatnonzero(flat == PAD)
+        for passes, pieces in self.pieces:
+            rows = np.arange(max(0, len(flat) - len(passes) + 1))
+            for j, may in enumerate(passes):
+                rows = rows[may[flat[rows + j]]]
+            after = np.searchsorted(pads, rows)
+            for at, begin, end in zip(rows.tolist(), (pads[after - 1] + 1).tolist(), pads[after].tolist(), strict=True):
+                for item, offset in pieces.get(tuple(flat[at : at + len(passes)].tolist()), ()):
+                    n, k = len(self.items[item]), self.allowed[item]
+                    yield max(begin, at - offset - k), min(end, at - offset + n + k), item
+
     def _trials(self, chosen: list[int], steps: int, rng: np.random.Generator) -> tuple:
         """Chosen items at the largest distance, among words that no item has: by direction, a line of them, the places near their starts, and whose these are."""
         lines, near, whose = ([PAD], [PAD]), ([], []), ([], [])
@@ -170,7 +219,7 @@ class Index:
 
     def candidates(self, flat: np.ndarray) -> set[tuple[int, int, int]]:
         """(first word, end, item) of stretches of one text of flat that may hold item. flat has a pad before and after every text."""
-        found: set[tuple[int, int, int]] = set()
+        found = set(self._short(flat))
         for backwards in (0, 1):
             line = np.ascontiguousarray(flat[::-1]) if backwards else flat
             pads = np.flatnonzero(line == PAD)
@@ -251,11 +300,11 @@ def _by_words(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]
         yield first, texts[first:]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each row of docs (doc_id, text) and each item of benchmark (item_id, text) that contaminates it."""
     spark, out = docs.sparkSession, None
     for items in slices(benchmark):
-        held = spark.sparkContext.broadcast(Index(items, edits))
+        held = spark.sparkContext.broadcast(Index(items, edits, least_words=least_words))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -274,11 +323,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that no item contaminates. A narrow map for each slice of the benchmark."""
     spark = docs.sparkSession
     for items in slices(benchmark):
-        held = spark.sparkContext.broadcast(Index(items, edits))
+        held = spark.sparkContext.broadcast(Index(items, edits, least_words=least_words))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
