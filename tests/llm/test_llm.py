@@ -409,52 +409,69 @@ def test_jaccard_join(spark, docs, edge, none, monkeypatch):
     assert jaccard.similar_documents(none).count() == 0
 
 
-def test_lm_scores(spark, edge, none):
-    rows = [(1, "a b a b c"), (2, "a b c"), (3, "x y z x"), (4, None)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(frame, labels).collect()}
-    vocabulary = ["<s>", "?", *sorted({w for _, t in rows for w in (t or "").split()})]
+def plain_lm_scores(rows, trusted):
+    """Both models from their definition: doc_id -> words, losses under the target and the background model, for each row."""
+    vocabulary = {w for _, t in rows for w in (t or "").lower().split()}
+    outcomes = len(vocabulary) + 1
+
+    def pairs(text):
+        words = (text or "").lower().split()
+        return list(zip(["<s>", *words], [*words, "</s>"], strict=True)) if words else []
 
     def model(texts):
-        single, pair, first = Counter(), Counter(), Counter()
-        for t in texts:
-            for v, w in zip(["<s>", *t.split()], t.split(), strict=False):
-                single[w] += 1
-                pair[v, w] += 1
-                first[v] += 1
-        total = sum(single.values()) + lmscore.SMOOTHING * (len(vocabulary) - 1)
-
-        def loss(text):
-            out = []
-            for v, w in zip(["<s>", *text.split()], text.split(), strict=False):
-                p = (single[w] + lmscore.SMOOTHING) / total
-                out.append(-math.log(lmscore.PAIR_WEIGHT * pair[v, w] / first[v] + (1 - lmscore.PAIR_WEIGHT) * p if first[v] else p))
-            return sum(out) / len(out)
-
-        return loss
-
-    target, background = model([rows[0][1]]), model([t for _, t in rows if t])
-    for k, t in rows[:3]:
-        assert math.isclose(got[k].target_loss, target(t), abs_tol=2e-6) and math.isclose(got[k].background_loss, background(t), abs_tol=2e-6)
-        assert math.isclose(got[k].score, target(t) - background(t), abs_tol=4e-6)
-    assert (got[4].n_tokens, got[4].score) == (0, 0.0)
-    assert lmscore.cross_entropy_difference(edge, labels).count() == len(EDGE) and lmscore.cross_entropy_difference(none, labels).count() == 0
-
-
-def test_lm_models_have_rare_words_and_all_trusted_documents(spark, monkeypatch):
-    """With every word and bigram below the shares that are held in tasks, the scores are those with all of them held."""
-    rows = [(k, " ".join(f"w{k * j % 17} x{j % 5}" for j in range(30))) for k in range(40)] + [(7, "w1 only here"), (None, "w1 no id"), (50, "")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
-    scores = lambda: sorted(map(tuple, lmscore.cross_entropy_difference(frame, labels).collect()), key=str)
-    held = scores()
-    assert len(held) == len(rows)
-    for words, pairs in ((1.0, 1.0), (0.02, 0.02), (1e-6, 0.02), (0.02, 1e-6)):
-        monkeypatch.setattr(lmscore, "SHARE_WORD", words)
-        monkeypatch.setattr(lmscore, "SHARE_PAIR", pairs)
-        for a, b in zip(held, scores(), strict=True):
-            assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=3e-6), (words, pairs, a, b)
+        pair = Counter(p for t in texts for p in pairs(t))
+        first = Counter()
+        for (v, _), n in pair.items():
+            first[v] += n
+        loss = lambda v, w: round(lmscore.UNITS * (math.log(first[v] + lmscore.MASS) - math.log(pair[v, w] + lmscore.MASS / outcomes))) / lmscore.UNITS
+        for v in ["<s>", *list(vocabulary)[:3]]:
+            assert math.isclose(sum(math.exp(-(math.log(first[v] + lmscore.MASS) - math.log(pair[v, w] + lmscore.MASS / outcomes))) for w in [*vocabulary, "</s>"]), 1)
+        return lambda text: sum(loss(*p) for p in pairs(text)) / max(1, len(pairs(text)))
+
+    target, background = model([t for i, t in rows if i in trusted]), model([t for _, t in rows])
+    return Counter((i, len((t or "").split()), round(target(t), 4), round(background(t), 4)) for i, t in rows)
+
+
+def rounded(scored):
+    rows = scored.collect()
+    assert all(math.isclose(r.score, r.target_loss - r.background_loss, abs_tol=2e-6) for r in rows)
+    return Counter((r.doc_id, r.n_tokens, round(r.target_loss, 4), round(r.background_loss, 4)) for r in rows)
+
+
+def same_losses(a, b):
+    a, b = (sorted(x.elements(), key=lambda r: (str(r[0]), *r[1:])) for x in (a, b))
+    return len(a) == len(b) and all(x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=2e-4) for x, y in zip(a, b, strict=True))
+
+
+def test_lm_scores(spark, docs, edge, none):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
+    for frame in (docs, edge):
+        rows = [(r.doc_id, r.text) for r in frame.collect()]
+        assert same_losses(rounded(lmscore.cross_entropy_difference(frame, labels)), plain_lm_scores(rows, trusted))
+    assert lmscore.cross_entropy_difference(none, labels).count() == 0
+    few = spark.createDataFrame([(1, "a b a b c"), (2, "a b c"), (3, "x y z x"), (4, None), (3, "x y z x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0), (3, 1, 1), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    rows = [(r.doc_id, r.text) for r in few.collect()]
+    assert same_losses(rounded(lmscore.cross_entropy_difference(few, marks)), plain_lm_scores(rows, {1}))
+    assert same_losses(rounded(lmscore.cross_entropy_difference(few, marks.limit(0))), plain_lm_scores(rows, set()))
+
+
+def test_lm_scores_do_not_depend_on_batches_and_buckets(spark, docs, monkeypatch):
+    """Small batches, more buckets than the survey has cells, and buckets split by second words."""
+    trusted = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = docs.limit(120).union(spark.createDataFrame([(-5, "the " * 3000, "en", "s", 1)], DOCS))
+    found = lmscore.survey(rows)
+    want = rounded(lmscore.score(rows, trusted, found))
+    assert found.outcomes == len({w for r in rows.collect() for w in r.text.lower().split()}) + 1
+    assert int(found.tokens.sum()) == sum(n + 1 for _, n, *_ in want.elements() if n)
+    monkeypatch.setattr(lmscore, "BATCH_TOKENS", 500)
+    for least, tokens, hot in ((4, 1 << 40, 0.5), (512, 1, 0.1)):
+        monkeypatch.setattr(lmscore, "BUCKETS", least)
+        monkeypatch.setattr(lmscore, "BUCKET_TOKENS", tokens)
+        monkeypatch.setattr(lmscore, "HOT", hot)
+        assert lmscore.bucket_parts(found.tokens).max() > 1
+        assert rounded(lmscore.score(rows, trusted, found)) == want
     many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert quality.trusted_ids(many).count() == 50_000
 

@@ -1,271 +1,287 @@
 """Cross-entropy difference of two matched bigram models (Moore and Lewis 2010).
 
-The target model is fitted on trusted documents, the background model on all of them; both share one vocabulary, one inventory
-of bigrams and one smoothing. A document's score is its loss for each token under the target model less that under the
-background model, in nats: the lower, the more it is like the target.
+The target model is fitted on trusted documents, the background model on all of them; both share one vocabulary and one
+smoothing. A document's score is its loss for each token under the target model less that under the background model, in nats:
+the lower, the more it is like the target. Words are lower case, between blanks; a start mark stands before a document's first
+word, and an end mark is predicted after its last.
 
-Words are lower case, between blanks. Vocabulary and inventory have every word and every bigram of all documents, whatever their
-count, and every document with label quality 1 that isn't toxic is trusted. Words with a share SHARE_WORD or more of all tokens
-have a number, and bigrams of them with a share SHARE_PAIR or more are priced within the task that reads the document: 1 /
-SHARE_WORD words and 1 / SHARE_PAIR bigrams at most, whatever the corpus, are collected and broadcast for that. All other bigrams
-are priced in a table that documents' counted bigrams are joined to, none of whose keys has more than those shares of all rows;
-so the split sets where a bigram is looked up, not whether. There a word without a number goes by 62 bits of its BLAKE2 digest.
+P(w | v) = (count(v w) + MASS / V) / (count(v) + MASS), with V outcomes: the distinct words of all documents, and the end mark. For
+each v they sum to one. Every bigram of every document counts, and every document with label quality 1 that isn't toxic is trusted.
 
-P(w | v) = PAIR_WEIGHT * count(v w) / count(v) + (1 - PAIR_WEIGHT) * P(w), P(w) with SMOOTHING added to each count; P(w) alone
-where v was never seen. A document's first word follows a start mark.
+Counting and pricing are one shuffle there and one back. A task packs some BATCH_TOKENS tokens of documents into one row for each
+bucket of first words v: the distinct bigrams with their counts, and the documents that have them. A bucket's task adds up the
+counts of all rows and sends each row's documents the losses of their bigrams, rounded to 1 / UNITS nat, so that sums are the same
+in any order. There are as many buckets as keep one at about BUCKET_TOKENS. A bucket with more than HOT times the mean, as that of
+`the`, is split by the second word, and the counts of its first words are sent to all its parts.
+
+A survey counts tokens by bucket and distinct words first. Words go by 64 bits of xxHash, second words by 32 of them within their
+first word. Nothing of the corpus is broadcast or collected but 256 rows of the survey.
 
 Defined results: a text without words (null, empty, blank) has no tokens, and losses and score 0.0; repeated rows each count and
-are each scored; without trusted documents the target model is uniform; columns besides doc_id and text are ignored.
+are each scored; labels without an id mark none; without trusted documents the target model is uniform; a very long text makes a
+batch of its own, some 100 bytes a word; an empty table gives no rows; columns besides doc_id and text, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.quality import trusted_ids
-from weftgraph.session import written
-
-SHARE_WORD = 1e-6
-SHARE_PAIR = 5e-7
-PAIR_WEIGHT = 0.6
-SMOOTHING = 0.1
-#: Distinct words, or tokens, whose counts a task holds before it passes them on.
-WORDS_HELD, TOKENS_HELD = 400_000, 2_000_000
-#: From here on numbers are digests of words.
-DIGEST = 1 << 62
-
-
-class Model(NamedTuple):
-    ids: dict[str, int]  # of common words, from 2; 0 is the start mark, 1 the unknown word
-    keys: np.ndarray  # first id * width + second id of common bigrams, ascending
-    prices: np.ndarray  # log P of those, target and background
-    rest: DataFrame  # v, w, target, background: log P of all other bigrams
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column("text"):
-                tally.update((text.as_py() or "").lower().split())
-                if len(tally) > WORDS_HELD:
-                    yield out()
-                    tally = Counter()
-        yield out()
+MASS = 2.0
+UNITS = 1000
+BATCH_TOKENS, BATCH_DOCS, BUCKET_TOKENS = 1 << 20, 60_000, 1 << 21
+HOT = 4
+#: Buckets at least; cells of the survey, and parts of each in which tokens are counted.
+BUCKETS, CELLS, PARTS = 512, 256, 16
+CACHE_WORDS = 500_000
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_STARTS, _ENDS = np.array([START]), np.array([END])
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+class Survey(NamedTuple):
+    outcomes: int  # distinct words and the end mark
+    tokens: np.ndarray  # bigrams by the leading bits of their first word's hash
 
-class Numbers(dict):
-    """The numbers of words: ids of the common ones, digests of the others. What is held is bounded."""
 
-    def __init__(self, ids: dict[str, int]):
-        super().__init__()
-        self.ids = ids
+class Hasher:
+    """64-bit hashes of words; keeps those of up to CACHE_WORDS words."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        number = self.ids.get(word)
-        if number is None:
-            number = int.from_bytes(blake2b(word.encode(), digest_size=8).digest()) >> 2 | DIGEST
-        self[word] = number
-        return number
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-
-
-def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the rows in which equal ones are neighbours, and where in it each group starts.
-
-    Rows are ordered by a hash: should two different ones share it, a group may be cut in two, never joined with another.
-    """
-    mixed = np.zeros(len(columns[0]), dtype=np.uint64)
-    for column in columns:
-        mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    order = np.argsort(mixed)
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for column in columns:
-        own = column[order]
-        new[1:] |= own[1:] != own[:-1]
-    return order, np.flatnonzero(new)
-
-
-def _before(own: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], own[:-1]])
-
-
-def _pair_counts(docs: DataFrame, ids) -> DataFrame:
-    """v, w, n, target: counts of bigrams in all documents and in the marked ones."""
-
+        words, known = text.lower().split() if text else [], self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """Runs of documents of about BATCH_TOKENS words: ids, marks, and hashes of their words."""
+    hasher, ids, marks, lines, held = Hasher(), [], [], [], 0
+    for batch in batches:
+        mark = batch.column("mark").to_pylist() if "mark" in batch.schema.names else [0] * batch.num_rows
+        for doc_id, text, m in zip(batch.column("doc_id").to_pylist(), batch.column("text"), mark, strict=True):
+            own = hasher.of(text.as_py())
+            if lines and (held + len(own) > BATCH_TOKENS or len(lines) == BATCH_DOCS):
+                yield ids, marks, lines
+                ids, marks, lines, held = [], [], [], 0
+            ids.append(doc_id)
+            marks.append(m)
+            lines.append(own)
+            held += len(own)
+    if lines:
+        yield ids, marks, lines
+
+
+def _leading(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Which of count (a power of two) equal ranges a hash is in."""
+    return (hashes >> np.uint64(65 - count.bit_length())).astype(np.int64)
+
+
+def survey(docs: DataFrame) -> Survey:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(ids.value)
-        firsts: list[np.ndarray] = []
-        seconds: list[np.ndarray] = []
-        marks: list[np.ndarray] = []
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            v, w, mark = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]) for x in (firsts, seconds, marks))
-            order, start = _grouped(v, w)
-            n = np.diff(np.append(start, len(order)))
-            target = np.add.reduceat(mark[order], start) if len(start) else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[order[start]], w[order[start]], n.astype(np.int64), target)], names=["v", "w", "n", "target"])
-
-        for batch in batches:
-            for text, mark in zip(batch.column("text"), batch.column("mark").to_pylist(), strict=True):
-                own = numbers.of(text.as_py())
-                if len(own):
-                    firsts.append(_before(own))
-                    seconds.append(own)
-                    marks.append(np.full(len(own), mark, dtype=np.int64))
-                    held += len(own)
-                if held > TOKENS_HELD:
-                    yield out()
-                    firsts, seconds, marks, held = [], [], [], 0
-        yield out()
-
-    return docs.mapInArrow(count, "v long, w long, n long, target long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-def _log_p(pair: np.ndarray, first: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """log P of bigrams from their counts, those of their first words and the probabilities of their second words alone."""
-    return np.log(PAIR_WEIGHT * pair / np.maximum(first, 1) + np.where(first > 0, 1 - PAIR_WEIGHT, 1.0) * single)
-
-
-def fit(docs: DataFrame, trusted: DataFrame) -> Model:
-    """Both models from docs (doc_id, text); trusted has the ids of the target's documents, each once."""
-    spark = docs.sparkSession
-    counts = written(_word_counts(docs), "words")
-    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    kept = sorted(r.word for r in counts.where(F.col("n") >= SHARE_WORD * total).select("word").collect())
-    ids = {w: k + 2 for k, w in enumerate(kept)}
-    width = len(ids) + 2
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("mark")), "doc_id", "left")
-    pairs = written(_pair_counts(marked.select("text", F.coalesce("mark", F.lit(0)).alias("mark")), spark.sparkContext.broadcast(ids)), "pairs")
-    sums = (F.sum("target").alias("t"), F.sum("n").alias("n"))
-    totals = np.array(pairs.agg(*(F.coalesce(x, F.lit(0)) for x in sums)).first(), dtype=float) + SMOOTHING * (distinct + 1)
-
-    def by_id(place: str) -> np.ndarray:
-        out = np.zeros((width, 2))
-        found = pairs.where(F.col(place) < width).groupBy(place).agg(*sums).toPandas()
-        out[found[place].to_numpy(dtype=np.int64)] = found[["t", "n"]].to_numpy(dtype=float)
-        return out
-
-    words, firsts = by_id("w"), by_id("v")
-    numbered = (F.col("v") < width) & (F.col("w") < width)
-    common = numbered & (F.col("n") >= SHARE_PAIR * total)
-    found = pairs.where(common).select((F.col("v") * width + F.col("w")).alias("key"), "target", "n").toPandas().sort_values("key")
-    keys = found["key"].to_numpy(dtype=np.int64)
-    first, second = keys // width, keys % width
-    prices = _log_p(found[["target", "n"]].to_numpy(dtype=float), firsts[first], (words[second] + SMOOTHING) / totals)
-
-    held = spark.sparkContext.broadcast((words, firsts, totals))
-
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, firsts, totals = held.value
-
-        def counted(batch: pa.RecordBatch, table: np.ndarray, place: str) -> np.ndarray:
-            """The counts of the words at place: the joined ones, or those of common words."""
-            at = batch.column(place).to_numpy()
-            joined = np.stack([batch.column(f"{place}_{x}").fill_null(0).to_numpy() for x in ("t", "n")], axis=1).astype(float)
-            own = at < len(table)
-            joined[own] = table[at[own]]
-            return joined
-
-        for batch in batches:
-            pair = np.stack([batch.column("target").to_numpy(), batch.column("n").to_numpy()], axis=1)
-            log = _log_p(pair, counted(batch, firsts, "v"), (counted(batch, words, "w") + SMOOTHING) / totals)
-            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("w"), pa.array(log[:, 0].copy()), pa.array(log[:, 1].copy())], names=["v", "w", "target", "background"])
-
-    none = [F.lit(None).cast("long").alias(f"{place}_{x}") for place in "vw" for x in "tn"]
-    others = pairs.where(~numbered)
-    for place in "vw":
-        # a common word has no row there: a random key of its own keeps its bigrams from meeting in one task
-        key = F.when(F.col(place) >= DIGEST, F.col(place)).otherwise(-F.abs(F.xxhash64("v", "w") % DIGEST) - 1)
-        counted = pairs.where(F.col(place) >= DIGEST).groupBy(F.col(place).alias("key")).agg(F.sum("target").alias(f"{place}_t"), F.sum("n").alias(f"{place}_n"))
-        others = others.withColumn("key", key).join(counted, "key", "left").drop("key")
-    rest = pairs.where(numbered & ~common).select("*", *none).unionByName(others)
-    rest = rest.mapInArrow(priced, "v long, w long, target double, background double")
-    return Model(ids, keys, prices, rest)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row for each row of docs (doc_id, text).
-
-    A task adds up a document's common bigrams in one row, and passes its other ones on, each with its count, to be joined to
-    their prices.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model[:3])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, prices = held.value
-        numbers, width = Numbers(ids), len(ids) + 2
-        for batch in batches:
-            rows, doc_ids = batch.column("row").to_numpy(), batch.column("doc_id")
-            texts = batch.column("text")
-            at = 0
-            while at < len(rows):
-                lines: list[np.ndarray] = []
-                size, start = 0, at
-                while at < len(rows) and size < TOKENS_HELD // 2:
-                    lines.append(numbers.of(texts[at].as_py()))
-                    size += len(lines[-1])
-                    at += 1
-                many = np.array([len(x) for x in lines], dtype=np.int64)
-                w, v = np.concatenate(lines), np.concatenate([_before(x)[: len(x)] for x in lines])
-                doc = np.repeat(np.arange(len(lines)), many)
-                log, hit = np.zeros((len(w), 2)), np.zeros(len(w), dtype=bool)
-                if len(keys):
-                    own = np.flatnonzero((v < width) & (w < width))
-                    key = v[own] * width + w[own]
-                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    same = keys[place] == key
-                    hit[own[same]] = True
-                    log[own[same]] = prices[place[same]]
-                whole = [np.bincount(doc, weights=log[:, k], minlength=len(lines)).astype(float) for k in (0, 1)]
-                doc, v, w = doc[~hit], v[~hit], w[~hit]
-                order, first = _grouped(doc, v, w)
-                n, head = np.diff(np.append(first, len(order))), order[first]
-                marks = rows[start:at]
-                columns = [
-                    pa.concat_arrays([pa.array(marks), pa.array(marks[doc[head]])]),
-                    pa.concat_arrays([pa.array(np.full(len(marks), -1)), pa.array(v[head])]),
-                    pa.concat_arrays([pa.array(marks), pa.array(w[head])]),
-                    pa.concat_arrays([pa.array(many), pa.array(n.astype(np.int64))]),
-                    pa.concat_arrays([doc_ids[start:at], pa.nulls(len(head), pa.int64())]),
-                    *(pa.concat_arrays([pa.array(x), pa.nulls(len(head), pa.float64())]) for x in whole),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "v", "w", "n", "doc_id", "t", "b"])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = numbered.mapInArrow(run, "row long, v long, w long, n long, doc_id long, t double, b double")
-    whole = F.col("v") == -1
-    added = lambda own, price: F.sum(F.when(whole, F.col(own)).otherwise(F.col("n") * F.col(price)))
-    summed = rows.join(model.rest, ["v", "w"], "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max(F.when(whole, F.col("n"))).alias("n_tokens"), added("t", "target").alias("t"), added("b", "background").alias("b")
-    )
-    loss = lambda x: F.when(F.col("n_tokens") > 0, -F.col(x) / F.col("n_tokens")).otherwise(F.lit(0.0))
-    return summed.select(
-        "doc_id", "n_tokens", F.round(loss("t"), 6).alias("target_loss"), F.round(loss("b"), 6).alias("background_loss"), F.round(loss("t") - loss("b"), 6).alias("score")
-    )
+        for _, _, lines in _batches(batches):
+            words = np.concatenate(lines)
+            tokens = np.bincount(_leading(words, CELLS * PARTS), minlength=CELLS * PARTS)
+            tokens[_leading(START, CELLS * PARTS)] += sum(len(x) > 0 for x in lines)
+            words = np.unique(words)
+            cuts = np.searchsorted(_leading(words, CELLS), np.arange(CELLS + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(CELLS), pa.int32()), pa.array([words[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in tokens.reshape(CELLS, PARTS)], pa.binary())],
+                names=["cell", "words", "tokens"],
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (cell,), rows in _groups(batches, ["cell"]):
+            seen, tokens = np.zeros(0, dtype=np.uint64), np.zeros(PARTS, dtype=np.int64)
+            for row in rows:
+                seen = np.union1d(seen, np.frombuffer(row["words"], dtype=np.uint64))
+                tokens = tokens + np.frombuffer(row["tokens"], dtype=np.int64)
+            out.append((cell, len(seen), tokens.tolist()))
+        yield pa.RecordBatch.from_pylist([dict(zip(("cell", "words", "tokens"), x, strict=True)) for x in out], pa.schema([("cell", pa.int32()), ("words", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+
+    rows = docs.select("doc_id", "text").mapInArrow(count, "cell int, words binary, tokens binary").repartition("cell").sortWithinPartitions("cell")
+    tokens, words = np.zeros((CELLS, PARTS), dtype=np.int64), 0
+    for r in rows.mapInArrow(add, "cell int, words long, tokens array<long>").collect():
+        tokens[r.cell], words = r.tokens, words + r.words
+    return Survey(words + 1, tokens.ravel())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """(key, its rows) one after the other; rows of a key follow each other, and are read as they are asked for."""
+    rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
+    return groupby(rows, lambda row: tuple(row[k] for k in key))
+
+
+def bucket_parts(tokens: np.ndarray) -> np.ndarray:
+    """In how many parts each bucket is split."""
+    many, total = BUCKETS, int(tokens.sum())
+    while many * BUCKET_TOKENS < total:
+        many *= 2
+    if many <= len(tokens):
+        own = tokens.reshape(many, -1).sum(axis=1)
+    else:
+        own = np.repeat(tokens, many // len(tokens))  # at most: a first word of many tokens has them all in one bucket
+    mean = max(1.0, total / many)
+    return np.where(own > HOT * mean, np.ceil(own / mean), 1).astype(np.int64)
+
+
+#: A row of packed bigrams: first words, how many bigrams each has, second words, counts in all and trusted documents, how many
+#: documents each bigram has, these documents' places in their batch, and how often they have it. kind 0 has first words alone.
+PACKED = ("firsts", "many", "seconds", "n", "target", "docs", "doc", "times")
+ROW = "kind int, bucket int, part int, batch long, ids array<long>, words array<long>, " + ", ".join(f"{x} binary" for x in PACKED)
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), *((x, pa.binary()) for x in PACKED)])
+_TYPES = dict(zip(PACKED, (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32), strict=True))
+FIRSTS, BIGRAMS, DOCUMENTS = 0, 1, 2
+
+
+def _runs(own: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
+
+
+def _packed(marks: list, lines: list[np.ndarray], parts: np.ndarray) -> Iterator[dict]:
+    """The rows of one batch."""
+    whole = np.concatenate([x for own in lines if len(own) for x in (_STARTS, own, _ENDS)] or [_STARTS[:0]])
+    words, place = np.unique(whole, return_inverse=True)
+    size = np.array([len(x) + 2 if len(x) else 0 for x in lines])
+    doc = np.repeat(np.arange(len(lines)), size)
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    bits, low = max(1, len(words).bit_length()), np.uint64(max(1, (len(lines) - 1).bit_length()))
+    # one number for first word, second word and document: sorted, runs are bigrams and their documents
+    each = np.sort((place[inside].astype(np.uint64) << (low + np.uint64(bits))) | (place[inside + 1].astype(np.uint64) << low) | doc[inside].astype(np.uint64))
+    start = _runs(each)
+    times, each = np.diff(np.append(start, len(each))), each[start]
+    doc = (each & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    mark, pair = np.array(marks, dtype=np.int64)[doc], each >> low
+    start = _runs(pair)
+    n, target, docs, pair = np.add.reduceat(times, start), np.add.reduceat(times * mark, start), np.diff(np.append(start, len(pair))), pair[start]
+    first, second = (pair >> np.uint64(bits)).astype(np.int64), (words[(pair & np.uint64((1 << bits) - 1)).astype(np.int64)] >> np.uint64(32)).astype(np.uint32)
+    bucket = _leading(words[first], len(parts))
+    edge = np.append(start, len(doc))
+    cuts = np.append(_runs(bucket), len(bucket))
+
+    def row(kind: int, part: int, rows: np.ndarray, own: np.ndarray, **more) -> dict:
+        heads = _runs(first[rows])
+        columns = {"firsts": words[first[rows][heads]], "many": np.diff(np.append(heads, len(rows))), "seconds": second[rows], "n": n[rows], "target": target[rows], "docs": docs[rows], "doc": doc[own], "times": times[own]} | more
+        return {"kind": kind, "bucket": int(bucket[rows[0]]), "part": part} | {k: v.astype(_TYPES[k]).tobytes() for k, v in columns.items()}
+
+    none = np.zeros(0)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rows, k = np.arange(a, b), int(parts[bucket[a]])
+        if k == 1:
+            yield row(BIGRAMS, 0, rows, np.arange(edge[a], edge[b]))
+            continue
+        heads = _runs(first[rows])
+        sums = {"n": np.add.reduceat(n[rows], heads), "target": np.add.reduceat(target[rows], heads), "many": none, "seconds": none, "docs": none, "doc": none, "times": none}
+        side = second[rows] % np.uint32(k)
+        for part in range(k):
+            yield row(FIRSTS, part, rows, none.astype(np.int64), **sums)
+            if len(own := rows[side == part]):
+                ends = np.cumsum(docs[own])
+                yield row(BIGRAMS, part, own, np.repeat(edge[own] - ends + docs[own], docs[own]) + np.arange(ends[-1]))
+
+
+def _read(rows: list[dict], column: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of all rows, and how much of it each has."""
+    own = [np.frombuffer(r[column], dtype=_TYPES[column]) for r in rows]
+    return np.concatenate(own) if own else np.zeros(0, dtype=_TYPES[column]), np.array([len(x) for x in own], dtype=np.int64)
+
+
+def _priced(rows: list[dict], outcomes: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """For each row of bigrams of one bucket's part: batch, documents, times, and the losses under both models."""
+    alone, rows = [r for r in rows if r["kind"] == FIRSTS], [r for r in rows if r["kind"] == BIGRAMS]
+    firsts, many_firsts = _read(rows, "firsts")
+    words, place = np.unique(firsts, return_inverse=True)
+    first = np.repeat(place, _read(rows, "many")[0])
+    seconds, per_row = _read(rows, "seconds")
+    counts = np.stack([_read(rows, "target")[0], _read(rows, "n")[0]]).astype(np.float64)
+    pairs, pair = np.unique((first.astype(np.uint64) << np.uint64(32)) | seconds, return_inverse=True)
+    of_pair = np.stack([np.bincount(pair, weights=c, minlength=len(pairs)) for c in counts])
+    if alone:
+        own, _ = _read(alone, "firsts")
+        at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
+        known = words[at] == own if len(words) else np.zeros(len(own), dtype=bool)
+        of_first = np.stack([np.bincount(at[known], weights=_read(alone, c)[0][known].astype(np.float64), minlength=len(words)) for c in ("target", "n")])
+    else:
+        of_first = np.stack([np.bincount(first, weights=c, minlength=len(words)) for c in counts])
+    loss = np.log(of_first[:, (pairs >> np.uint64(32)).astype(np.int64)] + MASS) - np.log(of_pair + MASS / outcomes)
+    units = np.rint(loss * UNITS).astype(np.uint16)[:, pair]
+    ends = np.cumsum(per_row)
+    for r, a, b in zip(rows, ends - per_row, ends, strict=True):
+        docs = np.frombuffer(r["docs"], dtype=np.uint32)
+        yield r["batch"], r["doc"], r["times"], np.repeat(units[0, a:b], docs).tobytes(), np.repeat(units[1, a:b], docs).tobytes()
+
+
+ANSWER = "batch long, ids array<long>, words array<long>, doc binary, times binary, target binary, background binary"
+_ANSWER = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("doc", "times", "target", "background"))])
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def score(docs: DataFrame, trusted: DataFrame, found: Survey) -> DataFrame:
+    """One row for each row of docs (doc_id, text); trusted has the ids of the target's documents, each once."""
+    parts, outcomes = bucket_parts(found.tokens), found.outcomes
+    # documents without an id are spread by their texts
+    lone = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), lone.alias("lone"))
+    marks = trusted.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("lone"), F.lit(1).alias("mark"))
+    # a batch has the same documents if its task is run again; a merge at every size, as trusted grows with the corpus
+    sorted_docs = named.repartition("id", "lone").sortWithinPartitions("id", "lone", F.xxhash64("text"))
+    marked = sorted_docs.join(marks.hint("merge"), ["id", "lone"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, (ids, mark, lines) in enumerate(_batches(batches)):
+            name = {"batch": task << 24 | k}
+            out = [row | name for row in _packed(mark, lines, parts)]
+            out.append({"kind": DOCUMENTS, "bucket": -1 - task, "part": k, "ids": ids, "words": [len(x) for x in lines]} | name)
+            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, _), rows in _groups(batches, ["bucket", "part"]):
+            if bucket < 0:
+                answers = [{"batch": r["batch"], "ids": r["ids"], "words": r["words"]} for r in rows]
+            else:
+                answers = [dict(zip(("batch", "doc", "times", "target", "background"), x, strict=True)) for x in _priced(list(rows), outcomes)]
+            yield pa.RecordBatch.from_pylist(answers, _ANSWER)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (batch,), rows in _groups(batches, ["batch"]):
+            ids, words, sums = None, None, np.zeros((3, BATCH_DOCS), dtype=np.int64)
+            for r in rows:
+                if r["ids"] is not None:
+                    ids, words = r["ids"], np.array(r["words"], dtype=np.int64)
+                    continue
+                doc, times = np.frombuffer(r["doc"], dtype=np.uint16), np.frombuffer(r["times"], dtype=np.uint32).astype(np.int64)
+                np.add.at(sums[0], doc, times)
+                for k, column in ((1, "target"), (2, "background")):
+                    np.add.at(sums[k], doc, times * np.frombuffer(r[column], dtype=np.uint16))
+            if ids is None or not np.array_equal(sums[0, : len(ids)], np.where(words > 0, words + 1, 0)):
+                raise RuntimeError(f"batch {batch} was packed in two different orders")
+            target, background = sums[1:, : len(ids)] / (np.maximum(sums[0, : len(ids)], 1) * UNITS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(words), *(pa.array(np.round(x, 6)) for x in (target, background, target - background))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+            )
+
+    packed = marked.mapInArrow(pack, ROW).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    answers = packed.mapInArrow(price, ANSWER).repartition("batch").sortWithinPartitions("batch")
+    return answers.mapInArrow(add, SCORES)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, trusted_ids(labels)))
+    return score(docs, trusted_ids(labels), survey(docs))
