@@ -6,8 +6,10 @@ byte to its first, for the reversed rules; an accepting state after byte i says
 that starts at i. A match's end is found by the rule's own anchored automaton, run over the match alone.
 Taking starts from left to right and the longest end for each gives the leftmost non-overlapping matches.
 
-Defined results: a null text counts as empty; empty texts have no spans; repeated rows are each scanned;
-columns besides doc_id and text are ignored. Offsets are code points, ends exclusive.
+Defined results: a null text counts as empty; empty texts have no spans; null ids stay; repeated rows are each scanned; of
+kinds that start at one place the one listed first comes first; a very long text takes a few bytes a byte, and a few more for each
+span; an empty table gives no rows; columns besides doc_id and text, whatever their names, are ignored. Offsets are code points,
+ends exclusive.
 """
 
 from __future__ import annotations
@@ -280,18 +282,24 @@ def scan(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, i
     for c in bytes_left:
         s = nxt[s + c]
         if s >= accept:
-            hits.append((bytes_left.__length_hint__(), s))
+            at, mask = bytes_left.__length_hint__(), whole.masks[s]
+            if hits and hits[-1][0] == at + 1 and hits[-1][2] == mask:
+                hits[-1][0] = at  # one entry for neighbouring starts of the same rules, as in a long run of hex digits
+            else:
+                hits.append([at, at, mask])
     if not hits:
         return []
     found, free = [], [0] * len(rules)
-    for at, state in reversed(hits):
-        mask = whole.masks[state]
+    for first_start, last_start, mask in reversed(hits):
         for k, rule in enumerate(rules):
-            if mask >> k & 1 and at >= free[k]:
+            at = max(first_start, free[k])
+            while mask >> k & 1 and at <= last_start:
                 first, end = _ends(data, at, each[k])
                 free[k] = end
                 if end - (first - 1 if rule.tail else at) >= rule.least:
                     found.append((at, k, end))
+                at = end
+    found.sort()
     if not data.isascii():
         place, last, chars = {}, 0, 0
         for b in sorted({x for a, _, e in found for x in (a, e)}):
