@@ -5,12 +5,14 @@ longest of its character n-grams, from GRAM_MOST down to 1, of which any was kep
 the largest sum over the text's words wins, ties going to the first name.
 
 Training reads about SAMPLE documents of each language at most, chosen by a hash of doc_id among those offered; counts are
-summed in each task before the shuffle. Kept words and n-grams have SHARE of their language's count or more, so there are at
-most 1 / SHARE of them for each language and length, and the broadcast model is bounded.
+summed in each task before the shuffle. Kept words and n-grams occur twice or more and have a share (languages / KEPT) of their
+language's count or more: at most KEPT for each length, over all languages together. The broadcast model holds an entry for each of
+these alone, and one number for each language and length for all that isn't kept, so it is bounded whatever the languages.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned;
-documents of null language or id teach nothing; repeated rows are each scored; columns besides doc_id, text and lang are
-ignored, and the last never enters a prediction.
+documents of null language or id teach nothing; repeated rows are each scored; a very long text is scored whole; an empty
+table gives no rows; columns besides doc_id, text and lang, whatever their names, are ignored, and the last never enters a
+prediction. The filter keeps all columns.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 3_000
-SHARE = 4e-6
+KEPT = 1_000_000
 GRAM_MOST = 5
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Words outside the model whose scores a worker keeps.
-CACHE_WORDS = 200_000
+#: Scores of words, one for each language, that a worker keeps.
+CACHE_SCORES = 1 << 21
 #: A pipeline drops documents that score below this.
 LEAST_SCORE = 0.35
 _WORD = regex.compile(r"\p{L}+")
@@ -52,8 +54,18 @@ def grams_of(word: str, n: int) -> list[str]:
 
 class Model(NamedTuple):
     langs: list[str]
-    rows: list[dict[str, int]]  # by n-gram length, words at 0: token -> row of logs
-    logs: np.ndarray
+    rows: list[dict[str, int]]  # by n-gram length, words at 0: token -> its row
+    base: np.ndarray  # by length and language: log frequency of what isn't kept
+    starts: np.ndarray  # row -> its first entry
+    lang: np.ndarray  # of each entry
+    gain: np.ndarray  # of each entry: its log frequency less the base
+
+    def logs_of(self, token: str, n: int) -> np.ndarray:
+        """Log frequency of a kept token in each language."""
+        out, row = self.base[n].copy(), self.rows[n][token]
+        own = slice(self.starts[row], self.starts[row + 1])
+        out[self.lang[own]] += self.gain[own]
+        return out
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -83,57 +95,59 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = chosen.mapInArrow(count, "lang string, n int, token string, times long").groupBy("lang", "n", "token").agg(F.sum("times").alias("times")).persist()
     try:
         totals = {(r.lang, r.n): r.total for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()}
-        least = counts.groupBy("lang", "n").agg((F.sum("times") * F.lit(SHARE)).alias("least"))
+        share = len({lang for lang, _ in totals}) / KEPT
+        least = counts.groupBy("lang", "n").agg((F.sum("times") * F.lit(share)).alias("least"))
         kept = counts.join(F.broadcast(least), ["lang", "n"]).where((F.col("times") >= F.col("least")) & (F.col("times") >= 2)).drop("least").toPandas()
     finally:
         counts.unpersist()
     langs = sorted({lang for lang, _ in totals})
+    number = {x: k for k, x in enumerate(langs)}
+    kept = kept.sort_values(["n", "token", "lang"]).reset_index(drop=True)
+    total = np.array([[totals.get((lang, n), 0) for lang in langs] for n in range(GRAM_MOST + 1)], dtype=float).reshape(GRAM_MOST + 1, len(langs))
     rows: list[dict[str, int]] = [{} for _ in range(GRAM_MOST + 1)]
-    blocks, base = [np.zeros((0, len(langs)), dtype=np.float32)], 0
-    for n in range(GRAM_MOST + 1):
-        own = kept[kept.n == n]
-        tokens = sorted(set(own.token))
-        rows[n] = {t: base + k for k, t in enumerate(tokens)}
-        table = np.zeros((len(tokens), len(langs)))
-        table[own.token.map(rows[n]).to_numpy(dtype=np.int64) - base, own.lang.map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = own.times
-        total = np.array([totals.get((lang, n), 0) for lang in langs], dtype=float)
-        blocks.append(np.log((table + SMOOTHING) / (total + SMOOTHING * (len(tokens) + 1))).astype(np.float32))
-        base += len(tokens)
-    return Model(langs, rows, np.concatenate(blocks))
+    starts = []
+    for entry, (n, token) in enumerate(zip(kept.n.tolist(), kept.token.tolist(), strict=True)):
+        if token not in rows[n]:
+            rows[n][token] = len(starts)
+            starts.append(entry)
+    size = np.array([len(x) for x in rows])
+    base = np.log(SMOOTHING / (total + SMOOTHING * (size[:, None] + 1)))
+    lang = kept.lang.map(number).to_numpy(dtype=np.int64)
+    gain = np.log((kept.times.to_numpy(dtype=float) + SMOOTHING) / SMOOTHING)
+    return Model(langs, rows, base, np.array([*starts, len(kept)]), lang.astype(np.int32), gain.astype(np.float32))
 
 
 class Scorer:
-    """Scores texts in one worker. Rows of words outside the model are added to the matrix, which doubles when it is full."""
+    """Scores texts in one worker. Rows of words that it has met are kept in a matrix, which doubles when it is full."""
 
     def __init__(self, model: Model):
-        self.model, self.more, self.used = model, {}, len(model.logs)
-        self.logs = np.concatenate([model.logs, np.zeros((4096, len(model.langs)), dtype=np.float32)])
+        self.model, self.known = model, {}
+        self.logs = np.zeros((4096, len(model.langs)))
 
     def _row(self, word: str) -> int:
-        place = self.model.rows[0].get(word)
-        if place is None and (place := self.more.get(word)) is None:
-            place = self.more[word] = self.used
+        place = self.known.get(word)
+        if place is None:
+            place = self.known[word] = len(self.known)
             if place == len(self.logs):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[place] = self._backoff(word)
-            self.used += 1
+            self.logs[place] = self.model.logs_of(word, 0) if word in self.model.rows[0] else self._backoff(word)
         return place
 
     def _backoff(self, word: str) -> np.ndarray:
         for n in range(min(GRAM_MOST, len(word) + 2), 0, -1):
             known = self.model.rows[n]
-            if found := [known[g] for g in grams_of(word, n) if g in known]:
-                return self.model.logs[found].mean(axis=0)
-        return np.zeros(len(self.model.langs), dtype=np.float32)
+            if found := [self.model.logs_of(g, n) for g in grams_of(word, n) if g in known]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(self.model.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.more) > CACHE_WORDS:
-            self.more, self.used = {}, len(self.model.logs)
+        if len(self.known) * len(self.model.langs) > CACHE_SCORES:
+            self.known = {}
         rows = [self._row(w) for w in words]
-        sums = self.logs[rows].sum(axis=0, dtype=np.float64)
+        sums = self.logs[rows].sum(axis=0)
         share = np.exp((sums - sums.max()) / len(words) ** 0.5)
         best = int(sums.argmax())
         return self.model.langs[best], float(share[best] / share.sum())
