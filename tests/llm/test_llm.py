@@ -69,6 +69,9 @@ def test_secrets(docs, edge, none):
             got[r.doc_id].append(r.base_sha256)
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in text.items()}
     assert secrets.find_secrets(none).count() == 0
+    for t in ("0123456789abcdef" * 40_000, "AKIA" * 5_000 + " " + "eyJ" * 5_000, "token=" * 2_000 + "x" * 20, "gh" + "p_" * 3_000, "deadbeef" * 3 + "AKIA" + "0" * 20 + "secret:abcdefabcdefabcdefabcdef"):
+        named = [f"{secrets.RULES[k].kind}:{a}:{e}" for a, k, e in secrets.scan(t)]
+        assert [x for x in named if x.split(":")[0] in ("assign", "access", "hex")] == base_spans(t)
 
 
 def base_quality(text):
@@ -88,6 +91,20 @@ def test_quality(spark, docs, edge, none):
         got = quality.score_documents(frame, weight).collect()
         assert sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == expected
         assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+    # the score from its definition, by Spark's own hash of each word and pair
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    pairs = sorted({(a, b) for w in words.values() for a, b in zip(w, [*w[1:], ""], strict=False)} | {("", "")})
+    hashed = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a").alias("x"), F.xxhash64("a", "b").alias("y")).collect()
+    of_word, of_pair = {r.a: r.x % quality.BUCKETS for r in hashed}, {(r.a, r.b): r.y % quality.BUCKETS for r in hashed}
+    found = {i: [of_word[a] for a in w] + [of_pair[p] for p in zip(w, [*w[1:], ""], strict=False)] for i, w in words.items()}
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    raw, target = Counter(b for f in found.values() for b in f), Counter(b for i, f in found.items() if i in trusted for b in f)
+    n_raw, n_target = (sum(c.values()) + quality.SMOOTHING * quality.BUCKETS for c in (raw, target))
+    ratio = lambda b: math.log((target[b] + quality.SMOOTHING) / n_target * n_raw / (raw[b] + quality.SMOOTHING))
+    for r in quality.quality(docs, labels).collect():
+        score = sum(map(ratio, found[r.doc_id])) / max(1, len(found[r.doc_id]))
+        assert math.isclose(r.score, score, abs_tol=5e-6)
+        assert r.kept == (not r.base_failed and score >= quality.LEAST_SCORE) or abs(score - quality.LEAST_SCORE) < 1e-5
     assert quality.quality(none, labels).count() == 0 and set(quality.weights(docs, labels.select("doc_id").limit(0))) == {0.0}
 
 
@@ -213,6 +230,16 @@ def test_sharding(docs, edge, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_is_balanced_over_the_whole_table(spark):
+    rows = queries.op4_sharding(spark, "/root/testdata/sf0.1").collect()
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    largest = max(Counter(r.text_crc32 for r in rows).values())
+    assert set(load) == set(range(sharding.SHARDS)) and {r.law for r in rows} == {"bytes"} and largest > 1
+    assert max(load.values()) - min(load.values()) <= 16
+
+
 def test_token_files(spark, docs, edge, none, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = tokenfile._tokenizer(path)
@@ -476,6 +503,24 @@ def test_lm_scores_do_not_depend_on_batches_and_buckets(spark, docs, monkeypatch
     assert quality.trusted_ids(many).count() == 50_000
 
 
+def plain_language(model, text):
+    """Word-first backoff by its definition."""
+    sums, n_words = np.zeros(len(model.langs)), 0
+    for word in langid.words_of(text):
+        n_words += 1
+        if word in model.rows[0]:
+            sums += model.logs_of(word, 0)
+            continue
+        for n in range(langid.GRAM_MOST, 0, -1):
+            if found := [model.logs_of(g, n) for g in langid.grams_of(word, n) if g in model.rows[n] and (n == 1 or len(word) + 2 >= n)]:
+                sums += np.mean(found, axis=0)
+                break
+    if not n_words:
+        return langid.UNKNOWN, 0.0
+    share = np.exp((sums - sums.max()) / n_words**0.5)
+    return model.langs[int(sums.argmax())], share.max() / share.sum()
+
+
 def test_language_id(spark, edge, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out(docs.doc_id)))
@@ -484,6 +529,10 @@ def test_language_id(spark, edge, none):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
     test = [r for r in rows if r.held_out and lang[r.doc_id][1] >= 40]
     assert sum(r.lang_pred == lang[r.doc_id][0] for r in test) >= 0.97 * len(test)
+    few = docs.where("doc_id < 60 or length(text) < 40")
+    for r in few.collect():
+        lang_pred, score = plain_language(model, r.text)
+        assert (lang_pred, round(score, 4)) == next((x.lang_pred, round(x.score, 4)) for x in rows if x.doc_id == r.doc_id)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(edge, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[6][0] != "und"
     assert langid.predict(none, langid.learn(none)).count() == 0

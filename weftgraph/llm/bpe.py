@@ -3,11 +3,14 @@
 A text is cut at single blanks between other characters, where the splitting pattern always cuts too; the pieces of pattern
 matches in such chunks are encoded once each and kept in a bounded cache. Pieces of like length form one matrix of token
 ids. In every round each row merges its leftmost pair of least rank, which takes one cell out of every row, so the matrix
-closes up by a column; rows without a pair leave it. Ranks of pairs come from an open-addressing hash table. A piece above
-LONG bytes would make one row as long as its rounds, so it is merged with a heap instead, in the same order.
+closes up by a column; rows without a pair leave it. Ranks of pairs come from an open-addressing hash table.
 
-Defined results: a null text counts as empty; an empty text has no ids, and both digests are those of nothing; repeated
-rows are each encoded; columns besides doc_id and text are ignored.
+A documented exit: a single match of the pattern of more than LONG bytes (a run of so many letters, marks or blanks without a
+boundary) would be one row as long as its rounds, n * n cells, so it alone is merged with a heap, in the same order, in n log n.
+
+Defined results: a null text counts as empty; an empty text has no ids, and both digests are those of nothing; null ids stay;
+repeated rows are each encoded; of pairs of equal rank the leftmost is merged first; a very long text is encoded alone, whole; an
+empty table gives no rows; columns besides doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

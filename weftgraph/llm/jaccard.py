@@ -18,9 +18,10 @@ returns each set's number of links and edges that span what it linked.
 
 Work is spread by bucket and block: all groups in a task are small, whatever a third of the rows may share.
 
-Defined results: a text without a word (null, empty, blank) has no links and is alone in its class; repeated rows are copies;
-an empty table gives no rows; the class of texts without an id is that of the least id in it, null if there is none; columns
-besides doc_id and text are ignored by the join and kept by the filter.
+Defined results: a text without a word (null, empty, blank) has no links and is alone in its class; repeated rows are copies,
+of which the filter keeps one; an empty table gives no rows; the class of texts without an id is that of the least id in it, null
+if there is none; a similarity of exactly LEAST is a link; a very long text's set takes 8 bytes a word in its task; columns besides
+doc_id and text, whatever their names, are ignored by the join and kept by the filter.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ What is collected is one weight for each bucket, a fixed number. Trusted documen
 toxic, marked by a join. The raw counts cover all documents.
 
 Defined results: a null or blank text has no words, scores 0.0 and fails the base rules; without trusted documents all
-weights are 0; repeated rows are each scored (and counted); columns besides doc_id and text are ignored.
+weights are 0; labels without an id or a quality mark none; repeated rows are each scored (and counted); ties don't arise, as each
+text is judged alone; a very long text takes memory in proportion to its words; an empty table gives no rows; columns besides doc_id
+and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

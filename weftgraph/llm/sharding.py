@@ -10,8 +10,9 @@ Slots: ids are spread over blocks by hash; counts of (shard, block) give each bl
 block numbers the rows in it, so no task gets a whole shard.
 
 Defined results: a null text has no bytes and the CRC of none, and stays with empty texts; repeated rows get a slot each;
-an empty table gives no rows; columns besides doc_id and text are ignored. A single text larger than a shard's share makes
-its shard that much larger: groups are indivisible.
+an empty table gives no rows; ties between partial partitions go by cell number, between rows of a block by id and text;
+columns besides doc_id and text, whatever their names, are ignored. A single text, or cell, larger than a shard's share makes its
+shard that much larger: groups are indivisible.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     dealt = differencing([b for _, b, _ in cells], shards)
     shard_of = spark.createDataFrame([(c, s) for (c, _, _), s in zip(cells, dealt, strict=True)], "cell int, shard int")
     blocks = max(256, sum(n for _, _, n in cells) // 1_000_000)
-    placed = digest.join(F.broadcast(shard_of), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    placed = digest.join(F.broadcast(shard_of), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
     ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = placed.groupBy("shard", "block").agg(F.count("*").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
     within = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
