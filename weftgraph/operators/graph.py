@@ -1,6 +1,6 @@
 """From documents to a partitioned property graph of text nodes and weighted, typed edges.
 
-documents  doc_id, part, text
+documents  doc_id, part, text; doc_id is unique, and a document without one, a part or a text is left out
 chunks     doc_id, part, pos, chunk
 nodes      part, node_id, content, node_type; content is unique in its part
 tags       part, node_id, tag, weight
@@ -12,6 +12,7 @@ its part, in order of first occurrence, and found by an aggregate, without numbe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import morphology
+from weftgraph.session import written
 
 CHUNK_PLACES = 1 << 7
 DOC_PLACES = 1 << 27
+MOST_CHUNKS, MOST_DOCS = DOC_PLACES // CHUNK_PLACES, 1 << 36
 SEQUENCE_WEIGHT, ROLE_WEIGHT = 0.85, 0.8
 SEQUENTIAL, SEMANTIC = "Sequential", "Semantic"
 LANGUAGE_PART = "core_language"
@@ -36,12 +39,15 @@ class Graph(NamedTuple):
 
 
 def place(doc_id: Column, pos: Column, rank: Column | int = 0) -> Column:
-    return doc_id * DOC_PLACES + pos * CHUNK_PLACES + rank
+    """The number of a place; an error for ids or chunks beyond MOST_DOCS and MOST_CHUNKS (sources.files.numbered gives ids)."""
+    fits = (doc_id >= 0) & (doc_id < MOST_DOCS) & (pos < MOST_CHUNKS)
+    return F.when(fits, doc_id * DOC_PLACES + pos * CHUNK_PLACES + rank).otherwise(F.raise_error(F.lit("a doc_id or chunk number is out of range")).cast("long"))
 
 
-def chunked(docs: DataFrame, shortest: int = T.SHORTEST, longest: int = T.LONGEST) -> DataFrame:
-    """chunks of docs (doc_id, part, text), in order from 0. A narrow map."""
-    return docs.select("doc_id", "part", F.posexplode(T.chunks(F.col("text"), shortest, longest)).alias("pos", "chunk"))
+def chunked(docs: DataFrame, chunker: Callable[[Column], Column] | None = None) -> DataFrame:
+    """chunks of docs (doc_id, part, text), in order from 0, by chunker or as text.chunks cuts them. A narrow map."""
+    named = docs.where("doc_id is not null and part is not null")
+    return named.select("doc_id", "part", F.posexplode((chunker or T.chunks)(F.col("text"))).alias("pos", "chunk"))
 
 
 def nodes_of(contents: DataFrame, dedupe: str = "part") -> DataFrame:
@@ -98,9 +104,9 @@ def upserted(events: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 
 
 def chunk_graph(docs: DataFrame, dedupe: str = "part") -> Graph:
-    """The graph of chunks alone: their nodes, words and sequence."""
-    chunks = chunked(docs)
-    nodes = nodes_of(chunks.select("part", F.col("chunk").alias("content"), place(F.col("doc_id"), F.col("pos")).alias("place")), dedupe)
+    """The graph of chunks alone: their nodes, words and sequence. Chunks and nodes are written, as more than one step reads them."""
+    chunks = written(chunked(docs), "chunks")
+    nodes = written(nodes_of(chunks.select("part", F.col("chunk").alias("content"), place(F.col("doc_id"), F.col("pos")).alias("place")), dedupe), "nodes")
     steps = chunk_steps(chunks, nodes if dedupe == "part" else _everywhere(chunks, nodes))
     return Graph(nodes, word_tags(nodes), upserted(steps.select(*KEY, *_event(SEQUENTIAL, SEQUENCE_WEIGHT), "ord")))
 
@@ -124,15 +130,15 @@ def word_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def build_graph(docs: DataFrame, stats: DataFrame, order: str = "text") -> Graph:
+def build_graph(docs: DataFrame, stats: DataFrame, order: str = "text", chunker: Callable[[Column], Column] | None = None) -> Graph:
     """The whole graph of docs: chunks, concepts with their roles, sentence templates.
 
-    stats is the snapshot of word_stats that the stemmer reads. order "text" writes a chunk's own sequence edge last and leaves
+    chunker cuts a text column into an array of chunks. stats is the snapshot of word_stats that the stemmer reads. order "text" writes a chunk's own sequence edge last and leaves
     out concepts of chunks without a template; "wiki" writes it first, keeps all concepts and makes no template nodes.
     """
-    chunks = chunked(docs)
+    chunks = written(chunked(docs, chunker), "chunks")
     split = morphology.concepts_of(chunks.select("chunk").distinct(), stats)
-    texts = chunks.join(split, "chunk")
+    texts = written(chunks.join(split, "chunk"), "texts")
     at = place(F.col("doc_id"), F.col("pos"))
     kept = texts if order == "wiki" else texts.where(F.col("template") != "")
     concepts = kept.select("doc_id", "pos", "part", F.posexplode("concepts").alias("rank", "concept"))
@@ -142,7 +148,7 @@ def build_graph(docs: DataFrame, stats: DataFrame, order: str = "text") -> Graph
     if order == "text":
         contents = contents.unionByName(kept.select(F.lit(LANGUAGE_PART).alias("part"), F.col("template").alias("content"), at.alias("place"), F.lit("template").alias("kind")))
     kinds = contents.groupBy("part", "content").agg(F.min(F.struct("place", "kind")).alias("first"))
-    nodes = kinds.select("part", F.col("first.place").alias("node_id"), "content", T.node_kind(F.col("content")).alias("node_type"), F.col("first.kind").alias("kind"))
+    nodes = written(kinds.select("part", F.col("first.place").alias("node_id"), "content", T.node_kind(F.col("content")).alias("node_type"), F.col("first.kind").alias("kind")), "nodes")
     bare = F.lower(F.regexp_replace("content", r"^[\[\]]+|[\[\]]+$", ""))
     one = F.lit(1.0).alias("weight")
     tags = word_tags(nodes.where("kind = 'chunk'")).unionByName(nodes.where("kind = 'concept'").select("part", "node_id", bare.alias("tag"), one))

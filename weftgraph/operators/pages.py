@@ -5,7 +5,7 @@ pages  path, page_no, page_text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
@@ -40,16 +40,16 @@ def kept_lines(pages: DataFrame) -> DataFrame:
     return clean.where(T.trimmed(F.col("line")) != "")
 
 
-def running_text(pages: DataFrame) -> DataFrame:
-    """(path, content): the lines of each text's pages, a blank after every line and a line end after every page."""
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(path, page_no, text): each page's running text, a blank after every line. A page is a group, however many a path has."""
     one = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     page = kept_lines(pages).groupBy("path", "page_no").agg(F.array_join(F.transform(one, lambda r: F.concat(r["line"], F.lit(" "))), "").alias("text"))
-    whole = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
     rows = pages.select("path", "page_no").distinct().join(page, ["path", "page_no"], "left")
-    return rows.groupBy("path").agg(T.trimmed(F.array_join(F.transform(whole, lambda r: r["text"]), "\n")).alias("content"))
+    return rows.select("path", "page_no", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def first_and_last(lines: DataFrame, by: list[str], order: str, most: int = EDGE_LINES) -> DataFrame:
-    """The first and last lines of each group, with their place from either end."""
-    up, down = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by).orderBy(F.col(order).desc())
-    return lines.withColumn("from_start", F.row_number().over(up)).withColumn("from_end", F.row_number().over(down)).where((F.col("from_start") <= most) | (F.col("from_end") <= most))
+def running_text(pages: DataFrame) -> DataFrame:
+    """(path, content): the texts of a path's pages as one, a line end after every page. For paths that are files, which fit a row;
+    what is as large as a table stays as page_texts."""
+    whole = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return page_texts(pages).groupBy("path").agg(T.trimmed(F.array_join(F.transform(whole, lambda r: r["text"]), "\n")).alias("content"))

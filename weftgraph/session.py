@@ -27,21 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one under /tmp where it is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine, as in tests, one under /tmp where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"file:///tmp/weftgraph-{spark.sparkContext.applicationId}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to a fresh Parquet table in the shared folder and read it back: columns stay prunable, unlike in a checkpoint."""
     spark = df.sparkSession
