@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from weftgraph.functions import text as T
+from weftgraph.functions.turkish import VERB_STEMS
+from weftgraph.operators.morphology import CONNECTIVES, ENDINGS, WHOLE_ENDINGS
+from weftgraph.operators.routing import SYNONYMS
 from weftgraph.plans.queries import CONJUGATED, INFLECTED, KEYWORDS, ROUTED
 
 
@@ -62,10 +65,13 @@ ROUTES = f"""scored AS (SELECT query_id, part, sum({RARITY}) AS score FROM stems
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, part) AS rank FROM scored),
 routes AS (SELECT query_id, part, score, rank FROM ranked WHERE rank <= 15)"""
 KEYWORD_TAGS = f"""keywords AS (SELECT * FROM (VALUES {_values(KEYWORDS)}) q(query_id, query)),
-said AS (SELECT query_id, unnest({WORDS.format('query')}) AS tag FROM keywords),
-heavy AS (SELECT tag, 1.0 / (1.0 + n / greatest((SELECT count(*) FROM parts), 1) + ln(n + 1.0)) AS a
-  FROM (SELECT tag, count(DISTINCT part) AS n FROM (SELECT DISTINCT tag FROM said) LEFT JOIN part_index ON key = {FOLD.format('tag')} GROUP BY tag)),
-summed AS (SELECT query_id, tag, sum(a) AS a FROM said JOIN heavy USING (tag) GROUP BY ALL),
+said AS (SELECT query_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT query_id, {WORDS.format('query')} AS ws FROM keywords)),
+heavy AS (SELECT word, 1.0 / (1.0 + n / greatest((SELECT count(*) FROM parts), 1) + ln(n + 1.0)) AS a
+  FROM (SELECT word, count(DISTINCT part) AS n FROM (SELECT DISTINCT word FROM said) LEFT JOIN part_index ON key = {FOLD.format('word')} GROUP BY word)),
+synonyms AS (SELECT * FROM (VALUES {_values(tuple((g, a) for given, asked in SYNONYMS for g in given for a in asked))}) s(word, other)),
+wanted AS (SELECT query_id, word AS tag, 2 * pos AS ord, true AS is_word, a FROM said JOIN heavy USING (word)
+  UNION ALL SELECT query_id, other, 2 * pos + 1, false, a * 0.8 FROM said JOIN heavy USING (word) JOIN synonyms USING (word)),
+summed AS (SELECT query_id, tag, coalesce(sum(a) FILTER (is_word), 0.0) + CASE WHEN arg_min(is_word, ord) THEN 0.0 ELSE arg_min(a, ord) END AS a FROM wanted GROUP BY ALL),
 query_tags AS (SELECT query_id, tag, a / max(a) OVER (PARTITION BY query_id) AS weight FROM summed)"""
 SEEDS = """seeds AS (SELECT query_id, part, node_id, least(1.0, sum(t.weight * q.weight)) AS act FROM tags t JOIN query_tags q USING (tag) GROUP BY ALL HAVING sum(t.weight * q.weight) > 0.05)"""
 
@@ -93,9 +99,11 @@ sizes AS (SELECT cluster, count(*) AS size FROM found GROUP BY cluster HAVING co
 tag_weights AS (SELECT cluster, tag, sum(weight) AS weight FROM tags JOIN found USING (node_id) GROUP BY ALL),
 named AS (SELECT cluster, size, tag FROM sizes LEFT JOIN tag_weights USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, tag) = 1),
 renamed AS (SELECT cluster, size, CASE WHEN tag IN ('mozilla', 'hoare', 'servo') THEN 'rust_history' ELSE coalesce(tag, 'part_' || cluster) END AS new_part FROM named)"""
+HEADED = rf"""split AS (SELECT coalesce(ls[1], '') AS path, page_no, ls FROM (SELECT doc_id AS page_no, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS ls FROM documents)),
+lines AS (SELECT path, page_no, unnest(ls) AS line, unnest(range(len(ls))) AS line_no, len(ls) AS n FROM split)"""
 LINES = rf"""split AS (SELECT source AS path, doc_id AS page_no, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS ls FROM documents),
 lines AS (SELECT path, page_no, unnest(ls) AS line, unnest(range(len(ls))) AS line_no, len(ls) AS n FROM split)"""
-RUNNING = """page_count AS (SELECT source AS path, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source),
+RUNNING = """page_count AS (SELECT path, count(DISTINCT page_no) AS pages FROM split GROUP BY path),
 edge_lines AS (SELECT path, line, count(DISTINCT page_no) AS n_pages FROM lines WHERE line_no < 2 OR n - line_no <= 2 GROUP BY ALL),
 running AS (SELECT path, line, n_pages FROM edge_lines JOIN page_count USING (path) WHERE pages >= 2 AND n_pages >= greatest(2, ceil(0.3 * pages)))"""
 IS_NUMBER = r"((regexp_matches(line, '^[0-9\s/-]*[0-9][0-9\s/-]*$') AND strlen(line) <= 10) OR regexp_matches(lower(line), '^(sayfa|page)'))"
@@ -126,8 +134,101 @@ assert len(_FORMS) == len(INFLECTED) + len(CONJUGATED)
 
 FILE_STEM = r"translate(regexp_replace(regexp_replace(lower(p_name || '.txt'), '\.[^.]*$', ''), '^rust_', ''), ' ', '_')"
 FILE_NAME = f"regexp_replace(regexp_replace(regexp_replace({FILE_STEM}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
-STRENGTHENED = """now AS (SELECT part, node_id, act FROM active WHERE query_id = 2),
-moved AS (SELECT e.*, s.act AS a, coalesce(d.act, 0) AS b FROM edges e LEFT JOIN now s ON s.part = src_part AND s.node_id = src_id AND s.act > 0.05 LEFT JOIN now d ON d.part = dst_part AND d.node_id = dst_id)"""
+
+
+def _strengthened(before: str, after: str, query_id: int) -> str:
+    now = f"(SELECT part, node_id, act FROM active WHERE query_id = {query_id})"
+    return f"""{after} AS (SELECT src_part, src_id, dst_part, dst_id,
+  CASE WHEN a IS NULL THEN weight ELSE greatest(0.0, least(1.0, weight + 0.1 * a * b - 0.02 * weight)) END AS weight, co_firings + CASE WHEN a > 0.3 AND b > 0.3 THEN 1 ELSE 0 END AS co_firings
+  FROM (SELECT e.*, s.act AS a, coalesce(d.act, 0) AS b FROM {before} e LEFT JOIN {now} s ON s.part = src_part AND s.node_id = src_id AND s.act > 0.05
+    LEFT JOIN {now} d ON d.part = dst_part AND d.node_id = dst_id))"""
+
+
+STRENGTHENED = ",\n".join(_strengthened(f"round{k}" if k else "edges", f"round{k + 1}", q) for k, (q, _) in enumerate(KEYWORDS))
+
+STATS = f"""stats AS (SELECT word, count(*)::DOUBLE AS freq, sum(n) / 10.0 AS edge_weight
+  FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS word FROM documents) GROUP BY ALL) GROUP BY word HAVING count(*) >= 3)"""
+NO_STATS = "stats AS (SELECT NULL::VARCHAR AS word, NULL::DOUBLE AS freq, NULL::DOUBLE AS edge_weight WHERE false)"
+TOKENS = f"tokens AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS word FROM documents)"
+HARD = "left({0}, length({0}) - 1) || translate(right({0}, 1), 'ğdbc', 'ktpç')"
+SHORTER = HARD.format("left(stem, length(stem) - length(e))")
+LOW = LOWER_TR.format("stem")
+LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
+#: One ending comes off in each round: the first that leaves a valid stem.
+STEMS = f"""endings AS (SELECT * FROM (VALUES {_values(tuple((k, s, e) for k, (s, e) in enumerate(ENDINGS)))}) x(k, s, e)),
+stemming AS (SELECT word, word AS stem, '' AS suffix, false AS ended, 0 AS round FROM tokens WHERE NOT contains(word, chr(39))
+  UNION ALL SELECT word, best.shorter, CASE WHEN suffix = '' THEN best.s ELSE suffix END, freq > 0, round + 1
+  FROM (SELECT t.word, t.suffix, t.round, coalesce(a.freq, 0) AS freq, arg_min({{'shorter': t.shorter, 's': t.s}}, t.k) AS best
+    FROM (SELECT *, {LOW} AS low, {SHORTER} AS shorter FROM stemming JOIN endings ON ends_with({LOW}, e) AND length(stem) >= length(e) + 3
+      AND (length(e) > 1 OR ((SELECT count(*) FROM stats) > 0 AND right({LOW}, 2) NOT IN ({LISTED(WHOLE_ENDINGS)}))) WHERE NOT ended) t
+    LEFT JOIN stats a ON a.word = t.low LEFT JOIN stats b ON b.word = {LOWER_TR.format("t.shorter")}
+    WHERE coalesce(a.freq, 0) <= 0 OR (coalesce(b.freq, 0) > 0 AND coalesce(a.edge_weight, 0) <= 2 * coalesce(b.edge_weight, 0)) GROUP BY t.word, t.suffix, t.round, a.freq)),
+quoted AS (SELECT word, split_part(word, chr(39), 1) AS stem, substr(word, strpos(word, chr(39)) + 1) AS rest FROM tokens WHERE contains(word, chr(39))),
+nouns AS (SELECT word, arg_max(stem, round) AS stem, arg_max(suffix, round) AS suffix FROM stemming GROUP BY word UNION ALL SELECT word, stem,
+  CASE WHEN regexp_matches(rest, 'da|de|ta|te') THEN '-de' WHEN regexp_matches(rest, 'dan|den|tan|ten') THEN '-den' WHEN regexp_matches(rest, 'in|ın|un|ün') THEN '-in'
+    WHEN regexp_matches(rest, 'i|ı|u|ü') THEN '-i' WHEN regexp_matches(rest, 'e|a') THEN '-e' ELSE '' END FROM quoted)"""
+VERBS = f"""verb_stems AS (SELECT * FROM (VALUES {_values(tuple(enumerate(VERB_STEMS)))}) v(k, verb)),
+lowered AS (SELECT word, {LOWER_TR.format('word')} AS low FROM tokens),
+begun AS (SELECT word, low, k, verb, CASE WHEN verb = 'et' AND starts_with(low, 'ed') THEN 'ed' ELSE verb END AS begins FROM lowered JOIN verb_stems
+  ON starts_with(low, CASE WHEN verb = 'et' AND starts_with(low, 'ed') THEN 'ed' ELSE verb END)),
+tensed AS (SELECT word, low, k, verb, length(begins) AS size, substr(low, length(begins) + 1) AS rest FROM begun),
+tried AS (SELECT word, low, k, verb, size, CASE WHEN rest = '' THEN '-r' WHEN regexp_matches(rest, 'meli|malı') THEN '-meli' WHEN regexp_matches(rest, '[dt][iıuü]') THEN '-di'
+  WHEN regexp_matches(rest, 'm[ea]k') THEN '-mek' WHEN contains(rest, 'r') THEN '-r' END AS tense FROM tensed),
+longest AS (SELECT t.word, max(length(s.word)) AS longest FROM (SELECT DISTINCT word, low, unnest(list_transform(range(1, length(low) + 1), lambda n: left(low, n))) AS head FROM tried WHERE tense IS NOT NULL) t
+  JOIN stats s ON s.word = t.head GROUP BY t.word),
+verbs AS (SELECT word, arg_min(verb, k) AS verb, arg_min(tense, k) AS tense FROM tried LEFT JOIN longest USING (word) WHERE tense IS NOT NULL AND (longest IS NULL OR longest <= size) GROUP BY word)"""
+BARE_WORD = r"regexp_replace(w, '^[!-&(-/:-@\\^-`{-~]+|[!-&(-/:-@\\^-`{-~]+$', '', 'g')"
+SPOKEN = rf"""spoken AS (SELECT chunk, {TRIM.format('chunk')} AS plain FROM (SELECT DISTINCT chunk FROM chunks)),
+kinds AS (SELECT chunk, plain, list_filter(list_transform(regexp_split_to_array(plain, '\s+'), lambda w: {BARE_WORD}), lambda w: w <> '') AS ws,
+  CASE WHEN {KIND.replace(TRIMMED, 'plain')} IN ('Operator', 'Equation') OR contains(plain, '=') THEN 'whole' WHEN {KIND.replace(TRIMMED, 'plain')} = 'Code' THEN 'code' ELSE 'words' END AS kind FROM spoken),
+placed AS (SELECT chunk, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM kinds WHERE kind = 'words'),
+tokens AS (SELECT DISTINCT word FROM placed)"""
+CONCEPTS = f"""called AS (SELECT *, {LOWER_TR.format('word')} IN ({LISTED(CONNECTIVES)}) AS joins FROM placed LEFT JOIN verbs USING (word) LEFT JOIN nouns USING (word)),
+slots AS (SELECT chunk, pos, CASE WHEN joins THEN NULL WHEN verb IS NOT NULL THEN '[' || verb || ']' ELSE stem END AS concept,
+  CASE WHEN joins THEN {LOWER_TR.format('word')} WHEN verb IS NOT NULL THEN '{T.VERB}' || tense
+    ELSE CASE WHEN pos = min(pos) FILTER (NOT joins AND verb IS NULL) OVER (PARTITION BY chunk) THEN '{T.SUBJECT}' ELSE '{T.OBJECT}' END || suffix END AS slot FROM called),
+once AS (SELECT chunk, concept, min(pos) AS pos FROM slots WHERE concept IS NOT NULL GROUP BY ALL),
+concept_lists AS (SELECT chunk, list(concept ORDER BY pos) AS concepts FROM once GROUP BY chunk),
+templates AS (SELECT chunk, string_agg(slot, ' + ' ORDER BY pos) AS template FROM slots GROUP BY chunk),
+split AS (SELECT chunk, CASE kind WHEN 'whole' THEN [plain] WHEN 'code' THEN ws ELSE coalesce(concepts, []) END AS concepts, coalesce(template, '') AS template
+  FROM kinds LEFT JOIN concept_lists USING (chunk) LEFT JOIN templates USING (chunk))"""
+
+
+def _concept_graph(order: str = "text") -> str:
+    """CTEs up to cnodes(part, node_id, content, kind) and cedges."""
+    kept = "" if order == "wiki" else "WHERE template <> ''"
+    said = "" if order == "wiki" else "UNION ALL SELECT 'core_language', template, place, 'template' FROM texts WHERE template <> ''"
+    return f"""{_chunks(DOCS)}, {STATS}, {SPOKEN}, {STEMS}, {VERBS}, {CONCEPTS},
+texts AS (SELECT c.*, concepts, template FROM chunks c JOIN split USING (chunk)),
+terms AS (SELECT doc_id, pos, part, place, unnest(concepts) AS concept, unnest(range(len(concepts))) AS rank FROM texts {kept}),
+contents AS (SELECT part, chunk AS content, place, 'chunk' AS kind FROM chunks UNION ALL SELECT part, concept, place + least(rank + 1, 127), 'concept' FROM terms {said}),
+cnodes AS (SELECT part, content, min(place) AS node_id, arg_min(kind, (place, kind)) AS kind FROM contents GROUP BY ALL),
+named AS (SELECT t.*, node_id, starts_with(concept, '[') AND ends_with(concept, ']') AND length(concept) > 1 AS is_verb FROM terms t JOIN cnodes n ON n.part = t.part AND n.content = t.concept),
+ruled AS (SELECT *, lag(node_id) OVER (PARTITION BY doc_id, pos ORDER BY rank) AS before, arg_min(node_id, rank) FILTER (is_verb) OVER (PARTITION BY doc_id, pos) AS verb_id,
+  min(rank) FILTER (NOT is_verb) OVER (PARTITION BY doc_id, pos) AS first_noun FROM named),
+stepped AS (SELECT c.doc_id, c.pos, c.place, n.part, n.node_id, lag(n.part) OVER w AS src_part, lag(n.node_id) OVER w AS src_id
+  FROM chunks c JOIN cnodes n ON n.part = c.part AND n.content = c.chunk WINDOW w AS (PARTITION BY c.doc_id ORDER BY c.pos)),
+fired AS (SELECT part AS src_part, before AS src_id, part AS dst_part, node_id AS dst_id, 0.85 AS weight, 'Sequential' AS edge_type, NULL::VARCHAR AS role, place, 1 AS phase, rank FROM ruled WHERE before IS NOT NULL
+  UNION ALL SELECT part, node_id, part, verb_id, 0.8, 'Semantic', CASE WHEN rank = first_noun THEN '{T.ROLE_SUBJECT}' ELSE '{T.ROLE_OBJECT}' END, place, 2, rank FROM ruled WHERE NOT is_verb AND verb_id IS NOT NULL
+  UNION ALL SELECT src_part, src_id, part, node_id, 0.85, 'Sequential', NULL, place, {0 if order == "wiki" else 3}, 0 FROM stepped WHERE src_id IS NOT NULL),
+cedges AS (SELECT src_part, src_id, dst_part, dst_id, arg_max(weight, (place, phase, rank))::DOUBLE AS weight, 0::BIGINT AS co_firings, arg_max(edge_type, (place, phase, rank)) AS edge_type,
+  arg_max(role, (place, phase, rank)) FILTER (role IS NOT NULL) AS role FROM fired GROUP BY ALL)"""
+
+
+SHOWN = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(content, '(?s)\{\{.*?\}\}', '', 'g'),
+  repeat(chr(39), 3), ''), repeat(chr(39), 2), ''), ')|', ''), '(|', ''), chr(10), ' '), chr(13), ''), ' {2,}', ' ', 'g'), '^[ \t\n\r|*()\[\]{}]+|[ \t\n\r|*()\[\]{}]+$', '', 'g')"""
+DOC_PATHS = """paths AS (SELECT c.doc_id, n.part, n.node_id, n.content, (c.pos + CASE c.pos % 4 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END) AS step
+  FROM chunks c JOIN nodes n ON n.part = c.part AND n.content = c.chunk WHERE c.pos < 8)"""
+
+
+def _capped(text: str) -> str:
+    """Runs of each ASCII sign cut to four; the tables have no runs of others."""
+    out = rf"regexp_replace({text}, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g')"
+    for sign in "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\'":
+        quoted = sign.replace("'", "''")
+        out = f"regexp_replace({out}, '[{chr(92)}{quoted}]{{5,}}', '{(quoted * 4).replace(chr(92), chr(92) * 2)}', 'g')"
+    return out
+
 
 ORACLE = {
     "chunk_sentences": f"WITH {_chunks(DOCS)} SELECT doc_id, pos, chunk FROM chunks",
@@ -164,17 +265,16 @@ ORACLE = {
     "part_wide_activation": f"""WITH {SPREAD}, {ROUTING_STEMS}, {ROUTES},
         wide AS (SELECT query_id, part, node_id, max(act) AS act FROM (SELECT * FROM active UNION ALL SELECT query_id, part, node_id, 1.0 FROM routes JOIN nodes USING (part)) GROUP BY ALL)
         SELECT query_id, part, count(*) AS nodes, round(sum(act), 4) AS act FROM wide GROUP BY ALL""",
-    "hebbian_update": f"""WITH {SPREAD}, {STRENGTHENED} SELECT src_part, src_id, dst_part, dst_id,
-        round(CASE WHEN a IS NULL THEN weight ELSE greatest(0.0, least(1.0, weight + 0.1 * a * b - 0.02 * weight)) END, 6) AS weight,
-        co_firings + CASE WHEN a > 0.3 AND b > 0.3 THEN 1 ELSE 0 END AS co_firings FROM moved""",
-    "hebbian_new_pairs": f"""WITH {SPREAD}, hot AS (SELECT part, node_id FROM active WHERE query_id = 2 AND act > 0.4)
-        SELECT u.part AS src_part, u.node_id AS src_id, v.part AS dst_part, v.node_id AS dst_id, 0.15 AS weight FROM hot u JOIN hot v ON u.part <> v.part OR u.node_id <> v.node_id
+    "hebbian_update": f"WITH {SPREAD}, {STRENGTHENED} SELECT src_part, src_id, dst_part, dst_id, round(weight, 6) AS weight, co_firings FROM round{len(KEYWORDS)}",
+    "hebbian_new_pairs": f"""WITH {SPREAD}, hot AS (SELECT query_id, part, node_id FROM active WHERE act > 0.4)
+        SELECT u.query_id, u.part AS src_part, u.node_id AS src_id, v.part AS dst_part, v.node_id AS dst_id, 0.15::DOUBLE AS weight
+        FROM hot u JOIN hot v ON u.query_id = v.query_id AND (u.part <> v.part OR u.node_id <> v.node_id)
         WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src_part = u.part AND src_id = u.node_id AND dst_part = v.part AND dst_id = v.node_id)""",
     "maintenance_plasticity": f"""WITH {SUPPLY}, after AS (SELECT * REPLACE (CASE WHEN co_firings > 0 THEN least(1.0, weight + 0.1 * co_firings) ELSE weight - 0.05 END AS weight) FROM edges)
         SELECT src_part, src_id, dst_part, dst_id, round(weight, 6) AS weight, 0::BIGINT AS co_firings FROM after WHERE weight >= 0.15""",
     "maintenance_counts": f"""WITH {SUPPLY} SELECT count(*) FILTER (co_firings > 0) AS consolidated, count(*) FILTER (co_firings = 0) AS decayed,
         count(*) FILTER (CASE WHEN co_firings > 0 THEN least(1.0, weight + 0.1 * co_firings) ELSE weight - 0.05 END < 0.15) AS pruned FROM edges""",
-    "components_strong_edges": """WITH RECURSIVE ends AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
+    "components_strong_edges": """WITH RECURSIVE ends AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
         both_ways AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends), reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
         SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a""",
     "auto_partition_best_tag": f"WITH RECURSIVE {_graph(ITEMS)}, {CLUSTERS} SELECT cluster, size, new_part FROM renamed",
@@ -194,7 +294,57 @@ ORACLE = {
         SELECT src_id, dst_id, hops FROM pairs JOIN near ON a = src_id AND b = dst_id""",
     "tag_overlap_pairs": f"""WITH {_graph(ITEMS)}, {ITEM_PAIRS}, shared AS (SELECT src_id, dst_id, sum(least(a.weight, b.weight)) AS overlap FROM pairs JOIN tags a ON a.node_id = src_id JOIN tags b ON b.node_id = dst_id AND b.tag = a.tag GROUP BY ALL)
         SELECT src_id, dst_id, coalesce(overlap, 0.0) AS overlap FROM pairs LEFT JOIN shared USING (src_id, dst_id)""",
-    "running_lines": f"WITH {LINES}, {RUNNING} SELECT path, line, n_pages FROM running",
+    "running_lines": f"WITH {HEADED}, {RUNNING} SELECT path, line, n_pages FROM running",
+    "running_page_text": f"""WITH {HEADED}, {RUNNING}, good AS (SELECT path, page_no, line_no, {_capped('line')} AS line FROM lines
+        WHERE NOT {IS_NUMBER} AND NOT {IS_CONTENTS} AND NOT {IS_COLLAPSED} AND (path, line) NOT IN (SELECT (path, line) FROM running)),
+        texts AS (SELECT path, page_no, string_agg(line || ' ', '' ORDER BY line_no) AS text FROM good WHERE {TRIM.format('line')} <> '' GROUP BY ALL)
+        SELECT path, page_no, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS digest FROM split LEFT JOIN texts USING (path, page_no)""",
+    "cap_symbol_runs": f"SELECT doc_id, {_capped('text')} AS text FROM documents",
+    "stem_tokens": f"WITH RECURSIVE {STATS}, {TOKENS}, {STEMS} SELECT word, stem, suffix FROM nouns",
+    "stem_tokens_without_stats": f"WITH RECURSIVE {NO_STATS}, {TOKENS}, {STEMS} SELECT word, stem, suffix FROM nouns",
+    "detect_verbs": f"WITH {STATS}, {TOKENS}, {VERBS} SELECT word, verb, tense FROM verbs",
+    "concept_templates": f"WITH RECURSIVE {_chunks(DOCS)}, {STATS}, {SPOKEN}, {STEMS}, {VERBS}, {CONCEPTS} SELECT chunk, array_to_string(concepts, '|') AS concepts, template FROM split",
+    "concept_graph": f"WITH RECURSIVE {_concept_graph()} SELECT * FROM cedges",
+    "concept_graph_of_pages": f"WITH RECURSIVE {_concept_graph('wiki')} SELECT * FROM cedges",
+    "concept_nodes": f"WITH RECURSIVE {_concept_graph()} SELECT part, node_id, content, {KIND.replace('text', 'content')} AS node_type FROM cnodes",
+    "concept_tags": f"""WITH RECURSIVE {_concept_graph()}, tagged AS (SELECT part, node_id, unnest({WORDS.format('content')}) AS tag FROM cnodes WHERE kind = 'chunk'
+        UNION ALL SELECT part, node_id, lower(regexp_replace(content, '^[\\[\\]]+|[\\[\\]]+$', '', 'g')) FROM cnodes WHERE kind = 'concept'
+        UNION ALL SELECT part, node_id, unnest(['template', 'şablon']) FROM cnodes WHERE kind = 'template'),
+        counted AS (SELECT part, node_id, tag, count(*)::DOUBLE AS weight FROM tagged GROUP BY ALL) SELECT part, tag, sum(weight) AS weight, count(*) AS nodes FROM counted GROUP BY ALL""",
+    "verb_roles": f"""WITH RECURSIVE {_concept_graph()}, verbs_of AS (SELECT part, node_id, content AS verb FROM cnodes WHERE starts_with(content, '[') AND ends_with(content, ']') AND length(content) > 1),
+        both_ends AS (SELECT src_part AS part, src_id AS node_id, dst_part AS to_part, dst_id AS to_id, role, weight FROM cedges WHERE role IS NOT NULL
+          UNION ALL SELECT dst_part, dst_id, src_part, src_id, role, weight FROM cedges WHERE role IS NOT NULL)
+        SELECT verb, role, n.content AS word, round(sum(weight), 6) AS weight, count(*) AS n FROM verbs_of JOIN both_ends USING (part, node_id) JOIN cnodes n ON n.part = to_part AND n.node_id = to_id
+        WHERE NOT starts_with(n.content, '[') GROUP BY ALL""",
+    "document_path_scores": f"""WITH {_graph()}, {DOC_PATHS}, gains AS (SELECT a.doc_id, CASE WHEN t.weight IS NOT NULL THEN t.weight * 0.2 WHEN b.weight IS NOT NULL THEN b.weight * 0.15 ELSE -0.2 END AS gain
+          FROM paths a JOIN paths z ON z.doc_id = a.doc_id AND z.step = a.step + 1
+          LEFT JOIN edges t ON t.src_part = a.part AND t.src_id = a.node_id AND t.dst_part = z.part AND t.dst_id = z.node_id
+          LEFT JOIN edges b ON b.src_part = z.part AND b.src_id = z.node_id AND b.dst_part = a.part AND b.dst_id = a.node_id)
+        SELECT doc_id AS query_id, round(greatest(-1.0, least(1.0, 0.5 + coalesce(sum(gain), 0.0))), 6) AS score FROM (SELECT DISTINCT doc_id FROM paths) LEFT JOIN gains USING (doc_id) GROUP BY doc_id""",
+    "document_sentences": rf"""WITH {_graph()}, {DOC_PATHS}, shown AS (SELECT doc_id, step, trim(content, ' ') AS raw, {SHOWN} AS said, {KIND.replace(TRIMMED, 'content')} = 'Code' AS code FROM paths),
+        ends AS (SELECT doc_id, min(step) AS first, min(step) FILTER (code) AS stop FROM shown GROUP BY doc_id),
+        opened AS (SELECT doc_id, {TRIM.format("coalesce(string_agg(said, ' ' ORDER BY step) FILTER (stop IS NULL OR step < stop), '')")} AS plain,
+          CASE WHEN any_value(stop) IS NULL THEN '' ELSE CASE WHEN any_value(stop) = any_value(first) THEN '' ELSE chr(10) END || '```rust' || chr(10) || (any_value(raw) FILTER (step = stop)) || chr(10) || '```' END AS block
+          FROM shown JOIN ends USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id AS query_id, CASE WHEN plain = '' THEN '' ELSE upper(left(plain, 1)) || substr(plain, 2) || CASE WHEN regexp_matches(plain, '[.!?]$') THEN '' ELSE '.' END END || block AS sentence FROM opened""",
+    "concept_pair_scores": f"""WITH {_graph()}, known AS (SELECT content, max((part, node_id)) AS node FROM nodes GROUP BY content),
+        items AS (SELECT c.doc_id, c.pos, node[1] AS part, node[2] AS node_id FROM chunks c JOIN known ON content = chunk WHERE c.pos < 5),
+        pairs AS (SELECT a.doc_id, a.part AS up, a.node_id AS u, b.part AS vp, b.node_id AS v FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.pos < b.pos),
+        h0 AS (SELECT DISTINCT up, u, up AS p, u AS x FROM pairs), h1 AS (SELECT DISTINCT up, u, dst_part AS p, dst_id AS x FROM h0 JOIN edges ON src_part = p AND src_id = x),
+        h2 AS (SELECT DISTINCT up, u, dst_part AS p, dst_id AS x FROM h1 JOIN edges ON src_part = p AND src_id = x), h3 AS (SELECT DISTINCT up, u, dst_part AS p, dst_id AS x FROM h2 JOIN edges ON src_part = p AND src_id = x),
+        near AS (SELECT * FROM h0 UNION SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3), distinct_pairs AS (SELECT DISTINCT up, u, vp, v FROM pairs),
+        shared AS (SELECT up, u, vp, v, sum(least(a.weight, b.weight)) AS overlap FROM distinct_pairs JOIN tags a ON a.part = up AND a.node_id = u JOIN tags b ON b.part = vp AND b.node_id = v AND b.tag = a.tag GROUP BY ALL),
+        gains AS (SELECT doc_id, CASE WHEN t.weight IS NOT NULL THEN t.weight * 0.2 WHEN k.weight IS NOT NULL THEN k.weight * 0.15 WHEN n.x IS NOT NULL THEN 0.05 WHEN overlap > 0.1 THEN overlap * 0.05 ELSE -0.2 END AS gain
+          FROM pairs LEFT JOIN edges t ON t.src_part = pairs.up AND t.src_id = pairs.u AND t.dst_part = pairs.vp AND t.dst_id = pairs.v LEFT JOIN edges k ON k.src_part = pairs.vp AND k.src_id = pairs.v AND k.dst_part = pairs.up AND k.dst_id = pairs.u
+          LEFT JOIN near n ON n.up = pairs.up AND n.u = pairs.u AND n.p = pairs.vp AND n.x = pairs.v LEFT JOIN shared s ON s.up = pairs.up AND s.u = pairs.u AND s.vp = pairs.vp AND s.v = pairs.v)
+        SELECT doc_id AS sentence_id, round(greatest(-1.0, least(1.0, 0.5 + coalesce(sum(gain), 0.0))), 6) AS score FROM (SELECT DISTINCT doc_id FROM chunks) LEFT JOIN gains USING (doc_id) GROUP BY doc_id""",
+    "active_nodes_shown": f"""WITH {SPREAD}, {ROUTING_STEMS}, {ROUTES},
+        wide AS (SELECT query_id, part, node_id, max(act) AS act FROM (SELECT * FROM active UNION ALL SELECT query_id, part, node_id, 1.0 FROM routes JOIN nodes USING (part)) GROUP BY ALL),
+        strong AS (SELECT * FROM wide WHERE act > 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(act, 9) DESC, part, node_id) <= 50)
+        SELECT query_id, part, node_id, content, round(act, 6) AS act FROM strong JOIN nodes USING (part, node_id)""",
+    "status_nodes": f"WITH {_chunks(DOCS)}, {NODES} SELECT part, node_id, content, {KIND.replace('text', 'content')} AS node_type FROM nodes ORDER BY part, node_id LIMIT 50",
+    "status_edges": f"""WITH {_graph()} SELECT src_part, src_id, dst_part, dst_id, s.content AS src_content, d.content AS dst_content, weight, edge_type, co_firings FROM edges
+        JOIN nodes s ON s.part = src_part AND s.node_id = src_id JOIN nodes d ON d.part = dst_part AND d.node_id = dst_id ORDER BY src_part, src_id, dst_part, dst_id LIMIT 50""",
     "page_line_kinds": f"""WITH {LINES} SELECT path, count(*) AS lines, count(*) FILTER ({IS_NUMBER}) AS numbers, count(*) FILTER ({IS_CONTENTS}) AS contents,
         count(*) FILTER ({IS_COLLAPSED}) AS collapsed FROM lines GROUP BY path""",
     "registry_incremental": """SELECT doc_id::VARCHAR AS path, sha256(text) AS content_hash FROM documents WHERE lang IS DISTINCT FROM 'en'""",

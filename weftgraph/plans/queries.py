@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from weftgraph.session import table, written
 from weftgraph.streaming.ingest import co_firings
 
 #: Keyword queries, and queries that name parts.
-KEYWORDS = ((1, "the of and"), (2, "en the of en que"), (3, "der und die src"))
+KEYWORDS = ((1, "the of and"), (2, "en the of en que"), (3, "der und die src"), (4, "kodla göster the print kodla"))
 ROUTED = ((1, "src7 de"), (2, "en src12, fr? src3!"), (3, "nothing"), (4, "src1 src19 es"))
 INFLECTED = (
     ("hafıza", "-e"), ("güvenlik", "-i"), ("sistem", "-de"), ("kitap", "-den"), ("Rust", "-in"), ("wgpu", "-e"), ("ağaç", "-i"),
@@ -40,14 +42,26 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("part").distinct()
 
 
+def _stored(docs: DataFrame) -> graph.Graph:
+    """The chunk graph of docs, written once for all steps that read it."""
+    own = graph.chunk_graph(docs)
+    return own._replace(tags=written(own.tags, "tags"), edges=written(own.edges, "edges"))
+
+
+def _token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, freq, edge_weight: words of three documents or more, as if they were nodes."""
+    found = word_counts_per_doc(spark, sf_dir).groupBy("word").agg(F.count("*").cast("double").alias("freq"), (F.sum("n") / 10.0).alias("edge_weight"))
+    return written(found.where("freq >= 3"), "stats")
+
+
 def _query_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.query_tags(_queries(spark), _parts(spark, sf_dir), morphology.no_stats(spark))
 
 
-def _active(spark: SparkSession, sf_dir: str, graph_of=None) -> tuple[graph.Graph, DataFrame]:
-    own = graph_of or graph.chunk_graph(_docs(spark, sf_dir))
+def _active(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame]:
+    own = _stored(_docs(spark, sf_dir))
     act = activation.propagate(own.tags, own.edges, _query_tags(spark, sf_dir))
-    return own, act
+    return own, written(act, "active")
 
 
 def chunk_sentences(spark, sf_dir):
@@ -159,19 +173,25 @@ def part_wide_activation(spark, sf_dir):
     return wide.groupBy("query_id", "part").agg(F.count("*").alias("nodes"), F.round(F.sum("act"), 4).alias("act"))
 
 
-def _one_query(spark, sf_dir):
+def active_nodes_shown(spark, sf_dir):
     own, act = _active(spark, sf_dir)
-    return own, act.where("query_id = 2")
+    matched = routing.matched_parts(_queries(spark, ROUTED), _parts(spark, sf_dir), morphology.no_stats(spark))
+    return activation.shown(activation.part_wide(act, own.nodes, matched), own.nodes).select("query_id", "part", "node_id", "content", F.round("act", 6).alias("act"))
 
 
 def hebbian_update(spark, sf_dir):
-    own, act = _one_query(spark, sf_dir)
-    return learning.strengthened(own.edges, act).select(*KEY, F.round("weight", 6).alias("weight"), F.col("co_firings").cast("long").alias("co_firings"))
+    """All queries, one after the other."""
+    own, act = _active(spark, sf_dir)
+    edges = own.edges
+    for query_id, _ in KEYWORDS:
+        edges = learning.strengthened(edges, act.where(F.col("query_id") == query_id))
+    return edges.select(*KEY, F.round("weight", 6).alias("weight"), F.col("co_firings").cast("long").alias("co_firings"))
 
 
 def hebbian_new_pairs(spark, sf_dir):
-    own, act = _one_query(spark, sf_dir)
-    return learning.new_pairs(own.edges, act).select(*KEY, "weight")
+    own, act = _active(spark, sf_dir)
+    found = [learning.new_pairs(own.edges, act.where(F.col("query_id") == q)).select(F.lit(q).cast("long").alias("query_id"), *KEY, "weight") for q, _ in KEYWORDS]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def maintenance_plasticity(spark, sf_dir):
@@ -183,8 +203,7 @@ def maintenance_counts(spark, sf_dir):
 
 
 def components_strong_edges(spark, sf_dir):
-    strong = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    ends = strong.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    ends = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return connected_components(ends)
 
 
@@ -193,6 +212,12 @@ def auto_partition_best_tag(spark, sf_dir):
     return learning.cluster_parts(own.tags, learning.clusters(own.edges))
 
 
+def document_clusters(spark, sf_dir):
+    """How the chunk graph of all documents would be parted, were it one part."""
+    own = _stored(_docs(spark, sf_dir).withColumn("part", F.lit("general")))
+    return learning.cluster_parts(own.tags, written(learning.clusters(own.edges), "clusters"))
+
+
 def repartition_counts(spark, sf_dir):
     moved = learning.repartitioned(graph.chunk_graph(_items(spark, sf_dir)))
     return moved.nodes.groupBy("part").agg(F.count("*").alias("nodes"))
@@ -236,8 +261,14 @@ def _pages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page_no"), F.col("text").alias("page_text"))
 
 
+def _headed_pages(spark, sf_dir):
+    """Documents as pages of the text that their first line names."""
+    lines = F.filter(F.transform(F.split("text", "\r?\n"), T.trimmed), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select(F.coalesce(F.get(lines, 0), F.lit("")).alias("path"), F.col("doc_id").alias("page_no"), F.col("text").alias("page_text"))
+
+
 def running_lines(spark, sf_dir):
-    own = _pages(spark, sf_dir)
+    own = _headed_pages(spark, sf_dir)
     return pages.running_lines(own, pages.page_lines(own))
 
 
@@ -248,7 +279,7 @@ def page_line_kinds(spark, sf_dir):
 
 
 def running_page_text(spark, sf_dir):
-    return pages.running_text(_pages(spark, sf_dir)).select("path", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"))
+    return pages.page_texts(_headed_pages(spark, sf_dir)).select("path", "page_no", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
 def cap_symbol_runs(spark, sf_dir):
@@ -282,6 +313,14 @@ def edges_with_ends(spark, sf_dir):
     return graph.with_ends(_supply_edges(spark, sf_dir), suppliers.union(items)).select("src_id", "dst_id", "src_content", "dst_content", "weight")
 
 
+def status_nodes(spark, sf_dir):
+    return store.first_nodes(graph.chunk_graph(_docs(spark, sf_dir)))
+
+
+def status_edges(spark, sf_dir):
+    return store.first_edges(graph.chunk_graph(_docs(spark, sf_dir)))
+
+
 def status_counts(spark, sf_dir):
     return store.status(graph.chunk_graph(_docs(spark, sf_dir)))
 
@@ -297,28 +336,81 @@ def _tokens(spark, sf_dir):
 
 
 def stem_tokens(spark, sf_dir):
+    return morphology.noun_stems(_tokens(spark, sf_dir), _token_stats(spark, sf_dir))
+
+
+def stem_tokens_without_stats(spark, sf_dir):
     return morphology.noun_stems(_tokens(spark, sf_dir), morphology.no_stats(spark))
 
 
 def detect_verbs(spark, sf_dir):
-    return morphology.verbs(_tokens(spark, sf_dir), morphology.no_stats(spark))
+    return morphology.verbs(_tokens(spark, sf_dir), _token_stats(spark, sf_dir))
 
 
 def concept_templates(spark, sf_dir):
     chunks = graph.chunked(_docs(spark, sf_dir)).select("chunk").distinct()
-    found = morphology.concepts_of(chunks, morphology.no_stats(spark))
+    found = morphology.concepts_of(chunks, _token_stats(spark, sf_dir))
     return found.select("chunk", F.array_join("concepts", "|").alias("concepts"), "template")
 
 
+def _concept_graph(spark, sf_dir, order="text"):
+    return graph.build_graph(_docs(spark, sf_dir), _token_stats(spark, sf_dir), order)
+
+
 def concept_graph(spark, sf_dir):
-    own = graph.build_graph(_items(spark, sf_dir), morphology.no_stats(spark))
-    return own.edges
+    return _concept_graph(spark, sf_dir).edges
+
+
+def concept_graph_of_pages(spark, sf_dir):
+    """As a dump's pages are read: all concepts, no templates, a chunk's own step first."""
+    return _concept_graph(spark, sf_dir, "wiki").edges
+
+
+def concept_nodes(spark, sf_dir):
+    return _concept_graph(spark, sf_dir).nodes
+
+
+def concept_tags(spark, sf_dir):
+    return _concept_graph(spark, sf_dir).tags.groupBy("part", "tag").agg(F.sum("weight").alias("weight"), F.count("*").alias("nodes"))
+
+
+def verb_roles(spark, sf_dir):
+    own = _concept_graph(spark, sf_dir)
+    own = own._replace(edges=written(own.edges, "edges"))
+    verbs = own.nodes.where(F.col("content").rlike(r"(?s)^\[.*\]$")).select(F.lit(1).cast("long").alias("query_id"), "part", "node_id", F.col("content").alias("verb"))
+    return answers.role_words(verbs, own).groupBy("verb", "role", "word").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"))
+
+
+def _document_paths(spark, sf_dir):
+    """A path through the first eight chunks of each document, every other pair of them the wrong way round."""
+    own = _stored(_docs(spark, sf_dir))
+    placed = graph.chunked(_docs(spark, sf_dir)).where("pos < 8").join(own.nodes.select("part", "node_id", F.col("content").alias("chunk")), ["part", "chunk"])
+    turned = F.col("pos") + F.when(F.col("pos") % 4 == 2, 1).when(F.col("pos") % 4 == 3, -1).otherwise(0)
+    rows = placed.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("walk"), F.lit(0).alias("path"), turned.cast("int").alias("step"), "part", "node_id")
+    return own, written(rows, "paths")
+
+
+def document_path_scores(spark, sf_dir):
+    own, rows = _document_paths(spark, sf_dir)
+    return paths.walk_scores(rows, own.edges).select("query_id", F.round("score", 6).alias("score"))
+
+
+def document_sentences(spark, sf_dir):
+    own, rows = _document_paths(spark, sf_dir)
+    languages = rows.select("query_id").distinct().withColumn("lang", F.lit("en"))
+    return paths.woven(rows, own.edges, own.nodes, languages).select("query_id", "sentence")
+
+
+def concept_pair_scores(spark, sf_dir):
+    """The first five chunks of each document, taken as one sentence's concepts."""
+    own = _stored(_docs(spark, sf_dir))
+    first = graph.chunked(_docs(spark, sf_dir)).where("pos < 5").groupBy(F.col("doc_id").alias("sentence_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("rows"))
+    sentences = written(first.select("sentence_id", F.transform("rows", lambda r: r["chunk"]).alias("concepts")), "sentences")
+    return paths.pair_scores(sentences, own.edges, own.nodes, own.tags).select("sentence_id", F.round("score", 6).alias("score"))
 
 
 def _walked(spark, sf_dir):
-    own = graph.Graph(*[written(x, "graph") for x in graph.chunk_graph(_docs(spark, sf_dir))])
-    _, act = _active(spark, sf_dir, own)
-    act = written(act, "active")
+    own, act = _active(spark, sf_dir)
     return own, act, written(paths.walks(act, own.edges, own.nodes), "walks")
 
 
@@ -338,7 +430,7 @@ def woven_answers(spark, sf_dir):
 
 
 def ask_queries(spark, sf_dir):
-    own = graph.Graph(*[written(x, "graph") for x in graph.build_graph(_items(spark, sf_dir), morphology.no_stats(spark))])
+    own = graph.Graph(*[written(x, "graph") for x in _concept_graph(spark, sf_dir)])
     stats = written(graph.word_stats(own.nodes, own.edges), "stats")
     asked = _queries(spark, ((1, "what is the rust"), (2, "of and to the"), (3, "zzzz")))
     return answers.ask(asked, own, stats).answers
@@ -360,6 +452,7 @@ QUERIES = {
         maintenance_plasticity, maintenance_counts, components_strong_edges, auto_partition_best_tag, repartition_counts, evict_lowest_part,
         language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
         wiki_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
-        detect_verbs, concept_templates, concept_graph, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
+        stem_tokens_without_stats, detect_verbs, concept_templates, concept_graph, concept_graph_of_pages, concept_nodes, concept_tags, verb_roles,
+        document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
     )
 }
