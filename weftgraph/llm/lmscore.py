@@ -14,8 +14,9 @@ counts of all rows and sends each row's documents the losses of their bigrams, r
 in any order. There are as many buckets as keep one at about BUCKET_TOKENS. A bucket with more than HOT times the mean, as that of
 `the`, is split by the second word, and the counts of its first words are sent to all its parts.
 
-A survey counts tokens by bucket and distinct words first. Words go by 64 bits of xxHash, second words by 32 of them within their
-first word. Nothing of the corpus is broadcast or collected but 256 rows of the survey.
+A survey counts tokens by bucket and distinct words first. Words go by 40 bits of their xxHash within their cell or bucket (the bits
+before these), second words by 32 within their first word; so with ten million words, less than one pair of them is taken for one.
+Counts and losses are packed by zstandard, as most of them are alike. Nothing of the corpus is broadcast or collected but 256 rows of the survey.
 
 Defined results: a text without words (null, empty, blank) has no tokens, and losses and score 0.0; repeated rows each count and
 are each scored; labels without an id mark none; without trusted documents the target model is uniform; a very long text makes a
@@ -32,6 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,21 @@ def _leading(hashes: np.ndarray, count: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - count.bit_length())).astype(np.int64)
 
 
+def _forty(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The 40 bits of a hash behind those that name its range of count."""
+    return (hashes << np.uint64(count.bit_length() - 1)) >> np.uint64(24)
+
+
+def _five_bytes(numbers: np.ndarray) -> bytes:
+    return numbers.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _from_five_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def survey(docs: DataFrame) -> Survey:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, lines in _batches(batches):
@@ -100,8 +117,9 @@ def survey(docs: DataFrame) -> Survey:
             tokens[_leading(START, CELLS * PARTS)] += sum(len(x) > 0 for x in lines)
             words = np.unique(words)
             cuts = np.searchsorted(_leading(words, CELLS), np.arange(CELLS + 1))
+            words = _forty(words, CELLS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(CELLS), pa.int32()), pa.array([words[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in tokens.reshape(CELLS, PARTS)], pa.binary())],
+                [pa.array(np.arange(CELLS), pa.int32()), pa.array([_five_bytes(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in tokens.reshape(CELLS, PARTS)], pa.binary())],
                 names=["cell", "words", "tokens"],
             )
 
@@ -110,7 +128,7 @@ def survey(docs: DataFrame) -> Survey:
         for (cell,), rows in _groups(batches, ["cell"]):
             seen, tokens = np.zeros(0, dtype=np.uint64), np.zeros(PARTS, dtype=np.int64)
             for row in rows:
-                seen = np.union1d(seen, np.frombuffer(row["words"], dtype=np.uint64))
+                seen = np.union1d(seen, _from_five_bytes(row["words"]))
                 tokens = tokens + np.frombuffer(row["tokens"], dtype=np.int64)
             out.append((cell, len(seen), tokens.tolist()))
         yield pa.RecordBatch.from_pylist([dict(zip(("cell", "words", "tokens"), x, strict=True)) for x in out], pa.schema([("cell", pa.int32()), ("words", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
@@ -146,10 +164,30 @@ def bucket_parts(tokens: np.ndarray) -> np.ndarray:
 PACKED = ("firsts", "many", "seconds", "n", "target", "docs", "doc", "times")
 ROW = "kind int, bucket int, part int, batch long, ids array<long>, words array<long>, " + ", ".join(f"{x} binary" for x in PACKED)
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), *((x, pa.binary()) for x in PACKED)])
-_TYPES = dict(zip(PACKED, (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32), strict=True))
+_PLAIN = {"seconds": np.uint32, "doc": np.uint16}
 FIRSTS, BIGRAMS, DOCUMENTS = 0, 1, 2
 
 
+def _zipped(own: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(own.tobytes())
+
+
+def _unzipped(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
+
+
+def _put(column: str, own: np.ndarray) -> bytes:
+    if column == "firsts":
+        return _five_bytes(own)
+    return own.astype(_PLAIN[column]).tobytes() if column in _PLAIN else _zipped(own.astype(np.uint32))
+
+
+def _got(column: str, raw: bytes) -> np.ndarray:
+    if column == "firsts":
+        return _from_five_bytes(raw)
+    return np.frombuffer(raw, dtype=_PLAIN[column]) if column in _PLAIN else _unzipped(raw, np.uint32)
+
+
 def _runs(own: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts."""
     return np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
@@ -178,8 +216,8 @@ def _packed(marks: list, lines: list[np.ndarray], parts: np.ndarray) -> Iterator
 
     def row(kind: int, part: int, rows: np.ndarray, own: np.ndarray, **more) -> dict:
         heads = _runs(first[rows])
-        columns = {"firsts": words[first[rows][heads]], "many": np.diff(np.append(heads, len(rows))), "seconds": second[rows], "n": n[rows], "target": target[rows], "docs": docs[rows], "doc": doc[own], "times": times[own]} | more
-        return {"kind": kind, "bucket": int(bucket[rows[0]]), "part": part} | {k: v.astype(_TYPES[k]).tobytes() for k, v in columns.items()}
+        columns = {"firsts": _forty(words[first[rows][heads]], len(parts)), "many": np.diff(np.append(heads, len(rows))), "seconds": second[rows], "n": n[rows], "target": target[rows], "docs": docs[rows], "doc": doc[own], "times": times[own]} | more
+        return {"kind": kind, "bucket": int(bucket[rows[0]]), "part": part} | {k: _put(k, v) for k, v in columns.items()}
 
     none = np.zeros(0)
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -199,8 +237,8 @@ def _packed(marks: list, lines: list[np.ndarray], parts: np.ndarray) -> Iterator
 
 def _read(rows: list[dict], column: str) -> tuple[np.ndarray, np.ndarray]:
     """A column of all rows, and how much of it each has."""
-    own = [np.frombuffer(r[column], dtype=_TYPES[column]) for r in rows]
-    return np.concatenate(own) if own else np.zeros(0, dtype=_TYPES[column]), np.array([len(x) for x in own], dtype=np.int64)
+    own = [_got(column, r[column]) for r in rows]
+    return np.concatenate(own) if own else np.zeros(0, dtype=np.uint32), np.array([len(x) for x in own], dtype=np.int64)
 
 
 def _priced(rows: list[dict], outcomes: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -224,8 +262,8 @@ def _priced(rows: list[dict], outcomes: int) -> Iterator[tuple[int, bytes, bytes
     units = np.rint(loss * UNITS).astype(np.uint16)[:, pair]
     ends = np.cumsum(per_row)
     for r, a, b in zip(rows, ends - per_row, ends, strict=True):
-        docs = np.frombuffer(r["docs"], dtype=np.uint32)
-        yield r["batch"], r["doc"], r["times"], np.repeat(units[0, a:b], docs).tobytes(), np.repeat(units[1, a:b], docs).tobytes()
+        docs = _got("docs", r["docs"])
+        yield r["batch"], r["doc"], r["times"], _zipped(np.repeat(units[0, a:b], docs)), _zipped(np.repeat(units[1, a:b], docs))
 
 
 ANSWER = "batch long, ids array<long>, words array<long>, doc binary, times binary, target binary, background binary"
@@ -267,10 +305,10 @@ def score(docs: DataFrame, trusted: DataFrame, found: Survey) -> DataFrame:
                 if r["ids"] is not None:
                     ids, words = r["ids"], np.array(r["words"], dtype=np.int64)
                     continue
-                doc, times = np.frombuffer(r["doc"], dtype=np.uint16), np.frombuffer(r["times"], dtype=np.uint32).astype(np.int64)
+                doc, times = _got("doc", r["doc"]), _got("times", r["times"]).astype(np.int64)
                 np.add.at(sums[0], doc, times)
                 for k, column in ((1, "target"), (2, "background")):
-                    np.add.at(sums[k], doc, times * np.frombuffer(r[column], dtype=np.uint16))
+                    np.add.at(sums[k], doc, times * _unzipped(r[column], np.uint16))
             if ids is None or not np.array_equal(sums[0, : len(ids)], np.where(words > 0, words + 1, 0)):
                 raise RuntimeError(f"batch {batch} was packed in two different orders")
             target, background = sums[1:, : len(ids)] / (np.maximum(sums[0, : len(ids)], 1) * UNITS)
