@@ -153,8 +153,9 @@ def test_files_and_wiki(spark, tmp_path):
     (tmp_path / "in" / "bad.txt").write_bytes(b"\xff\xfe")
     read = files.text_files(spark, f"{tmp_path}/in")
     assert sorted(r.content for r in read.collect()) == ["Merhaba dünya", "ikinci"]
-    registry = files.updated_registry(spark.createDataFrame([], "path string, content_hash string"), files.changed_files(read, spark.createDataFrame([], "path string, content_hash string")))
-    assert files.changed_files(read, registry).count() == 0
+    none = files.empty_registry(spark)
+    registry = files.updated_registry(none, files.file_documents(files.changed_files(read, none), none))
+    assert files.changed_files(read, registry).count() == 0 and sorted(r.doc_id for r in registry.collect()) == [0, 1]
     pages = [("A b", "x" * 120, 1), ("A b", "y" * 120, 2), ("C", "#redirect [[A]]", 3), ("D", "short", 4)]
     wiki = spark.createDataFrame(pages, "title string, text string, ord long")
     assert [(r.part, r.text[0]) for r in files.wiki_documents(wiki).collect()] == [("a_b", "y")]

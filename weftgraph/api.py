@@ -8,38 +8,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.operators import learning, morphology
+from weftgraph.functions.turkish import VERB_STEMS
+from weftgraph.operators import learning, morphology, routing
 from weftgraph.operators.answers import Turn, ask
 from weftgraph.operators.graph import Graph, build_graph, merged, word_stats
+from weftgraph.session import written
 from weftgraph.sources import files, store
 
-__all__ = ["Chunker", "Graph", "Turn", "add_documents", "ask", "build_graph", "chunk_with", "ingest_folder", "maintain", "reinforce", "register_sql"]
+__all__ = ["Chunker", "Graph", "Turn", "add_documents", "ask", "build_graph", "ingest_documents", "ingest_dump", "ingest_folder", "maintain", "reinforce", "register_sql"]
 
 
 class Chunker(Protocol):
-    """Cuts a text column into an array of chunks."""
+    """Cuts a text column into an array of chunks; build_graph takes one."""
 
     def __call__(self, text: Column) -> Column: ...
 
 
-def chunk_with(docs: DataFrame, chunker: Chunker = T.chunks) -> DataFrame:
-    return docs.select("doc_id", "part", F.posexplode(chunker(F.col("text"))).alias("pos", "chunk"))
+def add_documents(graph: Graph, docs: DataFrame, chunker: Chunker | None = None) -> Graph:
+    """graph with docs (doc_id, part, text) added; chunks of documents without a part go where they are routed to."""
+    stats = written(word_stats(graph.nodes, graph.edges), "stats")
+    return merged(graph, build_graph(docs, stats, chunker=chunker, parts=routing.catalog(graph.nodes)))
 
 
-def add_documents(graph: Graph, docs: DataFrame) -> Graph:
-    return merged(graph, build_graph(docs, word_stats(graph.nodes, graph.edges)))
+def _stored_stats(spark: SparkSession, graph_path: str) -> DataFrame:
+    if store.current_version(spark, graph_path) is None:
+        return morphology.no_stats(spark)
+    old = store.load_graph(spark, graph_path)
+    return written(word_stats(old.nodes, old.edges), "stats")
+
+
+def ingest_documents(docs: DataFrame, graph_path: str) -> None:
+    """Add docs (doc_id, part, text) to the graph at graph_path, of which only the affected buckets are written anew."""
+    spark = docs.sparkSession
+    parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
+    store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), parts=parts), graph_path)
 
 
-def ingest_folder(spark: SparkSession, folder: str, graph_path: str, registry: DataFrame) -> DataFrame:
+def ingest_folder(spark: SparkSession, folder: str, graph_path: str, registry: DataFrame | None = None) -> DataFrame:
     """Add the folder's new and changed text files to the graph at graph_path; the updated registry. What a changed file said before stays."""
-    changed = files.changed_files(files.text_files(spark, folder), registry)
-    versioned = changed.withColumn("path_version", F.concat_ws("#", "path", "content_hash"))
-    docs = files.file_documents(versioned).withColumn("doc_id", F.pmod(F.hash("doc_id", "text").cast("long") + F.col("doc_id"), F.lit(1 << 35)))
-    if store.current_version(spark, graph_path) is None:
-        store.save_graph(build_graph(docs, morphology.no_stats(spark)), graph_path)
-    else:
-        store.save_graph(add_documents(store.load_graph(spark, graph_path), docs), graph_path)
-    return files.updated_registry(registry, changed)
+    registry = files.empty_registry(spark) if registry is None else registry
+    docs = written(files.file_documents(files.changed_files(files.text_files(spark, folder), registry), registry), "docs")
+    if not docs.isEmpty():
+        ingest_documents(docs, graph_path)
+    return files.updated_registry(registry, docs)
+
+
+def ingest_dump(spark: SparkSession, dump: str, graph_path: str) -> DataFrame:
+    """Read a wiki dump (.xml or .xml.bz2) into the graph at graph_path, a part for each page, in place of a part of its name; how
+    many pages were processed and skipped, one row."""
+    pages = written(files.wiki_pages(spark, dump), "pages")
+    docs = files.numbered(files.wiki_documents(pages), "part")
+    store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), order="wiki"), graph_path, replace_parts=True)
+    return files.page_counts(pages)
 
 
 def reinforce(graph: Graph, activation: DataFrame) -> Graph:
@@ -54,6 +74,10 @@ def maintain(graph: Graph) -> Graph:
 
 SQL_FUNCTIONS = (
     "weft_lower_tr(text STRING) RETURNS STRING RETURN lower(translate(text, 'İI', 'iı'))",
+    "weft_last_vowel(word STRING) RETURNS STRING RETURN nullif(CASE lower(word) WHEN 'rust' THEN 'a' WHEN 'wgpu' THEN 'u' ELSE translate(regexp_extract(word, '([aeıioöuüAEIİOÖUÜ])[^aeıioöuüAEIİOÖUÜ]*$', 1), 'AEIİOÖUÜ', 'aeıioöuü') END, '')",
+    "weft_narrow_vowel(word STRING) RETURNS STRING RETURN CASE WHEN weft_last_vowel(word) IN ('a', 'ı') THEN 'ı' WHEN weft_last_vowel(word) IN ('o', 'u') THEN 'u' WHEN weft_last_vowel(word) IN ('ö', 'ü') THEN 'ü' ELSE 'i' END",
+    "weft_wide_vowel(word STRING) RETURNS STRING RETURN CASE WHEN weft_last_vowel(word) IN ('a', 'ı', 'o', 'u') THEN 'a' ELSE 'e' END",
+    "weft_is_verb_stem(word STRING) RETURNS BOOLEAN RETURN weft_lower_tr(word) IN (" + ", ".join(f"'{v}'" for v in VERB_STEMS) + ")",
     "weft_folded(text STRING) RETURNS STRING RETURN translate(weft_lower_tr(text), 'ığüşöçĞÜŞÖÇ', 'igusocGUSOC')",
     r"weft_words(text STRING) RETURNS ARRAY<STRING> RETURN filter(split(weft_lower_tr(text), r'[^\p{IsAlphabetic}_$-]'), w -> octet_length(w) > 1)",
     "weft_is_operator(text STRING) RETURNS BOOLEAN RETURN trim(text) IN ('+', '-', '*', '/', '=')",

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.operators import morphology
+from weftgraph.operators import morphology, routing
 from weftgraph.session import written
 
 CHUNK_PLACES = 1 << 7
@@ -44,9 +44,10 @@ def place(doc_id: Column, pos: Column, rank: Column | int = 0) -> Column:
     return F.when(fits, doc_id * DOC_PLACES + pos * CHUNK_PLACES + rank).otherwise(F.raise_error(F.lit("a doc_id or chunk number is out of range")).cast("long"))
 
 
-def chunked(docs: DataFrame, chunker: Callable[[Column], Column] | None = None) -> DataFrame:
-    """chunks of docs (doc_id, part, text), in order from 0, by chunker or as text.chunks cuts them. A narrow map."""
-    named = docs.where("doc_id is not null and part is not null")
+def chunked(docs: DataFrame, chunker: Callable[[Column], Column] | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """chunks of docs (doc_id, part, text), in order from 0, by chunker or as text.chunks cuts them. A narrow map. With parts,
+    documents without a part have chunks without one."""
+    named = docs.where("doc_id is not null and part is not null" if parts is None else "doc_id is not null")
     return named.select("doc_id", "part", F.posexplode((chunker or T.chunks)(F.col("text"))).alias("pos", "chunk"))
 
 
@@ -130,13 +131,26 @@ def word_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def build_graph(docs: DataFrame, stats: DataFrame, order: str = "text", chunker: Callable[[Column], Column] | None = None) -> Graph:
+def routed_chunks(chunks: DataFrame, parts: DataFrame, stats: DataFrame) -> DataFrame:
+    """chunks, each without a part in the one of parts (part) that it matches best as a query, or in `general`."""
+    lost = chunks.where("part is null").select(place(F.col("doc_id"), F.col("pos")).alias("query_id"), F.col("chunk").alias("query"))
+    best = routing.route(lost, parts, stats, most=1).select("query_id", F.col("part").alias("found"))
+    placed = chunks.withColumn("query_id", place(F.col("doc_id"), F.col("pos"))).join(best, "query_id", "left")
+    return placed.select("doc_id", F.coalesce("part", "found").alias("part"), "pos", "chunk")
+
+
+def build_graph(
+    docs: DataFrame, stats: DataFrame, order: str = "text", chunker: Callable[[Column], Column] | None = None, parts: DataFrame | None = None
+) -> Graph:
     """The whole graph of docs: chunks, concepts with their roles, sentence templates.
 
+    Documents without a part are left out, or with parts (part) each of their chunks goes to the one that it is routed to.
     chunker cuts a text column into an array of chunks. stats is the snapshot of word_stats that the stemmer reads. order "text" writes a chunk's own sequence edge last and leaves
     out concepts of chunks without a template; "wiki" writes it first, keeps all concepts and makes no template nodes.
     """
-    chunks = written(chunked(docs, chunker), "chunks")
+    chunks = written(chunked(docs, chunker, parts), "chunks")
+    if parts is not None:
+        chunks = written(routed_chunks(chunks, parts, stats), "chunks")
     split = morphology.concepts_of(chunks.select("chunk").distinct(), stats)
     texts = written(chunks.join(split, "chunk"), "texts")
     at = place(F.col("doc_id"), F.col("pos"))
