@@ -15,26 +15,30 @@ from weftgraph.session import table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough certainty. The model learns from those of docs that are not held out."""
+    """Documents whose language is told with enough certainty. The model learns from those of docs that are not held out.
+
+    Texts that are null or without a letter go; repeated rows stay each; all columns stay, whatever their names; no rows give none.
+    """
     return langid.identified(docs, langid.learn(docs.where(~langid.held_out(docs.doc_id))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies: that of the least id."""
+    """One document of each group of copies and near copies: that of the least id, of equal rows one; a null text is a group of its own."""
     return jaccard.first_of_each_class(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts have none."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data; n_chars follows the new text."""
+    """All documents, with pseudonyms for personal data; n_chars follows the new text, and is null where that is."""
     return pii.pseudonymise(docs, queries.pseudonym_key(spark), counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and whether they decode to the text: one row for each document; a null text counts as empty, with no ids."""
     return bpe.token_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
