@@ -12,7 +12,7 @@ from weftgraph.functions.turkish import VERB_STEMS
 from weftgraph.operators import learning, morphology, routing
 from weftgraph.operators.answers import Turn, ask
 from weftgraph.operators.graph import Graph, build_graph, merged, word_stats
-from weftgraph.session import written
+from weftgraph.session import scratch, written
 from weftgraph.sources import files, store
 
 __all__ = ["Chunker", "Graph", "Turn", "add_documents", "ask", "build_graph", "ingest_documents", "ingest_dump", "ingest_folder", "maintain", "reinforce", "register_sql"]
@@ -40,8 +40,9 @@ def _stored_stats(spark: SparkSession, graph_path: str) -> DataFrame:
 def ingest_documents(docs: DataFrame, graph_path: str) -> None:
     """Add docs (doc_id, part, text) to the graph at graph_path, of which only the affected buckets are written anew."""
     spark = docs.sparkSession
-    parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
-    store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), parts=parts), graph_path)
+    with scratch(spark):
+        parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
+        store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), parts=parts), graph_path)
 
 
 def ingest_folder(spark: SparkSession, folder: str, graph_path: str, registry: DataFrame | None = None) -> DataFrame:
@@ -57,8 +58,9 @@ def ingest_dump(spark: SparkSession, dump: str, graph_path: str) -> DataFrame:
     """Read a wiki dump (.xml or .xml.bz2) into the graph at graph_path, a part for each page, in place of a part of its name; how
     many pages were processed and skipped, one row."""
     pages = written(files.wiki_pages(spark, dump), "pages")
-    docs = files.numbered(files.wiki_documents(pages), "part")
-    store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), order="wiki"), graph_path, replace_parts=True)
+    with scratch(spark):
+        docs = files.numbered(files.wiki_documents(pages), "part")
+        store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), order="wiki"), graph_path, replace_parts=True)
     return files.page_counts(pages)
 
 

@@ -93,6 +93,7 @@ def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Co
 
 
 def is_code(text: Column, trim: bool = True) -> Column:
+    # How code begins, and what only code holds.
     t = trimmed(text) if trim else text
     return t.rlike(r"^((fn|let|struct|impl|use|pub|\$|>) )") | t.contains("println!") | (t.contains("{") & t.contains("}") & t.contains("\n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import joined_by_share
-from weftgraph.session import written
+from weftgraph.session import dropped, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,8 +34,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = joined_by_share(large, least, "a", "n", state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        before, state = state, _state(edges)
+        before, old, edges = state, edges, written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(old)
+        dropped(large)
+        state = _state(edges)
         if state == before:
             break
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +39,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file:///tmp/weftgraph-{spark.sparkContext.applicationId}"
 
 
+_scopes = threading.local()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to a fresh Parquet table in the shared folder and read it back: columns stay prunable, unlike in a checkpoint."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for own in getattr(_scopes, "open", [])[-1:]:
+        own.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that written() made and that nothing reads any more."""
+    _deleted(df.sparkSession, df.written_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes within are deleted at the end. For work whose results are stored elsewhere by then."""
+    held = _scopes.__dict__.setdefault("open", [])
+    held.append([])
+    try:
+        yield
+    finally:
+        for path in held.pop():
+            _deleted(spark, path)
