@@ -6,11 +6,12 @@ dictionary. Words are analysed once each, and what is found is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.functions.turkish import VERB_STEMS, hardened
+from weftgraph.operators.skew import joined_by_share
 from weftgraph.session import written
 
 #: Noun suffixes and their endings in the order in which they are tried.
@@ -140,17 +141,23 @@ def concepts_of(texts: DataFrame, stats: DataFrame) -> DataFrame:
     none = split.where("kind <> 'words'").select(
         "chunk", F.when(F.col("kind") == "whole", F.array(plain)).otherwise(F.col("words")).alias("concepts"), F.lit("").alias("template")
     )
-    placed = split.where("kind = 'words'").select("chunk", F.posexplode_outer("words").alias("pos", "word"))
-    tokens = written(placed.select("word").where("word is not null").distinct(), "tokens")
-    connects = T.lower_tr(F.col("word")).isin(*CONNECTIVES)
-    nouns = noun_stems(tokens, stats)
-    named = placed.join(verbs(tokens, stats), "word", "left").join(nouns, "word", "left").withColumn("joins", connects)
-    first = Window.partitionBy("chunk")
-    is_noun = F.col("word").isNotNull() & ~F.col("joins") & F.col("verb").isNull()
-    named = named.withColumn("first_noun", F.min(F.when(is_noun, F.col("pos"))).over(first))
-    slot = F.when(F.col("joins"), T.lower_tr(F.col("word"))).when(F.col("verb").isNotNull(), F.concat(F.lit(T.VERB), "tense"))
-    slot = slot.otherwise(F.concat(F.when(F.col("pos") == F.col("first_noun"), T.SUBJECT).otherwise(T.OBJECT), F.col("suffix")))
-    concept = F.when(F.col("joins"), F.lit(None)).when(F.col("verb").isNotNull(), F.concat(F.lit("["), "verb", F.lit("]"))).otherwise(F.col("stem"))
-    rows = named.groupBy("chunk").agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", slot.alias("slot"), concept.alias("concept"))))).alias("rows"))
-    kept = F.filter(F.transform("rows", lambda r: r["concept"]), lambda c: c.isNotNull())
-    return rows.select("chunk", F.array_distinct(kept).alias("concepts"), F.array_join(F.transform("rows", lambda r: r["slot"]), " + ").alias("template")).unionByName(none)
+    # a chunk's words are analysed once for all chunks; frequent ones don't meet in one task
+    placed = written(split.where("kind = 'words'").select("chunk", F.posexplode("words").alias("pos", "word")), "placed")
+    tokens = written(placed.groupBy("word").agg(F.count("*").alias("n")), "tokens")
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    analysed = written(tokens.join(noun_stems(tokens, stats), "word").join(verbs(tokens, stats), "word", "left"), "analysed")
+    named = joined_by_share(placed, analysed, "word", "n", total).select("chunk", F.struct("pos", "word", "stem", "suffix", "verb", "tense").alias("r"))
+    rows = named.groupBy("chunk").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    joins = lambda r: T.lower_tr(r["word"]).isin(*CONNECTIVES)
+    nouns = F.filter("rows", lambda r: ~joins(r) & r["verb"].isNull())
+    rows = rows.select("chunk", "rows", F.get(nouns, 0)["pos"].alias("first_noun"))
+
+    def slot(r: Column) -> Column:
+        noun = F.concat(F.when(r["pos"] == F.col("first_noun"), T.SUBJECT).otherwise(T.OBJECT), r["suffix"])
+        return F.when(joins(r), T.lower_tr(r["word"])).when(r["verb"].isNotNull(), F.concat(F.lit(T.VERB), r["tense"])).otherwise(noun)
+
+    concept = lambda r: F.when(joins(r), F.lit(None)).when(r["verb"].isNotNull(), F.concat(F.lit("["), r["verb"], F.lit("]"))).otherwise(r["stem"])
+    concepts = F.array_distinct(F.filter(F.transform("rows", concept), lambda c: c.isNotNull()))
+    found = rows.select("chunk", concepts.alias("concepts"), F.array_join(F.transform("rows", slot), " + ").alias("template"))
+    empty = split.where("kind = 'words' and size(words) = 0").select("chunk", F.col("words").alias("concepts"), F.lit("").alias("template"))
+    return found.unionByName(none).unionByName(empty)
