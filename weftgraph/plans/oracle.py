@@ -6,7 +6,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions.turkish import VERB_STEMS
 from weftgraph.operators.morphology import CONNECTIVES, ENDINGS, WHOLE_ENDINGS
 from weftgraph.operators.routing import SYNONYMS
-from weftgraph.plans.queries import CONJUGATED, INFLECTED, KEYWORDS, ROUTED
+from weftgraph.plans.queries import CONJUGATED, INFLECTED, KEYWORDS, LOADED, ROUTED
 
 
 def _values(rows: tuple) -> str:
@@ -130,6 +130,15 @@ _FORMS = (
     ("tense", "kullan", "-di", "kullandı"), ("tense", "çalış", "-di", "çalıştı"), ("tense", "yaz", "-r", "yazar"),
     ("tense", "çöz", "-meli", "çözmeli"), ("tense", "gör", "-r", "görür"), ("tense", "oku", "-mek", "okur"),
 )
+_FINISHED = (
+    ("bu bir kitap", "tr", "Bu bir kitaptır."), ("all of it", "en", "All of it."), ("sistem güvenli", "tr", "Sistem güvenlidir."), ("hızlı araba", "tr", "Hızlı arabadır."),
+    ("kuş", "tr", "Kuştur."), ("done!", "en", "Done!"), ("", "tr", ""),
+)
+_SAID = (
+    ("[Özne] + [Nesne]-i + [Eylem]-r", "tr", "Rust güvenliği sağlar."), ("[Özne] + [Nesne]-i + [Eylem]-r", "en", "Rust güvenlik sağla."),
+    ("[Özne] + [Nesne]-e + [Eylem]-di", "tr", "Sistem hafızaya kullandı."), ("[Nesne]-de + ve + [Özne]-den + [Eylem]-meli", "tr", "Hafızada ve sistemden kullanmalı."),
+)
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), '(?s)<[^>]*(>|\z)|>', '', 'g'), '\s+', ' ', 'g')"
 assert len(_FORMS) == len(INFLECTED) + len(CONJUGATED)
 
 FILE_STEM = r"translate(regexp_replace(regexp_replace(lower(p_name || '.txt'), '\.[^.]*$', ''), '^rust_', ''), ' ', '_')"
@@ -294,6 +303,24 @@ ORACLE = {
         SELECT src_id, dst_id, hops FROM pairs JOIN near ON a = src_id AND b = dst_id""",
     "tag_overlap_pairs": f"""WITH {_graph(ITEMS)}, {ITEM_PAIRS}, shared AS (SELECT src_id, dst_id, sum(least(a.weight, b.weight)) AS overlap FROM pairs JOIN tags a ON a.node_id = src_id JOIN tags b ON b.node_id = dst_id AND b.tag = a.tag GROUP BY ALL)
         SELECT src_id, dst_id, coalesce(overlap, 0.0) AS overlap FROM pairs LEFT JOIN shared USING (src_id, dst_id)""",
+    "wiki_pages": rf"""WITH clean AS (SELECT page_id, url AS title, CASE WHEN name = '' THEN 'general' ELSE name END AS part, {TRIM.format(PLAIN)} AS text
+        FROM (SELECT *, {_title('url')} AS name FROM pages) WHERE NOT contains(upper(html), '#REDIRECT') AND NOT contains(upper(html), '#YÖNLENDİRME'))
+        SELECT part, title, text FROM clean WHERE strlen(text) >= 100 QUALIFY row_number() OVER (PARTITION BY part ORDER BY page_id DESC) = 1""",
+    "template_nodes": f"""WITH RECURSIVE {_concept_graph()} SELECT part, node_id, content FROM cnodes
+        WHERE contains(content, ' + ') OR contains(content, '{T.SUBJECT}') OR contains(content, '{T.OBJECT}') OR contains(content, '{T.VERB}')""",
+    "finished_sentences": f"SELECT * FROM (VALUES {_values(_FINISHED)}) f(sentence, lang, finished)",
+    "template_sentences": f"SELECT * FROM (VALUES {_values(_SAID)}) f(template, lang, sentence)",
+    "bare_words": rf"""SELECT word, count(*) AS n FROM (SELECT {BARE_WORD} AS word FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)) WHERE word <> '' GROUP BY word""",
+    "loaded_parts": f"WITH {_chunks(DOCS)}, {NODES} SELECT part, node_id, content, {KIND.replace('text', 'content')} AS node_type FROM nodes WHERE part IN {LOADED}",
+    "store_in_two_steps": f"""WITH {_chunks(DOCS)}, both_steps AS (SELECT part, chunk AS content, coalesce(min(place) FILTER (doc_id % 2 = 0), min(place)) AS node_id FROM chunks GROUP BY ALL)
+        SELECT part, node_id, content, {KIND.replace('text', 'content')} AS node_type FROM both_steps""",
+    "routed_chunks": rf"""WITH RECURSIVE {_chunks(DOCS)}, {NO_STATS}, {PART_NAMES}, {PART_INDEX},
+        asked AS (SELECT DISTINCT place, {FOLD.format('word')} AS word FROM (SELECT place, unnest(list_filter(regexp_split_to_array(lower(chunk), '[\s?!.,]'), lambda w: strlen(w) > 1)) AS word FROM chunks)),
+        tokens AS (SELECT DISTINCT word FROM asked), {STEMS}, stems AS (SELECT DISTINCT place, {FOLD.format('stem')} AS stem FROM asked JOIN nouns USING (word) WHERE stem <> ''),
+        counts AS (SELECT stem, count(DISTINCT part) AS n FROM (SELECT DISTINCT stem FROM stems) LEFT JOIN part_index ON key = stem GROUP BY stem),
+        scored AS (SELECT place, part, sum({RARITY}) AS score FROM stems JOIN counts USING (stem) JOIN part_index ON key = stem GROUP BY ALL),
+        best AS (SELECT place, part FROM scored QUALIFY row_number() OVER (PARTITION BY place ORDER BY round(score, 9) DESC, part) = 1)
+        SELECT doc_id, pos, coalesce(b.part, 'general') AS part FROM chunks LEFT JOIN best b USING (place)""",
     "running_lines": f"WITH {HEADED}, {RUNNING} SELECT path, line, n_pages FROM running",
     "running_page_text": f"""WITH {HEADED}, {RUNNING}, good AS (SELECT path, page_no, line_no, {_capped('line')} AS line FROM lines
         WHERE NOT {IS_NUMBER} AND NOT {IS_CONTENTS} AND NOT {IS_COLLAPSED} AND (path, line) NOT IN (SELECT (path, line) FROM running)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from weftgraph.operators import activation, answers, graph, learning, morphology
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.graph import KEY, SEMANTIC, SEQUENTIAL
 from weftgraph.sources import files, store
-from weftgraph.session import table, written
+from weftgraph.session import shared_folder, table, written
 from weftgraph.streaming.ingest import co_firings
 
 #: Keyword queries, and queries that name parts.
@@ -26,6 +27,14 @@ INFLECTED = (
 CONJUGATED = (("sağla", "-r"), ("et", "-r"), ("engelle", "-meli"), ("kullan", "-di"), ("çalış", "-di"), ("yaz", "-r"), ("çöz", "-meli"), ("gör", "-r"), ("oku", "-mek"))
 
 
+FINISHED = (("bu bir kitap", "tr"), ("all of it", "en"), ("sistem güvenli", "tr"), ("hızlı araba", "tr"), ("kuş", "tr"), ("done!", "en"), ("", "tr"))
+REALISED = (
+    ("Rust", "güvenlik", "[sağla]", "[Özne] + [Nesne]-i + [Eylem]-r", "tr"), ("Rust", "güvenlik", "[sağla]", "[Özne] + [Nesne]-i + [Eylem]-r", "en"),
+    ("sistem", "hafıza", "[kullan]", "[Özne] + [Nesne]-e + [Eylem]-di", "tr"), ("sistem", "hafıza", "[kullan]", "[Nesne]-de + ve + [Özne]-den + [Eylem]-meli", "tr"),
+)
+LOADED = ("en_src1", "de_src2", "fr_src3")
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "lang", "source").alias("part"), "text")
 
@@ -331,6 +340,48 @@ def inflect_words(spark, sf_dir):
     return rows.select("kind", "word", "ending", F.when(F.col("kind") == "case", turkish.with_case(word, ending)).otherwise(turkish.with_tense(word, ending)).alias("form"))
 
 
+def finished_sentences(spark, sf_dir):
+    rows = spark.createDataFrame(list(FINISHED), "sentence string, lang string")
+    return rows.select("sentence", "lang", turkish.finished(F.col("sentence"), F.col("lang"), F.lit(False)).alias("finished"))
+
+
+def template_sentences(spark, sf_dir):
+    rows = spark.createDataFrame(list(REALISED), "subject string, object string, verb string, template string, lang string")
+    said = turkish.realised(F.array("subject"), F.array("object"), F.array("verb"), F.col("template"), F.col("lang"))
+    return rows.select("template", "lang", said.alias("sentence"))
+
+
+def bare_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"(?U)\s+")).alias("w")).select(T.without_punctuation(F.col("w")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def loaded_parts(spark, sf_dir):
+    """Nodes of a few parts, read back from the store of the whole graph."""
+    at = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    store.save_graph(graph.chunk_graph(_docs(spark, sf_dir)), at)
+    return store.load_graph(spark, at, list(LOADED)).nodes
+
+
+def store_in_two_steps(spark, sf_dir):
+    """Nodes of a store to which documents of even ids came first, and the others after."""
+    at, docs = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", _docs(spark, sf_dir)
+    for rest in (0, 1):
+        store.add_to_store(graph.chunk_graph(docs.where(F.col("doc_id") % 2 == rest)), at)
+    return store.load_graph(spark, at).nodes
+
+
+def routed_chunks(spark, sf_dir):
+    """Each chunk of all documents, as if they had no part, with the part that it is routed to."""
+    chunks = graph.chunked(_docs(spark, sf_dir).withColumn("part", F.lit(None).cast("string")), parts=_parts(spark, sf_dir))
+    found = graph.routed_chunks(written(chunks, "chunks"), written(_parts(spark, sf_dir), "parts"), morphology.no_stats(spark))
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "part")
+
+
+def template_nodes(spark, sf_dir):
+    return _concept_graph(spark, sf_dir).nodes.where(T.is_template(F.col("content"))).select("part", "node_id", "content")
+
+
 def _tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(T.words_of(F.col("text"))).alias("word")).distinct()
 
@@ -453,6 +504,6 @@ QUERIES = {
         language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
         wiki_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
         stem_tokens_without_stats, detect_verbs, concept_templates, concept_graph, concept_graph_of_pages, concept_nodes, concept_tags, verb_roles,
-        document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
+        template_nodes, finished_sentences, template_sentences, bare_words, loaded_parts, store_in_two_steps, routed_chunks, document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
     )
 }
