@@ -501,6 +501,7 @@ def test_lm_scores_do_not_depend_on_batches_and_buckets(spark, docs, monkeypatch
         monkeypatch.setattr(lmscore, "HOT", hot)
         assert lmscore.bucket_parts(found.tokens).max() > 1
         assert rounded(lmscore.score(rows, trusted, found)) == want
+        monkeypatch.setattr(lmscore, "TRUSTED_HELD", 3)
     many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert quality.trusted_ids(many).count() == 50_000
 

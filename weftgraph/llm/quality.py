@@ -46,12 +46,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id and text of docs with mark, 1 for trusted documents and 0 for others. A merge at every size, as trusted grows with the
+    corpus; documents without an id are spread by their texts. Each task's documents are in the order of id and text's hash."""
+    lone = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), lone.alias("lone"))
+    rows = named.repartition("id", "lone").sortWithinPartitions("id", "lone", F.xxhash64("text"))
+    marks = trusted.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("lone"), F.lit(1).alias("mark"))
+    return rows.join(marks.hint("merge"), ["id", "lone"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
+
+
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """Log ratio of the trusted to the raw multinomial for each bucket. Counts are summed in each task before the shuffle."""
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("mark")), "doc_id", "left")
-    marked = marked.select(words_of(F.col("text")).alias("words"), "mark")
+    words = marked(docs, trusted).select(words_of(F.col("text")).alias("words"), "mark")
     counts = (
-        marked.select(F.explode(buckets_of(F.col("words"), buckets)).alias("bucket"), F.coalesce("mark", F.lit(0)).alias("mark"))
+        words.select(F.explode(buckets_of(F.col("words"), buckets)).alias("bucket"), "mark")
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("mark").alias("target"))
         .collect()
