@@ -536,6 +536,10 @@ def test_language_id(spark, edge, none):
     for r in few.collect():
         lang_pred, score = plain_language(model, r.text)
         assert (lang_pred, round(score, 4)) == next((x.lang_pred, round(x.score, 4)) for x in rows if x.doc_id == r.doc_id)
+    scorer, sparse = langid.Scorer(model), langid.Scorer(model)
+    sparse.dense = None
+    for r in few.collect():
+        assert scorer.predict(r.text)[0] == sparse.predict(r.text)[0] and math.isclose(scorer.predict(r.text)[1], sparse.predict(r.text)[1])
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(edge, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[6][0] != "und"
     assert langid.predict(none, langid.learn(none)).count() == 0

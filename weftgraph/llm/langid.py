@@ -34,6 +34,8 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Scores of words, one for each language, that a worker keeps.
 CACHE_SCORES = 1 << 21
+#: Numbers of a model, rows times languages, that a worker unfolds into a matrix; the entries of a larger one are read as they are.
+DENSE = 1 << 23
 #: A pipeline drops documents that score below this.
 LEAST_SCORE = 0.35
 _WORD = regex.compile(r"\p{L}+")
@@ -60,13 +62,23 @@ class Model(NamedTuple):
     lang: np.ndarray  # of each entry
     gain: np.ndarray  # of each entry: its log frequency less the base
 
-    def logs_of(self, token: str, n: int) -> np.ndarray:
-        """Log frequency of a kept token in each language."""
-        out, row = self.base[n].copy(), self.rows[n][token]
-        own = slice(self.starts[row], self.starts[row + 1])
+    def row_logs(self, row: int, n: int) -> np.ndarray:
+        """Log frequency of the token in that row, of length n, in each language."""
+        out, own = self.base[n].copy(), slice(self.starts[row], self.starts[row + 1])
         out[self.lang[own]] += self.gain[own]
         return out
 
+    def logs_of(self, token: str, n: int) -> np.ndarray:
+        return self.row_logs(self.rows[n][token], n)
+
+    def dense(self) -> np.ndarray | None:
+        """All rows as one matrix, if that has no more than DENSE numbers."""
+        if (len(self.starts) - 1) * len(self.langs) > DENSE:
+            return None
+        out = np.repeat(self.base, [len(x) for x in self.rows], axis=0)
+        out[np.repeat(np.arange(len(out)), np.diff(self.starts)), self.lang] += self.gain
+        return out
+
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on docs (doc_id, text, lang), all of which may teach."""
@@ -121,7 +133,7 @@ class Scorer:
     """Scores texts in one worker. Rows of words that it has met are kept in a matrix, which doubles when it is full."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.dense = model, {}, model.dense()
         self.logs = np.zeros((4096, len(model.langs)))
 
     def _row(self, word: str) -> int:
@@ -130,14 +142,20 @@ class Scorer:
             place = self.known[word] = len(self.known)
             if place == len(self.logs):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[place] = self.model.logs_of(word, 0) if word in self.model.rows[0] else self._backoff(word)
+            row = self.model.rows[0].get(word)
+            self.logs[place] = self._backoff(word) if row is None else self._mean([row], 0)
         return place
 
+    def _mean(self, rows: list[int], n: int) -> np.ndarray:
+        if self.dense is None:
+            return np.mean([self.model.row_logs(row, n) for row in rows], axis=0)
+        return self.dense[rows].mean(axis=0) if len(rows) > 1 else self.dense[rows[0]]
+
     def _backoff(self, word: str) -> np.ndarray:
         for n in range(min(GRAM_MOST, len(word) + 2), 0, -1):
             known = self.model.rows[n]
-            if found := [self.model.logs_of(g, n) for g in grams_of(word, n) if g in known]:
-                return np.mean(found, axis=0)
+            if found := [known[g] for g in grams_of(word, n) if g in known]:
+                return self._mean(found, n)
         return np.zeros(len(self.model.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
