@@ -25,6 +25,8 @@ BUCKETS = 16384
 SMOOTHING = 1.0
 #: Mean log ratio that a kept document reaches, in nats for each n-gram.
 LEAST_SCORE = -0.1
+#: Ids of trusted documents that are broadcast at most.
+TRUSTED_HELD = 1 << 22
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -47,13 +49,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id and text of docs with mark, 1 for trusted documents and 0 for others. A merge at every size, as trusted grows with the
-    corpus; documents without an id are spread by their texts. Each task's documents are in the order of id and text's hash."""
+    """doc_id and text of docs with mark, 1 for trusted documents and 0 for others.
+
+    Up to TRUSTED_HELD trusted ids are broadcast, and texts stay where they are; more are merged. Then documents without an id are spread
+    by their texts, and each task's documents are in the order of id and text's hash.
+    """
     lone = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), lone.alias("lone"))
-    rows = named.repartition("id", "lone").sortWithinPartitions("id", "lone", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), lone.alias("lone"))
     marks = trusted.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("lone"), F.lit(1).alias("mark"))
-    return rows.join(marks.hint("merge"), ["id", "lone"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
+    if trusted.count() <= TRUSTED_HELD:
+        marks = F.broadcast(marks)
+    else:
+        rows, marks = rows.repartition("id", "lone").sortWithinPartitions("id", "lone", F.xxhash64("text")), marks.hint("merge")
+    return rows.join(marks, ["id", "lone"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
