@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, decontaminate, jaccard, langid, lmscore, pii, quality, secrets, sharding, tokenfile
+from weftgraph.llm import bpe, decontaminate, divergence, jaccard, langid, lmscore, oracle, pii, quality, secrets, sharding, tokenfile, trie
 from weftgraph.session import table
 
 
@@ -55,6 +55,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -66,7 +74,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_divergence": op11_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 #: Queries whose rows SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_divergence": oracle.SOURCE_DIVERGENCE, "op12_prefix_trie": oracle.PREFIX_TRIE}
