@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, decontaminate, divergence, jaccard, langid, lmscore, oracle, pii, quality, secrets, sharding, tokenfile, trie
+from weftgraph.llm import bpe, decontaminate, divergence, jaccard, langid, lmscore, oddsketch, oracle, pii, quality, secrets, sharding, tokenfile, trie
 from weftgraph.session import table
 
 
@@ -63,6 +63,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_divergence": op11_divergence,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_near_dedup": op13_near_dedup,
 }
 
 #: Queries whose rows SQL can express.
