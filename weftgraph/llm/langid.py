@@ -5,9 +5,8 @@ longest of its character n-grams, from GRAM_MOST down to 1, of which any was kep
 the largest sum over the text's words wins, ties going to the first name.
 
 Training reads about SAMPLE documents of each language at most, chosen by a hash of doc_id among those offered; counts are
-summed in each task before the shuffle. Kept words and n-grams occur twice or more and have a share (languages / KEPT) of their
-language's count or more: at most KEPT for each length, over all languages together. The broadcast model holds an entry for each of
-these alone, and one number for each language and length for all that isn't kept, so it is bounded whatever the languages.
+summed in each task before the shuffle. All words and n-grams that occur twice or more in the sample of a language are kept. The broadcast
+model holds an entry for each of these, and one number for each language and length for all that isn't kept; the sample bounds it.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned;
 documents of null language or id teach nothing; repeated rows are each scored; a very long text is scored whole; an empty
@@ -28,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 3_000
-KEPT = 1_000_000
 GRAM_MOST = 5
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -107,9 +105,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = chosen.mapInArrow(count, "lang string, n int, token string, times long").groupBy("lang", "n", "token").agg(F.sum("times").alias("times")).persist()
     try:
         totals = {(r.lang, r.n): r.total for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()}
-        share = len({lang for lang, _ in totals}) / KEPT
-        least = counts.groupBy("lang", "n").agg((F.sum("times") * F.lit(share)).alias("least"))
-        kept = counts.join(F.broadcast(least), ["lang", "n"]).where((F.col("times") >= F.col("least")) & (F.col("times") >= 2)).drop("least").toPandas()
+        kept = counts.where("times >= 2").toPandas()
     finally:
         counts.unpersist()
     langs = sorted({lang for lang, _ in totals})
