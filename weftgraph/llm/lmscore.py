@@ -16,9 +16,10 @@ in any order. There are as many buckets as keep one at about BUCKET_TOKENS. A bu
 
 A survey counts tokens by bucket and distinct words first. Words go by 40 bits of their xxHash within their cell or bucket (the bits
 before these), second words by 32 within their first word; so with ten million words, less than one pair of them is taken for one.
-Counts and losses are packed by zstandard, as most of them are alike. Trusted documents are marked by their ids: up to
-TRUSTED_HELD of these are broadcast, more are merged with the documents, which then costs a shuffle of the texts. Nothing else of
-the corpus is broadcast or collected but 256 rows of the survey.
+Counts and losses are packed by zstandard, as most of them are alike. Trusted documents are marked as in quality.marked: a filter of
+bounded size is broadcast, and only documents that it lets through are merged with the ids. Nothing else of the corpus is broadcast
+or collected but 256 rows of the survey. A batch must come in the same order if its task is run again, as from files or a sorted
+shuffle.
 
 Defined results: a text without words (null, empty, blank) has no tokens, and losses and score 0.0; repeated rows each count and
 are each scored; labels without an id mark none; without trusted documents the target model is uniform; a very long text makes a
@@ -46,8 +47,6 @@ MASS = 2.0
 UNITS = 1000
 BATCH_TOKENS, BATCH_DOCS, BUCKET_TOKENS = 1 << 20, 60_000, 1 << 21
 HOT = 4
-#: Ids of trusted documents that are broadcast at most, 32 MB.
-TRUSTED_HELD = 1 << 22
 #: Buckets at least; cells of the survey, and parts of each in which tokens are counted.
 BUCKETS, CELLS, PARTS = 512, 256, 16
 CACHE_WORDS = 500_000
@@ -75,16 +74,11 @@ class Hasher:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], trusted: np.ndarray | None = None) -> Iterator[tuple[list, list, list[np.ndarray]]]:
-    """Runs of documents of about BATCH_TOKENS words: ids, marks, and hashes of their words. Marks are a column, or those of trusted, ascending ids."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """Runs of documents of about BATCH_TOKENS words: ids, marks (0 without that column), and hashes of their words."""
     hasher, ids, marks, lines, held = Hasher(), [], [], [], 0
     for batch in batches:
-        if trusted is None:
-            mark = batch.column("mark").to_pylist() if "mark" in batch.schema.names else [0] * batch.num_rows
-        else:
-            own = batch.column("doc_id")
-            known = np.isin(own.fill_null(0).to_numpy(), trusted, assume_unique=False) & own.is_valid().to_numpy(zero_copy_only=False)
-            mark = known.astype(np.int64).tolist()
+        mark = batch.column("mark").to_pylist() if "mark" in batch.schema.names else [0] * batch.num_rows
         for doc_id, text, m in zip(batch.column("doc_id").to_pylist(), batch.column("text"), mark, strict=True):
             own = hasher.of(text.as_py())
             if lines and (held + len(own) > BATCH_TOKENS or len(lines) == BATCH_DOCS):
@@ -284,17 +278,11 @@ def score(docs: DataFrame, trusted: DataFrame, found: Survey) -> DataFrame:
     """One row for each row of docs (doc_id, text); trusted has the ids of the target's documents, each once."""
     parts, outcomes = bucket_parts(found.tokens), found.outcomes
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = None
-    if trusted.count() <= TRUSTED_HELD:
-        ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).toPandas()["doc_id"].to_numpy(dtype=np.int64)
-        held = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
-        rows = named
-    else:
-        rows = marked(named, trusted)
+    rows = marked(named, trusted)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for k, (ids, mark, lines) in enumerate(_batches(batches, held.value if held else None)):
+        for k, (ids, mark, lines) in enumerate(_batches(batches)):
             name = {"batch": task << 24 | k}
             out = [row | name for row in _packed(mark, lines, parts)]
             out.append({"kind": DOCUMENTS, "bucket": -1 - task, "part": k, "ids": ids, "words": [len(x) for x in lines]} | name)
