@@ -301,6 +301,28 @@ def test_pseudonyms(spark, edge, none):
     assert pii.pseudonymise(none, KEY).count() == 0
 
 
+def test_pseudonyms_link_phones_in_any_layout(spark):
+    same = [
+        ["+49 30 1234567", "+49301234567", "+49 (30) 123-4567", "+49-30-1234567", "+49 (0)30 1234567", "+49.30.123.4567"], ["+1 212 555 0147", "+12125550147", "(212) 555-0147", "212-555-0147", "+1 (212) 555-0147"],
+        ["+33 1 23 45 67 89", "+33123456789"], ["+351 21 123 4567", "+351211234567"], ["+7 495 123-45-67", "+74951234567"],
+    ]
+    rows = [(k, f"call {x} now") for k, x in enumerate(x for group in same for x in group)]
+    got = iter([r.text[5:-4] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY, counts=False).orderBy("doc_id").collect()])
+    for group in same:
+        new = [next(got) for _ in group]
+        assert all(re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) and a != b for a, b in zip(group, new, strict=True))
+        code = re.match(r"\+(49|1|33|351|7)", group[0])[0]
+        national = {re.sub(r"\D", "", x.replace(code, "", 1).replace("(0)", "") if x.startswith("+") else x) for x in new}
+        assert all(x.startswith(code) for x in new if x[0] == "+") and len(national) == 1
+
+
+def test_pseudonym_key_is_in_no_plan(spark, docs):
+    key = "not to be seen anywhere"
+    frame = pii.pseudonymise(docs, key)
+    assert key not in frame._jdf.queryExecution().toString() and key not in frame._jdf.queryExecution().explainString(frame._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert queries.pseudonym_key(spark) == queries.pseudonym_key(spark) and len(queries.pseudonym_key(spark)) >= 32
+
+
 def test_pseudonyms_beside_other_numbers(spark):
     """(text, the value that goes, what follows and stays)"""
     cases = [
@@ -467,6 +489,18 @@ def rounded(scored):
     return Counter((r.doc_id, r.n_tokens, round(r.target_loss, 4), round(r.background_loss, 4)) for r in rows)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_trusted_marks(spark, edge, monkeypatch, bits):
+    """Exact whatever passes the filter, and for ids that are null, negative or repeated."""
+    monkeypatch.setattr(quality, "FILTER_BITS", bits)
+    ids = [-5, 0, 3, 4, 1 << 40]
+    rows = edge.select("doc_id", "text").union(spark.createDataFrame([(i, "x") for i in (*ids, *range(100, 200))], "doc_id long, text string"))
+    trusted = spark.createDataFrame([(i,) for i in (*ids, 150, 7_000)], "doc_id long")
+    got = Counter((r.doc_id, r.text, r.mark) for r in quality.marked(rows, trusted).collect())
+    assert got == Counter((r.doc_id, r.text, int(r.doc_id in (*ids, 150))) for r in rows.collect())
+    assert quality.marked(rows, trusted.limit(0)).where("mark = 1").count() == 0
+
+
 def same_losses(a, b):
     a, b = (sorted(x.elements(), key=lambda r: (str(r[0]), *r[1:])) for x in (a, b))
     return len(a) == len(b) and all(x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=2e-4) for x, y in zip(a, b, strict=True))
@@ -501,7 +535,8 @@ def test_lm_scores_do_not_depend_on_batches_and_buckets(spark, docs, monkeypatch
         monkeypatch.setattr(lmscore, "HOT", hot)
         assert lmscore.bucket_parts(found.tokens).max() > 1
         assert rounded(lmscore.score(rows, trusted, found)) == want
-        monkeypatch.setattr(lmscore, "TRUSTED_HELD", 3)
+    monkeypatch.setattr(quality, "FILTER_BITS", 64)  # nearly every document passes the filter
+    assert rounded(lmscore.score(rows, trusted, found)) == want
     many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert quality.trusted_ids(many).count() == 50_000
 
@@ -609,4 +644,4 @@ def test_pipeline(spark, edge):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

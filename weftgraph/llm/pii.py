@@ -7,7 +7,8 @@ pseudonyms in every document and different values of a kind never meet. Kinds:
   ip     four numbers of at most 255: permuted among all such addresses
   date   a day that exists, year first or last: permuted among the days of its 400 years (from 1700, 2100, ...) that can be written
          in its layout, which is kept. Month first with slashes and day first otherwise, the other order where only that can be
-  phone  a number with + and country code, or of three, three and four digits: its last digits are permuted, layout kept
+  phone  a number with + and country code, or of three, three and four digits: the digits behind the country code are permuted and put
+         into the value's layout, so all layouts of a number get one pseudonym; a trunk zero in brackets stays
   ssn    three, two and four digits in the valid ranges: permuted among the valid ones
   card   13 to 19 digits, in one run or in the usual groups, that pass the Luhn test: all but the check digit are permuted, and
          the check digit is computed anew; of four groups of four with a number behind that don't pass, the four groups alone
@@ -16,10 +17,12 @@ A found value that fails its kind's validation stays as it is.
 One round adds to one half of the value a SHA-256 digest of key, kind, round number and the other half, character by
 character modulo the size of the character's class, and swaps the halves: whatever the digest, that can be undone, so a
 round is a permutation of the format. A value that falls outside its layout is permuted again until it doesn't, which keeps
-different values apart. The key is a parameter without default; a deployment passes its own secret.
+different values apart. The key is a parameter without default; a deployment passes its own secret. It reaches the tasks as the one
+row of a table, so no plan, event log or page of the UI shows it.
 
 Defined results: a null text stays null, an empty one empty, with no values; repeated rows and all other columns, whatever their
-names, are kept as they are; equal values in equal layouts get equal pseudonyms, also in one text; an empty table gives no rows.
+names, are kept as they are; equal values get equal pseudonyms, also in one text (dates and e-mail addresses in equal layouts); an
+empty table gives no rows.
 Work is within a row: no shuffle. No pattern repeats a group without a bound, so a long text costs in proportion to its length.
 """
 
@@ -36,6 +39,9 @@ DAYS, DAY_PARTS = 146_097, (189, 773)
 #: Permutations after which a date in its layout is found but for a chance of 1e-21.
 WALK = 200
 SSN_PARTS = (898, 989_901)
+#: Country codes of one and of two digits; all others have three.
+CODES_1 = (1, 7)
+CODES_2 = (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)
 
 _NOT_BEFORE, _NOT_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -70,9 +76,9 @@ KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 
 
-def _number(key: str, tag: str, *parts: Column) -> Column:
+def _number(key: Column, tag: str, *parts: Column) -> Column:
     """48 bits of the digest of key, tag and parts."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), *parts), 256)
+    digest = F.sha2(F.concat_ws("|", key, F.lit(tag), *parts), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
@@ -81,7 +87,7 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def permuted_pair(key: str, tag: str, left: Column, right: Column, sizes: tuple[int, int]) -> tuple[Column, Column]:
+def permuted_pair(key: Column, tag: str, left: Column, right: Column, sizes: tuple[int, int]) -> tuple[Column, Column]:
     """A permutation of the pairs (left below sizes[0], right below sizes[1])."""
 
     def half(acc: Column, k: Column) -> Column:
@@ -94,7 +100,7 @@ def permuted_pair(key: str, tag: str, left: Column, right: Column, sizes: tuple[
     return out["x"], out["y"]
 
 
-def permuted_text(key: str, tag: str, text: Column) -> Column:
+def permuted_text(key: Column, tag: str, text: Column) -> Column:
     """A permutation of the texts with the same layout: ASCII letters by case and digits move in their class, all else stays."""
 
     def shifted(part: Column, k: Column, other: Column) -> Column:
@@ -141,12 +147,12 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Column, m: Column) -> Column:
     new = F.concat(permuted_text(key, "email", F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
     return F.when(~m.contains(".."), new)
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Column, m: Column) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     account = permuted_text(key, "iban", F.substr(plain, F.lit(5)))
     country = F.substring(m, 1, 2)
@@ -155,14 +161,14 @@ def _iban(key: str, m: Column) -> Column:
     return F.when(valid, _into(m, F.concat(country, check, account), "A-Z0-9"))
 
 
-def _ip(key: str, m: Column) -> Column:
+def _ip(key: Column, m: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     x, y = permuted_pair(key, "ip", octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (65536, 65536))
     parts = [(x / 256).cast("long"), x % 256, (y / 256).cast("long"), y % 256]
     return F.concat_ws(".", *[p.cast("string") for p in parts])
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Column, m: Column) -> Column:
     start = F.lit("1700-01-01").cast("date")
 
     def read(parts: Column) -> Column:
@@ -204,15 +210,17 @@ def _date(key: str, m: Column) -> Column:
     return _bound(read(F.split(m, "[-/.]")), lambda like: F.when(like["n"].isNotNull(), _bound(walked(like), lambda new: printed(new, like))))
 
 
-def _phone(key: str, m: Column) -> Column:
-    """The country code stays: what precedes the first separator after +, or the first digit."""
-    digits = _digits(m)
-    code = F.when(m.startswith("+"), F.greatest(F.lit(1), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=\D)", 1)))).otherwise(F.lit(0))
+def _phone(key: Column, m: Column) -> Column:
+    """The country code and a trunk zero in brackets stay."""
+    layout = F.replace(m, F.lit("(0)"), F.lit("(O)"))
+    digits = _digits(layout)
+    size = F.when(F.substring(digits, 1, 1).isin(*map(str, CODES_1)), 1).when(F.substring(digits, 1, 2).isin(*map(str, CODES_2)), 2).otherwise(3)
+    code = F.when(m.startswith("+"), size).otherwise(0)
     new = F.concat(F.substr(digits, F.lit(1), code), permuted_text(key, "phone", F.substr(digits, code + 1)))
-    return F.when(F.length(digits).between(7, 15), _into(m, new, "0-9"))
+    return F.when(F.length(digits).between(7, 15), F.replace(_into(layout, new, "0-9"), F.lit("(O)"), F.lit("(0)")))
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Column, m: Column) -> Column:
     area, group, serial = F.substring(m, 1, 3).cast("int"), F.substring(m, 5, 2).cast("int"), F.substring(m, 8, 4).cast("int")
     place = area - 1 - F.when(area > 666, F.lit(1)).otherwise(F.lit(0))
     x, y = permuted_pair(key, "ssn", place, (group - 1) * 9999 + serial - 1, SSN_PARTS)
@@ -221,7 +229,7 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), text)
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Column, m: Column) -> Column:
     def whole(m: Column) -> Column:
         digits = _digits(m)
         body, check = F.substr(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1)).cast("int")
@@ -241,7 +249,7 @@ def kind_of(m: Column) -> Column:
     return out.when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), F.lit("phone")).when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.lit("ssn")).otherwise(F.lit("card"))
 
 
-def pseudonym(kind: Column, m: Column, key: str) -> Column:
+def pseudonym(kind: Column, m: Column, key: Column) -> Column:
     """The pseudonym of value m of that kind; null if it isn't valid."""
     out = None
     for name, maker in _MAKERS.items():
@@ -249,17 +257,23 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
     return out
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
     """docs with pseudonyms in column text; with counts, also n_<kind> for every kind. All other columns stay."""
-    held = "values"
-    while held.lower() in {c.lower() for c in docs.columns}:
-        held += "_"
+    held, secret = _free_name(docs, "values"), _free_name(docs, "secret")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col("text")
     some = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
-    values = docs.select(*docs.columns, F.coalesce(some, F.array().cast("array<string>")).alias(held))
+    one_row = docs.sparkSession.createDataFrame([(key,)], f"{secret} string")
+    values = docs.crossJoin(F.broadcast(one_row)).select(*own, secret, F.coalesce(some, F.array().cast("array<string>")).alias(held))
     new = F.transform(held, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    new = F.transform(new, lambda v: F.struct(v["m"].alias("m"), v["kind"].alias("kind"), pseudonym(v["kind"], v["m"], key).alias("new")))
-    values = values.select(*docs.columns, new.alias(held))
+    new = F.transform(new, lambda v: F.struct(v["m"].alias("m"), v["kind"].alias("kind"), pseudonym(v["kind"], v["m"], F.col(secret)).alias("new")))
+    values = values.select(*own, new.alias(held))
     parts = F.zip_with(F.split(text, f"({ANY})", -1), held, lambda part, v: F.concat(F.coalesce(part, F.lit("")), F.coalesce(v["new"], v["m"], F.lit(""))))
     masked = F.when(F.size(held) > 0, F.array_join(parts, "")).otherwise(text)
     of_kind = lambda k: F.filter(held, lambda v: (v["kind"] == k) & v["new"].isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,9 +11,12 @@ from weftgraph.llm import bpe, decontaminate, divergence, jaccard, langid, lmsco
 from weftgraph.session import table
 
 
+_own_keys: dict[str, str] = {}
+
+
 def pseudonym_key(spark: SparkSession) -> str:
-    """The deployment's secret, from spark.weftgraph.pseudonymKey; a public one where that is unset, as in tests."""
-    return spark.conf.get("spark.weftgraph.pseudonymKey", "public test key")
+    """The deployment's secret, from spark.weftgraph.pseudonymKey; where that is unset a random one that lasts as long as the application."""
+    return spark.conf.get("spark.weftgraph.pseudonymKey", None) or _own_keys.setdefault(spark.sparkContext.applicationId, token_hex(32))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
