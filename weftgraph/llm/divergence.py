@@ -44,37 +44,42 @@ _LETTERS = bytes((b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 e
 COUNTED = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = {}
-    size = 0
-
-    def given() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), own in held.items() for term, (n, docs) in own.items()]
-        rows += [(lang, source, None, 0, 0) for lang, source in held]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), COUNTED, strict=True)], schema=COUNTED)
-
-    for batch in batches:
-        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-            own = held.setdefault((lang.as_py(), source.as_py()), {})
-            before = len(own)
-            for term, n in Counter(text.as_py().translate(_LETTERS).split()).items():
-                if found := own.get(term):
-                    found[0] += n
-                    found[1] += 1
-                else:
-                    own[term] = [n, 1]
-            size += len(own) - before
-            if size > HELD:
-                yield given()
-                held, size = {}, 0
-    if held:
-        yield given()
+def _counted(most: int):
+    """Counts of about most terms at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = {}
+        size = 0
+
+        def given() -> pa.RecordBatch:
+            rows = [(lang, source, term, n, docs) for (lang, source), own in held.items() for term, (n, docs) in own.items()]
+            rows += [(lang, source, None, 0, 0) for lang, source in held]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), COUNTED, strict=True)], schema=COUNTED)
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
+                own = held.setdefault((lang.as_py(), source.as_py()), {})
+                before = len(own)
+                for term, n in Counter(text.as_py().translate(_LETTERS).split()).items():
+                    if found := own.get(term):
+                        found[0] += n
+                        found[1] += 1
+                    else:
+                        own[term] = [n, 1]
+                size += len(own) - before
+                if size > most:
+                    yield given()
+                    held, size = {}, 0
+        if held:
+            yield given()
+
+    return run
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it) for each term of each group, and a row without a term for each group."""
     binary = [F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c) for c in ("lang", "source", "text")]
-    found = docs.select(*binary).mapInArrow(_counted, "lang binary, source binary, term binary, n long, docs long")
+    found = docs.select(*binary).mapInArrow(_counted(HELD), "lang binary, source binary, term binary, n long, docs long")
     found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return found.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")], "n", "docs")
 
@@ -110,7 +115,8 @@ def priced(counts: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame,
 class _Block:
     """Sums for the sources of one block against those of another, over one slice of the terms."""
 
-    def __init__(self, headers: list[dict]):
+    def __init__(self, headers: list[dict], sources: int, at_once: int):
+        self.sources, self.at_once = sources, at_once
         self.idx = np.array([h["idx"] for h in headers])
         self.base = np.array([h["p"] for h in headers], dtype=np.int64)
         self.names, self.v = [h["source"] for h in headers], headers[0]["v"]
@@ -133,7 +139,7 @@ class _Block:
         reach = np.cumsum(later)
         begin = 0
         while begin < len(term):
-            end = max(begin + 1, int(np.searchsorted(reach, (reach[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+            end = max(begin + 1, int(np.searchsorted(reach, (reach[begin - 1] if begin else 0) + self.at_once, side="right")))
             some = later[begin:end]
             left = np.repeat(np.arange(begin, end), some)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
@@ -145,7 +151,7 @@ class _Block:
     def pairs(self, i: int, j: int, first: bool) -> tuple[list[str], list[str], list[int]]:
         """Of each two sources of blocks i and j, the sum over the slice, with that of the baselines in the first slice."""
         total = self.sums + self.sums.T + (self.v * self.apart if first else 0)
-        block = self.idx // SOURCES
+        block = self.idx // self.sources
         a, b = np.nonzero((block[:, None] == i) & (block[None, :] == j) & (self.idx[:, None] < self.idx[None, :]))
         some = total[a, b]
         if not first:
@@ -156,40 +162,44 @@ class _Block:
 PAIRED = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paired(sources: int, at_once: int):
     """Rows sorted by lang, i, j, slice and term; those without a term, first in each slice, say what its sources are."""
-    key, headers, block, term, number, rows = None, [], None, None, -1, ([], [], [])
-
-    def added() -> None:
-        nonlocal block, rows
-        block = block or _Block(headers)
-        if rows[0]:
-            block.add(*(np.array(x, dtype=np.int64) for x in rows))
-            rows = ([], [], [])
-
-    def given() -> pa.RecordBatch:
-        added()
-        a, b, value = block.pairs(key[1], key[2], key[3] == 0)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(value, pa.int64())], schema=PAIRED)
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            own = (r["lang"], r["i"], r["j"], r["slice"])
-            if own != key:
-                if key is not None:
-                    yield given()
-                key, headers, block, term, number = own, [], None, None, -1
-            if r["term"] is None:
-                headers.append(r)
-                continue
-            if r["term"] != term:
-                term, number = r["term"], number + 1
-                if len(rows[0]) > 1 << 16:
-                    added()
-            for x, v in zip(rows, (number, r["idx"], r["p"]), strict=True):
-                x.append(v)
-    if key is not None:
-        yield given()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, headers, block, term, number, rows = None, [], None, None, -1, ([], [], [])
+
+        def added() -> None:
+            nonlocal block, rows
+            block = block or _Block(headers, sources, at_once)
+            if rows[0]:
+                block.add(*(np.array(x, dtype=np.int64) for x in rows))
+                rows = ([], [], [])
+
+        def given() -> pa.RecordBatch:
+            added()
+            a, b, value = block.pairs(key[1], key[2], key[3] == 0)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(value, pa.int64())], schema=PAIRED)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = (r["lang"], r["i"], r["j"], r["slice"])
+                if own != key:
+                    if key is not None:
+                        yield given()
+                    key, headers, block, term, number = own, [], None, None, -1
+                if r["term"] is None:
+                    headers.append(r)
+                    continue
+                if r["term"] != term:
+                    term, number = r["term"], number + 1
+                    if len(rows[0]) > 1 << 16:
+                        added()
+                for x, v in zip(rows, (number, r["idx"], r["p"]), strict=True):
+                    x.append(v)
+        if key is not None:
+            yield given()
+
+    return run
 
 
 def divergences(entries: DataFrame, groups: DataFrame, total: int) -> DataFrame:
@@ -205,7 +215,7 @@ def divergences(entries: DataFrame, groups: DataFrame, total: int) -> DataFrame:
         "lang", *ends, F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"), "term", "idx", "p", F.lit(None).cast("long").alias("v"), F.lit(None).cast("string").alias("source")
     )
     dealt = heads.unionByName(body).repartition("lang", "i", "j", "slice").sortWithinPartitions("lang", "i", "j", "slice", "term", "idx")
-    pairs = written(dealt.mapInArrow(_paired, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "pairs")
+    pairs = written(dealt.mapInArrow(_paired(SOURCES, AT_ONCE), "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "pairs")
     return pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
 
 

@@ -236,6 +236,8 @@ def _across(rows: list[dict]) -> list[tuple[int, int]]:
 
 
 DEALT = ("key", "i", "j", "side", "label", "leader", "set_id", "size", "sketch", "keys")
+_NUMBERS = pa.list_(pa.int64())
+_CHOSEN = pa.schema([(c, {"key": pa.int64(), "i": pa.int32(), "j": pa.int32(), "side": pa.int32(), "size": pa.int64(), "sketch": _NUMBERS, "keys": _NUMBERS}.get(c, pa.binary())) for c in DEALT])
 CHOSEN = "key long, i int, j int, side int, label binary, leader binary, set_id binary, size long, sketch array<long>, keys array<long>"
 
 
@@ -262,7 +264,7 @@ def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFram
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             if wanted := sorted({k for pair in _across(group) for k in pair}):
-                yield pa.RecordBatch.from_pylist([group[k] for k in wanted])
+                yield pa.RecordBatch.from_pylist([group[k] for k in wanted], _CHOSEN)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()

@@ -98,11 +98,11 @@ class Node:
 class Sweep:
     """The stack over sorted arrays, or over the stacks of sorted partitions. Nodes on the first path may go on before it (left)."""
 
-    def __init__(self, hashed: bool):
+    def __init__(self, hashed: bool, held: int = HELD, run: int = RUN):
         self.path: list[Node] = []
         self.frozen: list[Node] = []
         self.out: list[dict] = []
-        self.hashed = hashed
+        self.hashed, self.held, self.run = hashed, held, run
 
     def close_to(self, depth: int) -> None:
         """Pop the nodes below depth, deepest first."""
@@ -129,7 +129,7 @@ class Sweep:
             return
         parent.add(node.low, node.n, 1, leaves, saved)
         parent.pending.append(row)
-        if len(parent.pending) > HELD:
+        if len(parent.pending) > self.held:
             self._flush(parent)
 
     def _flush(self, node: Node) -> None:
@@ -184,8 +184,8 @@ class Sweep:
                     }
                 )
                 self.out += [
-                    {"kind": IDS, "segment": segment, "pid": x.pid, "run": k, "ids": zlib.compress(np.diff(np.array(x.ids[at : at + RUN], dtype=np.int64), prepend=0).tobytes())}
-                    for k, at in enumerate(range(0, len(x.ids), RUN))
+                    {"kind": IDS, "segment": segment, "pid": x.pid, "run": k, "ids": zlib.compress(np.diff(np.array(x.ids[at : at + self.run], dtype=np.int64), prepend=0).tobytes())}
+                    for k, at in enumerate(range(0, len(x.ids), self.run))
                 ]
 
     def batches(self, least: int = 0) -> Iterator[pa.RecordBatch]:
@@ -194,17 +194,21 @@ class Sweep:
             yield pa.RecordBatch.from_pylist(out, SWEPT)
 
 
-def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _swept(held: int, run: int):
     """Sweep one partition of sorted (key, words, conv_id)."""
-    sweep = Sweep(hashed=True)
-    for batch in batches:
-        for key, words, conv_id in zip(*(batch.column(c) for c in ("key", "words", "conv_id")), strict=True):
-            key = key.as_py()
-            sweep.row(conv_id.as_py(), [key[k : k + NAME] for k in range(0, len(key), NAME)], words.as_py())
-            yield from sweep.batches(RUN)
-    if sweep.path:
-        sweep.end(TaskContext.get().partitionId())
-    yield from sweep.batches()
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep = Sweep(True, held, run)
+        for batch in batches:
+            for key, words, conv_id in zip(*(batch.column(c) for c in ("key", "words", "conv_id")), strict=True):
+                key = key.as_py()
+                sweep.row(conv_id.as_py(), [key[k : k + NAME] for k in range(0, len(key), NAME)], words.as_py())
+                yield from sweep.batches(RUN)
+        if sweep.path:
+            sweep.end(TaskContext.get().partitionId())
+        yield from sweep.batches()
+
+    return swept
 
 
 def _stitched(whole: bool):
@@ -258,7 +262,7 @@ def prefix_trie(conversations: DataFrame, fan: int = FAN) -> DataFrame:
     key = F.unhex(F.array_join(F.transform("turns", lambda t: F.hex(t["name"])), ""))
     arrays = rebuilt(conversations).select("conv_id", key.alias("key"), F.transform("turns", lambda t: t["words"].cast("long")).alias("words"))
     arrays = written(arrays, "rebuilt")  # read twice: for the bounds of the ranges, and to be sorted
-    swept = arrays.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_swept, SWEPT_SQL)
+    swept = arrays.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_swept(HELD, RUN), SWEPT_SQL)
     swept = written(swept, "swept")
     stacks, done = swept.where(F.col("kind") == STACK), []
     while True:
