@@ -42,13 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
 _scopes = threading.local()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to a fresh Parquet table in the shared folder and read it back: columns stay prunable, unlike in a checkpoint."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write to a fresh Parquet table in the shared folder, in folders by a column if named, and read it back: columns stay prunable, unlike in a checkpoint."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     for own in getattr(_scopes, "open", [])[-1:]:
         own.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
