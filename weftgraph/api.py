@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.functions.turkish import VERB_STEMS
-from weftgraph.operators import learning, morphology, routing
+from weftgraph.operators import learning, routing
 from weftgraph.operators.answers import Turn, ask
 from weftgraph.operators.graph import Graph, build_graph, merged, word_stats
 from weftgraph.session import scratch, written
 from weftgraph.sources import files, store
 
-__all__ = ["Chunker", "Graph", "Turn", "add_documents", "ask", "build_graph", "ingest_documents", "ingest_dump", "ingest_folder", "maintain", "reinforce", "register_sql"]
+__all__ = ["Chunker", "Graph", "Turn", "add_documents", "ask", "ask_store", "build_graph", "ingest_documents", "ingest_dump", "ingest_folder", "maintain", "reinforce", "register_sql"]
 
 
 class Chunker(Protocol):
@@ -30,19 +30,29 @@ def add_documents(graph: Graph, docs: DataFrame, chunker: Chunker | None = None)
     return merged(graph, build_graph(docs, stats, chunker=chunker, parts=routing.catalog(graph.nodes)))
 
 
-def _stored_stats(spark: SparkSession, graph_path: str) -> DataFrame:
-    if store.current_version(spark, graph_path) is None:
-        return morphology.no_stats(spark)
-    old = store.load_graph(spark, graph_path)
-    return written(word_stats(old.nodes, old.edges), "stats")
+def _stored_index(spark: SparkSession, graph_path: str) -> routing.Index:
+    return lambda stems: store.load_index(spark, graph_path, stems)
 
 
 def ingest_documents(docs: DataFrame, graph_path: str) -> None:
-    """Add docs (doc_id, part, text) to the graph at graph_path, of which only the affected buckets are written anew."""
+    """Add docs (doc_id, part, text) to the graph at graph_path, of which only the affected buckets are read and written anew. Word
+    statistics and the routing index are those that the store keeps."""
     spark = docs.sparkSession
     with scratch(spark):
         parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
-        store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), parts=parts), graph_path)
+        stats = written(store.load_stats(spark, graph_path), "stats")
+        store.add_to_store(build_graph(docs, stats, parts=parts, index=_stored_index(spark, graph_path)), graph_path)
+
+
+def ask_store(queries: DataFrame, graph_path: str, spike: bool = True) -> Turn:
+    """Answer queries (query_id, query) from the graph at graph_path: only the buckets of the parts that they are routed to, and of
+    the resident ones, are read."""
+    spark = queries.sparkSession
+    parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
+    stats, index = written(store.load_stats(spark, graph_path), "stats"), _stored_index(spark, graph_path)
+    routed = routing.route(queries, parts, stats, index=index).select("part").union(spark.createDataFrame([(p,) for p in T.RESERVED_PARTS], "part string"))
+    own = store.load_graph(spark, graph_path, only=store.buckets_of(routed, store.current_version(spark, graph_path)))
+    return ask(queries, own, stats, spike, parts, index)
 
 
 def ingest_folder(spark: SparkSession, folder: str, graph_path: str, registry: DataFrame | None = None) -> DataFrame:
@@ -60,7 +70,7 @@ def ingest_dump(spark: SparkSession, dump: str, graph_path: str) -> DataFrame:
     pages = written(files.wiki_pages(spark, dump), "pages")
     with scratch(spark):
         docs = files.numbered(files.wiki_documents(pages), "part")
-        store.add_to_store(build_graph(docs, _stored_stats(spark, graph_path), order="wiki"), graph_path, replace_parts=True)
+        store.add_to_store(build_graph(docs, written(store.load_stats(spark, graph_path), "stats"), order="wiki"), graph_path, replace_parts=True)
     return files.page_counts(pages)
 
 

@@ -131,26 +131,28 @@ def word_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def routed_chunks(chunks: DataFrame, parts: DataFrame, stats: DataFrame) -> DataFrame:
+def routed_chunks(chunks: DataFrame, parts: DataFrame, stats: DataFrame, index: routing.Index | None = None) -> DataFrame:
     """chunks, each without a part in the one of parts (part) that it matches best as a query, or in `general`."""
     lost = chunks.where("part is null").select(place(F.col("doc_id"), F.col("pos")).alias("query_id"), F.col("chunk").alias("query"))
-    best = routing.route(lost, parts, stats, most=1).select("query_id", F.col("part").alias("found"))
+    best = routing.route(lost, parts, stats, 1, index).select("query_id", F.col("part").alias("found"))
     placed = chunks.withColumn("query_id", place(F.col("doc_id"), F.col("pos"))).join(best, "query_id", "left")
     return placed.select("doc_id", F.coalesce("part", "found").alias("part"), "pos", "chunk")
 
 
 def build_graph(
-    docs: DataFrame, stats: DataFrame, order: str = "text", chunker: Callable[[Column], Column] | None = None, parts: DataFrame | None = None
-) -> Graph:
+    docs: DataFrame, stats: DataFrame, order: str = "text", chunker: Callable[[Column], Column] | None = None, parts: DataFrame | None = None,
+    index: routing.Index | None = None,
+) -> Graph:
     """The whole graph of docs: chunks, concepts with their roles, sentence templates.
 
-    Documents without a part are left out, or with parts (part) each of their chunks goes to the one that it is routed to.
+    Documents without a part are left out, or with parts (part) each of their chunks goes to the one that it is routed to, by index if
+    there is one.
     chunker cuts a text column into an array of chunks. stats is the snapshot of word_stats that the stemmer reads. order "text" writes a chunk's own sequence edge last and leaves
     out concepts of chunks without a template; "wiki" writes it first, keeps all concepts and makes no template nodes.
     """
     chunks = written(chunked(docs, chunker, parts), "chunks")
     if parts is not None:
-        chunks = written(routed_chunks(chunks, parts, stats), "chunks")
+        chunks = written(routed_chunks(chunks, parts, stats, index), "chunks")
     split = morphology.concepts_of(chunks.select("chunk").distinct(), stats)
     texts = written(chunks.join(split, "chunk"), "texts")
     at = place(F.col("doc_id"), F.col("pos"))

@@ -3,12 +3,15 @@
 queries  query_id, query
 parts    part: the catalog
 
-A stem of more than four bytes also matches what it begins, so the catalog is turned into an index of beginnings once, and the
-match is an equi-join instead of a comparison of every stem with every part.
+A stem of more than four bytes also matches what it begins, so the catalog is turned into an index of beginnings, and the match is an
+equi-join instead of a comparison of every stem with every part. A store keeps that index; whoever has one passes index, which gives
+the rows for stems (stem), and no index is made of all parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +63,17 @@ def _with_count(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.crossJoin(parts.agg(F.countDistinct("part").alias("parts")))  # one row
 
 
-def query_tags(queries: DataFrame, parts: DataFrame, stats: DataFrame) -> DataFrame:
+Index = Callable[[DataFrame], DataFrame]
+
+
+def query_tags(queries: DataFrame, parts: DataFrame, stats: DataFrame, index: Index | None = None) -> DataFrame:
     """(query_id, tag, weight): each query's words by rarity, synonyms at SYNONYM_SHARE of it, the heaviest at 1.
 
     A word that occurs again adds up; a synonym counts only if its tag wasn't there before.
     """
     words = queries.select("query_id", F.posexplode(T.words_of(F.col("query"))).alias("pos", "word"))
     stems = stems_of(words, stats)
-    found = _with_count(matches(stems, part_index(parts)), parts)
+    found = _with_count(matches(stems, index(stems) if index else part_index(parts)), parts)
     heavy = stems.join(found, "stem").select("word", rarity(F.col("n"), F.col("parts")).alias("a"))
     words = words.join(heavy, "word", "left").select("query_id", "pos", "word", F.coalesce("a", F.lit(1.0)).alias("a"))
     also = F.create_map(*[x for given, asked in SYNONYMS for w in given for x in (F.lit(w), F.array(*map(F.lit, asked)))])
@@ -80,13 +86,13 @@ def query_tags(queries: DataFrame, parts: DataFrame, stats: DataFrame) -> DataFr
     return summed.select("query_id", "tag", (weight / F.max(weight).over(Window.partitionBy("query_id"))).alias("weight"))
 
 
-def route(queries: DataFrame, parts: DataFrame, stats: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+def route(queries: DataFrame, parts: DataFrame, stats: DataFrame, most: int = MOST_PARTS, index: Index | None = None) -> DataFrame:
     """(query_id, part, score, rank): the best parts for each query by the summed rarity of its stems; `general` if none matches."""
     words = queries.select("query_id", F.explode(T.routing_words(F.col("query"))).alias("word"))
     stems = words.join(stems_of(words, stats), "word").select("query_id", "stem").distinct()
-    index = part_index(parts)
-    heavy = _with_count(matches(stems, index), parts).select("stem", rarity(F.col("n"), F.col("parts")).alias("a"))
-    scored = stems.join(index.withColumnRenamed("key", "stem"), "stem").join(heavy, "stem").groupBy("query_id", "part").agg(F.sum("a").alias("score"))
+    names = index(stems) if index else part_index(parts)
+    heavy = _with_count(matches(stems, names), parts).select("stem", rarity(F.col("n"), F.col("parts")).alias("a"))
+    scored = stems.join(names.withColumnRenamed("key", "stem"), "stem").join(heavy, "stem").groupBy("query_id", "part").agg(F.sum("a").alias("score"))
     # ties by name: sums of the same numbers in another order differ in their last bits
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "part")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("query_id", "part", "score", "rank")
