@@ -7,7 +7,8 @@ tags       part, node_id, tag, weight
 edges      src_part, src_id, dst_part, dst_id, weight, co_firings, edge_type, role; one for each pair of nodes
 
 A node's id is the place where its content first occurs, doc_id * DOC_PLACES + pos * CHUNK_PLACES + rank in the chunk: unique in
-its part, in order of first occurrence, and found by an aggregate, without numbering a part in one task.
+its part, in order of first occurrence, and found by an aggregate, without numbering a part in one task. Concepts beyond the places of
+a long chunk have negative ids.
 """
 
 from __future__ import annotations
@@ -62,12 +63,12 @@ def nodes_of(contents: DataFrame, dedupe: str = "part") -> DataFrame:
 
 
 def word_tags(nodes: DataFrame) -> DataFrame:
-    """Each node's words and how often it has them. A narrow map, as a node's content is short."""
-    words = T.words_of(F.col("content"))
-    counted = nodes.select("part", "node_id", words.alias("words"))
-    return counted.select("part", "node_id", F.explode(F.array_distinct("words")).alias("tag"), "words").select(
-        "part", "node_id", "tag", F.size(F.filter("words", lambda w: w == F.col("tag"))).cast("double").alias("weight")
-    )
+    """Each node's words and how often it has them: runs in the sorted words. A narrow map, linear but for the sort."""
+    words = nodes.select("part", "node_id", F.array_sort(T.words_of(F.col("content"))).alias("words"))
+    first = lambda x: (x["i"] == 0) | (F.get("words", x["i"] - 1) != x["tag"])
+    runs = words.select("part", "node_id", F.size("words").alias("n"), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("tag"), i.alias("i"))), first).alias("runs"))
+    counted = F.zip_with("runs", F.slice("runs", F.lit(2), F.greatest(F.size("runs"), F.lit(1))), lambda a, b: F.struct(a["tag"].alias("tag"), (F.coalesce(b["i"], F.col("n")) - a["i"]).cast("double").alias("weight")))
+    return runs.select("part", "node_id", F.inline(counted))
 
 
 def chunk_steps(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -104,10 +105,20 @@ def upserted(events: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     return merged.select(*KEY, F.col("last.weight").alias("weight"), "co_firings", F.col("last.edge_type").alias("edge_type"), "role")
 
 
+def chunk_nodes(docs: DataFrame, dedupe: str = "part") -> DataFrame:
+    """The nodes of docs' chunks."""
+    return _nodes_of_chunks(chunked(docs), dedupe)
+
+
+def _nodes_of_chunks(chunks: DataFrame, dedupe: str) -> DataFrame:
+    return nodes_of(chunks.select("part", F.col("chunk").alias("content"), place(F.col("doc_id"), F.col("pos")).alias("place")), dedupe)
+
+
 def chunk_graph(docs: DataFrame, dedupe: str = "part") -> Graph:
-    """The graph of chunks alone: their nodes, words and sequence. Chunks and nodes are written, as more than one step reads them."""
+    """The graph of chunks alone: their nodes, words and sequence. Chunks are written, as nodes and steps both read them; who reads nodes
+    more than once writes them."""
     chunks = written(chunked(docs), "chunks")
-    nodes = written(nodes_of(chunks.select("part", F.col("chunk").alias("content"), place(F.col("doc_id"), F.col("pos")).alias("place")), dedupe), "nodes")
+    nodes = _nodes_of_chunks(chunks, dedupe)
     steps = chunk_steps(chunks, nodes if dedupe == "part" else _everywhere(chunks, nodes))
     return Graph(nodes, word_tags(nodes), upserted(steps.select(*KEY, *_event(SEQUENTIAL, SEQUENCE_WEIGHT), "ord")))
 
@@ -131,6 +142,23 @@ def word_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _occurs(at: Column, rank: Column, own: Column) -> list[Column]:
+    """Where a content occurs: its chunk, its rank there, and the id that it has if this is its first occurrence."""
+    return [at.alias("at"), rank.cast("int").alias("rank"), own.alias("place")]
+
+
+def _placed(concepts: DataFrame, any_length: bool) -> DataFrame:
+    """concepts with the id of their place. Chunks of any length can have more concepts than a chunk has places: a document's concepts
+    beyond these are numbered, and their ids are negative. A chunk of sentence pieces has no room for so many."""
+    inside = F.col("rank") + 1 < CHUNK_PLACES
+    near = concepts.where(inside).withColumn("place", place(F.col("doc_id"), F.col("pos"), F.col("rank") + 1))
+    if not any_length:
+        return near
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "rank")).cast("long")
+    beyond = F.when(number < DOC_PLACES, -1 - (F.col("doc_id") * DOC_PLACES + number)).otherwise(F.raise_error(F.lit("a document has too many concepts")).cast("long"))
+    return near.unionByName(concepts.where(~inside).withColumn("place", beyond))
+
+
 def routed_chunks(chunks: DataFrame, parts: DataFrame, stats: DataFrame, index: routing.Index | None = None) -> DataFrame:
     """chunks, each without a part in the one of parts (part) that it matches best as a query, or in `general`."""
     lost = chunks.where("part is null").select(place(F.col("doc_id"), F.col("pos")).alias("query_id"), F.col("chunk").alias("query"))
@@ -158,12 +186,11 @@ def build_graph(
     at = place(F.col("doc_id"), F.col("pos"))
     kept = texts if order == "wiki" else texts.where(F.col("template") != "")
     concepts = kept.select("doc_id", "pos", "part", F.posexplode("concepts").alias("rank", "concept"))
-    rank = F.least(F.col("rank") + 1, F.lit(CHUNK_PLACES - 1))
-    contents = chunks.select("part", F.col("chunk").alias("content"), at.alias("place"), F.lit("chunk").alias("kind"))
-    contents = contents.unionByName(concepts.select("part", F.col("concept").alias("content"), place(F.col("doc_id"), F.col("pos"), rank).alias("place"), F.lit("concept").alias("kind")))
+    contents = chunks.select("part", F.col("chunk").alias("content"), *_occurs(at, F.lit(0), at), F.lit("chunk").alias("kind"))
+    contents = contents.unionByName(_placed(concepts, chunker is not None).select("part", F.col("concept").alias("content"), *_occurs(at, F.col("rank") + 1, F.col("place")), F.lit("concept").alias("kind")))
     if order == "text":
-        contents = contents.unionByName(kept.select(F.lit(LANGUAGE_PART).alias("part"), F.col("template").alias("content"), at.alias("place"), F.lit("template").alias("kind")))
-    kinds = contents.groupBy("part", "content").agg(F.min(F.struct("place", "kind")).alias("first"))
+        contents = contents.unionByName(kept.select(F.lit(LANGUAGE_PART).alias("part"), F.col("template").alias("content"), *_occurs(at, F.lit(0), at), F.lit("template").alias("kind")))
+    kinds = contents.groupBy("part", "content").agg(F.min(F.struct("at", "rank", "place", "kind")).alias("first"))
     nodes = written(kinds.select("part", F.col("first.place").alias("node_id"), "content", T.node_kind(F.col("content")).alias("node_type"), F.col("first.kind").alias("kind")), "nodes")
     bare = F.lower(F.regexp_replace("content", r"^[\[\]]+|[\[\]]+$", ""))
     one = F.lit(1.0).alias("weight")

@@ -6,7 +6,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions.turkish import VERB_STEMS
 from weftgraph.operators.morphology import CONNECTIVES, ENDINGS, WHOLE_ENDINGS
 from weftgraph.operators.routing import SYNONYMS
-from weftgraph.plans.queries import CONJUGATED, INFLECTED, KEYWORDS, LOADED, ROUTED
+from weftgraph.plans.queries import CASES, KEYWORDS, LOADED, ROUTED, TENSES
 
 
 def _values(rows: tuple) -> str:
@@ -90,7 +90,7 @@ SPREAD = ",\n".join((_graph(), PART_NAMES, PART_INDEX, KEYWORD_TAGS, ACTIVE))
 
 SUPPLY = """edges AS (SELECT 'supplier' AS src_part, l_suppkey AS src_id, 'part' AS dst_part, l_partkey AS dst_id,
   round(avg(l_discount) * 400) / 100.0 AS weight, count(*) FILTER (l_returnflag = 'R') AS co_firings FROM lineitem GROUP BY ALL)"""
-ITEM_PAIRS = """placed AS (SELECT c.doc_id, c.pos, n.node_id FROM chunks c JOIN nodes n ON n.content = c.chunk),
+CHUNK_PAIRS = """placed AS (SELECT c.doc_id, c.pos, n.node_id FROM chunks c JOIN nodes n ON n.part = c.part AND n.content = c.chunk),
 pairs AS (SELECT DISTINCT a.node_id AS src_id, b.node_id AS dst_id FROM placed a JOIN placed b USING (doc_id) WHERE a.pos = 0)"""
 CLUSTERS = """both_ways AS (SELECT src_id AS a, dst_id AS b FROM edges WHERE weight > 0.30 UNION SELECT dst_id, src_id FROM edges WHERE weight > 0.30),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
@@ -121,25 +121,36 @@ def _title(column: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
 
 
-_FORMS = (
-    ("case", "hafıza", "-e", "hafızaya"), ("case", "güvenlik", "-i", "güvenliği"), ("case", "sistem", "-de", "sistemde"),
-    ("case", "kitap", "-den", "kitaptan"), ("case", "Rust", "-in", "Rust'ın"), ("case", "wgpu", "-e", "wgpu'ya"),
-    ("case", "ağaç", "-i", "ağacı"), ("case", "okul", "-ler", "okullar"), ("case", "göz", "-ler", "gözler"),
-    ("case", "kapı", "-in", "kapının"), ("case", "Ankara", "-de", "Ankara'da"), ("case", "2024", "-den", "2024'den"),
-    ("tense", "sağla", "-r", "sağlar"), ("tense", "et", "-r", "eder"), ("tense", "engelle", "-meli", "engellemeli"),
-    ("tense", "kullan", "-di", "kullandı"), ("tense", "çalış", "-di", "çalıştı"), ("tense", "yaz", "-r", "yazar"),
-    ("tense", "çöz", "-meli", "çözmeli"), ("tense", "gör", "-r", "görür"), ("tense", "oku", "-mek", "okur"),
-)
-_FINISHED = (
-    ("bu bir kitap", "tr", "Bu bir kitaptır."), ("all of it", "en", "All of it."), ("sistem güvenli", "tr", "Sistem güvenlidir."), ("hızlı araba", "tr", "Hızlı arabadır."),
-    ("kuş", "tr", "Kuştur."), ("done!", "en", "Done!"), ("", "tr", ""),
-)
-_SAID = (
-    ("[Özne] + [Nesne]-i + [Eylem]-r", "tr", "Rust güvenliği sağlar."), ("[Özne] + [Nesne]-i + [Eylem]-r", "en", "Rust güvenlik sağla."),
-    ("[Özne] + [Nesne]-e + [Eylem]-di", "tr", "Sistem hafızaya kullandı."), ("[Nesne]-de + ve + [Özne]-den + [Eylem]-meli", "tr", "Hafızada ve sistemden kullanmalı."),
-)
+_VOWELS = "aeıioöuüAEIİOÖUÜ"
+
+
+def _harmony(words: str, name: str) -> str:
+    """CTE of each word of words (word): its vowels, link letters and softened form."""
+    return rf"""{name} AS (SELECT *, CASE WHEN vowel IN ('a', 'ı') THEN 'ı' WHEN vowel IN ('o', 'u') THEN 'u' WHEN vowel IN ('ö', 'ü') THEN 'ü' ELSE 'i' END AS narrow,
+    CASE WHEN vowel IN ('a', 'ı', 'o', 'u') THEN 'a' ELSE 'e' END AS wide, left(word, length(word) - 1) || translate(right(word, 1), 'ktpç', 'ğdbc') AS soft
+  FROM (SELECT word, CASE WHEN {LOWER_TR.format("word")} = 'rust' THEN 'a' WHEN {LOWER_TR.format("word")} = 'wgpu' THEN 'u'
+      ELSE coalesce(nullif(translate(regexp_extract(word, '([{_VOWELS}])[^{_VOWELS}]*$', 1), 'AEIİOÖUÜ', 'aeıioöuü'), ''), 'e') END AS vowel,
+    regexp_matches(word, '[{_VOWELS}]$') AS open_end, CASE WHEN regexp_matches(word, '[fstkçşhpFSTKÇŞHP]$') THEN 't' ELSE 'd' END AS dental,
+    regexp_matches(word, '^\p{{Lu}}|\p{{N}}|[wqxWQX]') AS name, length(regexp_replace(word, '[^{_VOWELS}]', '', 'g')) AS syllables FROM ({words})))"""
+
+
+def _cased(ending: str, h: str = "h") -> str:
+    """with_case of h's word."""
+    suffix = f"""CASE {ending} WHEN '-i' THEN CASE WHEN {h}.open_end THEN 'y' ELSE '' END || {h}.narrow WHEN '-e' THEN CASE WHEN {h}.open_end THEN 'y' ELSE '' END || {h}.wide
+    WHEN '-de' THEN {h}.dental || {h}.wide WHEN '-den' THEN {h}.dental || {h}.wide || 'n' WHEN '-in' THEN CASE WHEN {h}.open_end THEN 'n' ELSE '' END || {h}.narrow || 'n'
+    WHEN '-ler' THEN 'l' || {h}.wide || 'r' ELSE '' END"""
+    return f"""CASE WHEN {h}.word = '' THEN '' WHEN {h}.name THEN {h}.word || chr(39) || {suffix} ELSE CASE WHEN {ending} IN ('-i', '-e', '-in') AND NOT {h}.open_end THEN {h}.soft ELSE {h}.word END || {suffix} END"""
+
+
+def _tensed(ending: str, h: str = "h") -> str:
+    """with_tense of h's word."""
+    return f"""CASE {ending} WHEN '-meli' THEN {h}.word || CASE {h}.wide WHEN 'a' THEN 'malı' ELSE 'meli' END WHEN '-di' THEN {h}.word || {h}.dental || {h}.narrow
+    ELSE CASE WHEN regexp_matches({h}.word, '[aeıioöuü]$') THEN {h}.word || 'r' WHEN {h}.word = 'et' THEN 'eder'
+      ELSE {h}.word || CASE WHEN {h}.syllables > 1 OR {h}.word IN ('et', 'al', 'ver', 'bul', 'gel', 'gör', 'kal', 'ol', 'dur', 'vur') THEN {h}.narrow ELSE {h}.wide END || 'r' END END"""
+
+
+_CAPITAL = "replace(upper(left({0}, 1)), 'ẞ', 'SS') || substr({0}, 2)"
 PLAIN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), '(?s)<[^>]*(>|\z)|>', '', 'g'), '\s+', ' ', 'g')"
-assert len(_FORMS) == len(INFLECTED) + len(CONJUGATED)
 
 FILE_STEM = r"translate(regexp_replace(regexp_replace(lower(p_name || '.txt'), '\.[^.]*$', ''), '^rust_', ''), ' ', '_')"
 FILE_NAME = f"regexp_replace(regexp_replace(regexp_replace({FILE_STEM}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
@@ -227,7 +238,7 @@ cedges AS (SELECT src_part, src_id, dst_part, dst_id, arg_max(weight, (place, ph
 SHOWN = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(content, '(?s)\{\{.*?\}\}', '', 'g'),
   repeat(chr(39), 3), ''), repeat(chr(39), 2), ''), ')|', ''), '(|', ''), chr(10), ' '), chr(13), ''), ' {2,}', ' ', 'g'), '^[ \t\n\r|*()\[\]{}]+|[ \t\n\r|*()\[\]{}]+$', '', 'g')"""
 DOC_PATHS = """paths AS (SELECT c.doc_id, n.part, n.node_id, n.content, (c.pos + CASE c.pos % 4 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END) AS step
-  FROM chunks c JOIN nodes n ON n.part = c.part AND n.content = c.chunk WHERE c.pos < 8)"""
+  FROM chunks c JOIN nodes n ON n.part = c.part AND n.content = c.chunk)"""
 
 
 def _capped(text: str) -> str:
@@ -296,20 +307,42 @@ ORACLE = {
         votes AS (SELECT part, {_votes(T.ENGLISH_WORDS)} AS english, {_votes(T.TURKISH_WORDS)} AS turkish FROM bare GROUP BY part)
         SELECT *, CASE WHEN english > turkish THEN 'en' ELSE 'tr' END AS lang FROM votes""",
     "answer_mode": rf"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^(\[det\]|!)|[-+*/=<>%]|{'|'.join(T.FACT_WORDS + T.TECHNICAL_WORDS)}') THEN 'deterministic' ELSE 'creative' END AS mode FROM conversations",
-    "reachable_within_3": f"""WITH {_graph(ITEMS)}, {ITEM_PAIRS}, starts AS (SELECT DISTINCT src_id AS a FROM pairs),
+    "reachable_within_3": f"""WITH {_graph()}, {CHUNK_PAIRS}, starts AS (SELECT DISTINCT src_id AS a FROM pairs),
         h0 AS (SELECT a, a AS b FROM starts), h1 AS (SELECT DISTINCT a, dst_id AS b FROM h0 JOIN edges ON src_id = b), h2 AS (SELECT DISTINCT a, dst_id AS b FROM h1 JOIN edges ON src_id = b),
         h3 AS (SELECT DISTINCT a, dst_id AS b FROM h2 JOIN edges ON src_id = b),
         near AS (SELECT a, b, min(h)::INTEGER AS hops FROM (SELECT *, 0 AS h FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY a, b)
         SELECT src_id, dst_id, hops FROM pairs JOIN near ON a = src_id AND b = dst_id""",
-    "tag_overlap_pairs": f"""WITH {_graph(ITEMS)}, {ITEM_PAIRS}, shared AS (SELECT src_id, dst_id, sum(least(a.weight, b.weight)) AS overlap FROM pairs JOIN tags a ON a.node_id = src_id JOIN tags b ON b.node_id = dst_id AND b.tag = a.tag GROUP BY ALL)
+    "tag_overlap_pairs": f"""WITH {_graph()}, {CHUNK_PAIRS}, shared AS (SELECT src_id, dst_id, sum(least(a.weight, b.weight)) AS overlap FROM pairs JOIN tags a ON a.node_id = src_id JOIN tags b ON b.node_id = dst_id AND b.tag = a.tag GROUP BY ALL)
         SELECT src_id, dst_id, coalesce(overlap, 0.0) AS overlap FROM pairs LEFT JOIN shared USING (src_id, dst_id)""",
     "wiki_pages": rf"""WITH clean AS (SELECT page_id, url AS title, CASE WHEN name = '' THEN 'general' ELSE name END AS part, {TRIM.format(PLAIN)} AS text
         FROM (SELECT *, {_title('url')} AS name FROM pages) WHERE NOT contains(upper(html), '#REDIRECT') AND NOT contains(upper(html), '#YÖNLENDİRME'))
         SELECT part, title, text FROM clean WHERE strlen(text) >= 100 QUALIFY row_number() OVER (PARTITION BY part ORDER BY page_id DESC) = 1""",
     "template_nodes": f"""WITH RECURSIVE {_concept_graph()} SELECT part, node_id, content FROM cnodes
         WHERE contains(content, ' + ') OR contains(content, '{T.SUBJECT}') OR contains(content, '{T.OBJECT}') OR contains(content, '{T.VERB}')""",
-    "finished_sentences": f"SELECT * FROM (VALUES {_values(_FINISHED)}) f(sentence, lang, finished)",
-    "template_sentences": f"SELECT * FROM (VALUES {_values(_SAID)}) f(template, lang, sentence)",
+    "finished_sentences": rf"""WITH {_chunks(DOCS)}, said AS (SELECT DISTINCT chunk AS sentence, list_filter(regexp_split_to_array(chunk, '\s+'), lambda w: w <> '') AS ws FROM chunks),
+        lasts AS (SELECT sentence, ws, {BARE.replace('(w,', '(ws[-1],')} AS word FROM said), {_harmony("SELECT DISTINCT word FROM lasts", "h")},
+        spoken AS (SELECT sentence, 'en' AS lang, sentence AS full_text FROM said UNION ALL SELECT sentence, 'tr', CASE WHEN word <> '' AND NOT regexp_matches(word, '(d|t)[iıuü]r$') AND word NOT IN ({LISTED(VERB_STEMS)})
+          THEN array_to_string(list_append(ws[:-2], word || dental || narrow || 'r'), ' ') ELSE sentence END FROM lasts JOIN h USING (word))
+        SELECT sentence, lang, {_CAPITAL.format("full_text")} || CASE WHEN regexp_matches(full_text, '[.!?]$') THEN '' ELSE '.' END AS finished FROM spoken""",
+    "template_sentences": rf"""WITH RECURSIVE {_chunks(DOCS)}, {STATS}, {SPOKEN}, {STEMS}, {VERBS}, {CONCEPTS},
+        langs AS (SELECT unnest(['tr', 'en']) AS lang),
+        word_lists AS (SELECT chunk, template, list_filter(concepts, lambda c: NOT (starts_with(c, '[') AND ends_with(c, ']') AND length(c) > 1)) AS nouns,
+          list_transform(list_filter(concepts, lambda c: starts_with(c, '[') AND ends_with(c, ']') AND length(c) > 1), lambda c: c[2:-2]) AS verbs, string_split(template, '+') AS ps FROM split WHERE template <> ''),
+        said_parts AS (SELECT chunk, template, nouns, verbs, trim(unnest(ps)) AS part, unnest(range(len(ps))) AS k FROM word_lists),
+        slots_of AS (SELECT *, regexp_extract(part, '^\[(Özne|Nesne|Eylem)\]', 1) AS slot, regexp_extract(part, '-(.*)$', 0) AS ending FROM said_parts),
+        counted AS (SELECT *, count(*) OVER (PARTITION BY chunk, slot ORDER BY k) - 1 AS j, len(nouns) AS n FROM slots_of),
+        chosen AS (SELECT *, CASE slot WHEN 'Özne' THEN nouns[1] WHEN 'Nesne' THEN CASE WHEN j < n THEN nouns[n - j] WHEN j - n + 1 < n THEN nouns[j - n + 2] ELSE 'veri' END
+          WHEN 'Eylem' THEN coalesce(verbs[j + 1], 'sağla') ELSE part END AS word FROM counted), {_harmony("SELECT DISTINCT word FROM chosen", "h")},
+        worded AS (SELECT chunk, template, lang, k, CASE WHEN slot IN ('Özne', 'Nesne') AND lang = 'tr' AND ending <> '' THEN {_cased("ending")}
+          WHEN slot = 'Eylem' AND lang = 'tr' THEN {_tensed("CASE ending WHEN '' THEN '-r' ELSE ending END")} ELSE h.word END AS word FROM chosen JOIN h USING (word), langs),
+        joined AS (SELECT chunk, template, lang, string_agg(word, ' ' ORDER BY k) AS s FROM worded GROUP BY ALL)
+        SELECT chunk, template, lang, CASE WHEN s = '' THEN '' ELSE {_CAPITAL.format("s")} || '.' END AS sentence FROM joined""",
+    "sequence_heads": f"""WITH RECURSIVE {_graph()}, before AS (SELECT dst_part AS part, dst_id AS v, min(src_id) AS u FROM edges WHERE src_id <> dst_id GROUP BY ALL),
+        reach AS (SELECT v AS s, u AS n FROM before UNION SELECT s, u FROM reach JOIN before ON n = v),
+        round_again AS (SELECT s FROM reach WHERE s = n), cut AS (SELECT s FROM reach WHERE s IN (SELECT s FROM round_again) GROUP BY s HAVING min(n) = s),
+        ends AS (SELECT src_part AS part, src_id AS id FROM edges UNION SELECT dst_part, dst_id FROM edges),
+        way AS (SELECT part, id AS s, id AS n, 0::BIGINT AS steps FROM ends UNION ALL SELECT way.part, s, u, steps + 1 FROM way JOIN before ON n = v WHERE n NOT IN (SELECT s FROM cut))
+        SELECT part, s AS node_id, part AS head_part, arg_max(n, steps) AS head_id, max(steps) AS steps FROM way GROUP BY part, s""",
     "bare_words": rf"""SELECT word, count(*) AS n FROM (SELECT {BARE_WORD} AS word FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)) WHERE word <> '' GROUP BY word""",
     "loaded_parts": f"WITH {_chunks(DOCS)}, {NODES} SELECT part, node_id, content, {KIND.replace('text', 'content')} AS node_type FROM nodes WHERE part IN {LOADED}",
     "store_in_two_steps": f"""WITH {_chunks(DOCS)}, both_steps AS (SELECT part, chunk AS content, coalesce(min(place) FILTER (doc_id % 2 = 0), min(place)) AS node_id FROM chunks GROUP BY ALL)
@@ -355,7 +388,7 @@ ORACLE = {
           FROM shown JOIN ends USING (doc_id) GROUP BY doc_id)
         SELECT doc_id AS query_id, CASE WHEN plain = '' THEN '' ELSE upper(left(plain, 1)) || substr(plain, 2) || CASE WHEN regexp_matches(plain, '[.!?]$') THEN '' ELSE '.' END END || block AS sentence FROM opened""",
     "concept_pair_scores": f"""WITH {_graph()}, known AS (SELECT content, max((part, node_id)) AS node FROM nodes GROUP BY content),
-        items AS (SELECT c.doc_id, c.pos, node[1] AS part, node[2] AS node_id FROM chunks c JOIN known ON content = chunk WHERE c.pos < 5),
+        items AS (SELECT c.doc_id, c.pos, node[1] AS part, node[2] AS node_id FROM chunks c JOIN known ON content = chunk),
         pairs AS (SELECT a.doc_id, a.part AS up, a.node_id AS u, b.part AS vp, b.node_id AS v FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.pos < b.pos),
         h0 AS (SELECT DISTINCT up, u, up AS p, u AS x FROM pairs), h1 AS (SELECT DISTINCT up, u, dst_part AS p, dst_id AS x FROM h0 JOIN edges ON src_part = p AND src_id = x),
         h2 AS (SELECT DISTINCT up, u, dst_part AS p, dst_id AS x FROM h1 JOIN edges ON src_part = p AND src_id = x), h3 AS (SELECT DISTINCT up, u, dst_part AS p, dst_id AS x FROM h2 JOIN edges ON src_part = p AND src_id = x),
@@ -379,6 +412,11 @@ ORACLE = {
     "cross_part_edges": f"WITH {SUPPLY} SELECT DISTINCT dst_part AS part, dst_id AS node_id FROM edges WHERE dst_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)",
     "edges_with_ends": f"WITH {SUPPLY} SELECT src_id, dst_id, s_name AS src_content, p_name AS dst_content, weight FROM edges JOIN supplier ON s_suppkey = src_id JOIN part ON p_partkey = dst_id",
     "status_counts": f"WITH {_graph()} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT part) FROM nodes) AS parts",
-    "inflect_words": f"SELECT * FROM (VALUES {_values(_FORMS)}) f(kind, word, ending, form)",
+    "inflect_words": rf"""WITH {_harmony(rf"SELECT DISTINCT word FROM (SELECT {BARE_WORD} AS word FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)) WHERE word <> ''", "h")},
+        cases AS (SELECT unnest([{LISTED(CASES)}]) AS ending), tenses AS (SELECT unnest([{LISTED(TENSES)}]) AS ending)
+        SELECT 'case' AS kind, word, ending, {_cased("ending")} AS form FROM h, cases UNION ALL SELECT 'tense', word, ending, {_tensed("ending")} FROM h, tenses
+        UNION ALL SELECT 'copula', word, '', word || dental || narrow || 'r' FROM h""",
     "windowed_co_firings": """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'user' AS src_part, user_id AS src_id, 'event' AS dst_part, length(event_type)::BIGINT AS dst_id, count(*) AS co_firings FROM events GROUP BY ALL""",
 }
+# the same rows by another way: kept by ingests, and found through what they keep
+ORACLE |= {"stored_word_stats": ORACLE["word_stats"], "stored_routes": ORACLE["route_parts_topk"]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import markup, turkish
 from weftgraph.functions import text as T
-from weftgraph.operators import activation, answers, graph, learning, morphology, pages, paths, routing
+from weftgraph.operators import activation, answers, graph, learning, morphology, pages, paths, routing, walks
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.graph import KEY, SEMANTIC, SEQUENTIAL
 from weftgraph.sources import files, store
@@ -20,18 +20,7 @@ from weftgraph.streaming.ingest import co_firings
 #: Keyword queries, and queries that name parts.
 KEYWORDS = ((1, "the of and"), (2, "en the of en que"), (3, "der und die src"), (4, "kodla göster the print kodla"))
 ROUTED = ((1, "src7 de"), (2, "en src12, fr? src3!"), (3, "nothing"), (4, "src1 src19 es"))
-INFLECTED = (
-    ("hafıza", "-e"), ("güvenlik", "-i"), ("sistem", "-de"), ("kitap", "-den"), ("Rust", "-in"), ("wgpu", "-e"), ("ağaç", "-i"),
-    ("okul", "-ler"), ("göz", "-ler"), ("kapı", "-in"), ("Ankara", "-de"), ("2024", "-den"),
-)
-CONJUGATED = (("sağla", "-r"), ("et", "-r"), ("engelle", "-meli"), ("kullan", "-di"), ("çalış", "-di"), ("yaz", "-r"), ("çöz", "-meli"), ("gör", "-r"), ("oku", "-mek"))
-
-
-FINISHED = (("bu bir kitap", "tr"), ("all of it", "en"), ("sistem güvenli", "tr"), ("hızlı araba", "tr"), ("kuş", "tr"), ("done!", "en"), ("", "tr"))
-REALISED = (
-    ("Rust", "güvenlik", "[sağla]", "[Özne] + [Nesne]-i + [Eylem]-r", "tr"), ("Rust", "güvenlik", "[sağla]", "[Özne] + [Nesne]-i + [Eylem]-r", "en"),
-    ("sistem", "hafıza", "[kullan]", "[Özne] + [Nesne]-e + [Eylem]-di", "tr"), ("sistem", "hafıza", "[kullan]", "[Nesne]-de + ve + [Özne]-den + [Eylem]-meli", "tr"),
-)
+CASES, TENSES = ("-i", "-e", "-de", "-den", "-in", "-ler"), ("-r", "-di", "-meli")
 LOADED = ("en_src1", "de_src2", "fr_src3")
 
 
@@ -54,7 +43,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(docs: DataFrame) -> graph.Graph:
     """The chunk graph of docs, written once for all steps that read it."""
     own = graph.chunk_graph(docs)
-    return own._replace(tags=written(own.tags, "tags"), edges=written(own.edges, "edges"))
+    nodes = written(own.nodes, "nodes")
+    return graph.Graph(nodes, written(graph.word_tags(nodes), "tags"), written(own.edges, "edges"))
 
 
 def _token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +91,11 @@ def html_plain(spark, sf_dir):
 
 
 def dedupe_first_content(spark, sf_dir):
-    return graph.chunk_graph(_docs(spark, sf_dir)).nodes
+    return graph.chunk_nodes(_docs(spark, sf_dir))
 
 
 def dedupe_global(spark, sf_dir):
-    return graph.chunk_graph(_docs(spark, sf_dir), dedupe="global").nodes
+    return graph.chunk_nodes(_docs(spark, sf_dir), dedupe="global")
 
 
 def sequence_edges(spark, sf_dir):
@@ -119,7 +109,7 @@ def conversation_steps(spark, sf_dir):
 
 
 def node_tags(spark, sf_dir):
-    return graph.chunk_graph(_docs(spark, sf_dir)).tags.groupBy("part", "tag").agg(F.sum("weight").alias("weight"), F.count("*").alias("nodes"))
+    return graph.word_tags(graph.chunk_nodes(_docs(spark, sf_dir))).groupBy("part", "tag").agg(F.sum("weight").alias("weight"), F.count("*").alias("nodes"))
 
 
 def _supply_events(spark, sf_dir):
@@ -147,7 +137,7 @@ def _supply_edges(spark, sf_dir):
 
 def word_stats(spark, sf_dir):
     own = graph.chunk_graph(_docs(spark, sf_dir))
-    return graph.word_stats(own.nodes, own.edges).select("word", "freq", F.round("edge_weight", 6).alias("edge_weight"))
+    return graph.word_stats(written(own.nodes, "nodes"), own.edges).select("word", "freq", F.round("edge_weight", 6).alias("edge_weight"))
 
 
 def document_frequency(spark, sf_dir):
@@ -166,8 +156,8 @@ def route_parts_topk(spark, sf_dir):
 
 
 def seed_activation(spark, sf_dir):
-    own = graph.chunk_graph(_docs(spark, sf_dir))
-    return activation.seeds(own.tags, _query_tags(spark, sf_dir)).withColumn("act", F.round("act", 6))
+    tags = graph.word_tags(graph.chunk_nodes(_docs(spark, sf_dir)))
+    return activation.seeds(tags, _query_tags(spark, sf_dir)).withColumn("act", F.round("act", 6))
 
 
 def propagate_two_steps_top20(spark, sf_dir):
@@ -191,10 +181,7 @@ def active_nodes_shown(spark, sf_dir):
 def hebbian_update(spark, sf_dir):
     """All queries, one after the other."""
     own, act = _active(spark, sf_dir)
-    edges = own.edges
-    for query_id, _ in KEYWORDS:
-        edges = learning.strengthened(edges, act.where(F.col("query_id") == query_id))
-    return edges.select(*KEY, F.round("weight", 6).alias("weight"), F.col("co_firings").cast("long").alias("co_firings"))
+    return learning.strengthened(own.edges, act).select(*KEY, F.round("weight", 6).alias("weight"), "co_firings")
 
 
 def hebbian_new_pairs(spark, sf_dir):
@@ -247,22 +234,23 @@ def answer_mode(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_mode(F.col("text")).alias("mode"))
 
 
-def _item_pairs(spark, sf_dir):
-    """Each item's first chunk with all its chunks."""
-    steps = graph.chunked(_items(spark, sf_dir))
-    own = graph.chunk_graph(_items(spark, sf_dir))
-    placed = steps.join(own.nodes.select(F.col("content").alias("chunk"), "node_id"), "chunk")
-    first = placed.where("pos = 0").select("doc_id", F.lit("general").alias("src_part"), F.col("node_id").alias("src_id"))
-    return own, first.join(placed.select("doc_id", F.lit("general").alias("dst_part"), F.col("node_id").alias("dst_id")), "doc_id").drop("doc_id").distinct()
+def _chunk_pairs(spark, sf_dir):
+    """Each document's first chunk with all its chunks."""
+    own = _stored(_docs(spark, sf_dir))
+    placed = graph.chunked(_docs(spark, sf_dir)).join(own.nodes.select("part", F.col("content").alias("chunk"), "node_id"), ["part", "chunk"])
+    placed = written(placed.select("doc_id", "pos", "part", "node_id"), "placed")
+    first = placed.where("pos = 0").select("doc_id", F.col("part").alias("src_part"), F.col("node_id").alias("src_id"))
+    pairs = first.join(placed.select("doc_id", F.col("part").alias("dst_part"), F.col("node_id").alias("dst_id")), "doc_id").drop("doc_id").distinct()
+    return own, written(pairs, "pairs")
 
 
 def reachable_within_3(spark, sf_dir):
-    own, pairs = _item_pairs(spark, sf_dir)
+    own, pairs = _chunk_pairs(spark, sf_dir)
     return paths.reachable(pairs, own.edges).select("src_id", "dst_id", "hops")
 
 
 def tag_overlap_pairs(spark, sf_dir):
-    own, pairs = _item_pairs(spark, sf_dir)
+    own, pairs = _chunk_pairs(spark, sf_dir)
     return paths.tag_overlap(pairs, own.tags).select("src_id", "dst_id", "overlap")
 
 
@@ -323,7 +311,8 @@ def edges_with_ends(spark, sf_dir):
 
 
 def status_nodes(spark, sf_dir):
-    return store.first_nodes(graph.chunk_graph(_docs(spark, sf_dir)))
+    nodes = graph.chunk_nodes(_docs(spark, sf_dir))
+    return store.first_nodes(graph.Graph(nodes, nodes, nodes))
 
 
 def status_edges(spark, sf_dir):
@@ -334,26 +323,42 @@ def status_counts(spark, sf_dir):
     return store.status(graph.chunk_graph(_docs(spark, sf_dir)))
 
 
+def _bare(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"(?U)\s+")).alias("w"))
+    return words.select(T.without_punctuation(F.col("w")).alias("word")).where("word <> ''")
+
+
 def inflect_words(spark, sf_dir):
-    rows = spark.createDataFrame([("case", *x) for x in INFLECTED] + [("tense", *x) for x in CONJUGATED], "kind string, word string, ending string")
-    word, ending = F.col("word"), F.col("ending")
-    return rows.select("kind", "word", "ending", F.when(F.col("kind") == "case", turkish.with_case(word, ending)).otherwise(turkish.with_tense(word, ending)).alias("form"))
+    """Every word of the documents in every case and tense, and with the copula."""
+    word = F.col("word")
+    forms = [("case", c, turkish.with_case(word, F.lit(c))) for c in CASES] + [("tense", t, turkish.with_tense(word, F.lit(t))) for t in TENSES] + [("copula", "", turkish.with_copula(word))]
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(ending).alias("ending"), form.alias("form")) for kind, ending, form in forms]))
+    return _bare(spark, sf_dir).distinct().select("word", each.alias("x")).select("x.kind", "word", "x.ending", "x.form")
 
 
 def finished_sentences(spark, sf_dir):
-    rows = spark.createDataFrame(list(FINISHED), "sentence string, lang string")
-    return rows.select("sentence", "lang", turkish.finished(F.col("sentence"), F.col("lang"), F.lit(False)).alias("finished"))
+    """Every chunk of the documents as a sentence of either language."""
+    chunks = graph.chunked(_docs(spark, sf_dir)).select(F.col("chunk").alias("sentence")).distinct()
+    lang = F.explode(F.array(F.lit("tr"), F.lit("en"))).alias("lang")
+    return chunks.select("sentence", lang).select("sentence", "lang", turkish.finished(F.col("sentence"), F.col("lang"), F.lit(False)).alias("finished"))
 
 
 def template_sentences(spark, sf_dir):
-    rows = spark.createDataFrame(list(REALISED), "subject string, object string, verb string, template string, lang string")
-    said = turkish.realised(F.array("subject"), F.array("object"), F.array("verb"), F.col("template"), F.col("lang"))
-    return rows.select("template", "lang", said.alias("sentence"))
+    """Every sentence of the documents said again by its own template: of its concepts those without brackets as subjects and, the other
+    way round, as objects, those with brackets as verbs."""
+    split = morphology.concepts_of(graph.chunked(_docs(spark, sf_dir)).select("chunk").distinct(), _token_stats(spark, sf_dir))
+    verb = lambda c: c.rlike(r"(?s)^\[.*\]$")
+    rows = split.where("template <> ''").select("chunk", "template", F.filter("concepts", lambda c: ~verb(c)).alias("nouns"), F.filter("concepts", verb).alias("verbs"), F.explode(F.array(F.lit("tr"), F.lit("en"))).alias("lang"))
+    said = turkish.realised(F.col("nouns"), F.reverse("nouns"), F.col("verbs"), F.col("template"), F.col("lang"))
+    return rows.select("chunk", "template", "lang", said.alias("sentence"))
+
+
+def sequence_heads(spark, sf_dir):
+    return walks.sequence_heads(_stored(_docs(spark, sf_dir)).edges)
 
 
 def bare_words(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"(?U)\s+")).alias("w")).select(T.without_punctuation(F.col("w")).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return _bare(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def loaded_parts(spark, sf_dir):
@@ -363,12 +368,28 @@ def loaded_parts(spark, sf_dir):
     return store.load_graph(spark, at, list(LOADED)).nodes
 
 
-def store_in_two_steps(spark, sf_dir):
-    """Nodes of a store to which documents of even ids came first, and the others after."""
+def _in_two_steps(spark, sf_dir):
+    """A store to which documents of even ids came first, and the others after."""
     at, docs = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", _docs(spark, sf_dir)
     for rest in (0, 1):
         store.add_to_store(graph.chunk_graph(docs.where(F.col("doc_id") % 2 == rest)), at)
-    return store.load_graph(spark, at).nodes
+    return at
+
+
+def store_in_two_steps(spark, sf_dir):
+    return store.load_graph(spark, _in_two_steps(spark, sf_dir)).nodes
+
+
+def stored_word_stats(spark, sf_dir):
+    """What the store keeps of word statistics, over two ingests."""
+    return store.load_stats(spark, _in_two_steps(spark, sf_dir), phrases=True).withColumn("edge_weight", F.round("edge_weight", 6))
+
+
+def stored_routes(spark, sf_dir):
+    """Parts for queries, by the index and the catalog that the store keeps."""
+    at = _in_two_steps(spark, sf_dir)
+    routed = routing.route(_queries(spark, ROUTED), store.load_catalog(spark, at), morphology.no_stats(spark), index=lambda stems: store.load_index(spark, at, stems))
+    return routed.select("query_id", "part", F.round("score", 6).alias("score"), "rank")
 
 
 def routed_chunks(spark, sf_dir):
@@ -433,9 +454,9 @@ def verb_roles(spark, sf_dir):
 
 
 def _document_paths(spark, sf_dir):
-    """A path through the first eight chunks of each document, every other pair of them the wrong way round."""
+    """A path through all chunks of each document, every other pair of them the wrong way round (but for a last one alone)."""
     own = _stored(_docs(spark, sf_dir))
-    placed = graph.chunked(_docs(spark, sf_dir)).where("pos < 8").join(own.nodes.select("part", "node_id", F.col("content").alias("chunk")), ["part", "chunk"])
+    placed = graph.chunked(_docs(spark, sf_dir)).join(own.nodes.select("part", "node_id", F.col("content").alias("chunk")), ["part", "chunk"])
     turned = F.col("pos") + F.when(F.col("pos") % 4 == 2, 1).when(F.col("pos") % 4 == 3, -1).otherwise(0)
     rows = placed.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("walk"), F.lit(0).alias("path"), turned.cast("int").alias("step"), "part", "node_id")
     return own, written(rows, "paths")
@@ -453,9 +474,9 @@ def document_sentences(spark, sf_dir):
 
 
 def concept_pair_scores(spark, sf_dir):
-    """The first five chunks of each document, taken as one sentence's concepts."""
+    """All chunks of each document, taken as one sentence's concepts."""
     own = _stored(_docs(spark, sf_dir))
-    first = graph.chunked(_docs(spark, sf_dir)).where("pos < 5").groupBy(F.col("doc_id").alias("sentence_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("rows"))
+    first = graph.chunked(_docs(spark, sf_dir)).groupBy(F.col("doc_id").alias("sentence_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("rows"))
     sentences = written(first.select("sentence_id", F.transform("rows", lambda r: r["chunk"]).alias("concepts")), "sentences")
     return paths.pair_scores(sentences, own.edges, own.nodes, own.tags).select("sentence_id", F.round("score", 6).alias("score"))
 
@@ -501,7 +522,7 @@ QUERIES = {
         dedupe_global, sequence_edges, conversation_steps, node_tags, edge_upsert_last_writer, word_stats, document_frequency, query_idf,
         route_parts_topk, seed_activation, propagate_two_steps_top20, part_wide_activation, hebbian_update, hebbian_new_pairs,
         maintenance_plasticity, maintenance_counts, components_strong_edges, auto_partition_best_tag, repartition_counts, evict_lowest_part,
-        language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
+        language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, sequence_heads, stored_word_stats, stored_routes, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
         wiki_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
         stem_tokens_without_stats, detect_verbs, concept_templates, concept_graph, concept_graph_of_pages, concept_nodes, concept_tags, verb_roles,
         template_nodes, finished_sentences, template_sentences, bare_words, loaded_parts, store_in_two_steps, routed_chunks, document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
