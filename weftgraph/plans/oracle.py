@@ -419,4 +419,4 @@ ORACLE = {
     "windowed_co_firings": """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'user' AS src_part, user_id AS src_id, 'event' AS dst_part, length(event_type)::BIGINT AS dst_id, count(*) AS co_firings FROM events GROUP BY ALL""",
 }
 # the same rows by another way: kept by ingests, and found through what they keep
-ORACLE |= {"stored_word_stats": ORACLE["word_stats"], "stored_routes": ORACLE["route_parts_topk"]}
+ORACLE |= {"stored_word_stats": ORACLE["word_stats"], "stored_routes": ORACLE["route_parts_topk"], "sql_chunks": ORACLE["chunk_sentences"], "sql_inflections": ORACLE["inflect_words"]}

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph import api
 from weftgraph.functions import markup, turkish
 from weftgraph.functions import text as T
 from weftgraph.operators import activation, answers, graph, learning, morphology, pages, paths, routing, walks
@@ -353,6 +354,22 @@ def template_sentences(spark, sf_dir):
     return rows.select("chunk", "template", "lang", said.alias("sentence"))
 
 
+def _sql(spark, sf_dir, text):
+    """text over the documents, with the engine's SQL functions."""
+    api.register_sql(spark)
+    return spark.sql(text, docs=table(spark, sf_dir, "documents"), words=_bare(spark, sf_dir).distinct())
+
+
+def sql_chunks(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT doc_id, CAST(pos AS LONG) AS pos, chunk FROM {docs} AS d, LATERAL weft_chunks(d.text)")
+
+
+def sql_inflections(spark, sf_dir):
+    case = lambda kind, name, endings: [f"SELECT '{kind}' AS kind, word, '{e}' AS ending, {name}(word, '{e}') AS form FROM {{words}}" for e in endings]
+    parts = [*case("case", "weft_with_case", CASES), *case("tense", "weft_with_tense", TENSES), "SELECT 'copula' AS kind, word, '' AS ending, weft_with_copula(word) AS form FROM {words}"]
+    return _sql(spark, sf_dir, " UNION ALL ".join(parts))
+
+
 def sequence_heads(spark, sf_dir):
     return walks.sequence_heads(_stored(_docs(spark, sf_dir)).edges)
 
@@ -522,7 +539,7 @@ QUERIES = {
         dedupe_global, sequence_edges, conversation_steps, node_tags, edge_upsert_last_writer, word_stats, document_frequency, query_idf,
         route_parts_topk, seed_activation, propagate_two_steps_top20, part_wide_activation, hebbian_update, hebbian_new_pairs,
         maintenance_plasticity, maintenance_counts, components_strong_edges, auto_partition_best_tag, repartition_counts, evict_lowest_part,
-        language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, sequence_heads, stored_word_stats, stored_routes, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
+        language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, sequence_heads, sql_chunks, sql_inflections, stored_word_stats, stored_routes, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
         wiki_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
         stem_tokens_without_stats, detect_verbs, concept_templates, concept_graph, concept_graph_of_pages, concept_nodes, concept_tags, verb_roles,
         template_nodes, finished_sentences, template_sentences, bare_words, loaded_parts, store_in_two_steps, routed_chunks, document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
