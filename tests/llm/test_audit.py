@@ -248,6 +248,7 @@ def test_near_duplicates(spark, copies):
 def test_near_duplicates_in_blocks(spark, copies, monkeypatch):
     """Groups and blocks of few sets."""
     monkeypatch.setattr(oddsketch, "GROUP", 5)
+    monkeypatch.setattr(oddsketch, "LED", 3)
     rows = [r for r in copies if r[0] is not None and r[0] < 1100]
     got = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == plain_near(rows)

@@ -11,9 +11,8 @@ ROWS) ** BANDS, 0.0005.
 Links are wanted for their components only, so a group of n copies isn't compared pair by pair:
 
 1. In each bucket the least set leads, and all others are candidates with it. A set's first leader by id is confirmed on the full sets,
-   in groups of about GROUP sets with one leader. Confirmed links make components.
-2. A set's other leaders are confirmed where they are of another component.
-3. In a bucket that still holds more than one component, sets are compared across components: the sets outside the bucket's largest
+   in groups of about LED sets with one leader. Confirmed links make components.
+2. In a bucket that still holds more than one component, sets are compared across components: the sets outside the bucket's largest
    component with each other and with that, block by block, each pair in its first shared bucket. What the sketches let through is
    confirmed on the full sets in the task.
 
@@ -46,7 +45,8 @@ BANDS, ROWS = 32, 7
 K = BANDS * ROWS
 BITS = 512
 MISS = 1e-5
-GROUP = 256
+#: Sets of a leader's group, and of a block.
+LED, GROUP = 64, 256
 CACHE_WORDS = 500_000
 
 
@@ -167,10 +167,10 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (set_id, leader) whose full sets are similar enough. About GROUP sets of one leader make a group, which has the leader's text once."""
+    """Those of pairs (set_id, leader) whose full sets are similar enough. About LED sets of one leader make a group, which has the leader's text once."""
     led = pairs.groupBy("leader").agg(F.count("*").alias("of"))
     dealt = joined_by_share(pairs, led, "leader", "of", pairs.count())
-    part = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("of") / GROUP)).cast("int")
+    part = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("of") / LED)).cast("int")
     dealt = written(dealt.select("leader", part.alias("part"), "set_id"), "led")
     heads = dealt.select("leader", "part").distinct().select("leader", "part", F.col("leader").alias("set_id"), F.lit(0).alias("side"))
     rows = dealt.withColumn("side", F.lit(1)).unionByName(heads).join(texts, "set_id")
@@ -191,36 +191,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "side").mapInArrow(run, "a binary, b binary"), "confirmed")
 
 
-def _labelled(rows: DataFrame, of: str, labels: DataFrame, name: str) -> DataFrame:
-    """rows with the component of their set in column of, under that name; a set without links is its own."""
-    counts = rows.groupBy(of).agg(F.count("*").alias("rows_of"))
-    named = counts.join(labels.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
-    return joined_by_share(rows, named, of, "rows_of", rows.count()).drop("rows_of")
-
-
-def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, component) after more links: components that they join get the least label."""
-    if links.isEmpty():
-        return labels
-    ends = _labelled(_labelled(links, "a", labels, "x"), "b", labels, "y")
-    moved = written(connected_components(ends, "x", "y"), "moved")
-    kept = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
-    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    sizes = kept.groupBy("component").agg(F.count("*").alias("n"))
-    found = joined_by_share(kept, sizes.join(to, "component", "left"), "component", "n", kept.count())
-    return written(found.select("node", F.coalesce("to", "component").alias("component")), "labels")
-
-
 def _across(rows: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of a group's rows that are still to be confirmed: of two components, in their first shared bucket, not with its leader, and alike by their sketches."""
+    """Pairs of a group's rows that are still to be confirmed: of two components, in their first shared bucket, and alike by their sketches."""
     sketches = np.array([r["sketch"] for r in rows], dtype=np.int64).view(np.uint64)
     size, side = np.array([r["size"] for r in rows]), np.array([r["side"] for r in rows])
     label = np.unique([r["label"] for r in rows], return_inverse=True)[1]
-    lead = np.array([r["set_id"] == r["leader"] for r in rows])
     between = rows[0]["i"] != rows[0]["j"]
     key, out = rows[0]["key"], []
-    for k in np.flatnonzero(~lead):
-        may = (label != label[k]) & ~lead & (100 * np.minimum(size, size[k]) >= LEAST * np.maximum(size, size[k]))
+    for k in range(len(rows)):
+        may = (label != label[k]) & (100 * np.minimum(size, size[k]) >= LEAST * np.maximum(size, size[k]))
         may[: k + 1] = False
         if between:
             may &= side != side[k]
@@ -235,15 +214,16 @@ def _across(rows: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-DEALT = ("key", "i", "j", "side", "label", "leader", "set_id", "size", "sketch", "keys")
+DEALT = ("key", "i", "j", "side", "label", "set_id", "size", "sketch", "keys")
 _NUMBERS = pa.list_(pa.int64())
 _CHOSEN = pa.schema([(c, {"key": pa.int64(), "i": pa.int32(), "j": pa.int32(), "side": pa.int32(), "size": pa.int64(), "sketch": _NUMBERS, "keys": _NUMBERS}.get(c, pa.binary())) for c in DEALT])
-CHOSEN = "key long, i int, j int, side int, label binary, leader binary, set_id binary, size long, sketch array<long>, keys array<long>"
+CHOSEN = "key long, i int, j int, side int, label binary, set_id binary, size long, sketch array<long>, keys array<long>"
 
 
 def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components within buckets of three sets or more."""
-    members = written(_labelled(shared.where("n > 2").select("key", "set_id", "leader"), "set_id", labels, "label"), "members")
+    """Links (a, b) that join components within buckets: of each group as many as join what it can join."""
+    named = labels.select(F.col("node").alias("set_id"), F.col("component").alias("label"))  # a set is in a bucket of each band at most
+    members = written(shared.select("key", "set_id").join(named, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "members")
     by_label = members.groupBy("key", "label").agg(F.count("*").alias("c"))
     keys = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1")
     keys = written(keys.select("key", "n", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "mixed")
@@ -259,7 +239,7 @@ def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFram
     last = F.when(is_top, outer - 1).otherwise(outer + inner - 1)
     rows = rows.withColumn("side", side).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumn("i", F.least("side", "with")).withColumn("j", F.greatest("side", "with"))
-    rows = rows.select("key", "i", "j", "side", "label", "leader", "set_id").join(sets.select("set_id", "size", "sketch", "keys"), "set_id").select(*DEALT)
+    rows = rows.select("key", "i", "j", "side", "label", "set_id").join(sets.select("set_id", "size", "sketch", "keys"), "set_id").select(*DEALT)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -269,9 +249,26 @@ def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFram
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for group in _groups(batches):
-            pairs = _across(group)
-            tokens = {k: shingles(group[k]["text"]) for k in {k for pair in pairs for k in pair}}
-            if found := [{"a": group[k]["set_id"], "b": group[m]["set_id"]} for k, m in pairs if _linked(tokens[k], tokens[m])]:
+            tokens: dict[int, np.ndarray] = {}
+            joined: dict[bytes, bytes] = {}  # labels that this group has joined
+            found = []
+
+            def head(label: bytes, joined: dict[bytes, bytes] = joined) -> bytes:
+                while label in joined:
+                    label = joined[label]
+                return label
+
+            for k, m in _across(group):
+                x, y = head(group[k]["label"]), head(group[m]["label"])
+                if x == y:
+                    continue
+                for n in (k, m):
+                    if n not in tokens:
+                        tokens[n] = shingles(group[n]["text"])
+                if _linked(tokens[k], tokens[m]):
+                    joined[y] = x
+                    found.append({"a": group[k]["set_id"], "b": group[m]["set_id"]})
+            if found:
                 yield pa.RecordBatch.from_pylist(found)
 
     grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -309,11 +306,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = stars.groupBy("set_id").agg(F.min("leader").alias("leader"))
     links = _confirmed(best, texts)
     labels = written(connected_components(links), "labels")
-    others = stars.join(best.withColumnRenamed("leader", "best"), "set_id").where("leader <> best").select("set_id", "leader")
-    others = _labelled(_labelled(written(others, "others"), "set_id", labels, "x"), "leader", labels, "y").where("x <> y").select("set_id", "leader")
-    links = _confirmed(written(others, "others"), texts)
-    labels = _with_links(labels, links)
-    labels = _with_links(labels, _rest(shared, labels, sets, texts))
+    more = _rest(shared, labels, sets, texts)
+    if not more.isEmpty():
+        labels = written(connected_components(links.unionByName(more)), "labels")
 
     found = sets.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select(
         "set_id", F.coalesce("component", "set_id").alias("component"), "first", "copies", "size"
