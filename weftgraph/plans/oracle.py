@@ -34,6 +34,7 @@ chunks AS (SELECT doc_id, part, pos, chunk, doc_id * 134217728 + pos * 128 AS pl
 
 
 DOCS = "SELECT doc_id, lang || '_' || source AS part, text FROM documents"
+ONE_PART = "SELECT doc_id, 'general' AS part, text FROM documents"
 ITEMS = "SELECT item_id AS doc_id, 'general' AS part, text FROM benchmark"
 NODES = "nodes AS (SELECT part, min(place) AS node_id, chunk AS content FROM chunks GROUP BY part, chunk)"
 TAGS = f"tags AS (SELECT part, node_id, tag, count(*)::DOUBLE AS weight FROM (SELECT part, node_id, unnest({WORDS.format('content')}) AS tag FROM nodes) GROUP BY ALL)"
@@ -93,8 +94,8 @@ SUPPLY = """edges AS (SELECT 'supplier' AS src_part, l_suppkey AS src_id, 'part'
 CHUNK_PAIRS = """placed AS (SELECT c.doc_id, c.pos, n.node_id FROM chunks c JOIN nodes n ON n.part = c.part AND n.content = c.chunk),
 pairs AS (SELECT DISTINCT a.node_id AS src_id, b.node_id AS dst_id FROM placed a JOIN placed b USING (doc_id) WHERE a.pos = 0)"""
 CLUSTERS = """both_ways AS (SELECT src_id AS a, dst_id AS b FROM edges WHERE weight > 0.30 UNION SELECT dst_id, src_id FROM edges WHERE weight > 0.30),
-reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
-found AS (SELECT a AS node_id, least(a, min(b)) AS cluster FROM reach GROUP BY a),
+found(node_id, cluster) USING KEY (node_id) AS (SELECT a, a FROM both_ways
+  UNION (SELECT e.b, min(f.cluster) FROM found f JOIN both_ways e ON e.a = f.node_id JOIN recurring.found r ON r.node_id = e.b WHERE f.cluster < r.cluster GROUP BY e.b)),
 sizes AS (SELECT cluster, count(*) AS size FROM found GROUP BY cluster HAVING count(*) >= 3),
 tag_weights AS (SELECT cluster, tag, sum(weight) AS weight FROM tags JOIN found USING (node_id) GROUP BY ALL),
 named AS (SELECT cluster, size, tag FROM sizes LEFT JOIN tag_weights USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, tag) = 1),
@@ -297,8 +298,9 @@ ORACLE = {
     "components_strong_edges": """WITH RECURSIVE ends AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
         both_ways AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends), reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
         SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a""",
+    "document_clusters": f"WITH RECURSIVE {_graph(ONE_PART)}, {CLUSTERS} SELECT cluster, size, new_part FROM renamed",
     "auto_partition_best_tag": f"WITH RECURSIVE {_graph(ITEMS)}, {CLUSTERS} SELECT cluster, size, new_part FROM renamed",
-    "repartition_counts": f"""WITH RECURSIVE {_graph(ITEMS)}, {CLUSTERS} SELECT coalesce(new_part, part) AS part, count(*) AS nodes
+    "repartition_counts": f"""WITH RECURSIVE {_graph(ONE_PART)}, {CLUSTERS} SELECT coalesce(new_part, part) AS part, count(*) AS nodes
         FROM nodes LEFT JOIN found USING (node_id) LEFT JOIN renamed USING (cluster) GROUP BY ALL""",
     "evict_lowest_part": f"""WITH {SPREAD}, {ROUTING_STEMS}, {ROUTES}, resident AS (SELECT DISTINCT part FROM nodes),
         total AS (SELECT part, coalesce(sum(greatest(act - 0.05, 0)), 0.0) AS act FROM resident LEFT JOIN active USING (part) GROUP BY part)

@@ -216,7 +216,7 @@ def document_clusters(spark, sf_dir):
 
 
 def repartition_counts(spark, sf_dir):
-    moved = learning.repartitioned(graph.chunk_graph(_items(spark, sf_dir)))
+    moved = learning.repartitioned(_stored(_docs(spark, sf_dir).withColumn("part", F.lit("general"))))
     return moved.nodes.groupBy("part").agg(F.count("*").alias("nodes"))
 
 
