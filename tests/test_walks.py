@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftgraph.operators import walks
+from weftgraph.operators import components, walks
 
 EDGE = "src_part string, src_id long, dst_part string, dst_id long, weight double, co_firings long, edge_type string, role string"
 
@@ -54,3 +54,29 @@ def test_a_chain_of_5000_takes_few_rounds(spark, monkeypatch):
     found = walks.walks(active, edges, nodes).collect()
     assert len(made) <= 15
     assert sorted((r.query_id, r.step, r.node_id) for r in found if r.path == 0) == [(q, k, k) for q in (1, 2) for k in range(8)]
+
+
+def plain_labels(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_follow_changes(spark, seed):
+    """Chains, joins and splits, nodes that come and go, a component that is untouched; nothing before, nothing after."""
+    r = random.Random(seed)
+    before = {(k, k + 1) for k in range(0, 40) if k % 10 != 9} | {(r.randrange(60), r.randrange(60)) for _ in range(15)} | {(100, 101), (101, 102)}
+    after = {e for e in before if r.random() > 0.15 or e[0] >= 100} | {(r.randrange(80), r.randrange(80)) for _ in range(8)} | {(7, 7)}
+    frame = lambda edges: spark.createDataFrame(sorted((b, a) if r.random() < 0.5 else (a, b) for a, b in edges), "a long, b long")
+    for old, new in ((before, after), (set(), after), (before, set())):
+        labels = components.connected_components(frame(old))
+        assert dict(components.updated_components(labels, frame(old), frame(new)).collect()) == plain_labels(new)

@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph by alternating star contractions."""
+"""Connected components of an undirected graph by alternating star contractions, and how they follow changes of the edges."""
 
 from __future__ import annotations
 
@@ -44,3 +44,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("component")).join(nodes.union(roots).select("node"), "node", "left_anti")
     return nodes.union(roots).union(alone)
+
+
+def updated_components(labels: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(node, component) for edges after (a, b), from labels, which connected_components gave for edges before.
+
+    A component that lost an edge is found anew, within its own nodes. New edges then join what is left: they are taken as edges
+    between labels, so what is contracted is as large as the change. All other nodes keep their label. Which way round an edge is
+    written makes no difference; edges with a null end are ignored.
+    """
+    ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    before, after = (written(x.where("a is not null and b is not null").select(*ends).distinct(), "ends") for x in (before, after))
+    added, lost = after.join(before, ["a", "b"], "left_anti"), before.join(after, ["a", "b"], "left_anti")
+    node = labels.select("node", "component")
+    touched = lost.select(F.col("a").alias("node")).join(node, "node").select("component").distinct()
+    broken = written(node.join(touched, "component", "left_semi"), "broken")
+    inside = after.join(before, ["a", "b"], "left_semi").join(broken.select(F.col("node").alias("a")), "a", "left_semi")
+    held = written(node.join(touched, "component", "left_anti").select("node", "component").unionByName(connected_components(inside)), "labels")
+    ends = written(added.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "new-ends")
+    named = written(ends.join(held, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "new-labels")
+    of = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    between = added.join(of("a"), "a").join(of("b"), "b").select("of_a", "of_b")
+    moved = connected_components(between, "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    whole = held.unionByName(named.join(held.select("node"), "node", "left_anti").select("node", "component"))
+    sizes = written(whole.groupBy("component").agg(F.count("*").alias("n")).join(moved, "component", "left"), "sizes")
+    found = joined_by_share(whole, sizes, "component", "n", whole.count())
+    return found.select("node", F.coalesce("to", "component").alias("component"))

@@ -6,7 +6,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions.turkish import VERB_STEMS
 from weftgraph.operators.morphology import CONNECTIVES, ENDINGS, WHOLE_ENDINGS
 from weftgraph.operators.routing import SYNONYMS
-from weftgraph.plans.queries import CASES, KEYWORDS, LOADED, ROUTED, TENSES
+from weftgraph.plans.queries import CASES, KEYWORDS, LOADED, ROUTED, SLEEP_WEIGHT, TENSES
 
 
 def _values(rows: tuple) -> str:
@@ -302,6 +302,13 @@ ORACLE = {
     "auto_partition_best_tag": f"WITH RECURSIVE {_graph(ITEMS)}, {CLUSTERS} SELECT cluster, size, new_part FROM renamed",
     "repartition_counts": f"""WITH RECURSIVE {_graph(ONE_PART)}, {CLUSTERS} SELECT coalesce(new_part, part) AS part, count(*) AS nodes
         FROM nodes LEFT JOIN found USING (node_id) LEFT JOIN renamed USING (cluster) GROUP BY ALL""",
+    "clusters_after_sleep": f"""WITH RECURSIVE {SUPPLY}, slept AS (SELECT *, CASE WHEN co_firings > 0 THEN least(1.0, weight + 0.1 * co_firings) ELSE weight - 0.05 END AS after FROM edges),
+        strong AS (SELECT 'p' || l_id AS a, 's' || s_id AS b FROM (SELECT lpad(dst_id::VARCHAR, 12, '0') AS l_id, lpad(src_id::VARCHAR, 12, '0') AS s_id FROM slept WHERE after > {SLEEP_WEIGHT})),
+        both_ways AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
+        found(node, cluster) USING KEY (node) AS (SELECT a, a FROM both_ways
+          UNION (SELECT e.b, min(f.cluster) FROM found f JOIN both_ways e ON e.a = f.node JOIN recurring.found r ON r.node = e.b WHERE f.cluster < r.cluster GROUP BY e.b))
+        SELECT CASE left(node, 1) WHEN 'p' THEN 'part' ELSE 'supplier' END AS part, substr(node, 2)::BIGINT AS node_id,
+          CASE left(cluster, 1) WHEN 'p' THEN 'part' ELSE 'supplier' END AS cluster_part, substr(cluster, 2)::BIGINT AS cluster_id FROM found""",
     "evict_lowest_part": f"""WITH {SPREAD}, {ROUTING_STEMS}, {ROUTES}, resident AS (SELECT DISTINCT part FROM nodes),
         total AS (SELECT part, coalesce(sum(greatest(act - 0.05, 0)), 0.0) AS act FROM resident LEFT JOIN active USING (part) GROUP BY part)
         SELECT part, round(act, 6) AS act FROM total WHERE part NOT IN (SELECT part FROM routes WHERE query_id = 1) AND (SELECT count(*) FROM resident) > 18 ORDER BY round(act, 9), part LIMIT 1""",
@@ -421,4 +428,4 @@ ORACLE = {
     "windowed_co_firings": """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'user' AS src_part, user_id AS src_id, 'event' AS dst_part, length(event_type)::BIGINT AS dst_id, count(*) AS co_firings FROM events GROUP BY ALL""",
 }
 # the same rows by another way: kept by ingests, and found through what they keep
-ORACLE |= {"stored_word_stats": ORACLE["word_stats"], "stored_routes": ORACLE["route_parts_topk"], "sql_chunks": ORACLE["chunk_sentences"], "sql_inflections": ORACLE["inflect_words"]}
+ORACLE |= {"stored_word_stats": ORACLE["word_stats"], "stored_routes": ORACLE["route_parts_topk"], "sql_chunks": ORACLE["chunk_sentences"], "dump_pages": ORACLE["wiki_pages"], "sql_inflections": ORACLE["inflect_words"]}

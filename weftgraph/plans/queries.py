@@ -22,6 +22,8 @@ from weftgraph.streaming.ingest import co_firings
 KEYWORDS = ((1, "the of and"), (2, "en the of en que"), (3, "der und die src"), (4, "kodla göster the print kodla"))
 ROUTED = ((1, "src7 de"), (2, "en src12, fr? src3!"), (3, "nothing"), (4, "src1 src19 es"))
 CASES, TENSES = ("-i", "-e", "-de", "-den", "-in", "-ler"), ("-r", "-di", "-meli")
+#: So few edges are above it that supply falls into many clusters.
+SLEEP_WEIGHT = 0.385
 LOADED = ("en_src1", "de_src2", "fr_src3")
 
 
@@ -220,6 +222,14 @@ def repartition_counts(spark, sf_dir):
     return moved.nodes.groupBy("part").agg(F.count("*").alias("nodes"))
 
 
+def clusters_after_sleep(spark, sf_dir):
+    """Clusters of suppliers and parts after consolidation, from those before it and the edges that it made strong or weak."""
+    edges = written(_supply_edges(spark, sf_dir), "edges")
+    labels = written(connected_components(learning.strong_ends(edges, SLEEP_WEIGHT)), "labels")
+    found = learning.updated_clusters(labels, edges, written(learning.consolidated(edges), "after"), SLEEP_WEIGHT)
+    return found.select("node.part", "node.node_id", F.col("component.part").alias("cluster_part"), F.col("component.node_id").alias("cluster_id"))
+
+
 def evict_lowest_part(spark, sf_dir):
     own, act = _active(spark, sf_dir)
     locked = routing.matched_parts(_queries(spark, ROUTED[:1]), _parts(spark, sf_dir), morphology.no_stats(spark)).select("part")
@@ -289,6 +299,13 @@ def wiki_pages(spark, sf_dir):
     return files.wiki_documents(wiki).select("part", "title", "text")
 
 
+def dump_pages(spark, sf_dir):
+    """The web pages written as a compressed dump, and read from it."""
+    at = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    files.write_dump(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("title"), F.col("html").alias("text")), at)
+    return files.wiki_documents(files.wiki_pages(spark, at)).select("part", "title", "text")
+
+
 def registry_incremental(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "lang")
     registry = texts.where("lang = 'en'").select("path", T.content_hash(F.col("content")).alias("content_hash"))
@@ -538,9 +555,9 @@ QUERIES = {
         chunk_sentences, word_counts_per_doc, node_kind_counts, part_name_from_title, part_name_from_file, html_plain, dedupe_first_content,
         dedupe_global, sequence_edges, conversation_steps, node_tags, edge_upsert_last_writer, word_stats, document_frequency, query_idf,
         route_parts_topk, seed_activation, propagate_two_steps_top20, part_wide_activation, hebbian_update, hebbian_new_pairs,
-        maintenance_plasticity, maintenance_counts, components_strong_edges, auto_partition_best_tag, repartition_counts, evict_lowest_part,
+        maintenance_plasticity, maintenance_counts, components_strong_edges, auto_partition_best_tag, repartition_counts, clusters_after_sleep, evict_lowest_part,
         language_vote, answer_mode, reachable_within_3, tag_overlap_pairs, sequence_heads, sql_chunks, sql_inflections, stored_word_stats, stored_routes, running_lines, page_line_kinds, running_page_text, cap_symbol_runs,
-        wiki_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
+        wiki_pages, dump_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
         stem_tokens_without_stats, detect_verbs, concept_templates, concept_graph, concept_graph_of_pages, concept_nodes, concept_tags, verb_roles,
         template_nodes, finished_sentences, template_sentences, bare_words, loaded_parts, store_in_two_steps, routed_chunks, document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
     )
