@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,26 +104,30 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     )
 
     counts = chosen.mapInArrow(count, "lang string, n int, token string, times long").groupBy("lang", "n", "token").agg(F.sum("times").alias("times")).persist()
+    rows: list[dict[str, int]] = [{} for _ in range(GRAM_MOST + 1)]
+    starts, lang_of, times_of, entries = [], [], [], 0
     try:
         totals = {(r.lang, r.n): r.total for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()}
-        kept = counts.where("times >= 2").toPandas()
+        langs = sorted({lang for lang, _ in totals})
+        number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1 if langs else F.lit(0)
+        for n, own in enumerate(rows):  # one length after the other, so the driver holds the rows of one beside the model
+            kept = counts.where((F.col("times") >= 2) & (F.col("n") == n)).select("token", number.cast("int").alias("lang"), "times").toArrow()
+            kept = kept.take(pc.sort_indices(kept, sort_keys=[("token", "ascending"), ("lang", "ascending")]))
+            for token in kept.column("token"):
+                if (token := token.as_py()) not in own:
+                    own[token] = len(starts)
+                    starts.append(entries)
+                entries += 1
+            lang_of.append(kept.column("lang").to_numpy())
+            times_of.append(kept.column("times").to_numpy())
+            del kept
     finally:
         counts.unpersist()
-    langs = sorted({lang for lang, _ in totals})
-    number = {x: k for k, x in enumerate(langs)}
-    kept = kept.sort_values(["n", "token", "lang"]).reset_index(drop=True)
     total = np.array([[totals.get((lang, n), 0) for lang in langs] for n in range(GRAM_MOST + 1)], dtype=float).reshape(GRAM_MOST + 1, len(langs))
-    rows: list[dict[str, int]] = [{} for _ in range(GRAM_MOST + 1)]
-    starts = []
-    for entry, (n, token) in enumerate(zip(kept.n.tolist(), kept.token.tolist(), strict=True)):
-        if token not in rows[n]:
-            rows[n][token] = len(starts)
-            starts.append(entry)
     size = np.array([len(x) for x in rows])
     base = np.log(SMOOTHING / (total + SMOOTHING * (size[:, None] + 1)))
-    lang = kept.lang.map(number).to_numpy(dtype=np.int64)
-    gain = np.log((kept.times.to_numpy(dtype=float) + SMOOTHING) / SMOOTHING)
-    return Model(langs, rows, base, np.array([*starts, len(kept)]), lang.astype(np.int32), gain.astype(np.float32))
+    gain = np.log((np.concatenate(times_of).astype(float) + SMOOTHING) / SMOOTHING)
+    return Model(langs, rows, base, np.array([*starts, entries]), np.concatenate(lang_of).astype(np.int32), gain.astype(np.float32))
 
 
 class Scorer:
