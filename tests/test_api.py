@@ -271,4 +271,4 @@ def test_typed_text_and_pdf_pages(spark, tmp_path):
 
 def test_ids_out_of_range_are_an_error(spark):
     with pytest.raises(Exception, match="out of range"):
-        graph.chunk_graph(spark.createDataFrame([(1 << 36, "a", "Too large an id")], DOCS))
+        graph.chunk_graph(spark.createDataFrame([(1 << 36, "a", "Too large an id")], DOCS)).nodes.collect()
