@@ -426,6 +426,12 @@ ORACLE = {
         SELECT 'case' AS kind, word, ending, {_cased("ending")} AS form FROM h, cases UNION ALL SELECT 'tense', word, ending, {_tensed("ending")} FROM h, tenses
         UNION ALL SELECT 'copula', word, '', word || dental || narrow || 'r' FROM h""",
     "windowed_co_firings": """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'user' AS src_part, user_id AS src_id, 'event' AS dst_part, length(event_type)::BIGINT AS dst_id, count(*) AS co_firings FROM events GROUP BY ALL""",
+    "changed_versions": """SELECT path, doc_id AS version, sha256(said) AS content_hash FROM (SELECT (doc_id // 2)::VARCHAR AS path, doc_id, coalesce(text, '') AS said FROM documents)
+        QUALIFY said IS DISTINCT FROM lag(said) OVER (PARTITION BY path ORDER BY doc_id)""",
+    "fed_edges": f"""WITH {SUPPLY}, counts AS (SELECT l_suppkey AS s, l_partkey AS p, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL)
+        SELECT 'supplier' AS src_part, s AS src_id, 'part' AS dst_part, p AS dst_id, round(least(1.0, 5 - (5 - weight) * pow(0.98, n)), 6) AS weight, co_firings + n AS co_firings, 'Semantic' AS edge_type
+        FROM counts JOIN edges ON s = src_id AND p = dst_id
+        UNION ALL SELECT 'part', p, 'supplier', s, round(least(1.0, 5 - 4.85 * pow(0.98, r - 1)), 6), r - 1, 'Semantic' FROM counts WHERE r > 0""",
 }
 # the same rows by another way: kept by ingests, and found through what they keep
 ORACLE |= {"stored_word_stats": ORACLE["word_stats"], "stored_routes": ORACLE["route_parts_topk"], "sql_chunks": ORACLE["chunk_sentences"], "dump_pages": ORACLE["wiki_pages"], "sql_inflections": ORACLE["inflect_words"]}

@@ -16,7 +16,7 @@ from weftgraph.operators.components import connected_components
 from weftgraph.operators.graph import KEY, SEMANTIC, SEQUENTIAL
 from weftgraph.sources import files, store
 from weftgraph.session import shared_folder, table, written
-from weftgraph.streaming.ingest import co_firings
+from weftgraph.streaming.ingest import changed_stream, co_firings, feed_edges
 
 #: Keyword queries, and queries that name parts.
 KEYWORDS = ((1, "the of and"), (2, "en the of en que"), (3, "der und die src"), (4, "kodla göster the print kodla"))
@@ -549,6 +549,36 @@ def windowed_co_firings(spark, sf_dir):
     return co_firings(events, window="1 day")
 
 
+def _table_stream(spark, sf_dir, name):
+    # a stream's path that is no pattern must be a folder, and tables may be files
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def changed_versions(spark, sf_dir):
+    """Documents as a stream of versions of files, two of each: those that change their file."""
+    at = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    number = F.col("doc_id").cast("long")
+    versions = _table_stream(spark, sf_dir, "documents").select(F.floor(number / 2).cast("string").alias("path"), F.col("text").alias("content"), F.timestamp_seconds(number).alias("modified"))
+    found = changed_stream(versions).select("path", F.unix_seconds("modified").alias("version"), "content_hash")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/rows")
+
+
+def fed_edges(spark, sf_dir):
+    """A stored graph of suppliers and parts after a stream in which each line fires its edge, and each returned line the way back."""
+    at = f"{shared_folder(spark)}/fed-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "lineitem")
+    ends = lines.select(F.lit("supplier").alias("part"), F.col("l_suppkey").alias("node_id")).union(lines.select(F.lit("part"), "l_partkey")).distinct()
+    nodes = ends.select("part", "node_id", F.concat_ws(" ", "part", "node_id").alias("content"), F.lit("Concept").alias("node_type"))
+    tags = nodes.select("part", "node_id", F.col("part").alias("tag"), F.lit(1.0).alias("weight"))
+    store.save_graph(graph.Graph(nodes, tags, _supply_edges(spark, sf_dir)), at)
+    there, back = (F.struct(F.lit(a).alias("src_part"), F.col(b).alias("src_id"), F.lit(c).alias("dst_part"), F.col(d).alias("dst_id")) for a, b, c, d in (("supplier", "l_suppkey", "part", "l_partkey"), ("part", "l_partkey", "supplier", "l_suppkey")))
+    fires = F.array_compact(F.array(there, F.when(F.col("l_returnflag") == "R", back)))
+    firings = _table_stream(spark, sf_dir, "lineitem").select(F.inline(fires))
+    feed_edges(firings, at, f"{at}-state", "lines").awaitTermination()
+    return store.load_graph(spark, at).edges.withColumn("weight", F.round("weight", 6)).drop("role")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -560,5 +590,6 @@ QUERIES = {
         wiki_pages, dump_pages, registry_incremental, catalog_union_distinct, cross_part_edges, edges_with_ends, status_counts, inflect_words, stem_tokens,
         stem_tokens_without_stats, detect_verbs, concept_templates, concept_graph, concept_graph_of_pages, concept_nodes, concept_tags, verb_roles,
         template_nodes, finished_sentences, template_sentences, bare_words, loaded_parts, store_in_two_steps, routed_chunks, document_path_scores, document_sentences, concept_pair_scores, active_nodes_shown, document_clusters, status_nodes, status_edges, path_walks, walk_scores, woven_answers, ask_queries, windowed_co_firings,
+        changed_versions, fed_edges,
     )
 }
