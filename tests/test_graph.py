@@ -1,6 +1,7 @@
 """Graph operators on small graphs."""
 
 import math
+import random
 
 import pytest
 
@@ -29,6 +30,42 @@ def test_noun_stems(spark, stats):
     assert found["çalışacağı"][1] == "-i"
 
 
+def plain_stem(word, stats):
+    """A word's stem and suffix, one ending after the other."""
+    lower = lambda x: x.translate(str.maketrans("İI", "iı")).lower()
+    stem, suffix = word, ""
+    while True:
+        low = lower(stem)
+        freq, tied = stats.get(low, (0, 0))
+        for name, ending in morphology.ENDINGS:
+            if not low.endswith(ending) or len(stem) < len(ending) + 3 or len(ending) == 1 and (not stats or low[-2:] in morphology.WHOLE_ENDINGS):
+                continue
+            shorter = stem[: len(stem) - len(ending)]
+            shorter = shorter[:-1] + shorter[-1].translate(str.maketrans("ğdbc", "ktpç"))
+            other = stats.get(lower(shorter), (0, 0))
+            if freq <= 0 or other[0] > 0 and tied <= 2 * other[1]:
+                break
+        else:
+            return stem, suffix
+        stem, suffix = shorter, suffix or name
+        if freq > 0:
+            return stem, suffix
+
+
+@pytest.mark.parametrize("nodes", [0, 40, 400])
+def test_stems_against_one_ending_after_the_other(spark, nodes):
+    drawn = random.Random(nodes)
+    bases = ["ev", "araba", "kitap", "KITAB", "İSTANBUL", "sistem", "a", "kağıd", "renk", "ler", "é", "x" * 60]
+    words = {"", "a" * 300, *("".join([drawn.choice(bases), *(drawn.choice(morphology.ENDINGS)[1] for _ in range(drawn.randint(0, 5)))]) for _ in range(600))}
+    stats = {}
+    for word in drawn.sample(sorted(words), nodes):
+        stats[word.lower()[: drawn.randint(1, 12)]] = (float(drawn.randint(0, 2)), float(drawn.randint(0, 4)))
+    table = spark.createDataFrame([(w, *x) for w, x in stats.items()], "word string, freq double, edge_weight double")
+    found = morphology.noun_stems(spark.createDataFrame([(w,) for w in [*words, *words, None]], "word string"), table)
+    rows = found.collect()
+    assert len(rows) == len(words) and {r.word: (r.stem, r.suffix) for r in rows} == {w: plain_stem(w, stats) for w in words}
+
+
 def test_verbs_give_way_to_longer_nodes(spark, stats):
     words = spark.createDataFrame([("işletim",), ("sağlar",), ("yazmalı",), ("masa",), ("eder",)], "word string")
     assert {(r.word, r.verb, r.tense) for r in morphology.verbs(words, stats).collect()} == {("sağlar", "sağla", "-r"), ("yazmalı", "yaz", "-meli"), ("eder", "et", "-r")}

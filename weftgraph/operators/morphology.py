@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.functions.turkish import VERB_STEMS, hardened
+from weftgraph.functions.turkish import VERB_STEMS
 from weftgraph.operators.skew import joined_by_share
 from weftgraph.session import written
 
@@ -40,6 +40,7 @@ WHOLE_ENDINGS = (
 #: Words that stay as they are in a template.
 CONNECTIVES = ("ve", "veya", "ile", "için", "göre", "tarafından")
 ENDINGS = [(suffix, ending) for suffix, endings in NOUN_SUFFIXES for ending in endings]
+LONGEST = max(len(ending) for _, ending in ENDINGS)
 
 
 def no_stats(spark) -> DataFrame:
@@ -65,39 +66,68 @@ def _after_apostrophe(rest: Column) -> Column:
     )
 
 
+def _fitting(tail: Column, size: Column, known: bool) -> Column:
+    """The endings (k, s, and their length n) that a stem of this size, with this tail, may lose; in no order."""
+
+    def found(low: Column) -> Column:
+        tried = []
+        for n in sorted({len(e) for _, e in ENDINGS}):
+            first = {e: (k, s) for k, (s, e) in reversed(list(enumerate(ENDINGS))) if len(e) == n}
+            named = F.create_map(*[x for e, (k, s) in first.items() for x in (F.lit(e), F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(n).alias("n")))])
+            fits = size >= n + 3 if n > 1 else (size >= n + 3) & F.lit(known) & ~F.right(low, F.lit(2)).isin(*WHOLE_ENDINGS)
+            tried.append(F.when(fits, F.try_element_at(named, F.right(low, F.lit(n)))))
+        return F.array_compact(F.array(*tried))
+
+    return F.get(F.transform(F.array(T.lower_tr(tail)), found), F.lit(0))
+
+
 def noun_stems(words: DataFrame, stats: DataFrame) -> DataFrame:
     """word, stem, suffix for each of words (word): case and number endings off, as long as the rest stays a valid stem.
 
-    Each round tries all endings at once, joins the stems that they leave with stats, and takes the first valid one; it ends
-    when no word changes. A word that is a node itself loses one ending at most.
+    A stem that is no node loses its first fitting ending whatever the rest is, so a word's row of stems needs no lookup. They are
+    looked up all at once, with what each would be without any of its endings: the first that is a node loses one ending more, if that
+    leaves a valid stem, and is the end; without a node it is the last. Two shuffles, by stem and by word. Null words have no row.
     """
     known = not stats.isEmpty()
     start = words.select("word").distinct()
     quoted = start.where(F.col("word").contains("'"))
     done = quoted.select("word", F.substring_index("word", "'", 1).alias("stem"), _after_apostrophe(F.regexp_extract("word", "(?s)'(.*)$", 1)).alias("suffix"))
-    going = start.where(~F.col("word").contains("'")).select("word", F.col("word").alias("stem"), F.lit("").alias("suffix"))
-    endings = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(e).alias("e")) for k, (s, e) in enumerate(ENDINGS)])
-
-    def fits(x: Column) -> Column:
-        low = F.col("low")
-        single = F.length(x["e"]) == 1
-        guard = ~single | (F.lit(known) & ~F.right(low, F.lit(2)).isin(*WHOLE_ENDINGS))
-        return F.endswith(low, x["e"]) & (F.length("stem") >= F.length(x["e"]) + 3) & guard
-
-    while True:
-        going = going.withColumn("low", T.lower_tr(F.col("stem")))
-        going = _looked_up(going, stats, "low", "freq", "tied").select("word", "stem", "suffix", "low", "freq", "tied")
-        tried = going.select("*", F.explode(F.filter(endings, fits)).alias("x"))
-        tried = tried.withColumn("shorter", hardened(F.substring(F.col("stem"), F.lit(1), F.length("stem") - F.length("x.e"))))
-        tried = _looked_up(tried.withColumn("short_low", T.lower_tr(F.col("shorter"))), stats, "short_low", "short_freq", "short_tied")
-        tried = tried.where(valid_stem(F.col("freq"), F.col("tied"), F.col("short_freq"), F.col("short_tied")))
-        best = tried.groupBy("word").agg(F.min_by(F.struct("shorter", F.col("x.s").alias("s")), "x.k").alias("best"))
-        state = written(going.join(best, "word", "left"), "stems")
-        cut = state.where("best is not null").select("word", F.col("best.shorter").alias("stem"), F.when(F.col("suffix") == "", F.col("best.s")).otherwise(F.col("suffix")).alias("suffix"), "freq")
-        done = done.unionByName(state.where("best is null").select("word", "stem", "suffix")).unionByName(cut.where("freq > 0").select("word", "stem", "suffix"))
-        going = cut.where("freq <= 0").select("word", "stem", "suffix")
-        if going.isEmpty():
-            return done
+    word, whole = F.col("word"), F.length("word")
+    last_letter = lambda size: F.translate(F.substring(word, size, F.lit(1)), "ğdbc", "ktpç")
+    # what is cut off takes a hardened consonant along, so every stem is a beginning of the word but for its own last letter
+    beginning = lambda size: F.when(size == whole, word).otherwise(F.concat(F.substring(word, F.lit(1), size - 1), last_letter(size)))
+
+    def tail(size: Column) -> Column:
+        first, letters = F.greatest(size - LONGEST, F.lit(1)), F.least(size - 1, F.lit(LONGEST))
+        return F.concat(F.substring(word, first, letters), F.when(size == whole, F.right(word, F.lit(1))).otherwise(last_letter(size)))
+
+    def cut(acc: Column, _: Column) -> Column:
+        first = F.array_min(_fitting(tail(acc["size"]), acc["size"], known))
+        shorter = lambda x: F.struct(
+            (acc["size"] - x["n"]).alias("size"), F.when(acc["suffix"] == "", x["s"]).otherwise(acc["suffix"]).alias("suffix"),
+            F.array_append(acc["sizes"], acc["size"] - x["n"]).alias("sizes"), F.lit(False).alias("last"),
+        )
+        after = F.get(F.transform(F.array(first), lambda x: F.when(x.isNull(), acc.withField("last", F.lit(True))).otherwise(shorter(x))), F.lit(0))
+        return F.when(acc["last"], acc).otherwise(after)
+
+    zero = F.struct(whole.alias("size"), F.lit("").alias("suffix"), F.array(whole).alias("sizes"), F.lit(False).alias("last"))
+    rows = start.where(~word.contains("'")).select("word", F.aggregate(F.sequence(F.lit(1), F.greatest(whole - 3, F.lit(1))), zero, cut).alias("cuts"))
+    steps = rows.select("word", F.col("cuts.suffix").alias("suffix"), (F.size("cuts.sizes") - 1).alias("last"), F.posexplode("cuts.sizes").alias("i", "size"))
+    itself = F.array(F.struct(F.lit(-1).alias("k"), F.lit("").alias("s"), F.lit(0).alias("n")))
+    tried = steps.withColumn("x", F.explode(F.concat(itself, _fitting(tail(F.col("size")), F.col("size"), known))))
+    tried = tried.select("word", "suffix", "last", "i", "x.k", "x.s", beginning(F.col("size") - F.col("x.n")).alias("stem"))
+    found = _looked_up(tried.withColumn("low", T.lower_tr(F.col("stem"))), stats, "low", "freq", "tied").repartition("word")
+    one = found.groupBy("word", "i").agg(
+        F.max(F.when(F.col("k") < 0, F.struct("freq", "tied", "stem", "suffix", "last"))).alias("own"),
+        F.array_sort(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "s", "stem", "freq", "tied")))).alias("others"),
+    )
+    own = F.col("own")
+    ends = one.where((own["freq"] > 0) | (F.col("i") == own["last"]))
+    best = F.get(F.filter("others", lambda x: valid_stem(own["freq"], own["tied"], x["freq"], x["tied"])), F.lit(0))
+    outcome = ends.select("word", "i", "own", best.alias("best"))
+    suffix = F.when(F.col("i") > 0, own["suffix"]).otherwise(F.coalesce("best.s", F.lit("")))
+    last = outcome.groupBy("word").agg(F.min_by(F.struct(F.coalesce("best.stem", own["stem"]).alias("stem"), suffix.alias("suffix")), "i").alias("end"))
+    return done.unionByName(last.select("word", "end.stem", "end.suffix"))
 
 
 def _tense(rest: Column) -> Column:
