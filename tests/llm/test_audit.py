@@ -254,6 +254,32 @@ def test_near_duplicates_in_blocks(spark, copies, monkeypatch):
     assert Counter(map(tuple, got)) == plain_near(rows)
 
 
+def near_copies(n: int) -> list[tuple[int, str]]:
+    """A text with more or less of its words replaced: many copies of copies aren't linked with each other, and some with none."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    return [(i, " ".join(f"x{r.randrange(10**6)}" if r.random() < lost else w for w in base)) for i in range(n) for lost in [r.uniform(0.01, 0.08)]]
+
+
+def test_rows_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """Blocks of few sets: a large group of near copies isn't dealt to as many blocks as it has, in each of its buckets."""
+    monkeypatch.setattr(oddsketch, "GROUP", 8)
+    frame = type(spark.range(1))
+    plain, made = frame.mapInArrow, []
+
+    def counted(self, func, *args, **kwargs):
+        if func.__name__ == "choose":
+            made.append(self.count())
+        return plain(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    rows = near_copies(400)
+    got = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(map(tuple, got)) == plain_near(rows)
+    assert len({r[2] for r in got}) > 10
+    assert len(made) == 1 and made[0] < 32 * len(rows), made
+
+
 def test_odd_sketches_estimate_high_similarities():
     """What differs in more than CUT bits isn't similar, and sketches tell 0.8 from 0.5."""
     r = np.random.default_rng(4)

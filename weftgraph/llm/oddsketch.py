@@ -12,11 +12,13 @@ Links are wanted for their components only, so a group of n copies isn't compare
 
 1. In each bucket the least set leads, and all others are candidates with it. A set's first leader by id is confirmed on the full sets,
    in groups of about LED sets with one leader. Confirmed links make components.
-2. In a bucket that still holds more than one component, sets are compared across components: the sets outside the bucket's largest
-   component with each other and with that, block by block, each pair in its first shared bucket. What the sketches let through is
-   confirmed on the full sets in the task.
+2. In a bucket that still holds more than one component, sets are compared across components: those outside the bucket's largest
+   component with each other, and with the sets of that. Near copies share most of their buckets, so a set is compared with all of a
+   largest component at once where that is no more than WIDER times its sets in the buckets that both share, and else bucket by bucket,
+   each pair in its first shared bucket; those outside are compared with each other likewise. What the sketches let through is confirmed on the full sets in the task.
 
-Work is dealt by bucket, block and leader's group; leaders and buckets that are hot are joined by share.
+Work is dealt by bucket, block and leader's group; leaders and buckets that are hot are joined by share. Blocks grow with what is compared:
+a set's row is made SIDES times at most, until blocks have MOST sets.
 
 Defined results: a text without a word (null, empty, blank) has no shingles, no links, and is its own component; repeated rows are copies,
 each with a row of its own; the component of rows without an id is that of the least id in it, null if there is none, and such rows are kept
@@ -27,6 +29,7 @@ columns besides doc_id and text, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.jaccard import _groups, _lists, _mixed, set_digest
+from weftgraph.llm.jaccard import _lists, _mixed, set_digest
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.skew import joined_by_share
 from weftgraph.session import written
@@ -45,8 +48,12 @@ BANDS, ROWS = 32, 7
 K = BANDS * ROWS
 BITS = 512
 MISS = 1e-5
-#: Sets of a leader's group, and of a block.
+#: Sets of a leader's group, and of a block at least.
 LED, GROUP = 64, 256
+#: Blocks of what is compared while they have no more than MOST sets.
+SIDES, MOST = 16, 4096
+#: So many more sketches are compared where that saves the rows of a bucket: a row costs as much as a thousand of them.
+WIDER = 8
 CACHE_WORDS = 500_000
 
 
@@ -191,59 +198,121 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "side").mapInArrow(run, "a binary, b binary"), "confirmed")
 
 
-def _across(rows: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of a group's rows that are still to be confirmed: of two components, in their first shared bucket, and alike by their sketches."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one group after the other; the rows of a group follow each other."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for _, group in groupby(rows, key=lambda r: tuple(r[c] for c in GROUPED)):
+        held = list(group)
+        if len(held) > 1:
+            yield held
+
+
+def _across(rows: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of a group those after it, nearest first, that are still to be confirmed with it: of another component, alike by their sketches, and not met in an earlier bucket."""
     sketches = np.array([r["sketch"] for r in rows], dtype=np.int64).view(np.uint64)
     size, side = np.array([r["size"] for r in rows]), np.array([r["side"] for r in rows])
     label = np.unique([r["label"] for r in rows], return_inverse=True)[1]
-    between = rows[0]["i"] != rows[0]["j"]
-    key, out = rows[0]["key"], []
-    for k in range(len(rows)):
-        may = (label != label[k]) & (100 * np.minimum(size, size[k]) >= LEAST * np.maximum(size, size[k]))
-        may[: k + 1] = False
+    between, key = rows[0]["i"] != rows[0]["j"], rows[0]["key"]
+    keys = None if rows[0]["kind"] in (WHOLE, AROUND) else np.array([r["keys"] for r in rows])
+    for k in range(len(rows) - 1):
+        may = (label[k + 1 :] != label[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= LEAST * np.maximum(size[k + 1 :], size[k]))
         if between:
-            may &= side != side[k]
-        if may.any():
-            other = np.flatnonzero(may)
-            near = other[np.bitwise_count(sketches[other] ^ sketches[k]).sum(axis=1) <= CUT]
-            own = np.array(rows[k]["keys"])
-            for m in near:
-                shared = np.flatnonzero(own == np.array(rows[m]["keys"]))
-                if own[shared[0]] == key:
-                    out.append((int(k), int(m)))
-    return out
-
-
-DEALT = ("key", "i", "j", "side", "label", "set_id", "size", "sketch", "keys")
+            may &= side[k + 1 :] != side[k]
+        other = np.flatnonzero(may) + k + 1
+        if not len(other):
+            continue
+        differ = np.bitwise_count(sketches[other] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+        near = other[np.argsort(differ, kind="stable")[: np.count_nonzero(differ <= CUT)]]
+        if keys is not None and len(near):
+            near = near[keys[k][(keys[near] == keys[k]).argmax(axis=1)] == key]
+        if len(near):
+            yield k, near
+
+
+#: What a group compares: sets with all of a component, sets with those of a bucket's largest component; the other sets of all buckets
+#: with that largest component with each other, those of one bucket.
+WHOLE, BUCKET, AROUND, OUTSIDE = range(4)
+GROUPED = ("kind", "key", "head", "i", "j")
+DEALT = (*GROUPED, "side", "label", "set_id", "size", "sketch", "keys")
 _NUMBERS = pa.list_(pa.int64())
-_CHOSEN = pa.schema([(c, {"key": pa.int64(), "i": pa.int32(), "j": pa.int32(), "side": pa.int32(), "size": pa.int64(), "sketch": _NUMBERS, "keys": _NUMBERS}.get(c, pa.binary())) for c in DEALT])
-CHOSEN = "key long, i int, j int, side int, label binary, set_id binary, size long, sketch array<long>, keys array<long>"
+_TYPES = {"key": pa.int64(), "size": pa.int64(), "sketch": _NUMBERS, "keys": _NUMBERS} | dict.fromkeys(("kind", "i", "j", "side"), pa.int32())
+_CHOSEN = pa.schema([(c, _TYPES.get(c, pa.binary())) for c in DEALT])
+CHOSEN = "kind int, key long, head binary, i int, j int, side int, label binary, set_id binary, size long, sketch array<long>, keys array<long>"
 
 
-def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join components within buckets: of each group as many as join what it can join."""
-    named = labels.select(F.col("node").alias("set_id"), F.col("component").alias("label"))  # a set is in a bucket of each band at most
+def _blocks(n: str) -> Column:
+    """Into how many blocks n sets are cut."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / F.greatest(F.lit(GROUP), F.least(F.col(n) / SIDES, F.lit(MOST))))).cast("int")
+
+
+def _compared(shared: DataFrame, named: DataFrame) -> DataFrame | None:
+    """The sets of each group to compare: kind, key, head, set_id, label, outer, and how many of the group's sets are outer or not; None if there are none."""
     members = written(shared.select("key", "set_id").join(named, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "members")
     by_label = members.groupBy("key", "label").agg(F.count("*").alias("c"))
     keys = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1")
-    keys = written(keys.select("key", "n", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "mixed")
+    keys = written(keys.select("key", "n", "labels", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "mixed")
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
-        return keys.select(F.col("top").alias("a"), F.col("top").alias("b"))
-    rows = joined_by_share(members, keys, "key", "n", total)
-    outer = F.ceil((F.col("n") - F.col("of_top")) / GROUP).cast("int")
-    inner = F.ceil(F.col("of_top") / GROUP).cast("int")
-    is_top = F.col("label") == F.col("top")
-    spread = F.xxhash64("set_id")
-    side = F.when(is_top, outer + F.pmod(spread, inner)).otherwise(F.pmod(spread, outer)).cast("int")
-    last = F.when(is_top, outer - 1).otherwise(outer + inner - 1)
-    rows = rows.withColumn("side", side).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+        return None
+    mixed = written(joined_by_share(members, keys, "key", "n", total), "in-mixed")
+    outside = mixed.where("label <> top")
+
+    # each set with the largest components of its buckets: the component's sets in the buckets that both share, and the others there
+    beside = F.sum(F.when(F.col("labels") > 2, F.col("n") - F.col("of_top")).otherwise(F.lit(0)))
+    met = written(outside.groupBy("set_id", "label", "top").agg(F.sum("of_top").alias("within"), beside.alias("beside")), "met")
+    sizes = named.groupBy(F.col("label").alias("top")).agg(F.count("*").alias("n_many"))
+    tops = met.groupBy("top").agg(F.count("*").alias("n_met"), F.count_if(F.col("beside") > 0).alias("n_once"), F.sum("beside").alias("pairs")).join(sizes, "top", "left")
+    once = F.pow("n_once", F.lit(2)) <= WIDER * F.col("pairs")
+    tops = written(tops.select("top", "n_met", F.coalesce("n_many", F.lit(1)).alias("n_many"), once.alias("once")), "tops")
+    met = joined_by_share(met, tops, "top", "n_met", met.count()).withColumn("whole", F.col("n_many") <= WIDER * F.col("within"))
+    met = written(met, "met-tops")
+
+    def group(rows: DataFrame, kind: int, key: str | Column, n_many: str | Column) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), (F.col(key) if isinstance(key, str) else key).alias("key"), F.col("top").alias("head"), "set_id", "label", (F.col(n_many) if isinstance(n_many, str) else n_many).cast("long").alias("n_many"))
+
+    none = F.lit(0).cast("long")
+    outer = group(met.where("whole"), WHOLE, none, "n_many").unionByName(group(met.where("once and beside > 0"), AROUND, none, none))
+    split = met.where("not whole or (not once and beside > 0)").select("set_id", "top", "whole", "once")
+    by_bucket = not split.isEmpty()
+    if by_bucket:
+        split = outside.join(split, ["set_id", "top"])
+        outer = outer.unionByName(group(split.where("not whole"), BUCKET, "key", "of_top")).unionByName(group(split.where("not once and labels > 2"), OUTSIDE, "key", none))
+    outer = written(outer, "outer")
+    name = ["kind", "key", "head"]
+    groups = written(outer.groupBy(*name).agg(F.count("*").alias("n_outer"), F.first("n_many").alias("n_many")), "groups")
+    n_outer, n_many = groups.agg(F.sum("n_outer"), F.sum("n_many")).first()
+    own = named.select(F.lit(WHOLE).alias("kind"), none.alias("key"), F.col("label").alias("head"), "set_id", "label")
+    if by_bucket:
+        own = own.unionByName(mixed.where("label = top").select(F.lit(BUCKET).alias("kind"), "key", F.col("top").alias("head"), "set_id", "label"))
+    own = joined_by_share(own, groups.where(F.col("kind").isin(WHOLE, BUCKET)), name, "n_many", n_many)
+    # a component of one set has no label in named
+    alone = groups.where((F.col("kind") == WHOLE) & (F.col("n_many") == 1)).withColumn("set_id", F.col("head")).withColumn("label", F.col("head"))
+    own = own.unionByName(alone).withColumn("outer", F.lit(False))
+    return joined_by_share(outer.drop("n_many"), groups, name, "n_outer", n_outer).withColumn("outer", F.lit(True)).unionByName(own)
+
+
+def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within buckets: of each group as many as join what it can join."""
+    named = labels.select(F.col("node").alias("set_id"), F.col("component").alias("label"))  # a set is in a bucket of each band at most
+    rows = _compared(shared, named)
+    if rows is None:
+        return named.where("false").select(F.col("set_id").alias("a"), F.col("label").alias("b"))
+    outer, many, spread = _blocks("n_outer"), _blocks("n_many"), F.xxhash64("set_id")
+    across = F.col("outer") & F.col("kind").isin(WHOLE, BUCKET)
+    side = F.when(F.col("outer"), F.pmod(spread, outer)).otherwise(outer + F.pmod(spread, many)).cast("int")
+    opposite = F.sequence(F.when(across, outer).otherwise(F.lit(0)), F.when(across, outer + many - 1).otherwise(outer - 1))
+    rows = rows.withColumn("side", side).withColumn("with", F.explode(opposite))
     rows = rows.withColumn("i", F.least("side", "with")).withColumn("j", F.greatest("side", "with"))
-    rows = rows.select("key", "i", "j", "side", "label", "set_id").join(sets.select("set_id", "size", "sketch", "keys"), "set_id").select(*DEALT)
+    rows = rows.select(*GROUPED, "side", "label", "set_id").join(sets.select("set_id", "size", "sketch", "keys"), "set_id")
+    rows = rows.withColumn("keys", F.when(F.col("kind").isin(BUCKET, OUTSIDE), F.col("keys"))).select(*DEALT)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            if wanted := sorted({k for pair in _across(group) for k in pair}):
+            wanted = set()
+            for k, near in _across(group):
+                wanted.add(k)
+                wanted.update(near.tolist())
+            if wanted := sorted(wanted):
                 yield pa.RecordBatch.from_pylist([group[k] for k in wanted], _CHOSEN)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +327,21 @@ def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFram
                     label = joined[label]
                 return label
 
-            for k, m in _across(group):
-                x, y = head(group[k]["label"]), head(group[m]["label"])
-                if x == y:
-                    continue
-                for n in (k, m):
-                    if n not in tokens:
-                        tokens[n] = shingles(group[n]["text"])
-                if _linked(tokens[k], tokens[m]):
-                    joined[y] = x
-                    found.append({"a": group[k]["set_id"], "b": group[m]["set_id"]})
+            for k, near in _across(group):
+                for m in near.tolist():
+                    x, y = head(group[k]["label"]), head(group[m]["label"])
+                    if x == y:
+                        continue
+                    for n in (k, m):
+                        if n not in tokens:
+                            tokens[n] = shingles(group[n]["text"])
+                    if _linked(tokens[k], tokens[m]):
+                        joined[y] = x
+                        found.append({"a": group[k]["set_id"], "b": group[m]["set_id"]})
             if found:
                 yield pa.RecordBatch.from_pylist(found)
 
-    grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    grouped = lambda df: df.repartition(*GROUPED).sortWithinPartitions(*GROUPED, "side")
     chosen = written(grouped(rows).mapInArrow(choose, CHOSEN), "across")
     if chosen.isEmpty():
         return chosen.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
