@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import divergence, oddsketch, oracle, trie
+from weftgraph.llm import decontaminate, divergence, jaccard, langid, oddsketch, oracle, trie
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -292,3 +293,51 @@ def test_odd_sketches_estimate_high_similarities():
             x, y = (oddsketch.odd_sketch(oddsketch.samples(np.sort(s))).view(np.uint64) for s in (a, b))
             over += int(np.bitwise_count(x ^ y).sum()) > oddsketch.CUT
         assert over >= lost if lost else over == 0
+
+
+def held_mb(run, texts) -> float:
+    """MB that Python holds after run over each of the texts."""
+    tracemalloc.start()
+    try:
+        for text in texts:
+            run(text)
+        return tracemalloc.get_traced_memory()[0] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def many_words(n: int):
+    """Texts of 1,000 words each, n words in all, none twice."""
+    for at in range(0, n, 1000):
+        yield " ".join("w" + str(k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(at, at + 1000))
+
+
+def test_workers_of_the_pipeline_keep_few_words():
+    """Caches of words stay small, whatever the number of words."""
+    shingler = jaccard.Shingler()
+    assert held_mb(shingler.tokens, many_words(300_000)) < 20
+    seen = np.zeros((langid.GRAM_MOST + 1, 4))
+    scorer = langid.Scorer(langid.Model(list("abcd"), [{} for _ in range(langid.GRAM_MOST + 1)], seen, np.array([0]), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)))
+    assert held_mb(scorer.predict, many_words(300_000)) < 20
+
+
+def test_small_caches_change_no_result(monkeypatch):
+    texts = [*many_words(20_000), *many_words(3000), "one two", "", None]
+    want = [jaccard.Shingler().tokens(t).tolist() for t in texts]
+    monkeypatch.setattr(jaccard, "CACHE_WORDS", 1500)
+    shingler = jaccard.Shingler()
+    assert [shingler.tokens(t).tolist() for t in texts] == want
+    assert len(shingler.known) <= 2501
+
+
+def test_texts_are_held_by_runs(monkeypatch):
+    """Decontamination holds the texts of one run of words, not those of a whole batch; no text is lost between runs."""
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 100)
+    texts, taken = ["x" * (5 * n) for n in (40, 60, 1, 500, 0, 100, 99, 2)], []
+    texts[4] = None
+    runs = decontaminate._by_words(taken.append(t) or t for t in texts)
+    first = next(runs)
+    assert first == (0, texts[:2]) and len(taken) == 3
+    rest = list(runs)
+    assert [at for at, _ in rest] == [2, 3, 4, 6, 7] and sum((own for _, own in rest), first[1]) == texts
+    assert list(decontaminate._by_words([])) == []

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 from typing import NamedTuple
 
@@ -49,7 +49,7 @@ RECALL, TRIALS = 0.995, 1000
 MOST_STEPS = 96
 SLICE_BYTES = 8 << 20
 #: Words of text taken at once.
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 17
 _WORD = re.compile(r"\w+")
 _UNSEGMENTED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD_OR_CHARACTER = re.compile(rf"[{_UNSEGMENTED}]|[^\W{_UNSEGMENTED}]+")
@@ -287,17 +287,18 @@ def slices(benchmark: DataFrame, size: int = SLICE_BYTES) -> Iterator[list[tuple
 SCHEMA = "doc_id long, item_id long, distance long, n_words long, similarity double"
 
 
-def _by_words(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """(number of the first, texts): runs of texts of about WORDS_AT_ONCE words at most, or one longer text."""
-    first, size = 0, 0
-    for k, text in enumerate(texts):
+def _by_words(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first, texts): runs of texts of about WORDS_AT_ONCE words at most, or one longer text. Holds one run's texts."""
+    first, held, size = 0, [], 0
+    for text in texts:
         more = len(text or "") // 5
-        if k > first and size + more > WORDS_AT_ONCE:
-            yield first, texts[first:k]
-            first, size = k, 0
+        if held and size + more > WORDS_AT_ONCE:
+            yield first, held
+            first, held, size = first + len(held), [], 0
+        held.append(text)
         size += more
-    if first < len(texts):
-        yield first, texts[first:]
+    if held:
+        yield first, held
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -310,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, le
             index = held.value
             for batch in batches:
                 doc_ids, rows = batch.column("doc_id").to_pylist(), []
-                for first, texts in _by_words(batch.column("text").to_pylist()):
+                for first, texts in _by_words(t.as_py() for t in batch.column("text")):
                     for number, item, distance in index.matches(texts):
                         n = len(index.items[item])
                         rows.append((doc_ids[first + number], index.ids[item], distance, n, round(1 - distance / n, 6)))
@@ -332,7 +333,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = [True] * batch.num_rows
-                for first, texts in _by_words(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+                for first, texts in _by_words(t.as_py() for t in batch.column(batch.schema.get_field_index("text"))):
                     for number, _, _ in held.value.matches(texts):
                         clean[first + number] = False
                 yield batch.filter(pa.array(clean, pa.bool_()))

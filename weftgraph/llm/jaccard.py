@@ -50,7 +50,10 @@ BLOCK = 256
 STUCK = 0.75
 SKETCH = 64
 SKETCH_LEAST = 38
-CACHE_WORDS = 500_000
+#: Words whose hashes a worker keeps.
+CACHE_WORDS = 1 << 16
+#: Rows that a worker reads at once.
+ROWS_AT_ONCE = 1024
 
 
 def runs_needed(least: float = LEAST, spread: float = SPREAD, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -145,8 +148,8 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 ids, sizes, sketches, levels = [], [], [], [[] for _ in range(DEPTH)]
                 for row, text in zip(part.column("row").to_pylist(), part.column("text"), strict=True):
                     tokens = shingler.tokens(text.as_py())
@@ -193,13 +196,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of one (key, i, j) after the other; the rows of a group follow each other."""
     group, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            own = (row["key"], row["i"], row["j"])
-            if own != group:
-                if len(held) > 1:
-                    yield held
-                group, held = own, []
-            held.append(row)
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            for row in batch.slice(at, ROWS_AT_ONCE).to_pylist():
+                own = (row["key"], row["i"], row["j"])
+                if own != group:
+                    if len(held) > 1:
+                        yield held
+                    group, held = own, []
+                held.append(row)
     if len(held) > 1:
         yield held
 
@@ -321,8 +325,8 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 tokens = [shingler.tokens(t.as_py()).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("copies"), pa.array(tokens, pa.binary())], names=["set_id", "copies", "tokens"])
 

@@ -31,8 +31,8 @@ SAMPLE = 3_000
 GRAM_MOST = 5
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Scores of words, one for each language, that a worker keeps.
-CACHE_SCORES = 1 << 21
+#: Words whose scores a worker keeps, and scores, one for each language.
+CACHE_WORDS, CACHE_SCORES = 1 << 16, 1 << 21
 #: Numbers of a model, rows times languages, that a worker unfolds into a matrix; the entries of a larger one are read as they are.
 DENSE = 1 << 23
 #: A pipeline drops documents that score below this.
@@ -163,7 +163,7 @@ class Scorer:
         words = words_of(text)
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.known) * len(self.model.langs) > CACHE_SCORES:
+        if len(self.known) > min(CACHE_WORDS, CACHE_SCORES // len(self.model.langs)):
             self.known = {}
         rows = [self._row(w) for w in words]
         sums = self.logs[rows].sum(axis=0)
