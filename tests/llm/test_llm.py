@@ -177,6 +177,23 @@ def test_decontamination_recall_by_length(many):
     assert all(len(c.walks) >= 8 for c in index.classes)
 
 
+def test_decontamination_walks_only_where_an_item_may_begin(spark, monkeypatch):
+    """Hardly any place of texts in the benchmark's words but not its order; every place within the edits of one where a run at the largest distance begins, or ends."""
+    rng, plain, walked = np.random.default_rng(9), decontaminate.walk, []
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    index = decontaminate.Index(items)
+    monkeypatch.setattr(decontaminate, "walk", lambda line, starts, *rest: walked.append((line, starts)) or plain(line, starts, *rest))
+    pool = [w for _, text in items for w in decontaminate.words_of(text)]
+    assert not list(index.matches([" ".join(rng.permutation(pool)) for _ in range(4)]))
+    assert sum(len(starts) for _, starts in walked) < 0.02 * 4 * len(pool) * sum(len(c.walks) for c in index.classes)
+    for words in (decontaminate.words_of(text) for _, text in items):
+        k = decontaminate.edits_allowed(len(words))
+        walked.clear()
+        list(index.matches([" ".join([f"w{j}" for j in range(30)] + edited(rng, words, k) + [f"w{j}" for j in range(60)])]))
+        for backwards, at in enumerate((31, 61)):
+            assert any(set(range(at - k, at + k + 1)) <= set(starts.tolist()) for line, starts in walked if (np.argmax(line > decontaminate.UNKNOWN) > 45) == backwards)
+
+
 def plain_contaminated(docs, items, least_words):
     """By definition, each text with each item."""
     split = [(i, decontaminate.words_of(t)) for i, t in items]

@@ -14,8 +14,9 @@ EMBEDDINGS at least; so it is also met where a large slice has longer keys. Reca
 fewer than WALKED words have too few steps to sample: a run within their one edit at most holds one half of theirs, or all of it,
 unchanged, and is looked up by that, which misses none.
 
-Windows that cannot match are left out first without loss: a run within k edits of n words holds n - k of the item's words, so
-n - k of n + k words must be in the benchmark's vocabulary.
+Windows that cannot match are left out first without loss. An edit takes two of the pairs of neighbouring words at most, so a run
+within k edits of n words holds n - k of the item's words and n - 1 - 2 k of its pairs; so many words of n + k must be in the
+benchmark's vocabulary, and so many pairs in those of the size class. Walks start where that holds within k words, as in the trials.
 
 The benchmark is handled in slices of about SLICE_BYTES of text, each broadcast and held against all texts. A narrow map over
 the texts for each slice: no shuffle, nothing of the texts reaches the driver.
@@ -119,8 +120,18 @@ def edited(rng: np.random.Generator, words: list[int], edits: int) -> list[int]:
     return own
 
 
+def pair_keys(line: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one."""
+    keys = line[:-1] * np.uint32(0x9E3779B1)
+    keys += line[1:]
+    keys *= np.uint32(0x85EBCA6B)
+    return keys
+
+
 class SizeClass(NamedTuple):
-    spans: list[tuple[int, int]]  # a stretch of so many words (second) that may hold an item has so many known ones (first)
+    spans: list[tuple[int, int, int, int]]  # a stretch of so many words (third) that may hold an item within so many edits (last) has so many known pairs and words
+    pairs: np.ndarray  # by pair_keys without as many last bits as follow: may be a pair of an item
+    cut: np.uint32
     walks: list[tuple]  # odd, add, and samples: (steps, words that may stand at each, key -> items); odd walks are reversed
 
 
@@ -171,7 +182,11 @@ class Index:
         spans: dict[int, list[int]] = {}
         for k in members:
             spans.setdefault(self.allowed[k], []).append(len(self.items[k]))
-        return SizeClass([(min(n) - k, max(n) + k) for k, n in sorted(spans.items())], walks)
+        keys = np.unique(pair_keys(np.array([w for k in members for w in (*self.items[k], PAD)], dtype=np.uint32)))
+        size = (8 * len(keys)).bit_length()
+        pairs, cut = np.zeros(1 << size, dtype=bool), np.uint32(32 - size)
+        pairs[keys >> cut] = True
+        return SizeClass([(min(n) - 1 - 2 * k, min(n) - k, max(n) + k, k) for k, n in sorted(spans.items())], pairs, cut, walks)
 
     def _pieces(self) -> list[tuple[list[np.ndarray], dict[tuple, list[tuple[int, int]]]]]:
         """Of short items, by length of piece: words that may stand at each place, and piece -> (item, its place in it)."""
@@ -217,20 +232,32 @@ class Index:
                 line.extend([UNKNOWN] * before + words[: 3 * steps] + [UNKNOWN] * steps + [PAD])
         return [np.array(x, dtype=np.uint32) for x in lines], [np.array(x) for x in near], [np.array(x) for x in whose]
 
+    @staticmethod
+    def _starts(spans: list[tuple[int, int, int, int]], known: np.ndarray, paired: np.ndarray, pads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places within the edits of one where a stretch begins that may hold an item, in the same text. known and paired count words and pairs before a place."""
+        places, lows, highs = np.arange(len(ends)), [], []
+        for pairs, words, span, edits in spans:
+            upto = np.minimum(places + span, ends)
+            rows = np.flatnonzero(paired[upto - 1] - paired >= pairs)
+            rows = rows[(known[upto[rows]] - known[rows] >= words) & (ends[rows] > rows)]
+            end = ends[rows]
+            lows.append(np.maximum(rows - edits, pads[np.searchsorted(pads, end) - 1] + 1))
+            highs.append(np.minimum(rows + edits + 1, end))
+        begun, ended = (np.bincount(np.concatenate(x), minlength=len(ends) + 1) for x in (lows, highs))
+        return np.flatnonzero(np.cumsum(begun - ended))
+
     def candidates(self, flat: np.ndarray) -> set[tuple[int, int, int]]:
         """(first word, end, item) of stretches of one text of flat that may hold item. flat has a pad before and after every text."""
-        found = set(self._short(flat))
+        found, keys = set(self._short(flat)), pair_keys(flat)
+        in_pairs = [c.pairs[keys >> c.cut] for c in self.classes]
         for backwards in (0, 1):
             line = np.ascontiguousarray(flat[::-1]) if backwards else flat
             pads = np.flatnonzero(line == PAD)
-            places = np.arange(len(line))
-            ends = pads[np.searchsorted(pads, places)]
+            ends = np.repeat(pads, np.diff(pads, prepend=-1))
             known = np.concatenate([[0], np.cumsum(line > UNKNOWN, dtype=np.int32)])
-            for spans, walks in self.classes:
-                alive = np.zeros(len(line), dtype=bool)
-                for least, span in spans:
-                    alive |= known[np.minimum(places + span, ends)] - known[:-1] >= least
-                starts = np.flatnonzero(alive & (line != PAD))
+            for (spans, _, _, walks), hits in zip(self.classes, in_pairs, strict=True):
+                paired = np.concatenate([[0], np.cumsum(hits[::-1] if backwards else hits, dtype=np.int32)])
+                starts = self._starts(spans, known, paired, pads, ends)
                 if not len(starts):
                     continue
                 for odd, add, tables in walks[backwards::2]:
