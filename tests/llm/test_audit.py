@@ -9,10 +9,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, divergence, jaccard, langid, oddsketch, oracle, trie
+import corpus_pipeline
+from weftgraph import session
+from weftgraph.llm import bpe, decontaminate, divergence, jaccard, langid, oddsketch, oracle, trie
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -341,3 +345,48 @@ def test_texts_are_held_by_runs(monkeypatch):
     rest = list(runs)
     assert [at for at, _ in rest] == [2, 3, 4, 6, 7] and sum((own for _, own in rest), first[1]) == texts
     assert list(decontaminate._by_words([])) == []
+
+
+class Handed:
+    """Stands for documents; mapInArrow gives back the function that it is handed."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_a_worker_keeps_no_chunks_after_token_ids():
+    """The next stage's tasks run in the same worker, beside what this one kept."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    bpe.encoder.cache_clear()
+    run = bpe.token_ids(Handed(), path, pattern)
+    texts = [*many_words(3000), None, "one two"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    first, again = (pa.Table.from_batches(run(iter([batch]))).to_pylist() for _ in range(2))
+    assert first == again and len(first) == len(texts) and all(r["intact"] for r in first) and first[3]["n_tokens"] == 0
+    assert bpe.encoder(path, pattern).known == {}
+
+
+def test_pipeline_hands_small_batches_to_workers(spark):
+    """Batches are bounded by bytes, whatever the length of rows, and all rows arrive; a size that the session has set stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(1, "one two three", "en", "s", 13)], DOCS)
+    long_rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("abcdefgh"), 1000).alias("text"))
+    held = spark.conf.get(key, None)
+    try:
+        for stage in (corpus_pipeline.known_language, corpus_pipeline.near_duplicates, corpus_pipeline.benchmark_passages, corpus_pipeline.token_ids):
+            spark.conf.unset(key)
+            stage(spark, docs, SF)
+            found = long_rows.mapInArrow(sizes, "rows long, size long").collect()
+            assert sum(r.rows for r in found) == 3000 and max(r.size for r in found) < 1.5 * session.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        session.in_small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)

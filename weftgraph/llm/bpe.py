@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from weftgraph.llm.worker import lean
+
 NONE = np.int64(1 << 40)
 PAD = 1 << 20
 LONG = 512
@@ -235,16 +237,19 @@ def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
-            at = 0
-            for texts in by_size(batch.column("text")):
-                ids = own.encode(texts)
-                intact = [own.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
-                doc_ids = batch.column("doc_id").slice(at, len(texts)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
-                    names=["doc_id", "n_tokens", "ids", "intact"],
-                )
-                at += len(texts)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, intact boolean")
+        try:
+            for batch in batches:
+                at = 0
+                for texts in by_size(batch.column("text")):
+                    ids = own.encode(texts)
+                    intact = [own.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+                    doc_ids = batch.column("doc_id").slice(at, len(texts)).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
+                        names=["doc_id", "n_tokens", "ids", "intact"],
+                    )
+                    at += len(texts)
+        finally:
+            own.known = {}  # the worker goes on to other stages; a next task's texts hardly share chunks with these
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>, intact boolean")

@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.worker import lean
+
 EDITS = 0.2
 #: Words that an item needs to count as a passage, and to be found by walks.
 LEAST_WORDS, WALKED = 4, 8
@@ -365,5 +367,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
                         clean[first + number] = False
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

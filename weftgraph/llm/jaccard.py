@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.worker import lean
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.skew import joined_by_share
 from weftgraph.session import written
@@ -52,7 +53,7 @@ SKETCH = 64
 SKETCH_LEAST = 38
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 1 << 16
-#: Rows that a worker reads at once.
+#: Rows that a worker reads, and about as many that it writes, at once.
 ROWS_AT_ONCE = 1024
 
 
@@ -165,7 +166,7 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
                     names=["doc_id", "row", "set_id", "size", "sketch", "key1", "key2", "up2", "key3", "up3"],
                 )
 
-    return written(_rows(docs).mapInArrow(run, SETS), "sets")
+    return written(_rows(docs).mapInArrow(lean(run), SETS), "sets")
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
@@ -313,12 +314,12 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
         out: list[dict] = []
         for group in _groups(batches):
             out += [{k: r[k] for k in schema.names} for r in _sketched(group)]
-            if len(out) > 10_000:
+            if len(out) > ROWS_AT_ONCE:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    chosen = written(_grouped(parts, ["sketch"]).mapInArrow(choose, CHOSEN), "chosen")
+    chosen = written(_grouped(parts, ["sketch"]).mapInArrow(lean(choose), CHOSEN), "chosen")
     named = sets.select("set_id", "copies", F.col("first.row").alias("row"), F.coalesce("first.doc_id", F.lit(-1)).alias("id"))
     wanted = written(chosen.select("set_id").distinct().join(named, "set_id"), "wanted")
 
@@ -331,7 +332,7 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
                 yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("copies"), pa.array(tokens, pa.binary())], names=["set_id", "copies", "tokens"])
 
     texts = joined_by_share(_rows(docs).withColumn("id", F.coalesce("doc_id", F.lit(-1))), wanted, ["row", "id"], "copies", many)
-    tokens = texts.select("set_id", "copies", "text").dropDuplicates(["set_id"]).mapInArrow(tokenise, "set_id binary, copies long, tokens binary")
+    tokens = texts.select("set_id", "copies", "text").dropDuplicates(["set_id"]).mapInArrow(lean(tokenise), "set_id binary, copies long, tokens binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("set_id", pa.binary()), ("other", pa.binary()), ("n_sets", pa.int64()), ("n_docs", pa.int64())])
@@ -339,7 +340,7 @@ def join_sets(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
             if found := list(_linked(group)):
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in found], schema)
 
-    links = written(_grouped(chosen.join(tokens, "set_id"), ["copies", "tokens"]).mapInArrow(link, LINKS), "links")
+    links = written(_grouped(chosen.join(tokens, "set_id"), ["copies", "tokens"]).mapInArrow(lean(link), LINKS), "links")
     classes = connected_components(links.where("other is not null"), "set_id", "other").select(F.col("node").alias("set_id"), F.col("component").alias("class"))
     numbers = links.groupBy("set_id").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
     found = sets.select("set_id", "first", "copies").join(numbers, "set_id", "left").join(classes, "set_id", "left").select(

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.worker import lean
+
 SAMPLE = 3_000
 GRAM_MOST = 5
 SMOOTHING = 0.5
@@ -103,7 +105,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                         {"lang": pa.array([lang] * len(tally), pa.string()), "n": pa.array([n] * len(tally), pa.int32()), "token": pa.array(list(tally), pa.string()), "times": pa.array(list(tally.values()), pa.int64())}
                     )
 
-    counts = chosen.mapInArrow(count, "lang string, n int, token string, times long").groupBy("lang", "n", "token").agg(F.sum("times").alias("times")).persist()
+    counts = chosen.mapInArrow(lean(count), "lang string, n int, token string, times long").groupBy("lang", "n", "token").agg(F.sum("times").alias("times")).persist()
     rows: list[dict[str, int]] = [{} for _ in range(GRAM_MOST + 1)]
     starts, lang_of, times_of, entries = [], [], [], 0
     try:
@@ -180,7 +182,7 @@ def _mapped(docs: DataFrame, model: Model, put, schema) -> DataFrame:
         for batch in batches:
             yield put(batch, [scorer.predict(t.as_py()) for t in batch.column("text")])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
