@@ -27,7 +27,7 @@ class Chunker(Protocol):
 
 def add_documents(graph: Graph, docs: DataFrame, chunker: Chunker | None = None) -> Graph:
     """graph with docs (doc_id, part, text) added; chunks of documents without a part go where they are routed to."""
-    stats = written(word_stats(graph.nodes, graph.edges), "stats")
+    stats = written(word_stats(graph.nodes, graph.edges), "stats", small=True)
     return merged(graph, build_graph(docs, stats, chunker=chunker, parts=routing.catalog(graph.nodes)))
 
 
@@ -41,7 +41,7 @@ def ingest_documents(docs: DataFrame, graph_path: str) -> None:
     spark = docs.sparkSession
     with scratch(spark):
         parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
-        stats = written(store.load_stats(spark, graph_path), "stats")
+        stats = written(store.load_stats(spark, graph_path), "stats", small=True)
         store.add_to_store(build_graph(docs, stats, parts=parts, index=_stored_index(spark, graph_path)), graph_path)
 
 
@@ -50,7 +50,7 @@ def ask_store(queries: DataFrame, graph_path: str, spike: bool = True) -> Turn:
     the resident ones, are read."""
     spark = queries.sparkSession
     parts = store.load_catalog(spark, graph_path).where(~F.col("part").isin(*T.RESERVED_PARTS))
-    stats, index = written(store.load_stats(spark, graph_path), "stats"), _stored_index(spark, graph_path)
+    stats, index = written(store.load_stats(spark, graph_path), "stats", small=True), _stored_index(spark, graph_path)
     routed = routing.route(queries, parts, stats, index=index).select("part").union(spark.createDataFrame([(p,) for p in T.RESERVED_PARTS], "part string"))
     own = store.load_graph(spark, graph_path, only=store.buckets_of(routed, store.current_version(spark, graph_path)))
     return ask(queries, own, stats, spike, parts, index)
@@ -68,7 +68,7 @@ def ingest_folder(
     found = files.text_files(spark, folder)
     if read_pages:
         found = found.unionByName(pages.running_text(files.pdf_pages(spark, folder, read_pages)))
-    docs = written(files.file_documents(files.changed_files(found, registry), registry), "docs")
+    docs = written(files.file_documents(files.changed_files(found, registry), registry), "docs", small=True)
     if not docs.isEmpty():
         ingest_documents(docs, graph_path)
     return files.updated_registry(registry, docs)
@@ -77,10 +77,10 @@ def ingest_folder(
 def ingest_dump(spark: SparkSession, dump: str, graph_path: str) -> DataFrame:
     """Read a wiki dump (.xml or .xml.bz2) into the graph at graph_path, a part for each page, in place of a part of its name; how
     many pages were processed and skipped, one row."""
-    pages = written(files.wiki_pages(spark, dump), "pages")
+    pages = written(files.wiki_pages(spark, dump), "pages", small=True)
     with scratch(spark):
         docs = files.numbered(files.wiki_documents(pages), "part")
-        store.add_to_store(build_graph(docs, written(store.load_stats(spark, graph_path), "stats"), order="wiki"), graph_path, replace_parts=True)
+        store.add_to_store(build_graph(docs, written(store.load_stats(spark, graph_path), "stats", small=True), order="wiki"), graph_path, replace_parts=True)
     return files.page_counts(pages)
 
 
@@ -136,5 +136,5 @@ def register_sql(spark: SparkSession) -> None:
 
 def register_words(spark: SparkSession, words: DataFrame, stats: DataFrame) -> None:
     """Temporary views of words (word), to be joined in SQL: weft_stems (word, stem, suffix) and weft_verbs (word, verb, tense)."""
-    written(morphology.noun_stems(words, stats), "stems").createOrReplaceTempView("weft_stems")
-    written(morphology.verbs(words, stats), "verbs").createOrReplaceTempView("weft_verbs")
+    written(morphology.noun_stems(words, stats), "stems", small=True).createOrReplaceTempView("weft_stems")
+    written(morphology.verbs(words, stats), "verbs", small=True).createOrReplaceTempView("weft_verbs")
